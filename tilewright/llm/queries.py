@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tilewright.llm import packing
 from tilewright.llm import quality_rules as rules
 from tilewright.llm import sql
 from tilewright.plans.session import ship
@@ -20,8 +21,13 @@ def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_distribution_divergence": op1_distribution_divergence,
+    "op3_lexical_packing": op3_lexical_packing,
 }
 
 ORACLES: dict[str, str] = {
