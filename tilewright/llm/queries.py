@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import packing
+from tilewright.llm import packing, quality_classifier, toxicity
 from tilewright.llm import quality_rules as rules
 from tilewright.llm import sql
 from tilewright.plans.session import ship
@@ -25,9 +25,19 @@ def op3_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op4_char_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_distribution_divergence": op1_distribution_divergence,
     "op3_lexical_packing": op3_lexical_packing,
+    "op4_char_ngram_toxicity": op4_char_ngram_toxicity,
+    "op6_boosted_quality": op6_boosted_quality,
 }
 
 ORACLES: dict[str, str] = {
