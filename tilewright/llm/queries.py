@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import language_id, packing, quality_classifier, toxicity
+from tilewright.llm import language_id, lm_scoring, packing, quality_classifier, toxicity
 from tilewright.llm import quality_rules as rules
 from tilewright.llm import sql
 from tilewright.plans.session import ship
@@ -37,12 +37,17 @@ def op7_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_language(_table(spark, sf_dir, "documents"))
 
 
+def op10_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_distribution_divergence": op1_distribution_divergence,
     "op3_lexical_packing": op3_lexical_packing,
     "op4_char_ngram_toxicity": op4_char_ngram_toxicity,
     "op6_boosted_quality": op6_boosted_quality,
     "op7_ppm_language": op7_ppm_language,
+    "op10_subword_lattice": op10_subword_lattice,
 }
 
 ORACLES: dict[str, str] = {
