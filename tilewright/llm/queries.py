@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import language_id, lm_scoring, packing, quality_classifier, toxicity
+from tilewright.llm import decontamination, language_id, lm_scoring, packing, quality_classifier, toxicity
 from tilewright.llm import quality_rules as rules
 from tilewright.llm import sql
 from tilewright.plans.session import ship
@@ -41,15 +41,21 @@ def op10_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.lm_scores(_table(spark, sf_dir, "documents"))
 
 
+def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("row")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_distribution_divergence": op1_distribution_divergence,
     "op3_lexical_packing": op3_lexical_packing,
     "op4_char_ngram_toxicity": op4_char_ngram_toxicity,
     "op6_boosted_quality": op6_boosted_quality,
     "op7_ppm_language": op7_ppm_language,
+    "op8_positional_index": op8_positional_index,
     "op10_subword_lattice": op10_subword_lattice,
 }
 
 ORACLES: dict[str, str] = {
     "op1_distribution_divergence": sql.quality_rules(),
+    "op8_positional_index": sql.decontamination(),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tilewright.llm import decontamination as clean
 from tilewright.llm import quality_rules as rules
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -62,3 +63,21 @@ judged AS (SELECT t.*, n_words < {rules.MIN_WORDS_BASE} OR 100 * n_repeat_words
   FROM counted t LEFT JOIN scored s ON s.k = t.k AND s.r = 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT far AS kept FROM judged
 """
+
+
+def decontamination() -> str:
+    listed = f"regexp_extract_all(translate(coalesce(text, ''), '{clean.UPPER}', '{clean.LOWER}'), '[^{clean.BETWEEN[1:-2]}]+')"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS k, doc_id, {listed} AS w FROM documents),
+items AS (SELECT item_id::VARCHAR AS item, {listed} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item, win, len(win) AS size FROM (
+  SELECT item, array_to_string(x, ' ') AS joined, x AS win FROM (SELECT item, unnest(list_transform(range(1, greatest(len(w) - {clean.WINDOW} + 1, 1) + 1), lambda i: w[i:i + {clean.WINDOW - 1}])) AS x FROM items WHERE len(w) > 0))),
+grams AS (SELECT k, size, i, w[i:i + size - 1] AS win FROM (
+  SELECT k, size, w, unnest(range(1, len(w) - size + 2)) AS i FROM docs, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size)),
+found AS (SELECT k, i, size, item FROM grams JOIN windows USING (size, win)),
+hits AS (SELECT k, count(DISTINCT i + j) AS n FROM (SELECT DISTINCT k, i, size FROM found) f, range(0, {clean.WINDOW}) r(j) WHERE j < f.size GROUP BY k),
+named AS (SELECT k, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT k, item FROM found) GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hits.n, 0)::BIGINT AS n_hit, coalesce(named.n, 0)::BIGINT AS n_items, sha256(coalesce(named.items, '')) AS items_sha256,
+  coalesce(hits.n, 0) > 0 AND {clean.HIT_SHARE} * coalesce(hits.n, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hits USING (k) LEFT JOIN named USING (k)
+"""
