@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import decontamination, language_id, lm_scoring, packing, quality_classifier, toxicity
+from tilewright.llm import decontamination, jaccard_join, language_id, lm_scoring, packing, quality_classifier, toxicity
 from tilewright.llm import quality_rules as rules
 from tilewright.llm import sql
 from tilewright.plans.session import ship
@@ -45,6 +45,10 @@ def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("row")
 
 
+def op9_vertical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents")).drop("node")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_distribution_divergence": op1_distribution_divergence,
     "op3_lexical_packing": op3_lexical_packing,
@@ -52,10 +56,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_boosted_quality": op6_boosted_quality,
     "op7_ppm_language": op7_ppm_language,
     "op8_positional_index": op8_positional_index,
+    "op9_vertical_jaccard": op9_vertical_jaccard,
     "op10_subword_lattice": op10_subword_lattice,
 }
 
 ORACLES: dict[str, str] = {
     "op1_distribution_divergence": sql.quality_rules(),
     "op8_positional_index": sql.decontamination(),
+    "op9_vertical_jaccard": sql.jaccard_join(),
 }

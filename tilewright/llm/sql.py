@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tilewright.llm import decontamination as clean
+from tilewright.llm import jaccard_join as near
 from tilewright.llm import quality_rules as rules
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -81,3 +82,17 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hits.n, 0)::BIGINT AS n_hit,
   coalesce(hits.n, 0) > 0 AND {clean.HIT_SHARE} * coalesce(hits.n, 0) >= len(w) AS contaminated
 FROM docs LEFT JOIN hits USING (k) LEFT JOIN named USING (k)
 """
+
+
+def jaccard_join() -> str:
+    return f"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{clean.UPPER}', '{clean.LOWER}'), '{WORD}') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(x, ' ') AS s FROM (
+  SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - {near.WIDTH} + 1, 1) + 1), lambda i: w[i:i + {near.WIDTH - 1}])) AS x FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM shingles a JOIN shingles b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT u, v FROM common JOIN sizes a ON a.doc_id = u JOIN sizes b ON b.doc_id = v WHERE 100 * c >= {near.PERCENT} * (a.n + b.n - c)),
+reach(u, v) AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v)
+SELECT doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(r.v, doc_id))::BIGINT AS component_id
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT u, min(v) AS v FROM reach GROUP BY u) r ON r.u = doc_id
+"""
