@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import decontamination, jaccard_join, language_id, lm_scoring, packing, quality_classifier, toxicity
+from tilewright.llm import decontamination, jaccard_join, language_id, lm_scoring, packing, quality_classifier, surrogates, toxicity
 from tilewright.llm import quality_rules as rules
 from tilewright.llm import sql
 from tilewright.plans.session import ship
@@ -49,10 +49,15 @@ def op9_vertical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents")).drop("node")
 
 
+def op5_surrogate_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_entities")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_distribution_divergence": op1_distribution_divergence,
     "op3_lexical_packing": op3_lexical_packing,
     "op4_char_ngram_toxicity": op4_char_ngram_toxicity,
+    "op5_surrogate_generation": op5_surrogate_generation,
     "op6_boosted_quality": op6_boosted_quality,
     "op7_ppm_language": op7_ppm_language,
     "op8_positional_index": op8_positional_index,
