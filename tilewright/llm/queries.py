@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import decontamination, jaccard_join, language_id, lm_scoring, packing, quality_classifier, surrogates, toxicity
+from tilewright.llm import decontamination, html_extraction, jaccard_join, language_id, lm_scoring, packing, quality_classifier, surrogates, toxicity
 from tilewright.llm import quality_rules as rules
 from tilewright.llm import sql
 from tilewright.plans.session import ship
@@ -21,6 +21,10 @@ def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op3_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def op5_surrogate_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_distribution_divergence": op1_distribution_divergence,
+    "op2_host_suffix_array": op2_host_suffix_array,
     "op3_lexical_packing": op3_lexical_packing,
     "op4_char_ngram_toxicity": op4_char_ngram_toxicity,
     "op5_surrogate_generation": op5_surrogate_generation,
