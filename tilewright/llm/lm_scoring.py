@@ -70,6 +70,18 @@ def word_counts(texts: DataFrame, models: int) -> DataFrame:
     return parts.groupBy("word").agg(*each, F.sum("n").alias(f"c{models - 1}"))
 
 
+def _merged(batches: Iterator[pa.RecordBatch], rows: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about `rows`: words of one length are computed together, and small batches have few of each."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _counts(batch: pa.RecordBatch, models: int) -> np.ndarray:
     return np.stack([batch.column(1 + k).to_numpy(zero_copy_only=False) for k in range(models)])
 
@@ -85,7 +97,7 @@ def fit_pieces(words: DataFrame, models: int, folder: str | None = None, rounds:
         def expect(batches: Iterator[pa.RecordBatch], weights: np.ndarray = weights) -> Iterator[pa.RecordBatch]:
             own = lattice.vocabulary(folder)
             total = np.zeros((models, size))
-            for batch in batches:
+            for batch in _merged(batches):
                 seen = _counts(batch, models) > 0
                 data, at = tb.raw(batch.column(0))
                 for k in range(models):
@@ -210,14 +222,14 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value[2]
-        for batch in batches:
+        for batch in _merged(batches):
             data, at = tb.raw(batch.column(0))
             terms = own.terms(_counts(batch, models), own.paths(data, at[:-1], at[1:], vocabulary_folder))
             yield pa.record_batch([batch.column(0), *map(pa.array, terms)], names=["word", *term_columns])
 
     def unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value[2]
-        for batch in batches:
+        for batch in _merged(batches):
             data, at = tb.raw(batch.column(1))
             terms = own.terms(np.zeros((models, len(at) - 1)), own.paths(data, at[:-1], at[1:], vocabulary_folder))
             yield pa.record_batch([batch.column(0), *map(pa.array, terms)], names=["row", *term_columns])
