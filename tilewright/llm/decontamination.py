@@ -1,20 +1,20 @@
 """Benchmark decontamination by a distributed positional inverted index. DataFrame and SQL functions only.
 
 The index holds a posting (term, row, pos) for every training word that is a term of the test items; postings of other terms would never be read, so
-they aren't stored. A phrase is looked up from its rarest term: its postings give candidate starts, and the offset-adjusted postings of its other
-terms must all be there. Proximity looks up pairs of terms within a distance. A row is known by a 64-bit key of its id and text, so that
+they aren't stored. A phrase is looked up from its rarest term: its postings give alignments, and the offset-adjusted postings of the other
+terms are intersected with them. Proximity looks up pairs of terms within a distance. A row is known by a 64-bit key of its id and text, so that
 equal rows share postings and rows with one id and different texts don't.
 
 The test side's terms and the candidate rows are broadcast only after their number was counted and found to be at most BROADCAST_ROWS; beyond that
 the joins shuffle. The index is a table in the shared folder.
 
 Cases: null text has no words and no hits; empty benchmark, or items without words, hit nothing; items of fewer words than a window are one window;
-equal windows of several items count for each item; repeated rows get equal results; an empty table gives an empty result.
+items of equal text count each; repeated rows get equal results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.llm.shared import row_key, stage_table
@@ -47,11 +47,12 @@ def checked_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text", size: int = WINDOW) -> DataFrame:
-    """(window, items): each distinct window of words with the sorted ids of its items, as strings."""
-    listed = items.select(F.col(item_id).cast("string").alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
-    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
-    return listed.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("window")).groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items"))
+def item_words(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """(item, ipos, term, size): the words of each distinct item, as strings, from position 0; size is the item's number of words."""
+    listed = items.select(F.col(item_id).cast("string").alias("item"), words(F.col(text)).alias("w")).where((F.size("w") > 0) & F.col("item").isNotNull()).distinct()
+    # an id with several texts is several items here
+    keyed = listed.withColumn("key", F.xxhash64("item", "w"))
+    return keyed.select("key", "item", F.size("w").alias("size"), F.posexplode("w").alias("ipos", "term"))
 
 
 def positional_index(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -69,21 +70,31 @@ def positional_index(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id",
     return stage_table(joined.select("term", "row", F.when(last, F.col("n")).otherwise(F.col("pos")).cast("int").alias("pos"), F.when(last, F.col("id")).alias("id")), "postings")
 
 
-def phrase_matches(index: DataFrame, windows: DataFrame) -> DataFrame:
-    """(row, start, window) of every occurrence of the windows, by intersecting postings from each window's rarest term."""
+def phrase_matches(index: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(row, key, item, start, length): runs of a row's words that equal consecutive words of an item, as long as a window or longer.
+
+    Every window of an item is anchored at its rarest term. A posting of an anchor gives an alignment of row and item; the other terms' postings,
+    adjusted by their offsets, are intersected over all positions that windows with this anchor cover. Runs of met positions hold all occurrences.
+    """
     counts = index.where(F.col("term") != END).groupBy("term").agg(F.count("*").alias("n"))
-    placed = windows.select("window", F.posexplode("window").alias("off", "term")).join(counts, "term")
-    # the rarest term with a posting, and only windows of which every term has one
-    anchors = placed.groupBy("window").agg(F.min_by(F.struct("term", "off"), F.struct("n", "off")).alias("a"), F.count("*").alias("present")).where(F.col("present") == F.size("window"))
-    anchors = stage_table(anchors.select("window", F.col("a.term").alias("term"), F.col("a.off").alias("off")), "anchors")
-    postings = index.select("term", "row", "pos")
-    candidates = postings.join(checked_broadcast(anchors, anchors.count()), "term").select("row", (F.col("pos") - F.col("off")).alias("start"), "window").distinct()
-    candidates = stage_table(candidates, "candidates")
-    rows = candidates.select("row").distinct()
-    near = postings.join(checked_broadcast(rows, rows.count()), "row", "left_semi").distinct()
-    wanted = candidates.select("row", "start", "window", F.posexplode("window").alias("off", "term")).withColumn("pos", F.col("start") + F.col("off"))
+    known = items.join(counts, "term", "left").select("key", "ipos", "size", "term", F.coalesce("n", F.lit(0)).alias("n"))
+    # the windows that cover a position start up to window - 1 before it, and end within the item
+    reach = F.sequence(F.greatest(F.col("ipos") - window + 1, F.lit(0)), F.least(F.col("ipos"), F.greatest(F.col("size") - window, F.lit(0))))
+    covered = known.select("key", "size", "term", "n", "ipos", F.explode(reach).alias("first"))
+    rarest = covered.groupBy("key", "first").agg(F.min_by(F.struct("term", "ipos"), F.struct("n", "ipos")).alias("a"), F.min("n").alias("n")).where("n > 0")
+    anchors = stage_table(rarest.select("key", F.col("a.term").alias("term"), F.col("a.ipos").alias("apos")).distinct(), "anchors")
+    postings = index.where(F.col("term") != END).select("term", "row", "pos")
+    aligned = postings.join(checked_broadcast(anchors, anchors.count()), "term").select("row", "key", "apos", (F.col("pos") - F.col("apos")).alias("shift"))
+    aligned = stage_table(aligned.distinct(), "alignments")
+    rows = aligned.select("row").distinct()
+    near = postings.join(checked_broadcast(rows, rows.count()), "row", "left_semi")
+    around = F.sequence(F.greatest(F.col("apos") - window + 1, F.lit(0)), F.col("apos") + window - 1)
+    asked = aligned.select("row", "key", "shift", F.explode(around).alias("ipos")).distinct()
+    wanted = asked.join(items.select("key", "ipos", "term", "size", "item"), ["key", "ipos"]).withColumn("pos", F.col("shift") + F.col("ipos"))
     met = wanted.join(near, ["row", "pos", "term"], "left_semi")
-    return met.groupBy("row", "start", "window").agg(F.count("*").alias("n")).where(F.col("n") == F.size("window")).select("row", "start", "window")
+    order = Window.partitionBy("row", "key", "shift").orderBy("ipos")
+    runs = met.withColumn("run", F.col("ipos") - F.row_number().over(order)).groupBy("row", "key", "item", "size", "shift", "run").agg(F.min("pos").alias("start"), F.count("*").alias("length"))
+    return runs.where(F.col("length") >= F.least(F.col("size"), F.lit(window))).select("row", "key", "item", "start", F.col("length").cast("int").alias("length"))
 
 
 def proximity_matches(index: DataFrame, pairs: DataFrame, distance: int) -> DataFrame:
@@ -97,14 +108,13 @@ def proximity_matches(index: DataFrame, pairs: DataFrame, distance: int) -> Data
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, row, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
-    windows = stage_table(item_windows(benchmark), "windows")
-    index = positional_index(docs, windows.select(F.explode("window").alias("term")), doc_id, text)
-    found = stage_table(phrase_matches(index, windows.select("window")), "matches")
-    spans = found.select("row", F.explode(F.sequence("start", F.col("start") + F.size("window") - 1)).alias("pos"))
-    hits = spans.groupBy("row").agg(F.count_distinct("pos").alias("n_hit"))
-    items = found.select("row", "window").distinct().join(windows, "window").select("row", F.explode("items").alias("item")).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    per_row = hits.join(items, "row")
-    out = index.where(F.col("term") == END).select(F.col("id").alias(doc_id), "row", F.col("pos").cast("long").alias("n_words")).join(per_row, "row", "left")
+    items = stage_table(item_words(benchmark), "items")
+    index = positional_index(docs, items, doc_id, text)
+    found = stage_table(phrase_matches(index, items), "matches")
+    spans = found.select("row", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("pos")).distinct()
+    hits = spans.groupBy("row").agg(F.count("*").alias("n_hit"))
+    named = found.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    out = index.where(F.col("term") == END).select(F.col("id").alias(doc_id), "row", F.col("pos").cast("long").alias("n_words")).join(hits.join(named, "row"), "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     listed = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
