@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import scalar
 from tilewright.operators import aggregates as agg
-from tilewright.operators import codec, fits, metrics, raster
+from tilewright.operators import codec, families, fits, metrics, raster
 from tilewright.plans import bind
 from tilewright.plans.bind import PLANES_SQL, SIDE
 from tilewright.plans.registry import Tables, query
@@ -297,3 +297,22 @@ def bd_rates(t: Tables) -> DataFrame:
 
     # one row of at most eleven points
     return curves.join(F.broadcast(reference), F.lit(True)).mapInArrow(compare, "series string, bd_rate double, bd_psnr double")
+
+
+@query()
+def family_closed_loop(t: Tables) -> DataFrame:
+    """Bytes of each plane coded as a family of 2, 4 and 8 pixels a side, and the greatest error of its reconstruction."""
+    coded = families.encode_families(bind.planes(t), ["vec_id"], N, 2.0, 2.0)
+    back = families.reconstruct_families(coded, ["vec_id"], N)
+    sized = coded.select("vec_id", (F.octet_length("l1_residual") + F.octet_length("l0_residual")).alias("bytes"))
+    error = F.array_max(F.zip_with("px", "l0", lambda a, b: F.abs(a - b)))
+    return bind.planes(t).join(back, "vec_id").select("vec_id", error.alias("max_error")).join(sized, "vec_id")
+
+
+@query(f"""WITH {PLANES_SQL}, g AS (SELECT (vec_id % 16)::INTEGER AS x, (vec_id // 16)::INTEGER AS y, px FROM planes WHERE vec_id >= 0), p AS (SELECT DISTINCT x >> 1 AS x, y >> 1 AS y FROM g),
+v AS (SELECT p.x, p.y, i, sum(coalesce(g.px[((2 * (i // 8) + b) % 8) * 8 + (2 * (i % 8) + a) % 8 + 1], 255)) AS s FROM p CROSS JOIN range(0, 64) r(i) CROSS JOIN range(0, 2) ra(a) CROSS JOIN range(0, 2) rb(b)
+LEFT JOIN g ON g.x = p.x * 2 + (2 * (i % 8) + a) // 8 AND g.y = p.y * 2 + (2 * (i // 8) + b) // 8 GROUP BY p.x, p.y, i)
+SELECT x, y, string_agg((s::BIGINT + 2) // 4, ',' ORDER BY i) AS px FROM v GROUP BY x, y""")
+def lower_level(t: Tables) -> DataFrame:
+    own = bind.planes(t).select((F.col("vec_id") % 16).cast("int").alias("x"), F.floor(F.col("vec_id") / 16).cast("int").alias("y"), "px")
+    return families.lower_levels(own, 1, N)[0].select("x", "y", _text(F.col("px")).alias("px"))
