@@ -26,7 +26,7 @@ def metrics_tumbling_30m(t: Tables) -> DataFrame:
     return telemetry.snapshots(bind.requests(t), "30 minutes", _KINDS).withColumn("start", F.unix_timestamp("start"))
 
 
-@query(f"""WITH {REQUESTS_SQL}, m AS (SELECT user_id % 100 AS k, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id % 100 ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS first FROM requests),
+@query(f"""WITH {REQUESTS_SQL}, m AS (SELECT user_id % 100 AS k, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id % 100 ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS first FROM requests),
 s AS (SELECT *, sum(first) OVER (PARTITION BY k ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM m)
 SELECT k, floor(epoch(min(ts)))::BIGINT AS "start", floor(epoch(max(ts)))::BIGINT + 21600 AS "end", count(*) AS requests, count(*) - 1 AS hits FROM s GROUP BY k, g""")
 def cache_residency_sessions(t: Tables) -> DataFrame:

@@ -26,7 +26,7 @@ def watermarked(requests: DataFrame, late: str = "10 minutes") -> DataFrame:
 
 
 def residency(requests: DataFrame, key: str, idle: str) -> DataFrame:
-    """How long each key stays cached: sessions that end after `idle` without a request. The first request of a session misses."""
+    """How long each key stays cached: sessions that end when more than `idle` passes without a request. The first request of a session misses."""
     out = requests.groupBy(F.session_window("ts", idle).alias("s"), key).agg(F.count("*").alias("requests"))
     return out.select(key, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "requests", (F.col("requests") - 1).alias("hits"))
 
