@@ -3,7 +3,7 @@
 A page is read into blocks of text by its tags. Blocks inside chrome (navigation, footers, forms, asides and the like, by tag, role or class) are
 markup-declared boilerplate; of the others, those in the page's article are its text. Everything outside the article goes into the host's token
 stream. The host's streams are concatenated, and a suffix array, sorted to the depth of a run, finds all runs of MIN_RUN tokens and more that distinct
-pages repeat. Where a page declares no article, its covered runs are removed and its unique runs are kept.
+pages repeat. Where a page declares no article, covered blocks and covered stretches of a run's length are removed, and its unique runs are kept.
 
 Text in a declared article stays even if other pages repeat it: copies of articles are common, and nothing else of an article may be lost. For the
 same reason pages with equal streams count once, and a run must recur on MIN_PAGES distinct streams and MIN_SHARE of them.
@@ -207,6 +207,15 @@ def repeated_positions(streams: list[list[str]]) -> list[np.ndarray]:
     return [inside[starts[c] : starts[c] + len(k)] for c, k in zip(content, keys, strict=True)]
 
 
+def long_stretches(mask: np.ndarray) -> np.ndarray:
+    """Only the stretches of a run's length and more: a run that reaches a few words into a block of its own leaves it whole."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
+    out = np.zeros(len(mask), bool)
+    for start, end in zip(edges[::2], edges[1::2], strict=True):
+        out[start:end] = end - start >= MIN_RUN
+    return out
+
+
 def shard_texts(articles: list[str | None], outside: list[list[str]], chrome: list[list[bool]]) -> list[str]:
     """The texts of a shard's pages."""
     words = [[b.split(" ") for b in blocks] for blocks in outside]
@@ -221,7 +230,8 @@ def shard_texts(articles: list[str | None], outside: list[list[str]], chrome: li
             own = mask[at : at + len(block)]
             at += len(block)
             if not is_chrome and not own.all():
-                kept.append(" ".join(w for w, c in zip(block, own, strict=True) if not c))
+                drop = long_stretches(own)
+                kept.append(" ".join(w for w, c in zip(block, drop, strict=True) if not c))
         out.append("\n".join(kept))
     return out
 
