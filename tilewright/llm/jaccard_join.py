@@ -4,12 +4,15 @@ Shingles are 58-bit hashes of WIDTH words. Their global order puts those that re
 often), and orders equals by hash; any order that all documents share keeps the join exact, and this one keeps shared passages out of prefixes. Documents with equal
 sets are one class and go through the join once.
 
-1. Prefixes: two sets with Jaccard similarity t share one of the first n - ceil(t n) + 1 shingles in the order. Prefixes go to fragments, ranges of the
-   order, and each fragment lists the shingles that two classes or more have in their prefixes.
+1. Prefixes: two sets with Jaccard similarity t share LEAST of the first n - ceil(t n) + LEAST shingles in the order, or all they share if those are
+   fewer. Prefixes go to fragments, ranges of the order, and each fragment lists the shingles that two classes or more have in their prefixes.
 2. Counting: the order is cut into SEGMENTS; each class's set is cut likewise, the overlap of a pair is counted in each segment apart, and summed by pair.
-3. First each class is compared with one partner, the one that leads most of its lists, which joins near copies to few components. Then every pair of
-   classes of different components that shares a list and passes the size and position filters is compared. Pairs within a component need no comparison:
-   the components are what is asked for. No link between components is lost, and a group of near copies costs no square of its size.
+   Of tokens up to the smaller of two prefixes' ends all common ones are in both prefixes; so a pair can only link if its prefixes share
+   o - max(n - p) shingles, where o is the overlap that a link needs and n - p what a prefix leaves out: some 40 percent of a prefix for equal sizes.
+3. First each class is compared with the leaders of its lists that fit, the best first, in ROUNDS; a list's leader is the class that shares most with
+   others, as the origin of copies does. This joins near copies to few components. Then every pair of classes of different components whose shared
+   prefix shingles, counted by fragment and summed by pair, are enough is compared. Pairs within a component need no comparison: the components are
+   what is asked for. No link between components is lost, and a group of near copies costs no square of its size.
 
 Cases: null or empty text, or text of white space, has an empty set and links with nothing; texts of fewer words than a shingle have one shingle of all
 their words; equal sets link; repeated rows share their class; an empty table gives an empty result; ties in size and order fall by hash.
@@ -32,10 +35,17 @@ from tilewright.llm.shared import drop_table, stage_table
 
 WIDTH = 5
 PERCENT = 75
-BLOCK_BYTES = 12 << 20
+#: Shingles that prefixes of linked sets must share.
+LEAST = 4
+ROUNDS = 2
+BLOCK_BYTES = (2 << 20) - 1
 SEGMENTS = 4
 #: Prefix postings for each fragment, about.
-FRAGMENT_ROWS = 1 << 20
+FRAGMENT_ROWS = 1 << 18
+#: Postings for each fragment of the lists in which pairs are counted, about.
+PAIR_ROWS = 1 << 19
+#: Rows of a list that are paired at once.
+SQUARE = 64
 #: Recurring shingles kept for the order, the most frequent; the table is sent to the tasks. The order need not be by exact counts.
 ORDER_ROWS = 1 << 19
 #: Classes that are sent to the tasks as a filter; beyond that a join filters.
@@ -86,7 +96,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], column: int):
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
-    return n - (PERCENT * n + 99) // 100 + 1
+    return np.minimum(n, n - (PERCENT * n + 99) // 100 + LEAST)
 
 
 class Order:
@@ -128,7 +138,7 @@ def document_sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def prefix_lists(docs: DataFrame, text: str, order, fragments: int) -> DataFrame:
-    """(fragment, h, node, n, pos, leader): postings of prefixes, of shingles that two classes or more have."""
+    """(fragment, h, node, n, pos, others): postings of prefixes, of shingles that two classes or more have, and how many others have each."""
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, at in _blocks(batches, 0):
@@ -170,12 +180,12 @@ def prefix_lists(docs: DataFrame, text: str, order, fragments: int) -> DataFrame
         head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         length = np.diff(np.append(head, len(key)))
         keep = np.repeat(length > 1, length)
-        leader = np.repeat(node[head], length)
+        others = np.repeat(length - 1, length)
         fragment = np.full(int(keep.sum()), table["fragment"][0].as_py(), np.int32)
-        return pa.table([pa.array(fragment), pa.array(key[keep].view(np.int64)), pa.array(node[keep]), pa.array(n[keep].astype(np.int64)), pa.array(pos[keep].astype(np.int64)), pa.array(leader[keep])], names=["fragment", "h", "node", "n", "pos", "leader"])
+        return pa.table([pa.array(fragment), pa.array(key[keep].view(np.int64)), pa.array(node[keep]), pa.array(n[keep].astype(np.int64)), pa.array(pos[keep].astype(np.int64)), pa.array(others[keep])], names=["fragment", "h", "node", "n", "pos", "others"])
 
     parts = docs.select(text).mapInArrow(postings, "fragment int, key binary, local binary, pos binary, nodes binary, sizes binary")
-    return parts.groupBy("fragment").applyInArrow(lists, "fragment int, h bigint, node bigint, n bigint, pos bigint, leader bigint")
+    return parts.groupBy("fragment").applyInArrow(lists, "fragment int, h bigint, node bigint, n bigint, pos bigint, others bigint")
 
 
 def class_segments(docs: DataFrame, text: str, wanted) -> DataFrame:
@@ -229,38 +239,113 @@ def linked(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     return counted.groupBy("u", "v", "n_u", "n_v").agg(F.sum("common").alias("common")).where(100 * common >= PERCENT * (F.col("n_u") + F.col("n_v") - common)).select("u", "v")
 
 
+def least_common(n_u, n_v):
+    """The smallest overlap of linked sets of these sizes: ceil(PERCENT (n_u + n_v) / (100 + PERCENT))."""
+    return F.ceil(PERCENT * (n_u + n_v) / (100 + PERCENT))
+
+
+def can_link(n_u, n_v, k):
+    """Whether sets of these sizes, whose prefixes share k shingles, may link."""
+    rest = lambda n: F.ceil(PERCENT * n / 100) - LEAST  # noqa: E731  what a prefix leaves out; of a short set, nothing
+    left = F.greatest(rest(n_u), rest(n_v), F.lit(0))
+    return (100 * F.least(n_u, n_v) >= PERCENT * F.greatest(n_u, n_v)) & (k >= least_common(n_u, n_v) - left)
+
+
+def leader_pairs(lists: DataFrame) -> DataFrame:
+    """(u, v, k): classes and leaders of their lists that may link, and how many lists the one leads for the other."""
+    weights = lists.groupBy("node").agg(F.sum("others").alias("weight"))
+    led = lists.select("h", "node", "n").join(weights, "node").groupBy("h").agg(F.max_by(F.struct("node", "n"), F.struct("weight", F.negate("node"))).alias("l"))
+    own = lists.select("h", "node", "n").join(led.select("h", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n")), "h").where("node <> leader")
+    each = own.groupBy("node", "leader", "n", "leader_n").agg(F.count("*").alias("k"))
+    size = (100 * F.least("n", "leader_n") >= PERCENT * F.greatest("n", "leader_n")) & (F.col("k") >= F.least(F.lit(LEAST), least_common(F.col("n"), F.col("leader_n"))))
+    return each.where(size).select("node", "leader", "k")
+
+
+def best_partners(candidates: DataFrame, labels: DataFrame | None, tested: DataFrame | None) -> DataFrame:
+    """(u, v): each class and the best of its candidates that isn't tested nor in its component."""
+    left = candidates
+    if labels is not None:
+        left = left.join(tested, (F.least("node", "leader") == F.col("u")) & (F.greatest("node", "leader") == F.col("v")), "left_anti")
+        for c in ("node", "leader"):
+            left = left.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")), c, "left")
+        left = left.where(F.coalesce("node_label", "node") != F.coalesce("leader_label", "leader"))
+    best = left.groupBy("node").agg(F.max_by("leader", F.struct("k", F.negate("leader"))).alias("leader"))
+    return best.select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")).distinct()
+
+
 def cross_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """(u, v) of classes of different components that share a list and pass the filters by size and position."""
-    known = lists.select("fragment", "h", "node", "n", "pos").join(labels, "node", "left").select("fragment", "h", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
+    """(u, v) of classes of different components whose sizes, positions and shared prefix shingles allow a link.
+
+    The lists that are left, those with several components, are dealt to fragments anew, ranges of the order of about PAIR_ROWS postings. A fragment
+    counts the shared shingles of its pairs, and passes on those that could still reach the bound with what both have in other fragments.
+    """
+    known = lists.select("h", "node", "n", "pos").join(labels, "node", "left").select("h", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
     mixed = known.groupBy("h").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("h")
-    rows = known.join(mixed, "h", "left_semi")
+    rows = stage_table(known.join(mixed, "h", "left_semi"), "mixed")
+    fragments = max(1, math.ceil(rows.count() / PAIR_ROWS))
+    place = F.floor(F.col("h").bitwiseAND((1 << HASH_BITS) - 1) * (fragments / float(1 << HASH_BITS)))
+    listed = rows.groupBy("node").agg(F.count("*").alias("listed"))
+    dealt = rows.join(listed, "node").withColumn("fragment", F.least(place, F.lit(fragments - 1)).cast("int"))
 
     def pairs(table: pa.Table) -> pa.Table:
-        h, node, n, pos, label = (table[c].to_numpy() for c in ("h", "node", "n", "pos", "label"))
+        h, node, n, pos, label, total = (table[c].to_numpy() for c in ("h", "node", "n", "pos", "label", "listed"))
         ranked = np.lexsort((n, h))
-        h, node, n, pos, label = (x[ranked] for x in (h, node, n, pos, label))
+        h, node, n, pos, label, total = (x[ranked] for x in (h, node, n, pos, label, total))
+        keys, first, here, own_rows = np.unique(node, return_index=True, return_inverse=True, return_counts=True)
+        elsewhere = (total[first] - own_rows)[here]
         head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        found = [np.zeros((0, 2), np.int64)]
+        found: list[tuple[np.ndarray, ...]] = []
+        counted = np.zeros((0, 6), np.int64)
         held = 0
         for lo, hi in zip(head, np.append(head[1:], len(h)), strict=True):
-            m, p, own, group = n[lo:hi], pos[lo:hi], node[lo:hi], label[lo:hi]
-            for k in range(hi - lo - 1):  # those after k are at least as large; they end where the size filter fails
-                end = int(np.searchsorted(m, 100 * m[k] // PERCENT, side="right"))
-                if end <= k + 1:
-                    continue
-                other = slice(k + 1, end)
-                most = np.minimum(p[k], p[other]) + 1 + np.minimum(m[k] - p[k], m[other] - p[other]) - 1
-                good = (group[other] != group[k]) & ((100 + PERCENT) * most >= PERCENT * (m[k] + m[other]))
-                mate = own[other][good]
-                if len(mate):
-                    found.append(np.stack((np.minimum(mate, own[k]), np.maximum(mate, own[k])), 1))
-                    held += len(mate)
-                    if held > 1 << 21:
-                        found, held = [np.unique(np.concatenate(found), axis=0)], 0
-        both = np.unique(np.concatenate(found), axis=0)
-        return pa.table([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
-
-    return rows.groupBy("fragment").applyInArrow(pairs, "u bigint, v bigint").distinct()
+            m, p, own, group, more = n[lo:hi], pos[lo:hi], node[lo:hi], label[lo:hi], elsewhere[lo:hi]
+            for first_row in range(0, hi - lo - 1, SQUARE):  # a long list in bands of rows, each with all rows after it
+                band = np.arange(first_row, min(first_row + SQUARE, hi - lo - 1))
+                i, j = (x.ravel() for x in np.meshgrid(band, np.arange(first_row + 1, hi - lo), indexing="ij"))
+                fit = (j > i) & (PERCENT * m[j] <= 100 * m[i]) & (group[i] != group[j])
+                i, j = i[fit], j[fit]
+                most = np.minimum(p[i], p[j]) + np.minimum(m[i] - p[i], m[j] - p[j])
+                fit = (100 + PERCENT) * most >= PERCENT * (m[i] + m[j])
+                i, j = i[fit], j[fit]
+                if len(i):
+                    swap = own[j] < own[i]
+                    i, j = np.where(swap, j, i), np.where(swap, i, j)
+                    found.append((own[i], own[j], m[i], m[j], np.minimum(more[i], more[j])))
+                    held += len(i)
+                    if held > 1 << 18 or len(found) > 1 << 12:
+                        counted, found, held = _tally(counted, found), [], 0
+        counted = _tally(counted, found)
+        u, v = counted[:, 2], counted[:, 3]
+        need = -(-PERCENT * (u + v) // (100 + PERCENT)) - np.maximum(np.maximum(-(-PERCENT * u // 100), -(-PERCENT * v // 100)) - LEAST, 0)
+        counted = counted[counted[:, 5] + counted[:, 4] >= need]
+        return pa.table([pa.array(counted[:, k]) for k in (0, 1, 2, 3, 5)], names=["u", "v", "n_u", "n_v", "k"])
+
+    each = dealt.groupBy("fragment").applyInArrow(pairs, "u bigint, v bigint, n_u bigint, n_v bigint, k bigint")
+    return each.groupBy("u", "v", "n_u", "n_v").agg(F.sum("k").alias("k")).where(can_link(F.col("n_u"), F.col("n_v"), F.col("k"))).select("u", "v")
+
+
+def _tally(counted: np.ndarray, found: list[tuple[np.ndarray, ...]]) -> np.ndarray:
+    """Rows (u, v, n_u, n_v, rest, k): the pairs found added to those counted."""
+    if not found:
+        return counted
+    new = np.stack([np.concatenate(c) for c in zip(*found, strict=True)], 1)
+    rows = np.concatenate((counted, np.column_stack((new, np.ones(len(new), np.int64)))))
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    head = np.flatnonzero(np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(1))))
+    return np.column_stack((rows[head, :5], np.add.reduceat(rows[:, 5], head)))
+
+
+def segments_of(nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """The segments of the given classes. Their keys are sent to the tasks if there are at most BROADCAST_NODES; else a join picks them out."""
+    wanted = None
+    if nodes.count() <= BROADCAST_NODES:
+        wanted = docs.sparkSession.sparkContext.broadcast(np.sort(nodes.toArrow()["node"].to_numpy()))
+    segments = class_segments(docs, text, wanted)
+    return stage_table(segments if wanted else segments.join(nodes, "node", "left_semi"), "segments")
+
+
+def nodes_of(pairs: DataFrame, u: str, v: str) -> DataFrame:
+    return pairs.select(F.explode(F.array(u, v)).alias("node")).distinct()
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -277,23 +362,28 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     order = spark.sparkContext.broadcast(Order(top["seen"].to_numpy().view(np.uint64), top["times"].to_numpy()))
     fragments = max(8, math.ceil(total * (100 - PERCENT) / 100 / FRAGMENT_ROWS))
     lists = stage_table(prefix_lists(docs, text, order, fragments), "lists")
-    nodes = lists.select("node").distinct()
-    wanted = None
-    if nodes.count() <= BROADCAST_NODES:
-        wanted = spark.sparkContext.broadcast(np.sort(nodes.toArrow()["node"].to_numpy()))
-    segments = class_segments(docs, text, wanted)
-    segments = stage_table(segments if wanted else segments.join(nodes, "node", "left_semi"), "segments")
-
-    led = lists.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("k")).groupBy("node").agg(F.max_by("leader", F.struct("k", F.negate("leader"))).alias("leader"))
-    first = stage_table(linked(led.select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")).distinct(), segments), "links")
-    labels = stage_table(connected_components(first), "labels")
+    candidates = stage_table(leader_pairs(lists), "candidates")
+    segments = segments_of(nodes_of(candidates, "node", "leader"), docs, text)
+    links = labels = tested = None
+    for _ in range(ROUNDS):
+        asked = stage_table(best_partners(candidates, labels, tested), "partners")
+        if asked.isEmpty():
+            break
+        tested = asked if tested is None else tested.unionByName(asked)
+        found = stage_table(linked(asked, segments), "links")
+        links = found if links is None else links.unionByName(found)
+        labels = stage_table(connected_components(links), "labels")
+    drop_table(segments)
+    if labels is None:
+        labels, links = (spark.createDataFrame([], t) for t in ("node bigint, label bigint", "u bigint, v bigint"))
     pairs = stage_table(cross_pairs(lists, labels), "pairs")
-    second = stage_table(linked(pairs, segments), "links")
-    labels = connected_components(first.unionByName(second))
+    drop_table(lists)
+    segments = segments_of(nodes_of(pairs, "u", "v"), docs, text)
+    links = links.unionByName(stage_table(linked(pairs, segments), "links"))
+    drop_table(segments)
+    labels = connected_components(links)
 
     classes = own.where("n > 0").groupBy("node").agg(F.min(doc_id).alias("least")).join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     roots = classes.groupBy("label").agg(F.min("least").alias("component_id"))
     known = stage_table(classes.join(roots, "label").select("node", "component_id"), "components")
-    for table in (lists, segments, pairs):
-        drop_table(table)
     return own.join(known, "node", "left").select(doc_id, F.col("n").alias("n_shingles"), F.coalesce("component_id", F.col(doc_id)).alias("component_id"), "node")
