@@ -298,3 +298,29 @@ def jpeg_qtables(t: Tables) -> DataFrame:
 def parent_union(t: Tables) -> DataFrame:
     own = bind.tiles(t)
     return own.where("bytes < 10").select("x2", "y2").unionByName(own.where("bytes > 45").select("x2", "y2")).distinct()
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_quantity::INTEGER + 45 AS l1q, l_discount AS metric FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 30 AND l_quantity::INTEGER + 45 <= 90 AND l_discount IS NOT NULL AND starts_with(l_linestatus, 'F')""")
+def metric_filters(t: Tables) -> DataFrame:
+    """By method and least quality, a bound on a shifted quality, present metrics, and a prefix; all but the shifted bound reach the scan."""
+    found = t.lineitem.where((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 30) & F.col("l_discount").isNotNull() & F.startswith("l_linestatus", F.lit("F")))
+    return found.withColumn("l1q", F.col("l_quantity").cast("int") + 45).where("l1q <= 90").select("l_orderkey", "l_linenumber", "l1q", F.col("l_discount").alias("metric"))
+
+
+@query(f"""WITH {TILES_SQL}, grid AS (SELECT x::INTEGER AS x, y::INTEGER AS y FROM range(0, 8) a(x), range(0, 8) b(y)) SELECT grid.x, grid.y, key, key IS NOT NULL AS found FROM grid LEFT JOIN (SELECT * FROM tiles WHERE key % 3 = 0) t ON t.x = grid.x AND t.y = grid.y""")
+def tile_grid_flags(t: Tables) -> DataFrame:
+    own = bind.tiles(t).where("key % 3 = 0")
+    return joins.grid_probe(own, {"x": list(range(8)), "y": list(range(8))}, "key").withColumn("found", F.col("key").isNotNull())
+
+
+@query(f"""WITH {TILES_SQL}, l AS (SELECT y2, x2, count(*) AS n, sum(bytes)::BIGINT AS bytes FROM tiles GROUP BY y2, x2) SELECT y2, count(*) AS levels, sum(bytes)::BIGINT AS bytes, string_agg(x2 || ':' || n || ':' || bytes, ',' ORDER BY x2) AS breakdown FROM l GROUP BY y2""")
+def pyramid_breakdown(t: Tables) -> DataFrame:
+    level = bind.tiles(t).groupBy("y2", "x2").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    listed = F.array_sort(F.collect_list(F.struct("x2", "n", "bytes")))
+    return level.groupBy("y2").agg(F.count("*").alias("levels"), F.sum("bytes").alias("bytes"), F.array_join(F.transform(listed, lambda e: F.concat_ws(":", e["x2"], e["n"], e["bytes"])), ",").alias("breakdown"))
+
+
+@query("""SELECT DISTINCT series, quality, source FROM (SELECT 'baseline' AS source, l_returnflag AS series, l_quantity::INTEGER AS quality FROM lineitem WHERE l_linestatus = 'F' UNION ALL SELECT 'split', l_returnflag, l_linenumber FROM lineitem WHERE l_linestatus = 'O')""")
+def series_union(t: Tables) -> DataFrame:
+    own = lambda name, status, quality: t.lineitem.where(F.col("l_linestatus") == status).select(F.lit(name).alias("source"), F.col("l_returnflag").alias("series"), quality.cast("int").alias("quality"))
+    return own("baseline", "F", F.col("l_quantity")).unionByName(own("split", "O", F.col("l_linenumber"))).distinct().select("series", "quality", "source")

@@ -316,3 +316,31 @@ SELECT x, y, string_agg((s::BIGINT + 2) // 4, ',' ORDER BY i) AS px FROM v GROUP
 def lower_level(t: Tables) -> DataFrame:
     own = bind.planes(t).select((F.col("vec_id") % 16).cast("int").alias("x"), F.floor(F.col("vec_id") / 16).cast("int").alias("y"), "px")
     return families.lower_levels(own, 1, N)[0].select("x", "y", _text(F.col("px")).alias("px"))
+
+
+@query(f"""WITH {PLANES_SQL}, s AS (SELECT vec_id, i, px[i + 1] AS v, (px[2 * ((i % 8) // 2) + 16 * (i // 16) + 1] + px[2 * ((i % 8) // 2) + 16 * (i // 16) + 2] + px[2 * ((i % 8) // 2) + 16 * (i // 16) + 9] + px[2 * ((i % 8) // 2) + 16 * (i // 16) + 10]) / 4 AS m FROM planes, range(0, 64) r(i))
+SELECT vec_id, sum((v - floor(m)) * (v - floor(m)))::BIGINT AS by_floor, sum((v - ceil(m)) * (v - ceil(m)))::BIGINT AS by_ceil, sum((v - floor(m + 0.5)) * (v - floor(m + 0.5)))::BIGINT AS by_round FROM s GROUP BY vec_id""")
+def rounding_energy(t: Tables) -> DataFrame:
+    """Squared error of each plane from its 2 by 2 means, when these are rounded down, up and to the nearest."""
+    cell = [tuple(b * N + a for b in (y - y % 2, y - y % 2 + 1) for a in (x - x % 2, x - x % 2 + 1)) for y in range(N) for x in range(N)]
+    sums = F.transform(raster._table(cell), lambda r: F.get("px", r[0]) + F.get("px", r[1]) + F.get("px", r[2]) + F.get("px", r[3]))
+    energy = lambda add: F.aggregate(F.zip_with("px", "sums", lambda v, s: (v - F.shiftright((s + add).cast("int"), 2)) * (v - F.shiftright((s + add).cast("int"), 2))), F.lit(0).cast("bigint"), lambda a, v: a + v)
+    return bind.planes(t).withColumn("sums", sums).select("vec_id", energy(0).alias("by_floor"), energy(3).alias("by_ceil"), energy(2).alias("by_round"))
+
+
+@query(f"""WITH {PLANES_SQL} SELECT vec_id, list_max(px) = 0 AS is_zero, list_max(px) - list_min(px) < 90 AS is_flat FROM planes""")
+def blank_tiles(t: Tables) -> DataFrame:
+    return bind.planes(t).select("vec_id", (F.array_max("px") == 0).alias("is_zero"), (F.array_max("px") - F.array_min("px") < 90).alias("is_flat"))
+
+
+@query()
+def quadratic_fit(t: Tables) -> DataFrame:
+    """What a quadratic surface fitted to each residual plane leaves of its energy."""
+    y, x = np.mgrid[0:N, 0:N] / (N - 1)
+    basis, _ = np.linalg.qr(np.stack([np.ones_like(x), x, y, x * x, x * y, y * y], -1).reshape(N * N, 6))
+
+    def both(px, pred):
+        rest = (px - pred).reshape(len(px), -1)
+        return (rest**2).sum(1), ((rest - rest @ basis @ basis.T) ** 2).sum(1)
+
+    return _numbers(_pairs(t), ["px", "pred"], both, "energy left")

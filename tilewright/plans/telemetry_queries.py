@@ -65,3 +65,18 @@ def capture_event_log(t: Tables) -> DataFrame:
     from pyspark.sql import Window
 
     return t.conversations.select("conv_id", "turn", "role", F.octet_length("text").alias("bytes"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("bigint").alias("ordinal"))
+
+
+@query(f"""WITH {REQUESTS_SQL}, m AS (SELECT (user_id % 100) >> 2 AS family, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY (user_id % 100) >> 2 ORDER BY ts) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS first FROM requests),
+s AS (SELECT *, sum(first) OVER (PARTITION BY family ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT family, count(*) AS sessions, sum(n)::BIGINT AS requests, sum(n - 1)::BIGINT AS hits FROM (SELECT family, g, count(*) AS n FROM s GROUP BY family, g) GROUP BY family""")
+def family_residency(t: Tables) -> DataFrame:
+    """A miss fills a whole family, so sessions are kept by family."""
+    keyed = bind.requests(t).withColumn("family", F.shiftright(F.col("user_id") % 100, 2))
+    return telemetry.residency(keyed, "family", "1 hour").groupBy("family").agg(F.count("*").alias("sessions"), F.sum("requests").alias("requests"), F.sum("hits").alias("hits"))
+
+
+@query(f"""WITH {REQUESTS_SQL} SELECT event_id, (user_id * 4 + i)::BIGINT AS child, i::INTEGER AS idx FROM requests, range(0, 4) r(i) WHERE kind = 'baseline'""")
+def prewarm_events(t: Tables) -> DataFrame:
+    """A baseline request announces the tiles under it."""
+    own = bind.requests(t).where("kind = 'baseline'").select("event_id", "user_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("idx"))
+    return own.select("event_id", (F.col("user_id") * 4 + F.col("idx")).cast("bigint").alias("child"), "idx")
