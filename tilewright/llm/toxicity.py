@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-Features are the byte n-grams of the lower-cased text, of 3 to 5 bytes, present or not, in 2^20 hash buckets. Counts of each class give the log-count
+Features are the byte n-grams of the lower-cased text, of 4, 6 and 8 bytes (8 hold a space and the stem of a word), present or not, in 2^20 hash buckets. Counts of each class give the log-count
 ratio r of every bucket; the buckets that tell the classes apart best are kept, and a logistic regression over r * presence is fitted on the driver
 (accelerated gradient steps, L2 penalty). It is learned from a bounded sample of labelled rows: PER_CLASS ids of each class, of
 which the driver gets only the kept buckets. Scoring covers every whole text.
@@ -24,7 +24,7 @@ from tilewright.llm import textbatch as tb
 from tilewright.llm.labelled import SPLIT, labelled_sample
 from tilewright.llm.shared import held_out
 
-SIZES = (3, 4, 5)
+SIZES = (4, 6, 8)
 BITS = 20
 PER_CLASS = 4000
 FEATURES = 1 << 14
@@ -151,8 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class: in
     has = rows["has"].combine_chunks()
     counts = np.diff(has.offsets.to_numpy())
     index = has.flatten().to_numpy().astype(np.int64)
-    # the classes weigh as in all labels, whatever the bounded sample's shares are
-    weight = np.where(y == 1, prior / d1, (1 - prior) / d0) * (d0 + d1)
+    # both classes weigh alike: toxic texts are few, and a threshold of 0.7 would else miss those with few known words
+    weight = np.where(y == 1, 0.5 / d1, 0.5 / d0) * (d0 + d1)
     w, b = fit_logistic(np.concatenate(([0], np.cumsum(counts))), index, ratio[index], y, weight, len(buckets))
     weights = np.zeros(1 << BITS)
     weights[buckets] = w * ratio
