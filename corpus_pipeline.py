@@ -20,12 +20,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links connect, the one with the smallest id stays. Of repeated rows one stays; documents without an id are kept."""
+    """Of each group of documents that links connect, the one with the smallest id stays. Of rows with one id and text one stays; rows without an id stay."""
     ship(spark)
     linked = jaccard_join.jaccard_components(docs.select("doc_id", "text"))
     gone = linked.where(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct()
+    again = _small(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"))
     kept = docs.join(_small(gone), "doc_id", "left_anti")
-    return kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(kept.where(F.col("doc_id").isNull())).select(docs.columns)
+    repeated = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, "doc_id", "left_anti").unionByName(repeated).select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
