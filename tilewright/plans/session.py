@@ -9,6 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Rows of texts and planes are wide: Spark's default of 10,000 a batch would hold tens of megabytes, several times over, in each executor and worker. A session's own setting stays.
+BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 PACKAGE = Path(__file__).resolve().parents[1]
 
 
@@ -21,7 +23,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send the package to the executors, once for each context, so that Python workers can import it."""
+    """Send the package to the executors, once for each context, so that Python workers can import it; and keep Arrow batches small."""
+    if spark.conf.get(BATCH_ROWS[0], "10000") == "10000":
+        spark.conf.set(*BATCH_ROWS)
     context = spark.sparkContext
     if getattr(context, "_tilewright_shipped", False):
         return spark
