@@ -48,7 +48,7 @@ PAIR_ROWS = 1 << 19
 SQUARE = 64
 #: Recurring shingles kept for the order, the most frequent; the table is sent to the tasks. The order need not be by exact counts.
 ORDER_ROWS = 1 << 19
-#: Classes that are sent to the tasks as a filter; beyond that a join filters.
+#: Ids that are broadcast to pick out documents; beyond that the join shuffles.
 BROADCAST_NODES = 1 << 20
 HASH_BITS = 58
 _LOW = np.uint64((1 << HASH_BITS) - 1)
@@ -188,32 +188,27 @@ def prefix_lists(docs: DataFrame, text: str, order, fragments: int) -> DataFrame
     return parts.groupBy("fragment").applyInArrow(lists, "fragment int, h bigint, node bigint, n bigint, pos bigint, others bigint")
 
 
-def class_segments(docs: DataFrame, text: str, wanted) -> DataFrame:
-    """(node, n, segment, shingles): the sorted shingles of each class by segment of the order; with wanted (sorted keys), of those classes only."""
+def class_segments(docs: DataFrame, text: str) -> DataFrame:
+    """(node, n, segment, shingles): the sorted shingles of each class of the documents by segment of the order."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = None if wanted is None else wanted.value
         for _, data, at in _blocks(batches, 0):
             owner, shingle = shingle_sets(data, at)
             n, node = set_keys(owner, shingle, len(at) - 1)
             use = np.zeros(len(n), bool)
             use[np.unique(node, return_index=True)[1]] = True
-            use &= n > 0
-            if keep is not None:
-                place = np.minimum(np.searchsorted(keep, node), max(len(keep) - 1, 0))
-                use &= keep[place] == node if len(keep) else False
             bounds = np.searchsorted(owner, np.arange(len(n) + 1))
             step = np.uint64((1 << HASH_BITS) // SEGMENTS)
             nodes, sizes, segments, blobs = [], [], [], []
-            for k in np.flatnonzero(use):
+            for k in np.flatnonzero(use & (n > 0)):
                 mine = shingle[bounds[k] : bounds[k + 1]]
-                edges = np.searchsorted(mine, np.arange(SEGMENTS + 1, dtype=np.uint64) * step)
-                for s in range(SEGMENTS):
-                    if edges[s + 1] > edges[s]:
+                edges = np.searchsorted(mine, np.arange(SEGMENTS, dtype=np.uint64) * step)
+                for s, (lo, hi) in enumerate(zip(edges, np.append(edges[1:], len(mine)), strict=True)):
+                    if hi > lo:
                         nodes.append(node[k])
                         sizes.append(n[k])
                         segments.append(s)
-                        blobs.append(mine[edges[s] : edges[s + 1]].tobytes())
+                        blobs.append(mine[lo:hi].tobytes())
             yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(segments, pa.int32()), pa.array(blobs, pa.binary())], names=["node", "n", "segment", "shingles"])
 
     return docs.select(text).mapInArrow(cut, "node bigint, n bigint, segment int, shingles binary").dropDuplicates(["node", "segment"])
@@ -335,13 +330,12 @@ def _tally(counted: np.ndarray, found: list[tuple[np.ndarray, ...]]) -> np.ndarr
     return np.column_stack((rows[head, :5], np.add.reduceat(rows[:, 5], head)))
 
 
-def segments_of(nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """The segments of the given classes. Their keys are sent to the tasks if there are at most BROADCAST_NODES; else a join picks them out."""
-    wanted = None
-    if nodes.count() <= BROADCAST_NODES:
-        wanted = docs.sparkSession.sparkContext.broadcast(np.sort(nodes.toArrow()["node"].to_numpy()))
-    segments = class_segments(docs, text, wanted)
-    return stage_table(segments if wanted else segments.join(nodes, "node", "left_semi"), "segments")
+def segments_of(nodes: DataFrame, own: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The segments of the given classes: one document of each is read again. Their ids are broadcast if they are counted and few, else joined."""
+    ids = stage_table(own.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(doc_id).alias("id")).select("id").distinct(), "ids")
+    n = ids.count()
+    picked = docs.join(F.broadcast(ids) if n <= BROADCAST_NODES else ids, docs[doc_id].eqNullSafe(ids["id"]), "left_semi")
+    return stage_table(class_segments(picked, text), "segments")
 
 
 def nodes_of(pairs: DataFrame, u: str, v: str) -> DataFrame:
@@ -363,7 +357,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     fragments = max(8, math.ceil(total * (100 - PERCENT) / 100 / FRAGMENT_ROWS))
     lists = stage_table(prefix_lists(docs, text, order, fragments), "lists")
     candidates = stage_table(leader_pairs(lists), "candidates")
-    segments = segments_of(nodes_of(candidates, "node", "leader"), docs, text)
+    segments = segments_of(nodes_of(candidates, "node", "leader"), own, docs, doc_id, text)
     links = labels = tested = None
     for _ in range(ROUNDS):
         asked = stage_table(best_partners(candidates, labels, tested), "partners")
@@ -378,7 +372,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         labels, links = (spark.createDataFrame([], t) for t in ("node bigint, label bigint", "u bigint, v bigint"))
     pairs = stage_table(cross_pairs(lists, labels), "pairs")
     drop_table(lists)
-    segments = segments_of(nodes_of(pairs, "u", "v"), docs, text)
+    segments = segments_of(nodes_of(pairs, "u", "v"), own, docs, doc_id, text)
     links = links.unionByName(stage_table(linked(pairs, segments), "links"))
     drop_table(segments)
     labels = connected_components(links)
