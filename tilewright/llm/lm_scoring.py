@@ -36,8 +36,8 @@ from tilewright.llm.shared import held_out, stage_table
 SPLIT = 5
 ROUNDS = 3
 HEAD = 1 << 18
-FLUSH = 1 << 19
-CHUNK = 6 << 20
+FLUSH = 1 << 18
+CHUNK = (2 << 20) - 1
 MAX_LANGUAGES = 8
 #: The share of the model of all documents.
 POOLED = 0.1

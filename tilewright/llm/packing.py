@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -31,32 +32,44 @@ VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 CLOSING = 1
 WINDOW = 2048
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 QUERY_TERMS = 16
 NEIGHBOURS = 8
 K1, B = 1.2, 0.75
 
 
+def _place(folder: str | None, name: str) -> str:
+    import public_tokenizers
+
+    return os.path.join(folder, name) if folder else public_tokenizers.path(name)
+
+
+@functools.cache
+def _full(folder: str | None):
+    """The vocabulary for its own library. Loaded only where it is needed, as each Python worker holds it."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(_place(folder, VOCABULARY))
+
+
 @functools.cache
-def _encoders(folder: str | None):
-    """The vocabulary for two libraries. Both give the same ids (tests hold them against each other); the rank file's is some four times as fast."""
+def _fast(folder: str | None):
+    """(special tokens, the vocabulary as ranks). Both libraries give the same ids (tests hold them against each other); this one is some four times as fast."""
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
-    at = (lambda name: os.path.join(folder, name)) if folder else public_tokenizers.path
-    full = Tokenizer.from_file(at(VOCABULARY))
-    special = [t.content for t in full.get_added_tokens_decoder().values()]
-    with open(at(RANKS), "rb") as lines:
+    with open(_place(folder, VOCABULARY), encoding="utf-8") as file:
+        special = [t["content"] for t in json.load(file)["added_tokens"]]
+    with open(_place(folder, RANKS), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return full, special, tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return special, tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_ids(text: str | None, folder: str | None = None) -> np.ndarray:
     """The ids that the vocabulary's own library gives without special tokens added, then the closing id."""
-    full, special, fast = _encoders(folder)
+    special, fast = _fast(folder)
     text = text or ""
-    ids = full.encode(text, add_special_tokens=False).ids if any(s in text for s in special) else fast.encode_ordinary(text)
+    ids = _full(folder).encode(text, add_special_tokens=False).ids if any(s in text for s in special) else fast.encode_ordinary(text)
     ids.append(CLOSING)
     return np.array(ids, np.uint32)
 

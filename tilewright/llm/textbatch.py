@@ -6,6 +6,7 @@ Hashes are polynomials modulo 2^64 with an odd multiplier, mixed afterwards; two
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ LOWER[65:91] += 32
 #: Bytes that begin a code point.
 LEAD = (np.arange(256) & 0xC0) != 0x80
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = (1 << 20) - 1
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -67,6 +68,20 @@ def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, side="right")) - 1)
         yield lo, hi, data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
         lo = hi
+    release_memory()
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # other C libraries
+    _trim = None
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: Spark keeps idle Python workers, and with them all that their allocators hold."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 class Words:
