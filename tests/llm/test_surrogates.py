@@ -49,6 +49,20 @@ def test_collisions_are_resolved(spark, monkeypatch):
     assert len(rows) == 8 == len({r.surrogate for r in rows}) and not {r.surrogate for r in rows} & {r.canonical for r in rows}
 
 
+def test_more_entities_than_a_format_has_surrogates(spark, monkeypatch):
+    """All ten secrets of a format, more names than syllables make, and all one-letter addresses of a domain."""
+    monkeypatch.setitem(surrogates.SYLLABLES, "latin", {"start": ["Al", "Ben"], "m": ["an"], "f": ["a"], "end": ["ham"]})
+    texts = [f"secret={k}-------" for k in range(10)] + [f"Mr {a}{b}son here" for a in "ABCDEF" for b in "aeiou"] + [f"{c}@one.org" for c in "abcdefghijklmnopqrstuvwxyz"] + ["call +1 234 56 78", "call 123-45-6789"]
+    out = run(spark, list(enumerate(texts)))
+    assert len(set(out.values())) == len(texts) and not set(out.values()) & set(texts)
+    assert all(re.fullmatch(r"Mr [A-Z][a-z]+ham here", out[k]) for k in range(10, 40)) and all(re.fullmatch(r"[a-z]+@[a-z]+\.example\.\w+", out[k]) for k in range(40, 66))
+
+
+def test_what_a_surrogate_grew_by_is_rendered(spark):
+    rows = spark.createDataFrame([("phone", "+1 (234) 56-78", "+1 2345678", "+1 876543299")], "type string, entity string, canonical string, surrogate string")
+    assert rows.select(surrogates._rendered(*[F.col(c) for c in rows.columns])).collect()[0][0] == "+1 (876) 54-3299"
+
+
 def test_edges(edge, empty):
     out = surrogates.pseudonymize(edge, count="n_entities")
     assert out.columns == [*edge.columns, "n_entities"] and out.count() == edge.count()

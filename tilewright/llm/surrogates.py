@@ -6,7 +6,8 @@ separators stay where they are, so a mention keeps its format. Names keep the ge
 
 Collision checks: the surrogates of all entities are compared with each other and with all entities found; where two entities meet, the first
 keeps it and the others, and any that equals a real entity, try again with the next attempt, until none is left. So different entities stay different,
-and one entity is replaced alike everywhere. Checks and replacement are joins; no table of entities is broadcast or collected.
+and one entity is replaced alike everywhere. A format has finitely many surrogates, so from attempt SAME_FORMAT on they grow by one part an attempt:
+names by a syllable, local parts by a letter, all others by a digit (addresses in a part of their own). So any number of entities gets some. Checks and replacement are joins; no table of entities is broadcast or collected.
 
 Cases: null text stays null; text without entities is returned unchanged, to the byte; other columns pass through, whatever their names; repeated rows
 get equal results; an empty table gives an empty result; nested candidates go to the leftmost, then to the first type of the pattern.
@@ -21,6 +22,7 @@ from tilewright.llm.shared import free_name, stage_table
 
 KEY = "tilewright"
 MOST_ATTEMPTS = 40
+SAME_FORMAT = 3
 
 TITLES = {
     "m": ("Mr", "Herr", "Herrn", "Monsieur", "Señor", "Don", "Sir", "господин", "κύριος"),
@@ -106,11 +108,13 @@ def _mapped(text: Column, stream: Column, hexadecimal: Column) -> Column:
     return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), one), "")
 
 
-def _invented_name(canonical: Column, stream: Column, gender: str) -> Column:
+def _invented_name(canonical: Column, stream: Column, gender: str, more: int) -> Column:
+    """`more` syllables longer than usual."""
+
     def of(script: str) -> Column:
         part = SYLLABLES[script]
         low = [s.lower() for s in part["start"]]
-        family = F.concat(_pick(part["start"], _byte(stream, 2)), _pick(low, _byte(stream, 3)), _pick(part["end"], _byte(stream, 4)))
+        family = F.concat(_pick(part["start"], _byte(stream, 2)), _pick(low, _byte(stream, 3)), *[_pick(low, _byte(stream, 5 + k)) for k in range(more)], _pick(part["end"], _byte(stream, 4)))
         given = F.concat(_pick(part["start"], _byte(stream, 0)), _pick(part[gender], _byte(stream, 1)))
         return F.when(canonical.contains(" "), F.concat(given, F.lit(" "), family)).otherwise(family)
 
@@ -119,29 +123,37 @@ def _invented_name(canonical: Column, stream: Column, gender: str) -> Column:
 
 def _surrogate(kind: Column, canonical: Column, attempt: int, key: str) -> Column:
     size = F.length(canonical)
-    stream = _stream(F.lit(key), kind, canonical, F.lit(str(attempt)), size=size)
+    more = max(0, attempt - SAME_FORMAT + 1)
+    stream = _stream(F.lit(key), kind, canonical, F.lit(str(attempt)), size=size + (5 + more if more else 0))
+    further = lambda choices: [_pick(list(choices), _byte(stream, size + k)) for k in range(more)]
     mapped = _mapped(canonical, stream, kind.isin("hex") | ((kind == "secret") & canonical.rlike("^[0-9a-f]+$")))
     octets = F.concat_ws(".", *[(1 + _byte(stream, i) % 254).cast("string") for i in range(4)])
     domain = F.substring_index(canonical, "@", -1)
     of_domain = _stream(F.lit(key), F.lit("domain"), domain, size=F.lit(16))
     letters = F.translate(F.substring(of_domain, 1, 10), "0123456789", "ghijklmnop")
-    email = F.concat(_mapped(F.substring_index(canonical, "@", 1), stream, F.lit(False)), F.lit("@"), letters, F.lit(".example."), _pick(["com", "net", "org"], _byte(of_domain, 12)))
+    email = F.concat(_mapped(F.substring_index(canonical, "@", 1), stream, F.lit(False)), *further("abcdefghijklmnopqrstuvwxyz"), F.lit("@"), letters, F.lit(".example."), _pick(["com", "net", "org"], _byte(of_domain, 12)))
     keep = lambda n: F.concat(F.substring(canonical, F.lit(1), n), F.substring(mapped, n + 1, size))
     code = F.length(F.regexp_extract(canonical, r"^\+\d+ ", 0))
     phone = F.concat(F.substring(canonical, F.lit(1), code), (2 + _byte(stream, 0) % 8).cast("string"), F.substring(mapped, code + 2, size))
-    return (
-        F.when(kind == "ip", octets).when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", keep(F.lit(1))).when(kind == "ssn", F.concat(F.lit("9"), F.substring(mapped, F.lit(2), size)))
+    made = (
+        F.when(kind == "phone", phone).when(kind == "card", keep(F.lit(1))).when(kind == "ssn", F.concat(F.lit("9"), F.substring(mapped, F.lit(2), size)))
         .when(kind == "cloud_key", keep(F.lit(4))).when(kind == "iban", keep(F.lit(2))).when(kind == "service_key", keep(F.length(F.regexp_extract(canonical, r"^[a-z]+[-_]", 0))))
-        .when(kind == "name_m", _invented_name(canonical, stream, "m")).when(kind == "name_f", _invented_name(canonical, stream, "f")).otherwise(mapped)
+        .otherwise(mapped)
+    )
+    grown = F.concat(made, *further("0123456789")) if more else made
+    octets = F.concat(octets, F.lit("."), *further("0123456789")) if more else octets
+    return (
+        F.when(kind == "ip", octets).when(kind == "email", email)
+        .when(kind == "name_m", _invented_name(canonical, stream, "m", more)).when(kind == "name_f", _invented_name(canonical, stream, "f", more)).otherwise(grown)
     )
 
 
 def _rendered(kind: Column, entity: Column, canonical: Column, surrogate: Column) -> Column:
-    """The surrogate in the format of this mention: its separators, and upper case if the address is all upper case."""
+    """The surrogate in the format of this mention: its separators, and upper case if the address is all upper case. What it has grown by follows at the end."""
     plain = F.regexp_replace(surrogate, r"[+ ]", "")
     empty = F.struct(F.lit("").alias("s"), F.lit(0).alias("k"))
     put = lambda acc, c: F.when(c.rlike("[A-Za-z0-9]"), F.struct(F.concat(acc["s"], F.substring(plain, acc["k"] + 1, F.lit(1))).alias("s"), (acc["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(acc["s"], c).alias("s"), acc["k"].alias("k")))
-    filled = F.aggregate(F.split(entity, ""), empty, put, lambda acc: acc["s"])
+    filled = F.aggregate(F.split(entity, ""), empty, put, lambda acc: F.concat(acc["s"], F.substring(plain, acc["k"] + 1, F.length(plain))))
     return F.when(kind.isin(*FILLED), filled).when((kind == "email") & (entity == F.upper(entity)) & (canonical != entity), F.upper(surrogate)).otherwise(surrogate)
 
 
