@@ -89,6 +89,15 @@ def test_language_edges(edge, empty):
     assert {r.lang_pred for r in language_id.identify_language(edge.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    """Forty languages with words of their own, the later ones less frequent."""
+    words = lambda k: " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{c}" for c in "xyzuvw")
+    rows = [(i, words(k), f"l{k:02}") for i, k in enumerate(k for k in range(40) for _ in range(50 - k))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = language_id.identify_language(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert len(out) == len(rows) and all(r.lang == r.lang_pred for r in out)
+
+
 def test_letters():
     data, at = textbatch.raw(pa.array(["12 é", "12 €", "ABC", "", "日本"]))
     assert language_id.has_letter(data, at).tolist() == [True, False, True, False, True]

@@ -5,8 +5,9 @@ symbols are the next bytes. Escape probabilities follow method C (distinct symbo
 bytes are equally likely. The statistics are frozen after training, so the code length of a byte is a function of its last ORDER + 1 bytes, and every
 length that training can tell apart is tabulated. A text's code length is the exact sum over all its bytes; the shortest wins.
 
-Trees are trained on a bounded sample: about PER_LANGUAGE documents of each language, drawn by a hash of the id, for at most MAX_LANGUAGES
-languages, the most frequent first. Only the counts of distinct strings reach the driver. ASCII letters and those of Latin-1 are lower-cased.
+Trees are trained for every language that `lang` names, on a bounded sample: about PER_LANGUAGE documents of each, drawn by a hash of the id. Only the
+counts of distinct strings reach the driver. Languages are kept in shards of SHARD_LANGUAGES, as a shard's tables have a column of each of its languages
+for each string; a language's lengths don't depend on the others of its shard. ASCII letters and those of Latin-1 are lower-cased.
 
 Cases: null text, and text without any letter, is `und` with score 0; a null `lang` is not learned from; with no learned language every text is
 `und`; ties go to the language that sorts first; repeated rows get equal results; an empty table gives an empty result.
@@ -29,10 +30,12 @@ from tilewright.llm.shared import held_out
 SPLIT = 3
 ORDER = 4
 PER_LANGUAGE = 300
-MAX_LANGUAGES = 32
+SHARD_LANGUAGES = 8
 #: Code lengths are integers in units of 1/UNIT bit, so that sums don't depend on their order.
 UNIT = 1 << 16
 SLOT_BITS = 21
+#: Of a counted string; the language is in the bits above.
+STRING_BITS = 8 * (ORDER + 1)
 
 ASCII_LETTER = np.zeros(256, bool)
 ASCII_LETTER[65:91] = ASCII_LETTER[97:123] = True
@@ -133,6 +136,20 @@ class Trees:
         return out
 
 
+@dataclass
+class Forest:
+    """Trees in shards of languages, in the order of `languages`."""
+
+    shards: list[Trees]
+
+    @property
+    def languages(self) -> list[str]:
+        return [name for t in self.shards for name in t.languages]
+
+    def lengths(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.concatenate([t.lengths(data, at) for t in self.shards], 1)
+
+
 def build(languages: list[str], counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Trees:
     """counts, by order: (string, language, occurrences) of each that was seen."""
     wide = len(languages)
@@ -159,16 +176,16 @@ def build(languages: list[str], counts: list[tuple[np.ndarray, np.ndarray, np.nd
     return trees
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = PER_LANGUAGE) -> Trees | None:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = PER_LANGUAGE) -> Forest | None:
     known = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.col(doc_id).alias("id")).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out("id", SPLIT))
-    seen = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    seen = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not seen:
         return None
     languages = sorted(r.lang for r in seen)
     below = {r.lang: min(1.0, per_language / r.n) for r in seen}
     draw = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*[F.lit(x) for pair in below.items() for x in pair])[F.col("lang")]
-    sample = known.where(draw < share)  # nothing for other languages: their share is null
+    sample = known.where(draw < share)
     number = {name: k for k, name in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +193,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
             codes = np.array([number[x] for x in batch.column(1).to_pylist()], np.int64)
             for lo, hi, data, at in tb.chunks(batch.column(0)):
                 wide, where = folded(data, at)
-                code = np.repeat(codes[lo:hi], np.diff(at)).astype(np.uint64) << np.uint64(48)
+                code = np.repeat(codes[lo:hi], np.diff(at)).astype(np.uint64) << np.uint64(STRING_BITS)
                 for order in range(ORDER + 1):
                     keys, n = np.unique(strings(wide, where, order + 1) | code, return_counts=True)
                     yield pa.record_batch([pa.array(np.full(len(keys), order, np.int32)), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], names=["k", "string", "n"])
@@ -185,11 +202,14 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     order, string, n = (found[c].to_numpy() for c in ("k", "string", "n"))
     if not len(order):
         return None
-    parts = []
-    for k in range(ORDER + 1):
-        mine = order == k
-        parts.append(((string[mine] & ((1 << 48) - 1)).astype(np.uint64), (string[mine] >> 48).astype(np.int64), n[mine].astype(np.int64)))
-    return build(languages, parts)
+    code, string = string >> STRING_BITS, (string & ((1 << STRING_BITS) - 1)).astype(np.uint64)
+    shards = []
+    for low in range(0, len(languages), SHARD_LANGUAGES):
+        own = (code >= low) & (code < low + SHARD_LANGUAGES)
+        parts = [(string[mine], code[mine] - low, n[mine].astype(np.int64)) for mine in (own & (order == k) for k in range(ORDER + 1))]
+        if len(parts[0][0]):
+            shards.append(build(languages[low : low + SHARD_LANGUAGES], parts))
+    return Forest(shards)
 
 
 def has_letter(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -203,7 +223,7 @@ def has_letter(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 def identify_language(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document; the score is the posterior of the shortest code under equal priors."""
     trees = fit(docs, per_language=per_language)
-    shared = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by the sample
+    shared = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by the sample of each language
     schema = T.StructType([docs.schema["doc_id"], T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
