@@ -61,6 +61,16 @@ def test_hot_host_is_sharded(spark):
     assert out.where(F.col("text") == F.concat(F.lit("own "), F.col("page_id"))).count() == n
 
 
+def test_rare_runs_of_a_hot_host(spark):
+    """A notice on six of 900 pages, menus that articles' pages share, and a run on three pages."""
+    notice, menu, three = (" ".join(f"{w}{k}" for k in range(12)) for w in ("notice", "menu", "three"))
+    rows = [(k, "http://h.example/", f"<p>{notice if k < 6 else three if k < 9 else ''}<p>own {k}") for k in range(900)]
+    rows += [(1000 + k, "http://a.example/", f"<nav>{menu}</nav><article>text {k}</article>") for k in range(10)] + [(2000, "http://a.example/", f"<div>{menu}</div><p>bare")]
+    out = {r.page_id: r.text for r in h.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(out) == len(rows) and all(out[k] == (f"{three}\n" if 6 <= k < 9 else "") + f"own {k}" for k in range(900))
+    assert all(out[1000 + k] == f"text {k}" for k in range(10)) and out[2000] == "bare"
+
+
 def test_edges(spark):
     schema = "page_id long, url string, html string, text string, host string, shard int"
     rows = [(1, None, None, "t", "h", 1), (2, "u", "", "t", "h", 1), (None, "//x", "<p>a", None, None, None), (3, "http://a/", "<article>b c</article>", "t", "h", 1), (3, "http://a/", "<article>b c</article>", "t", "h", 1)]

@@ -6,10 +6,11 @@ stream. The host's streams are concatenated, and a suffix array, sorted to the d
 pages repeat. Where a page declares no article, covered blocks and covered stretches of a run's length are removed, and its unique runs are kept.
 
 Text in a declared article stays even if other pages repeat it: copies of articles are common, and nothing else of an article may be lost. For the
-same reason pages with equal streams count once, and a run must recur on MIN_PAGES distinct streams and MIN_SHARE of them.
+same reason equal pages count once, and a run must recur on MIN_PAGES pages that differ, be it only in their articles. The number doesn't grow with the host.
 
-Hosts of more than SHARD_PAGES pages are dealt into shards by a hash of the page, each with an array of its own; a run on MIN_SHARE of a host's pages
-shows in each shard. So no host needs more memory than a shard.
+Hosts of more than SHARD_PAGES pages are dealt into shards by a hash of the page, each with an array of its own, so no host needs more memory than a
+shard. Where such a host has pages that declare no article, the runs of all its pages are counted by hash over the host, and each shard gets those that
+are frequent; for that its pages are read again.
 
 Cases: null html is empty, with empty text; a null url is a host of its own name, the empty one; broken and cut-off markup is read as far as it goes;
 repeated rows get equal results; an empty table gives an empty result. Other columns are not read.
@@ -17,6 +18,7 @@ repeated rows get equal results; an empty table gives an empty result. Other col
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 
@@ -26,9 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tilewright.llm.shared import stage_table
+
 MIN_RUN = 8
 MIN_PAGES = 4
-MIN_SHARE = 0.05
+#: Of a host's pages; none, so that the verdict on a run doesn't depend on the size of the host.
+MIN_SHARE = 0.0
 SHARD_PAGES = 400
 BROADCAST_HOSTS = 100_000
 
@@ -170,8 +175,25 @@ def page_parts(page: str | None) -> tuple[str | None, list[str], list[bool]]:
     return "\n".join(inside) if inside is not None else None, [t for t, _ in outside], [c for _, c in outside]
 
 
-def repeated_positions(streams: list[list[str]]) -> list[np.ndarray]:
-    """For each token stream, which tokens lie in a run of MIN_RUN tokens that enough distinct streams repeat.
+def run_keys(stream: list[str]) -> np.ndarray:
+    """A 64-bit key of the run of MIN_RUN tokens at each position that has one."""
+    n = len(stream) - MIN_RUN + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    made: dict[str, int] = {}
+    for t in stream:
+        if t not in made:
+            made[t] = int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    tokens = np.array([made[t] for t in stream], np.uint64)
+    key = np.zeros(n, np.uint64)
+    for k in range(MIN_RUN):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + tokens[k : k + n]
+    return key.view(np.int64)
+
+
+def repeated_positions(streams: list[list[str]], articles: list[str | None] | None = None, frequent: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each token stream, which tokens lie in a run of MIN_RUN tokens that enough distinct pages (streams with their articles) repeat, or one of the
+    frequent runs, given by keys.
 
     The suffixes of the concatenated streams are ranked by prefix doubling to the depth MIN_RUN; equal ranks are neighbours in the suffix array whose
     common prefix is a run. Longer repeats are unions of such runs.
@@ -179,14 +201,15 @@ def repeated_positions(streams: list[list[str]]) -> list[np.ndarray]:
     ids: dict[str, int] = {}
     keys = [tuple(ids.setdefault(t, len(ids)) for t in s) for s in streams]
     known: dict[tuple, int] = {}
-    content = [known.setdefault(k, len(known)) for k in keys]
+    content = [known.setdefault(k, len(known)) for k in zip(keys, articles or [None] * len(keys), strict=True)]
     need = max(MIN_PAGES, int(np.ceil(MIN_SHARE * len(known))))
     covered = [np.zeros(len(k), bool) for k in keys]
-    if len(known) < need or not ids:
+    some = frequent is not None and len(frequent) > 0
+    if (len(known) < need and not some) or not ids:
         return covered
-    # one copy of each distinct stream, each followed by a separator of its own
+    # one copy of each distinct page's stream, each followed by a separator of its own
     pieces, owner = [], []
-    for k, n in known.items():
+    for (k, _), n in known.items():
         pieces.append(np.append(np.array(k, np.int64), len(ids) + n))
         owner.append(np.full(len(k) + 1, n))
     rank, owner = np.concatenate(pieces), np.concatenate(owner)
@@ -201,7 +224,12 @@ def repeated_positions(streams: list[list[str]]) -> list[np.ndarray]:
         depth += step
     pairs = np.unique(rank * (len(known) + 1) + owner)
     pages = np.bincount(pairs // (len(known) + 1), minlength=rank.max() + 1)
-    first = np.flatnonzero(pages[rank] >= need)
+    often = pages[rank] >= need
+    if some:
+        for c, stream in zip(*np.unique(content, return_index=True), strict=True):
+            found = run_keys(streams[stream])
+            often[starts[c] : starts[c] + len(found)] |= np.isin(found, frequent)
+    first = np.flatnonzero(often)
     mark = np.bincount(first, minlength=n + 1) - np.bincount(np.minimum(first + MIN_RUN, n), minlength=n + 1)
     inside = np.cumsum(mark[:n]) > 0
     return [inside[starts[c] : starts[c] + len(k)] for c, k in zip(content, keys, strict=True)]
@@ -216,10 +244,10 @@ def long_stretches(mask: np.ndarray) -> np.ndarray:
     return out
 
 
-def shard_texts(articles: list[str | None], outside: list[list[str]], chrome: list[list[bool]]) -> list[str]:
-    """The texts of a shard's pages."""
+def shard_texts(articles: list[str | None], outside: list[list[str]], chrome: list[list[bool]], frequent: np.ndarray | None = None) -> list[str]:
+    """The texts of a shard's pages; frequent holds keys of runs that the whole host repeats."""
     words = [[b.split(" ") for b in blocks] for blocks in outside]
-    covered = repeated_positions([[w for b in blocks for w in b] for blocks in words])
+    covered = repeated_positions([[w for b in blocks for w in b] for blocks in words], articles, frequent)
     out = []
     for article, blocks, declared, mask in zip(articles, words, chrome, covered, strict=True):
         if article is not None:
@@ -251,11 +279,30 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", s
             yield pa.record_batch([*batch.columns[:4], *columns], names=schema.names)
 
     parsed = pages.select(page_id, url, host.alias("host"), F.xxhash64(page_id, url, source).alias("hash"), source).mapInArrow(parse, schema)
-    dealt = parsed.join(hot, "host", "left").withColumn("shard", F.pmod("hash", F.coalesce("shards", F.lit(1)))).drop("shards", "hash")
+    dealt = parsed.join(hot, "host", "left").withColumn("shard", F.pmod("hash", F.coalesce("shards", F.lit(1)))).drop("hash")
     result = T.StructType([pages.schema[page_id], pages.schema[url], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
-    def texts(table: pa.Table) -> pa.Table:
-        found = shard_texts(table["article"].to_pylist(), table["outside"].to_pylist(), table["chrome"].to_pylist())
+    def texts(table: pa.Table, frequent: np.ndarray | None = None) -> pa.Table:
+        found = shard_texts(table["article"].to_pylist(), table["outside"].to_pylist(), table["chrome"].to_pylist(), frequent)
         return pa.table([table[page_id], table[url], pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], names=result.names)
 
-    return dealt.groupBy("host", "shard").applyInArrow(texts, result)
+    def runs(batches):
+        for batch in batches:
+            for where, shard, article, outside, content in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                keys = np.unique(run_keys([w for b in outside for w in b.split(" ")]))
+                same = lambda x, t: pa.array([x] * len(keys), t)  # noqa: E731, B023
+                yield pa.record_batch([same(where, pa.string()), same(None if article is not None else shard, pa.int64()), pa.array(keys), same(content, pa.int64())], names=["host", "shard", "run", "content"])
+
+    alone = lambda table: texts(table)  # noqa: E731  Spark looks at the number of parameters
+
+    if hot.isEmpty():
+        return dealt.groupBy("host", "shard").applyInArrow(alone, result)
+    bare = stage_table(dealt.where("shards > 1 AND article IS NULL").select("host").distinct(), "hosts")
+    dealt = dealt.drop("shards")
+    if bare.isEmpty():
+        return dealt.groupBy("host", "shard").applyInArrow(alone, result)
+    found = dealt.join(bare, "host", "left_semi").select("host", "shard", "article", "outside", F.xxhash64("article", F.col("article").isNull(), "outside").alias("content")).mapInArrow(runs, "host string, shard bigint, run bigint, content bigint")
+    often = found.groupBy("host", "run").agg(F.count_distinct("content").alias("n"), F.collect_set("shard").alias("shards")).where(F.col("n") >= MIN_PAGES)
+    often = often.select("host", F.explode("shards").alias("shard"), "run")
+    both = lambda left, right: texts(left, right["run"].to_numpy())
+    return dealt.groupBy("host", "shard").cogroup(often.groupBy("host", "shard")).applyInArrow(both, result)
