@@ -1,14 +1,22 @@
 """Lexical retrieval packing: documents into windows of tokens, neighbours chosen by BM25.
 
-The documents of each partition are taken in blocks of bounded size. Each block is a shard of the inverted index: postings by token id with BM25
-weights. A window starts with a seed document (the rest of a cut one, or the next unused one of the block); the seed's rarest tokens are the query,
-and the best unused neighbours fill the window. One that fits whole is preferred, else the best is cut, and its rest seeds the next window. Windows are
-full, so nothing is padded; what is left at the end of a partition goes into sequences whose lengths are powers of two.
-
-Nothing is shuffled, and memory is bounded by the block (a longer text is a block of its own). Sequence ids hold the partition in the bits over 40.
-
-Cases: null text counts as empty (one closing token); repeated rows are packed one by one, each with its own pieces; an empty table gives an empty
-result; ties in BM25 go to the earlier row. Other columns are not read.
+1. Every text is tokenised once; its ids are a table in the shared folder.
+2. Document frequencies, the number of documents and their mean length are counted over all documents, so the weights of BM25 are those of the whole
+   corpus. The driver gets one row per id of the vocabulary. Terms in more than half of all documents weigh nothing (the inverse document frequency of
+   Robertson and Sparck Jones, which is negative there, ends at 0).
+3. Documents are routed to the shards of the index by their rarest term that another document has too, wherever they are stored, so likely neighbours
+   meet. A shard holds about SHARD_TOKENS tokens: terms of few documents share one, those of many are dealt over several (by row, not by content, so copies
+   spread).
+4. Each shard is an inverted index in memory: postings by token id with weights. A window starts with a seed document (the rest of a cut one, or the next
+   unused one of the shard); all its terms are the query, and the best unused neighbours fill the window. One that fits whole is preferred, else the
+   best is cut, and its rest seeds the next window. If nothing unused shares a weighing term with the seed, the next document of the shard is taken.
+   A window that is open at a shard's end asks the next shard with the same query. Windows are full, so nothing is padded; what is left at the end of
+   a partition goes into sequences whose lengths are powers of two.
+
+Memory is bounded by a shard (a longer text is a shard of its own, as ids). Sequence ids hold the partition in the bits over 40.
+
+Cases: null text counts as empty (one closing token); repeated rows are packed one by one, each with its own pieces; null ids pass through; an empty table
+gives an empty result; ties in BM25 go to the earlier row of the shard. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,6 +24,7 @@ from __future__ import annotations
 import base64
 import functools
 import json
+import math
 import os
 import zlib
 from collections.abc import Iterator
@@ -24,18 +33,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tilewright.llm import textbatch as tb
+from tilewright.llm.shared import free_name, stage_table
 
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 CLOSING = 1
 WINDOW = 2048
-BLOCK_BYTES = 8 << 20
-QUERY_TERMS = 16
+SHARD_TOKENS = 1 << 21
+#: Best neighbours that one look into the index returns; when they are used up, it is asked again.
 NEIGHBOURS = 8
+#: Partitions that the shards are dealt to, at most.
+MOST_PARTITIONS = 20_000
 K1, B = 1.2, 0.75
+#: Ids as they are stored; the vocabulary has fewer than 2^16.
+STORED = np.dtype("<u2")
 
 
 def _place(folder: str | None, name: str) -> str:
@@ -74,10 +89,23 @@ def token_ids(text: str | None, folder: str | None = None) -> np.ndarray:
     return np.array(ids, np.uint32)
 
 
+class Corpus:
+    """What BM25 needs of the whole corpus: documents, their mean length, and the frequency of each term."""
+
+    def __init__(self, n: int, mean: float, df: np.ndarray):
+        self.n, self.mean, self.df = n, mean, df
+        self.idf = np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 0).astype(np.float32)
+
+    @classmethod
+    def of(cls, ids: list[np.ndarray]) -> Corpus:
+        found = np.concatenate([np.unique(x) for x in ids])
+        return cls(len(ids), float(np.mean([len(x) for x in ids])), np.bincount(found, minlength=1))
+
+
 class Shard:
-    """A BM25 inverted index over the documents of a block."""
+    """A BM25 inverted index over the documents of a shard, with the weights of the whole corpus."""
 
-    def __init__(self, ids: list[np.ndarray]):
+    def __init__(self, ids: list[np.ndarray], corpus: Corpus):
         n = self.n = len(ids)
         self.lengths = np.array([len(x) for x in ids], np.int64)
         keys = np.concatenate(ids).astype(np.int64) + np.repeat(np.arange(n, dtype=np.int64), self.lengths) * (1 << 32)
@@ -85,42 +113,44 @@ class Shard:
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         tf = np.diff(np.append(first, len(keys)))
         keys = keys[first]
-        doc, term = (keys >> 32).astype(np.int32), (keys & 0xFFFFFFFF).astype(np.int64)
-        df = np.bincount(term)
-        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * self.lengths / self.lengths.mean())
-        weight = (self.idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
+        doc, term = (keys >> 32).astype(np.int32), (keys & 0xFFFFFFFF).astype(np.int32)
+        use = (corpus.idf[term] > 0) & (corpus.df[term] > 1)
+        doc, term, tf = doc[use], term[use], tf[use]
+        norm = K1 * (1 - B + B * self.lengths / corpus.mean)
+        weight = (corpus.idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
         self.doc_bounds, self.doc_terms = np.searchsorted(doc, np.arange(n + 1)), term
         order = np.argsort(term, kind="stable")
-        self.bounds, self.docs, self.weights = np.concatenate(([0], np.cumsum(df))), doc[order], weight[order]
-        self.df = df
-
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term with the seed, best first, at most NEIGHBOURS."""
-        terms = self.doc_terms[self.doc_bounds[seed] : self.doc_bounds[seed + 1]]
-        terms = terms[self.df[terms] > 1]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-self.idf[terms], QUERY_TERMS)[:QUERY_TERMS]]
-        if not len(terms):
+        self.bounds = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(corpus.df)))))
+        self.docs, self.weights = doc[order], weight[order]
+
+    def terms(self, seed: int) -> np.ndarray:
+        """The seed's terms that weigh something."""
+        return self.doc_terms[self.doc_bounds[seed] : self.doc_bounds[seed + 1]]
+
+    def neighbours(self, terms: np.ndarray, unused: np.ndarray) -> np.ndarray:
+        """The NEIGHBOURS best unused documents for a query of terms, best first; only such that share a term."""
+        spans = [slice(a, b) for a, b in zip(self.bounds[terms], self.bounds[terms + 1], strict=True) if b > a]
+        if not spans:
             return np.zeros(0, np.int64)
-        spans = [slice(self.bounds[t], self.bounds[t + 1]) for t in terms]
         score = np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), self.n) * unused
         if self.n > NEIGHBOURS:
-            best = np.argpartition(-score, NEIGHBOURS)[:NEIGHBOURS]
+            best = np.argpartition(-score, NEIGHBOURS - 1)[:NEIGHBOURS]
+            best = np.flatnonzero(score >= score[best].min()) if score[best].min() > 0 else best  # ties go to the earlier row
             best.sort()
         else:
             best = np.arange(self.n)
-        best = best[np.argsort(-score[best], kind="stable")]
+        best = best[np.argsort(-score[best], kind="stable")][:NEIGHBOURS]
         return best[score[best] > 0]
 
 
 class Packer:
-    """Windows of one partition. take() gets blocks; finish() closes what is open. Pieces: (row, start, ids, sequence, offset)."""
+    """Windows of one partition. take() gets shards; finish() closes what is open. Pieces: (row, start, ids, sequence, offset)."""
 
-    def __init__(self, window: int = WINDOW):
-        self.window, self.sequence, self.used = window, 0, 0
+    def __init__(self, corpus: Corpus, window: int = WINDOW):
+        self.corpus, self.window, self.sequence, self.used = corpus, window, 0, 0
         self.open: list[tuple[int, int, np.ndarray]] = []
         self.rest: tuple[int, int, np.ndarray] | None = None
+        self.query: np.ndarray | None = None
 
     def _add(self, row: int, start: int, ids: np.ndarray, out: list) -> None:
         room = self.window - self.used
@@ -139,24 +169,24 @@ class Packer:
         self.open, self.used, self.sequence = [], 0, self.sequence + 1
 
     def take(self, first_row: int, ids: list[np.ndarray], out: list) -> None:
-        shard = Shard(ids)
+        shard = Shard(ids, self.corpus)
         unused = np.ones(len(ids), np.float32)
         after = 0
-        seed = -1
         while True:
-            while self.rest:
-                seed = self.rest[0] - first_row
-                self._add(*self.rest, out)
+            if self.rest:  # its document seeds the window in which it ends
+                self.query = shard.terms(self.rest[0] - first_row)
+                while self.rest:
+                    self._add(*self.rest, out)
             while after < len(ids) and not unused[after]:
                 after += 1
             if after == len(ids):
                 return
-            if seed < 0 or not self.used:
-                seed = after
-                unused[seed] = 0
-                self._add(first_row + seed, 0, ids[seed], out)
+            if not self.used or self.query is None:
+                self.query = shard.terms(after)
+                unused[after] = 0
+                self._add(first_row + after, 0, ids[after], out)
                 continue
-            near = shard.neighbours(seed, unused)
+            near = shard.neighbours(self.query, unused)
             if not len(near):
                 near = np.array([after])
             while len(near) and self.used and not self.rest:
@@ -182,13 +212,107 @@ class Packer:
             self._close(out)
 
 
+def _tokens(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), STORED) for x in column]
+
+
+def tokenized(docs: DataFrame, doc_id: str, text: str, folder: str | None) -> DataFrame:
+    """(id, ids) of every document, ids as stored bytes: a table in the shared folder."""
+    schema = T.StructType([T.StructField("id", docs.schema[doc_id].dataType), T.StructField("ids", T.BinaryType())])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, _, _ in tb.chunks(batch.column(1)):
+                part = batch.slice(lo, hi - lo)
+                found = [token_ids(x, folder).astype(STORED).tobytes() for x in part.column(1).to_pylist()]
+                yield pa.record_batch([part.column(0), pa.array(found, pa.binary())], names=schema.names)
+
+    return stage_table(docs.select(doc_id, text).mapInArrow(encode, schema), "tokens")
+
+
+def corpus_of(tokens: DataFrame) -> Corpus:
+    """Counted over all documents; the driver gets a row for each id of the vocabulary that occurs, and two more."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, total = np.zeros(1 << 16, np.int64), 0, 0
+        for batch in batches:
+            for ids in _tokens(batch.column(0)):
+                df[np.unique(ids)] += 1
+                n, total = n + 1, total + len(ids)
+        some = np.flatnonzero(df)
+        yield pa.record_batch([pa.array(np.append(some, [-1, -2])), pa.array(np.append(df[some], [n, total]))], names=["term", "n"])
+
+    rows = tokens.select("ids").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    found = dict(zip(rows["term"].to_pylist(), rows["n"].to_pylist(), strict=True))
+    df = np.zeros(1 << 16, np.int64)
+    n, total = found.pop(-1, 0), found.pop(-2, 0)
+    df[list(found)] = list(found.values())
+    return Corpus(n, total / max(n, 1), df)
+
+
+def route(ids: np.ndarray, corpus: Corpus) -> int:
+    """The rarest term that another document has too, the smallest of equals; the closing token if there is none."""
+    terms = np.unique(ids)
+    terms = terms[corpus.df[terms] > 1]
+    return int(terms[np.argmin(corpus.df[terms])]) if len(terms) else CLOSING
+
+
+def shard_plan(sizes: dict[int, int], target: int = SHARD_TOKENS) -> tuple[np.ndarray, np.ndarray]:
+    """(first shard, shards) of each route, from the tokens that take it: routes in order fill shards up to the target, a larger one gets several."""
+    first, wide = np.zeros(1 << 16, np.int64), np.ones(1 << 16, np.int64)
+    shard, held = 0, 0
+    for term in sorted(sizes):
+        size = sizes[term]
+        if held and held + size > target:
+            shard, held = shard + 1, 0
+        first[term], wide[term] = shard, max(1, math.ceil(size / target))
+        held += size
+        if wide[term] > 1:
+            shard, held = shard + int(wide[term]), 0
+    return first, wide
+
+
+def routed(tokens: DataFrame, corpus: Corpus) -> DataFrame:
+    """(shard, id, ids), the rows of a shard together in one partition."""
+    shared = tokens.sparkSession.sparkContext.broadcast(corpus)  # a number for each id of the vocabulary
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for ids in _tokens(batch.column(0)):
+                total[route(ids, shared.value)] += len(ids)
+        some = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(some), pa.array(total[some])], names=["route", "n"])
+
+    rows = tokens.select("ids").mapInArrow(sizes, "route bigint, n bigint").groupBy("route").agg(F.sum("n").alias("n")).toArrow()
+    first, wide = shard_plan(dict(zip(rows["route"].to_pylist(), rows["n"].to_pylist(), strict=True)))
+    shards = int((first + wide).max())
+    plan = tokens.sparkSession.sparkContext.broadcast((first, wide))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, wide = plan.value
+        row = TaskContext.get().partitionId()
+        for batch in batches:
+            shard = np.empty(batch.num_rows, np.int64)
+            for k, ids in enumerate(_tokens(batch.column(1))):
+                term = route(ids, shared.value)
+                shard[k], row = first[term] + row % wide[term], row + 1
+            yield pa.record_batch([pa.array(shard), *batch.columns], names=["shard", "id", "ids"])
+
+    dealt = tokens.select("id", "ids").mapInArrow(deal, T.StructType([T.StructField("shard", T.LongType()), *tokens.schema.fields]))
+    return dealt.repartition(min(shards, MOST_PARTITIONS), "shard").sortWithinPartitions("shard")
+
+
 def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, with_ids: bool = False, vocabulary_folder: str | None = None) -> DataFrame:
     """One row per piece: the document's id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with_ids adds the ids themselves."""
     fields = [docs.schema[doc_id], *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]]
-    schema = T.StructType(fields + [T.StructField("ids", T.ArrayType(T.LongType()))] * with_ids)
+    schema = T.StructType(fields + [T.StructField(free_name([doc_id], "ids"), T.ArrayType(T.LongType()))] * with_ids)
+    tokens = tokenized(docs, doc_id, text, vocabulary_folder)
+    corpus = corpus_of(tokens)
+    shared = docs.sparkSession.sparkContext.broadcast(corpus)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(window)
+        packer = Packer(shared.value, window)
         base = TaskContext.get().partitionId() << 40
         keys: dict[int, tuple[object, int]] = {}  # of rows with pieces to come
         kind = None
@@ -207,30 +331,28 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 columns.append(pa.array([x.tolist() for _, _, x, *_ in out], pa.list_(pa.int64())))
             return pa.record_batch(columns, names=schema.names)
 
-        row = 0
+        row, size, now = 0, 0, None
         block: list[np.ndarray] = []
-        size = 0
         for batch in batches:
-            kind = batch.column(0).type
-            for lo, hi, data, at in tb.chunks(batch.column(1), BLOCK_BYTES):
-                if block and size + len(data) > BLOCK_BYTES:
+            kind = batch.column(1).type
+            for shard, key, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _tokens(batch.column(2)), strict=True):
+                if block and (shard != now or size + len(ids) > 2 * SHARD_TOKENS):
                     packer.take(row - len(block), block, out := [])
                     yield rows(out)
                     keep = {r for r, *_ in packer.open}
                     keys = {r: v for r, v in keys.items() if r in keep}
                     block, size = [], 0
-                part = batch.slice(lo, hi - lo)
-                for key, value in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = token_ids(value, vocabulary_folder)
-                    keys[row] = (key, len(ids))
-                    block.append(ids)
-                    row += 1
-                size += len(data)
+                keys[row], now = (key, len(ids)), shard
+                block.append(ids.astype(np.uint32))
+                row, size = row + 1, size + len(ids)
         if row:
             out = []
             if block:
                 packer.take(row - len(block), block, out)
             packer.finish(out)
             yield rows(out)
+        tb.release_memory()
 
-    return docs.select(doc_id, text).mapInArrow(pack, schema)
+    if not corpus.n:
+        return docs.sparkSession.createDataFrame([], schema)
+    return routed(tokens, corpus).mapInArrow(pack, schema)
