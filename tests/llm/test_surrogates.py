@@ -13,9 +13,9 @@ TEXTS = [
 ]
 
 
-def run(spark, rows=TEXTS, **more):
+def run(spark, rows=TEXTS, key="k", **more):
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    return {r.doc_id: r.text for r in surrogates.pseudonymize(df, **more).collect()}
+    return {r.doc_id: r.text for r in surrogates.pseudonymize(df, key, **more).collect()}
 
 
 def test_formats(spark):
@@ -45,7 +45,7 @@ def test_collisions_are_resolved(spark, monkeypatch):
     plain = surrogates._surrogate
     monkeypatch.setattr(surrogates, "_surrogate", lambda kind, canonical, attempt, key: F.lit("10.0.0.1") if attempt == 0 else F.concat(F.lit("9.9.9."), F.substring(canonical, -1, 1).cast("int") % 2) if attempt == 1 else plain(kind, canonical, attempt, key))
     entities = spark.createDataFrame([("ip", f"10.0.0.{k}") for k in range(8)], "type string, canonical string")
-    rows = surrogates.assign_surrogates(entities).collect()
+    rows = surrogates.assign_surrogates(entities, "k").collect()
     assert len(rows) == 8 == len({r.surrogate for r in rows}) and not {r.surrogate for r in rows} & {r.canonical for r in rows}
 
 
@@ -58,24 +58,62 @@ def test_more_entities_than_a_format_has_surrogates(spark, monkeypatch):
     assert all(re.fullmatch(r"Mr [A-Z][a-z]+ham here", out[k]) for k in range(10, 40)) and all(re.fullmatch(r"[a-z]+@[a-z]+\.example\.\w+", out[k]) for k in range(40, 66))
 
 
+def test_names_corefer(spark):
+    """Bare and partial mentions follow a titled one of their text; a family has one name, whatever the title, also in other texts."""
+    text = "Mr. John Smith came. Mr. Smith sat. John Smith left. Smith spoke to John's friend. Mrs. Smith too. Dr. Jane Roe, Prof. Ann Lee. Herr Dr. Hans O'Neil-Weiss; Roe's end, Smithson, Johnny."
+    out = run(spark, [(1, text), (2, "Dr. John Smith and Smith"), (3, "Smith and John have no title here, nor A. Roe")])
+    w = r"([A-Z][a-z]+)"
+    found = re.fullmatch(
+        rf"Mr\. {w} {w} came\. Mr\. {w} sat\. {w} {w} left\. {w} spoke to {w}'s friend\. Mrs\. {w} too\. Dr\. {w} {w}, Prof\. {w} {w}\. Herr Dr\. {w} {w}; {w}'s end, Smithson, Johnny\.", out[1]
+    ).groups()
+    john, smith = found[:2]
+    assert found[:8] == (john, smith, smith, john, smith, smith, john, smith)
+    assert found[14] == found[9] and out[2] == f"Dr. {john} {smith} and {smith}" and out[3].startswith("Smith and John")
+    assert len(set(found)) == 8 and not set(found) & {"John", "Smith", "Jane", "Roe", "Ann", "Lee", "Hans"}
+    assert john.endswith(tuple(surrogates.SYLLABLES["latin"]["m"]))
+
+
+def test_many_names_end(spark):
+    """100,000 distinct names after one title: far more than a format has surrogates."""
+    letters = F.translate(F.lpad(F.conv(F.col("id").cast("string"), 10, 16), 5, "0"), "0123456789ABCDEF", "abcdefghijklmnop")
+    docs = spark.range(100_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("Mr Q"), letters, F.lit(" came")).alias("text"))
+    out = surrogates.pseudonymize(docs, "k")
+    assert out.select("text").distinct().count() == 100_000 and out.join(docs, "text").count() == 0
+
+
+def test_types_share_no_surrogate(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "_surrogate", lambda kind, canonical, attempt, key: F.lit(f"x{attempt}"))
+    entities = spark.createDataFrame([("ip", "a"), ("hex", "b"), ("family", "x1")], "type string, canonical string")
+    assert {r.surrogate for r in surrogates.assign_surrogates(entities, "k").collect()} == {"x0", "x2", "x3"}
+
+
+def test_keyed_hash(spark):
+    import hashlib
+    import hmac
+
+    for key in ("k", "long" * 40):
+        got = spark.range(1).select(surrogates._hmac(key, F.lit("some text é"))).collect()[0][0]
+        assert got == hmac.new(key.encode(), "some text é".encode(), hashlib.sha256).hexdigest()
+
+
 def test_what_a_surrogate_grew_by_is_rendered(spark):
     rows = spark.createDataFrame([("phone", "+1 (234) 56-78", "+1 2345678", "+1 876543299")], "type string, entity string, canonical string, surrogate string")
     assert rows.select(surrogates._rendered(*[F.col(c) for c in rows.columns])).collect()[0][0] == "+1 (876) 54-3299"
 
 
 def test_edges(edge, empty):
-    out = surrogates.pseudonymize(edge, count="n_entities")
+    out = surrogates.pseudonymize(edge, "k", count="n_entities")
     assert out.columns == [*edge.columns, "n_entities"] and out.count() == edge.count()
     same = lambda df: sorted(map(str, df.select("doc_id", "text", "kept", "row_key").collect()))
     assert same(out.where("n_entities = 0")) == same(out.where("n_entities = 0").select(edge.columns))
     before = sorted((str(r.doc_id), str(r.text)) for r in edge.collect())
     assert before == sorted((str(r.doc_id), str(r.text)) for r in out.collect())
-    assert surrogates.pseudonymize(empty).count() == 0
+    assert surrogates.pseudonymize(empty, "k").count() == 0
 
 
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame(TEXTS, "doc_id long, text string")
-    plan = surrogates.pseudonymize(df)._jdf.queryExecution().executedPlan().toString()
+    plan = surrogates.pseudonymize(df, "k")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
@@ -83,7 +121,7 @@ def test_real_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     private = re.compile(r"[\w.+-]+@[\w-]+\.[\w.]+\w|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)|\d{13,19}|\+\d \(\d{3}\) \d{3}-\d{4}|(?<!\w)[0-9a-f]{32,}|AKIA[A-Z0-9]{16}|password=\w+")
     old = {r.doc_id: r.text for r in docs.collect()}
-    new = {r.doc_id: r.text for r in surrogates.pseudonymize(docs).collect()}
+    new = {r.doc_id: r.text for r in surrogates.pseudonymize(docs, "k").collect()}
     mapping = {}
     for k, text in old.items():
         a, b = private.findall(text), private.findall(new[k])

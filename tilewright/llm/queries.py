@@ -54,7 +54,7 @@ def op9_vertical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_surrogate_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_entities")
+    return surrogates.pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"), surrogates.session_key(spark), count="n_entities")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
