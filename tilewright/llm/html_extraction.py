@@ -1,19 +1,28 @@
 """Main text of web pages, with a suffix array of each host's pages against boilerplate.
 
 A page is read into blocks of text by its tags. Blocks inside chrome (navigation, footers, forms, asides and the like, by tag, role or class) are
-markup-declared boilerplate; of the others, those in the page's article are its text. Everything outside the article goes into the host's token
-stream. The host's streams are concatenated, and a suffix array, sorted to the depth of a run, finds all runs of MIN_RUN tokens and more that distinct
-pages repeat. Where a page declares no article, covered blocks and covered stretches of a run's length are removed, and its unique runs are kept.
+declared boilerplate; of the others, those in the page's articles are article blocks (a main region stands in where there is none).
 
-Text in a declared article stays even if other pages repeat it: copies of articles are common, and nothing else of an article may be lost. For the
-same reason equal pages count once, and a run must recur on MIN_PAGES pages that differ, be it only in their articles. The number doesn't grow with the host.
+The blocks of all pages of a host go into one concatenation of token streams: a page's article blocks each as a stream, all its other blocks together as
+one. Its suffixes are ranked by prefix doubling, to the depth of the longest run asked for; suffixes of equal rank at depth d stand together in the suffix
+array and share d tokens, and the tokens under such windows are those under all longer repeats. Two kinds of long substrings are boilerplate:
 
-Hosts of more than SHARD_PAGES pages are dealt into shards by a hash of the page, each with an array of its own, so no host needs more memory than a
-shard. Where such a host has pages that declare no article, the runs of all its pages are counted by hash over the host, and each shard gets those that
-are frequent; for that its pages are read again.
+- outside articles, runs of MIN_RUN tokens that MIN_PAGES pages of the host have. Equal pages count once; pages that differ only in their articles differ.
+- in articles, runs of ARTICLE_RUN tokens that MIN_PAGES articles have which are no copies of each other. Near copies count once, mostly: articles are
+  told apart by the smallest key of their runs of MIN_RUN tokens. Where such runs make up more than half of an article, it is a copy and stays whole.
+
+Covered tokens go, unique runs stay, whether a page declares an article or not. Of a page with articles the text is what is left of them; of a page
+without, what is left of all blocks that aren't declared chrome (a block that is covered but for a few words goes with them, one that a run only
+reaches into stays whole). Neither number grows with the host.
+
+A host of more than SHARD_PAGES pages or SHARD_BYTES is dealt into shards. For such hosts runs are counted by key over the whole host, and each
+shard gets those that are frequent, so its answer is that of one array over the host. Windows in articles are many; so their anchors are counted first (the
+least key of 8 tokens among those of each window, which all pages that have the window choose alike), and windows only around frequent anchors.
+For that the pages of such hosts are read two times more.
 
 Cases: null html is empty, with empty text; a null url is a host of its own name, the empty one; broken and cut-off markup is read as far as it goes;
-repeated rows get equal results; an empty table gives an empty result. Other columns are not read.
+repeated rows get equal results, and are dealt over shards like other rows; an empty table gives an empty result. Other columns are not read, whatever
+their names. A page is read in one piece: it needs some ten times its size.
 """
 
 from __future__ import annotations
@@ -28,14 +37,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tilewright.llm import textbatch as tb
 from tilewright.llm.shared import stage_table
 
 MIN_RUN = 8
+ARTICLE_RUN = 50
 MIN_PAGES = 4
-#: Of a host's pages; none, so that the verdict on a run doesn't depend on the size of the host.
-MIN_SHARE = 0.0
 SHARD_PAGES = 400
+SHARD_BYTES = 32 << 20
 BROADCAST_HOSTS = 100_000
+#: Frequent anchors that are sent to the tasks; beyond that number all windows are counted.
+BROADCAST_ANCHORS = 1 << 20
+#: Kinds of blocks.
+OUTSIDE, CHROME_BLOCK, ARTICLE = 0, 1, 2
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -160,79 +174,118 @@ def read_blocks(page: str | None) -> list[tuple[str, int, bool]]:
     return out
 
 
-def page_parts(page: str | None) -> tuple[str | None, list[str], list[bool]]:
-    """(text of the article or None, blocks outside it, which of those are chrome). The longest article is the page's; a main region stands in for one."""
+def page_parts(page: str | None) -> tuple[list[str], list[int]]:
+    """The blocks of a page and their kinds. All articles are article blocks; a main region only where there is no article."""
     blocks = read_blocks(page)
-    sizes: dict[int, int] = {}
-    for text, article, chrome in blocks:
-        if article and not chrome:
-            sizes[article] = sizes.get(article, 0) + len(text)
-    own = max((a for a in sizes if a > 0), key=lambda a: (sizes[a], -a), default=None)
-    if own is None and -1 in sizes:
-        own = -1
-    inside = [text for text, article, chrome in blocks if article == own and not chrome] if own is not None else None
-    outside = [(text, chrome) for text, article, chrome in blocks if own is None or article != own or chrome]
-    return "\n".join(inside) if inside is not None else None, [t for t, _ in outside], [c for _, c in outside]
-
-
-def run_keys(stream: list[str]) -> np.ndarray:
-    """A 64-bit key of the run of MIN_RUN tokens at each position that has one."""
-    n = len(stream) - MIN_RUN + 1
-    if n < 1:
-        return np.zeros(0, np.int64)
-    made: dict[str, int] = {}
-    for t in stream:
-        if t not in made:
-            made[t] = int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-    tokens = np.array([made[t] for t in stream], np.uint64)
-    key = np.zeros(n, np.uint64)
-    for k in range(MIN_RUN):
-        key = key * np.uint64(0x9E3779B97F4A7C15) + tokens[k : k + n]
-    return key.view(np.int64)
-
-
-def repeated_positions(streams: list[list[str]], articles: list[str | None] | None = None, frequent: np.ndarray | None = None) -> list[np.ndarray]:
-    """For each token stream, which tokens lie in a run of MIN_RUN tokens that enough distinct pages (streams with their articles) repeat, or one of the
-    frequent runs, given by keys.
-
-    The suffixes of the concatenated streams are ranked by prefix doubling to the depth MIN_RUN; equal ranks are neighbours in the suffix array whose
-    common prefix is a run. Longer repeats are unions of such runs.
+    region = any(article > 0 and not chrome for _, article, chrome in blocks)
+    inside = [(article > 0 if region else article == -1) and not chrome for _, article, chrome in blocks]
+    return [t for t, _, _ in blocks], [ARTICLE if own else CHROME_BLOCK if chrome else OUTSIDE for own, (_, _, chrome) in zip(inside, blocks, strict=True)]
+
+
+def run_ranks(tokens: np.ndarray, depths: tuple[int, ...]) -> list[np.ndarray]:
+    """Ranks of the suffixes of a row of tokens by their first d tokens, for each d of depths in ascending order; what is beyond the end sorts first."""
+    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
+    depth, out = 1, []
+    for wanted in depths:
+        while depth < wanted:
+            step = min(depth, wanted - depth)
+            ahead = np.full(len(rank), -1, np.int64)
+            ahead[: max(len(rank) - step, 0)] = rank[step:]
+            rank = np.unique(rank * (ahead.max(initial=0) + 2) + ahead + 1, return_inverse=True)[1].astype(np.int64)
+            depth += step
+        out.append(rank)
+    return out
+
+
+def cover(first: np.ndarray, length: int, n: int) -> np.ndarray:
+    """Which of n positions lie in windows that begin where `first` is true."""
+    at = np.flatnonzero(first)
+    mark = np.bincount(at, minlength=n + 1) - np.bincount(np.minimum(at + length, n), minlength=n + 1)
+    return np.cumsum(mark[:n]) > 0
+
+
+class Streams:
+    """The token streams of pages: for each page its blocks outside articles as one, then each article block.
+
+    tokens: 64-bit hashes; bounds: tokens before each stream; page: whose it is; inside: whether it is an article block.
     """
-    ids: dict[str, int] = {}
-    keys = [tuple(ids.setdefault(t, len(ids)) for t in s) for s in streams]
-    known: dict[tuple, int] = {}
-    content = [known.setdefault(k, len(known)) for k in zip(keys, articles or [None] * len(keys), strict=True)]
-    need = max(MIN_PAGES, int(np.ceil(MIN_SHARE * len(known))))
-    covered = [np.zeros(len(k), bool) for k in keys]
-    some = frequent is not None and len(frequent) > 0
-    if (len(known) < need and not some) or not ids:
-        return covered
-    # one copy of each distinct page's stream, each followed by a separator of its own
-    pieces, owner = [], []
-    for (k, _), n in known.items():
-        pieces.append(np.append(np.array(k, np.int64), len(ids) + n))
-        owner.append(np.full(len(k) + 1, n))
-    rank, owner = np.concatenate(pieces), np.concatenate(owner)
-    starts = np.concatenate(([0], np.cumsum([len(p) for p in pieces])))
-    n, depth = len(rank), 1
-    while depth < MIN_RUN:
-        step = min(depth, MIN_RUN - depth)
-        ahead = np.full(n, -1, np.int64)
-        ahead[: n - step] = rank[step:]
-        both = rank * (ahead.max() + 2) + ahead + 1
-        rank = np.unique(both, return_inverse=True)[1].astype(np.int64)
-        depth += step
-    pairs = np.unique(rank * (len(known) + 1) + owner)
-    pages = np.bincount(pairs // (len(known) + 1), minlength=rank.max() + 1)
-    often = pages[rank] >= need
-    if some:
-        for c, stream in zip(*np.unique(content, return_index=True), strict=True):
-            found = run_keys(streams[stream])
-            often[starts[c] : starts[c] + len(found)] |= np.isin(found, frequent)
-    first = np.flatnonzero(often)
-    mark = np.bincount(first, minlength=n + 1) - np.bincount(np.minimum(first + MIN_RUN, n), minlength=n + 1)
-    inside = np.cumsum(mark[:n]) > 0
-    return [inside[starts[c] : starts[c] + len(k)] for c, k in zip(content, keys, strict=True)]
+
+    def __init__(self, pages: list[tuple[list[str], list[int]]]):
+        texts, self.page, self.inside = [], [], []
+        for k, (blocks, kinds) in enumerate(pages):
+            texts.append(" ".join(b for b, kind in zip(blocks, kinds, strict=True) if kind != ARTICLE))
+            own = [b for b, kind in zip(blocks, kinds, strict=True) if kind == ARTICLE]
+            texts += own
+            self.page += [k] * (1 + len(own))
+            self.inside += [False] + [True] * len(own)
+        self.page, self.inside = np.array(self.page, np.int64), np.array(self.inside, bool)
+        words = tb.Words(*tb.raw(pa.array(texts, pa.large_string())))
+        self.tokens, self.bounds = words.hashes(), words.bounds
+        self.stream_of = words.text_of
+
+    def windows(self, length: int, inside: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(key, first token) of each window of the streams of one kind."""
+        key, first = tb.windows(self.tokens, self.bounds, length)
+        use = self.inside[self.stream_of[first]] == inside
+        return key[use], first[use]
+
+    def signatures(self, pages: int) -> np.ndarray:
+        """A key of each page's article by which copies and most near copies are told: the least of its runs', or the sum of its tokens'."""
+        key, first = self.windows(MIN_RUN, True)
+        none = np.uint64(0xFFFFFFFFFFFFFFFF)
+        out = np.full(pages, none)
+        np.minimum.at(out, self.page[self.stream_of[first]], key)
+        total = np.zeros(pages, np.uint64)
+        use = self.inside[self.stream_of]
+        np.add.at(total, self.page[self.stream_of[use]], self.tokens[use])
+        return np.where(out == none, total, out).view(np.int64)
+
+    def anchors(self) -> np.ndarray:
+        """The least key of MIN_RUN tokens of each window of ARTICLE_RUN in articles, once a stream: (stream, key) pairs."""
+        key, first = self.windows(MIN_RUN, True)
+        stream = self.stream_of[first]
+        wide = ARTICLE_RUN - MIN_RUN + 1
+        if len(key) < wide:
+            return np.zeros((0, 2), np.uint64)
+        seen = np.lib.stride_tricks.sliding_window_view(key, wide).min(1)
+        whole = stream[wide - 1 :] == stream[: len(stream) - wide + 1]
+        return np.unique(np.column_stack((stream[: len(seen)][whole].astype(np.uint64), seen[whole])), axis=0)
+
+
+def repeated_tokens(streams: Streams, pages: int, content: np.ndarray, frequent: dict[int, np.ndarray] | None = None) -> np.ndarray:
+    """Which tokens are covered by runs that are boilerplate. content: a number for each page, equal for equal pages; frequent: keys by length of such
+    runs of the whole host."""
+    n = len(streams.tokens)
+    out = np.zeros(n, bool)
+    if not n:
+        return out
+    # a separator of its own after each stream
+    count = len(streams.bounds) - 1
+    place = np.arange(n) + streams.stream_of
+    tokens = np.unique(streams.tokens, return_inverse=True)[1].astype(np.int64)
+    row = np.full(n + count, -1, np.int64)
+    row[place] = tokens
+    gaps = np.flatnonzero(row < 0)
+    row[gaps] = tokens.max() + 1 + np.arange(len(gaps))
+    owners = (content, np.unique(streams.signatures(pages), return_inverse=True)[1])
+    for length, rank, owner, inside in zip((MIN_RUN, ARTICLE_RUN), run_ranks(row, (MIN_RUN, ARTICLE_RUN)), owners, (False, True), strict=True):
+        key, first = streams.windows(length, inside)
+        if not len(first):
+            continue
+        mine = np.unique(rank[place[first]], return_inverse=True)[1]
+        many = int(owner.max()) + 1
+        pairs = np.unique(mine * many + owner[streams.page[streams.stream_of[first]]])
+        often = np.bincount(pairs // many)[mine] >= MIN_PAGES
+        if frequent is not None:
+            often |= np.isin(key.view(np.int64), frequent[length])
+        start = np.zeros(n, bool)
+        start[first[often]] = True
+        out |= cover(start, length, n)
+    # an article of which more than half is covered is a copy
+    own = streams.inside[streams.stream_of]
+    page = streams.page[streams.stream_of]
+    copies = 2 * np.bincount(page[own & out], minlength=pages) > np.bincount(page[own], minlength=pages)
+    return out & ~(own & copies[page])
 
 
 def long_stretches(mask: np.ndarray) -> np.ndarray:
@@ -244,65 +297,128 @@ def long_stretches(mask: np.ndarray) -> np.ndarray:
     return out
 
 
-def shard_texts(articles: list[str | None], outside: list[list[str]], chrome: list[list[bool]], frequent: np.ndarray | None = None) -> list[str]:
-    """The texts of a shard's pages; frequent holds keys of runs that the whole host repeats."""
-    words = [[b.split(" ") for b in blocks] for blocks in outside]
-    covered = repeated_positions([[w for b in blocks for w in b] for blocks in words], articles, frequent)
-    out = []
-    for article, blocks, declared, mask in zip(articles, words, chrome, covered, strict=True):
-        if article is not None:
-            out.append(article)
-            continue
-        at, kept = 0, []
-        for block, is_chrome in zip(blocks, declared, strict=True):
-            own = mask[at : at + len(block)]
-            at += len(block)
-            if not is_chrome and not own.all():
-                drop = long_stretches(own)
-                kept.append(" ".join(w for w, c in zip(block, drop, strict=True) if not c))
-        out.append("\n".join(kept))
-    return out
+def shard_texts(pages: list[tuple[list[str], list[int]]], frequent: dict[int, np.ndarray] | None = None) -> list[str]:
+    """The texts of a shard's pages; frequent holds keys of runs that the whole host repeats, by length."""
+    known: dict[tuple, int] = {}
+    content = [known.setdefault((tuple(b), tuple(k)), len(known)) for b, k in pages]
+    distinct = [(list(b), list(k)) for b, k in known]
+    streams = Streams(distinct)
+    covered = repeated_tokens(streams, len(distinct), np.arange(len(distinct)), frequent)
+    texts = []
+    stream = 0
+    for blocks, kinds in distinct:
+        outside = covered[streams.bounds[stream] : streams.bounds[stream + 1]]
+        stream += 1
+        at, kept, region = 0, [], ARTICLE in kinds
+        for block, kind in zip(blocks, kinds, strict=True):
+            if kind == ARTICLE:
+                mask = covered[streams.bounds[stream] : streams.bounds[stream + 1]]
+                stream += 1
+            else:
+                size = block.count(" ") + 1
+                mask = outside[at : at + size]
+                at += size
+                if region or kind == CHROME_BLOCK:
+                    continue
+            if not mask.any():
+                kept.append(block)
+            elif not mask.all():
+                drop = long_stretches(mask)
+                kept.append(" ".join(w for w, c in zip(block.split(" "), drop, strict=True) if not c))
+        texts.append("\n".join(kept))
+    return [texts[c] for c in content]
+
+
+def host_of(url: str):
+    return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
+
+
+def _host_runs(pages: DataFrame, only: str, near: np.ndarray | None = None) -> DataFrame:
+    """(host, run) of runs that MIN_PAGES pages of a host have, of pages (host, html). only: "outside", "anchors", or "windows" (in articles; near: anchors)."""
+    schema = "host string, run bigint, owner bigint"
+
+    def runs(batches):
+        for batch in batches:
+            found = [page_parts(x) for x in batch.column(1).to_pylist()]
+            streams, n = Streams(found), len(found)
+            if only == "outside":
+                key, first = streams.windows(MIN_RUN, False)
+                whole = np.array([hash_blocks(b, k) for b, k in found], np.int64)
+            else:
+                whole = streams.signatures(n)
+            if only == "anchors":
+                pairs = streams.anchors()
+                page, key = streams.page[pairs[:, 0].astype(np.int64)], pairs[:, 1]
+            else:
+                if only == "windows":
+                    key, first = streams.windows(ARTICLE_RUN, True)
+                    if near is not None:
+                        short, at = streams.windows(MIN_RUN, True)
+                        start = np.zeros(len(streams.tokens) + 1, np.int64)
+                        start[at[np.isin(short.view(np.int64), near)]] = 1
+                        held = np.concatenate(([0], np.cumsum(start)))
+                        use = held[np.minimum(first + ARTICLE_RUN - MIN_RUN + 1, len(held) - 1)] > held[first]
+                        key, first = key[use], first[use]
+                page = streams.page[streams.stream_of[first]]
+            rows = np.unique(np.column_stack((page, key.view(np.int64))), axis=0)
+            yield pa.record_batch([batch.column(0).take(pa.array(rows[:, 0])), pa.array(rows[:, 1]), pa.array(whole[rows[:, 0]])], names=["host", "run", "owner"])
+
+    found = pages.mapInArrow(runs, schema)
+    return found.groupBy("host", "run").agg(F.count_distinct("owner").alias("n")).where(F.col("n") >= MIN_PAGES).select("host", "run")
+
+
+def hash_blocks(blocks: list[str], kinds: list[int]) -> int:
+    """A 64-bit key of a page's blocks."""
+    text = "\n".join(f"{k}{b}" for b, k in zip(blocks, kinds, strict=True))
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    host = F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    hot = pages.select(host.alias("host")).groupBy("host").count().where(F.col("count") > SHARD_PAGES).select("host", F.ceil(F.col("count") / SHARD_PAGES).alias("shards"))
-    if hot.count() <= BROADCAST_HOSTS:
-        hot = F.broadcast(hot)
-    schema = T.StructType([pages.schema[page_id], pages.schema[url], T.StructField("host", T.StringType()), T.StructField("hash", T.LongType()), T.StructField("article", T.StringType()), T.StructField("outside", T.ArrayType(T.StringType())), T.StructField("chrome", T.ArrayType(T.BooleanType()))])
+    spark = pages.sparkSession
+    sizes = pages.select(host_of(url).alias("host"), F.coalesce(F.octet_length(source), F.lit(0)).alias("bytes")).groupBy("host").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    shards = F.greatest(F.ceil(F.col("n") / SHARD_PAGES), F.ceil(F.col("bytes") / SHARD_BYTES))
+    hot = stage_table(sizes.select("host", shards.alias("shards")).where("shards > 1"), "hosts")
+    count = hot.count()
+    near_hot = F.broadcast(hot) if count <= BROADCAST_HOSTS else hot
+    schema = T.StructType([pages.schema[page_id], pages.schema[url], T.StructField("host", T.StringType()), T.StructField("hash", T.LongType()), T.StructField("blocks", T.ArrayType(T.StringType())), T.StructField("kinds", T.ArrayType(T.IntegerType()))])
 
     def parse(batches):
         for batch in batches:
             found = [page_parts(x) for x in batch.column(4).to_pylist()]
-            columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.list_(pa.string()), pa.list_(pa.bool_())))]
+            columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.list_(pa.string()), pa.list_(pa.int32())))]
             yield pa.record_batch([*batch.columns[:4], *columns], names=schema.names)
 
-    parsed = pages.select(page_id, url, host.alias("host"), F.xxhash64(page_id, url, source).alias("hash"), source).mapInArrow(parse, schema)
-    dealt = parsed.join(hot, "host", "left").withColumn("shard", F.pmod("hash", F.coalesce("shards", F.lit(1)))).drop("hash")
+    # equal rows are dealt by where they stand
+    dealing = F.xxhash64(page_id, url, source) + F.monotonically_increasing_id()
+    parsed = pages.select(page_id, url, host_of(url).alias("host"), dealing.alias("hash"), source).mapInArrow(parse, schema)
+    dealt = parsed.join(near_hot, "host", "left").withColumn("shard", F.pmod("hash", F.coalesce("shards", F.lit(1)))).drop("hash", "shards")
     result = T.StructType([pages.schema[page_id], pages.schema[url], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
-    def texts(table: pa.Table, frequent: np.ndarray | None = None) -> pa.Table:
-        found = shard_texts(table["article"].to_pylist(), table["outside"].to_pylist(), table["chrome"].to_pylist(), frequent)
+    def texts(table: pa.Table, frequent: dict[int, np.ndarray] | None = None) -> pa.Table:
+        found = shard_texts(list(zip(table["blocks"].to_pylist(), table["kinds"].to_pylist(), strict=True)), frequent)
         return pa.table([table[page_id], table[url], pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], names=result.names)
 
-    def runs(batches):
-        for batch in batches:
-            for where, shard, article, outside, content in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                keys = np.unique(run_keys([w for b in outside for w in b.split(" ")]))
-                same = lambda x, t: pa.array([x] * len(keys), t)  # noqa: E731, B023
-                yield pa.record_batch([same(where, pa.string()), same(None if article is not None else shard, pa.int64()), pa.array(keys), same(content, pa.int64())], names=["host", "shard", "run", "content"])
-
     alone = lambda table: texts(table)  # noqa: E731  Spark looks at the number of parameters
-
-    if hot.isEmpty():
-        return dealt.groupBy("host", "shard").applyInArrow(alone, result)
-    bare = stage_table(dealt.where("shards > 1 AND article IS NULL").select("host").distinct(), "hosts")
-    dealt = dealt.drop("shards")
-    if bare.isEmpty():
+    if not count:
         return dealt.groupBy("host", "shard").applyInArrow(alone, result)
-    found = dealt.join(bare, "host", "left_semi").select("host", "shard", "article", "outside", F.xxhash64("article", F.col("article").isNull(), "outside").alias("content")).mapInArrow(runs, "host string, shard bigint, run bigint, content bigint")
-    often = found.groupBy("host", "run").agg(F.count_distinct("content").alias("n"), F.collect_set("shard").alias("shards")).where(F.col("n") >= MIN_PAGES)
-    often = often.select("host", F.explode("shards").alias("shard"), "run")
-    both = lambda left, right: texts(left, right["run"].to_numpy())
+    large = pages.select(host_of(url).alias("host"), F.col(source).alias("html")).join(near_hot, "host", "left_semi").select("host", "html")
+    anchors = stage_table(_host_runs(large, "anchors").select("run").distinct(), "anchors")
+    few = anchors.count() <= BROADCAST_ANCHORS
+    near = anchors.toArrow()["run"].to_numpy() if few else None
+    often = _host_runs(large, "outside").withColumn("length", F.lit(MIN_RUN))
+    if not few or len(near):
+        often = often.unionByName(_host_runs(large, "windows", near).withColumn("length", F.lit(ARTICLE_RUN)))
+    often = often.join(near_hot, "host").select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"), "length", "run")
+
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        length, run = right["length"].to_numpy(), right["run"].to_numpy()
+        return texts(left, {k: run[length == k] for k in (MIN_RUN, ARTICLE_RUN)}) if len(left) else result_of_none(result)
+
     return dealt.groupBy("host", "shard").cogroup(often.groupBy("host", "shard")).applyInArrow(both, result)
+
+
+def result_of_none(schema: T.StructType) -> pa.Table:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(schema).empty_table()
