@@ -212,37 +212,49 @@ class Packer:
             self._close(out)
 
 
-def _tokens(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), STORED) for x in column]
+def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, bounds): the stored ids of a batch's documents in a row, and where each begins and the last ends."""
+    data, at = tb.raw(column)
+    return data[at[0] : at[-1]].view(STORED), (at - at[0]) // STORED.itemsize
+
+
+def _terms(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, id) of each document's distinct ids."""
+    keys = ids.astype(np.uint64) | (np.repeat(np.arange(len(bounds) - 1, dtype=np.uint64), np.diff(bounds)) << np.uint64(16))
+    keys.sort()
+    keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
+    return (keys >> np.uint64(16)).astype(np.int64), (keys & np.uint64(0xFFFF)).astype(np.int64)
 
 
 def tokenized(docs: DataFrame, doc_id: str, text: str, folder: str | None) -> DataFrame:
-    """(id, ids) of every document, ids as stored bytes: a table in the shared folder."""
-    schema = T.StructType([T.StructField("id", docs.schema[doc_id].dataType), T.StructField("ids", T.BinaryType())])
+    """A table in the shared folder: (id, ids) of every document, ids as stored bytes; and rows with only (term, n), how many documents of a batch have a
+    term, or as terms -1 and -2 how many documents and ids there are."""
+    schema = T.StructType([T.StructField("id", docs.schema[doc_id].dataType), T.StructField("ids", T.BinaryType()), T.StructField("term", T.LongType()), T.StructField("n", T.LongType())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, total = np.zeros(1 << 16, np.int64), 0, 0
+        kind = None
         for batch in batches:
+            kind = batch.column(0).type
             for lo, hi, _, _ in tb.chunks(batch.column(1)):
                 part = batch.slice(lo, hi - lo)
                 found = [token_ids(x, folder).astype(STORED).tobytes() for x in part.column(1).to_pylist()]
-                yield pa.record_batch([part.column(0), pa.array(found, pa.binary())], names=schema.names)
+                found = pa.array(found, pa.binary())
+                ids, bounds = _tokens(found)
+                df += np.bincount(_terms(ids, bounds)[1], minlength=1 << 16)
+                n, total = n + hi - lo, total + len(ids)
+                yield pa.record_batch([part.column(0), found, pa.nulls(hi - lo, pa.int64()), pa.nulls(hi - lo, pa.int64())], names=schema.names)
+        if n:
+            some = np.flatnonzero(df)
+            rows = len(some) + 2
+            yield pa.record_batch([pa.nulls(rows, kind), pa.nulls(rows, pa.binary()), pa.array(np.append(some, [-1, -2])), pa.array(np.append(df[some], [n, total]))], names=schema.names)
 
     return stage_table(docs.select(doc_id, text).mapInArrow(encode, schema), "tokens")
 
 
 def corpus_of(tokens: DataFrame) -> Corpus:
     """Counted over all documents; the driver gets a row for each id of the vocabulary that occurs, and two more."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n, total = np.zeros(1 << 16, np.int64), 0, 0
-        for batch in batches:
-            for ids in _tokens(batch.column(0)):
-                df[np.unique(ids)] += 1
-                n, total = n + 1, total + len(ids)
-        some = np.flatnonzero(df)
-        yield pa.record_batch([pa.array(np.append(some, [-1, -2])), pa.array(np.append(df[some], [n, total]))], names=["term", "n"])
-
-    rows = tokens.select("ids").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    rows = tokens.where(F.col("term").isNotNull()).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     found = dict(zip(rows["term"].to_pylist(), rows["n"].to_pylist(), strict=True))
     df = np.zeros(1 << 16, np.int64)
     n, total = found.pop(-1, 0), found.pop(-2, 0)
@@ -250,11 +262,12 @@ def corpus_of(tokens: DataFrame) -> Corpus:
     return Corpus(n, total / max(n, 1), df)
 
 
-def route(ids: np.ndarray, corpus: Corpus) -> int:
-    """The rarest term that another document has too, the smallest of equals; the closing token if there is none."""
-    terms = np.unique(ids)
-    terms = terms[corpus.df[terms] > 1]
-    return int(terms[np.argmin(corpus.df[terms])]) if len(terms) else CLOSING
+def routes(ids: np.ndarray, bounds: np.ndarray, corpus: Corpus) -> np.ndarray:
+    """Each document's rarest term that another document has too, the smallest of equals; the closing token if there is none."""
+    doc, term = _terms(ids, bounds)
+    rank = np.where(corpus.df[term] > 1, (corpus.df[term] << 16) | term, np.iinfo(np.int64).max)
+    least = np.minimum.reduceat(rank, np.searchsorted(doc, np.arange(len(bounds) - 1))) if len(doc) else rank
+    return np.where(least == np.iinfo(np.int64).max, CLOSING, least & 0xFFFF)
 
 
 def shard_plan(sizes: dict[int, int], target: int = SHARD_TOKENS) -> tuple[np.ndarray, np.ndarray]:
@@ -279,8 +292,8 @@ def routed(tokens: DataFrame, corpus: Corpus) -> DataFrame:
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for ids in _tokens(batch.column(0)):
-                total[route(ids, shared.value)] += len(ids)
+            ids, bounds = _tokens(batch.column(0))
+            np.add.at(total, routes(ids, bounds, shared.value), np.diff(bounds))
         some = np.flatnonzero(total)
         yield pa.record_batch([pa.array(some), pa.array(total[some])], names=["route", "n"])
 
@@ -293,13 +306,12 @@ def routed(tokens: DataFrame, corpus: Corpus) -> DataFrame:
         first, wide = plan.value
         row = TaskContext.get().partitionId()
         for batch in batches:
-            shard = np.empty(batch.num_rows, np.int64)
-            for k, ids in enumerate(_tokens(batch.column(1))):
-                term = route(ids, shared.value)
-                shard[k], row = first[term] + row % wide[term], row + 1
+            route = routes(*_tokens(batch.column(1)), shared.value)
+            shard = first[route] + (row + np.arange(len(route))) % wide[route]
+            row += len(route)
             yield pa.record_batch([pa.array(shard), *batch.columns], names=["shard", "id", "ids"])
 
-    dealt = tokens.select("id", "ids").mapInArrow(deal, T.StructType([T.StructField("shard", T.LongType()), *tokens.schema.fields]))
+    dealt = tokens.select("id", "ids").mapInArrow(deal, T.StructType([T.StructField("shard", T.LongType()), *tokens.schema.fields[:2]]))
     return dealt.repartition(min(shards, MOST_PARTITIONS), "shard").sortWithinPartitions("shard")
 
 
@@ -335,7 +347,9 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         block: list[np.ndarray] = []
         for batch in batches:
             kind = batch.column(1).type
-            for shard, key, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _tokens(batch.column(2)), strict=True):
+            every, bounds = _tokens(batch.column(2))
+            for k, (shard, key) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                ids = every[bounds[k] : bounds[k + 1]]
                 if block and (shard != now or size + len(ids) > 2 * SHARD_TOKENS):
                     packer.take(row - len(block), block, out := [])
                     yield rows(out)
@@ -355,4 +369,4 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     if not corpus.n:
         return docs.sparkSession.createDataFrame([], schema)
-    return routed(tokens, corpus).mapInArrow(pack, schema)
+    return routed(tokens.where(F.col("ids").isNotNull()), corpus).mapInArrow(pack, schema)
