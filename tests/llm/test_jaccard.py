@@ -57,11 +57,42 @@ def test_other_ways_agree(spark, monkeypatch):
     """With the filters as joins, many small fragments and no first rounds, the components are the same."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     want = got(jaccard_join.jaccard_components(docs))
-    for name, value in (("BROADCAST_NODES", 0), ("FRAGMENT_ROWS", 500), ("PAIR_ROWS", 50), ("ROUNDS", 0)):
+    for name, value in (("BROADCAST_NODES", 0), ("FRAGMENT_ROWS", 500), ("PAIR_ROWS", 50), ("ROUNDS", 0), ("LONG_LIST", 3), ("HOT_CLASS", 2)):
         monkeypatch.setattr(jaccard_join, name, value)
     assert got(jaccard_join.jaccard_components(docs)) == want == brute([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_sizes_at_the_bound(spark):
+    """Sets that link with exactly three quarters, of all sizes: bins of sizes lose none."""
+    rng = random.Random(4)
+    rows = []
+    for n in range(3, 90, 3):
+        words = [f"x{rng.random()}" for _ in range(4 * n + 4)]
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(words[: 3 * n + 4]))]
+    found = got(jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    assert found == brute(rows) and all(c == k - k % 2 for k, _, c in found)
+
+
+def test_long_lists_in_bands(spark, monkeypatch):
+    """Documents that share a passage of half their words, some of them near copies: one list has them all."""
+    monkeypatch.setattr(jaccard_join, "LONG_LIST", 7)
+    monkeypatch.setattr(jaccard_join, "ORDER_ROWS", 0)
+    rng = random.Random(9)
+    passage = " ".join(f"p{k}" for k in range(30))
+    own = [" ".join(f"q{rng.randint(0, 10**6)}" for _ in range(rng.randint(5, 40))) for _ in range(25)]
+    rows = [(k, f"{passage} {own[k % 25]}{' more' * (k // 25)}") for k in range(60)]
+    assert got(jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))) == brute(rows)
+
+
+def test_the_cut_follows_the_order():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    keys = np.sort((rng.integers(0, 64, 5000).astype(np.uint64) << np.uint64(58)) | rng.integers(0, 1 << 58, 5000).astype(np.uint64))
+    piece = jaccard_join.Cut(np.arange(64.0), 13).of(keys)
+    assert (np.diff(piece) >= 0).all() and set(piece) == set(range(13))
+
+
 def test_edges(edge, empty):
     rows = jaccard_join.jaccard_components(edge).collect()
     assert len(rows) == edge.count()

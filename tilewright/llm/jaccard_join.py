@@ -5,7 +5,8 @@ often), and orders equals by hash; any order that all documents share keeps the
 sets are one class and go through the join once.
 
 1. Prefixes: two sets with Jaccard similarity t share LEAST of the first n - ceil(t n) + LEAST shingles in the order, or all they share if those are
-   fewer. Prefixes go to fragments, ranges of the order, and each fragment lists the shingles that two classes or more have in their prefixes.
+   fewer. The order is cut into fragments, ranges of about equally many shingles; prefixes go to them, and each fragment lists the shingles that two
+   classes or more have in their prefixes.
 2. Counting: the order is cut into SEGMENTS; each class's set is cut likewise, the overlap of a pair is counted in each segment apart, and summed by pair.
    Of tokens up to the smaller of two prefixes' ends all common ones are in both prefixes; so a pair can only link if its prefixes share
    o - max(n - p) shingles, where o is the overlap that a link needs and n - p what a prefix leaves out: some 40 percent of a prefix for equal sizes.
@@ -14,8 +15,17 @@ sets are one class and go through the join once.
    prefix shingles, counted by fragment and summed by pair, are enough is compared. Pairs within a component need no comparison: the components are
    what is asked for. No link between components is lost, and a group of near copies costs no square of its size.
 
+Hot keys: copies are one class from the first aggregate on; documents meet their class's component in a join that sends the classes, or the hot ones if
+there are too many, to the documents. Pairs are sought among classes of like size only, and a list of over LONG_LIST classes is cut into bands, each
+pair of bands being a task's work.
+
+Identity of sets rests on 64-bit keys: among 10^9 different sets 0.03 pairs are expected to share a key, among 10^10 some 3. Of shingles' 58 bits a
+collision changes a count by one.
+
 Cases: null or empty text, or text of white space, has an empty set and links with nothing; texts of fewer words than a shingle have one shingle of all
-their words; equal sets link; repeated rows share their class; an empty table gives an empty result; ties in size and order fall by hash.
+their words; equal sets link; repeated rows share their class; an empty table gives an empty result; ties in size and order fall by hash; documents with
+a null id link like others, and a component of such alone has a null component_id; other columns are not read, whatever their names. A text of many
+megabytes is read in one piece, some 20 bytes of memory a byte.
 """
 
 from __future__ import annotations
@@ -31,7 +41,7 @@ from pyspark.sql import types as T
 
 from tilewright.llm import textbatch as tb
 from tilewright.llm.components import connected_components
-from tilewright.llm.shared import drop_table, stage_table
+from tilewright.llm.shared import drop_table, row_key, stage_table
 
 WIDTH = 5
 PERCENT = 75
@@ -46,6 +56,12 @@ FRAGMENT_ROWS = 1 << 18
 PAIR_ROWS = 1 << 19
 #: Rows of a list that are paired at once.
 SQUARE = 64
+#: Classes of a list in one band.
+LONG_LIST = 4096
+#: Sizes of classes that may link lie in the same bin or the next.
+SIZE_STEP = 100 / PERCENT * 1.005
+#: Documents of a class from which it is hot; there are at most 1 / HOT_CLASS as many of such classes as documents.
+HOT_CLASS = 1000
 #: Recurring shingles kept for the order, the most frequent; the table is sent to the tasks. The order need not be by exact counts.
 ORDER_ROWS = 1 << 19
 #: Ids that are broadcast to pick out documents; beyond that the join shuffles.
@@ -116,9 +132,29 @@ class Order:
         return (rank << np.uint64(HASH_BITS)) | shingle
 
 
+class Cut:
+    """Ranges of the order of about equally many shingles: a growing function of (rarity class, hash). weights: shingles of each rarity class."""
+
+    def __init__(self, weights: np.ndarray, pieces: int):
+        share = (weights + 1.0) / (weights + 1.0).sum()
+        self.start, self.share, self.pieces = np.concatenate(([0.0], np.cumsum(share)[:-1])), share, pieces
+
+    def of(self, key: np.ndarray) -> np.ndarray:
+        rank = (key >> np.uint64(HASH_BITS)).astype(np.int64)
+        at = self.start[rank] + self.share[rank] * ((key & _LOW).astype(np.float64) / float(1 << HASH_BITS))
+        return np.minimum((at * self.pieces).astype(np.int64), self.pieces - 1)
+
+    def column(self, h: str):
+        rank = F.shiftrightunsigned(h, HASH_BITS).cast("int") + 1
+        start, share = (F.element_at(F.array(*[F.lit(float(x)) for x in v]), rank) for v in (self.start, self.share))
+        at = start + share * (F.col(h).bitwiseAND((1 << HASH_BITS) - 1) / float(1 << HASH_BITS))
+        return F.least(F.floor(at * self.pieces), F.lit(self.pieces - 1))
+
+
 def document_sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """A row (id, n, node) for each document; and rows with only (seen, times): shingles that a block has in two or more of its distinct sets."""
-    schema = T.StructType([docs.schema[doc_id], T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("seen", T.LongType()), T.StructField("times", T.LongType())])
+    """A row (id, n, node, row) for each document, row being the key of its id and text; and rows with only (seen, times): shingles that a block has in two
+    or more of its distinct sets."""
+    schema = T.StructType([docs.schema[doc_id], *[T.StructField(c, T.LongType()) for c in ("n", "node", "row", "seen", "times")]])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, at in _blocks(batches, 1):
@@ -129,15 +165,15 @@ def document_sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             first[np.unique(key, return_index=True)[1]] = True
             shingles, times = np.unique(shingle[first[owner]], return_counts=True)
             some = times > 1
-            yield pa.record_batch([part.column(0), pa.array(size), pa.array(key), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())], names=schema.names)
+            yield pa.record_batch([part.column(0), pa.array(size), pa.array(key), part.column(2), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())], names=schema.names)
             more = int(some.sum())
             if more:
-                yield pa.record_batch([pa.nulls(more, part.column(0).type), pa.nulls(more, pa.int64()), pa.nulls(more, pa.int64()), pa.array(shingles[some].view(np.int64)), pa.array(times[some])], names=schema.names)
+                yield pa.record_batch([pa.nulls(more, part.column(0).type), pa.nulls(more, pa.int64()), pa.nulls(more, pa.int64()), pa.nulls(more, pa.int64()), pa.array(shingles[some].view(np.int64)), pa.array(times[some])], names=schema.names)
 
-    return docs.select(doc_id, text).mapInArrow(sets, schema)
+    return docs.select(doc_id, text, row_key(doc_id, text)).mapInArrow(sets, schema)
 
 
-def prefix_lists(docs: DataFrame, text: str, order, fragments: int) -> DataFrame:
+def prefix_lists(docs: DataFrame, text: str, order, cut: Cut) -> DataFrame:
     """(fragment, h, node, n, pos, others): postings of prefixes, of shingles that two classes or more have, and how many others have each."""
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,10 +190,9 @@ def prefix_lists(docs: DataFrame, text: str, order, fragments: int) -> DataFrame
             pos = np.arange(len(owner)) - bounds[owner]
             use = pos < prefix_size(n)[owner]
             owner, key, pos = owner[use], key[use], pos[use]
-            where = (key & _LOW).astype(np.float64) * (fragments / float(1 << HASH_BITS))
-            fragment = np.minimum(where.astype(np.int64), fragments - 1)
+            fragment = cut.of(key)
             ranked = np.argsort(fragment, kind="stable")
-            edges = np.searchsorted(fragment[ranked], np.arange(fragments + 1))
+            edges = np.searchsorted(fragment[ranked], np.arange(cut.pieces + 1))
             out = []
             for f in np.flatnonzero(np.diff(edges)):
                 mine = ranked[edges[f] : edges[f + 1]]
@@ -188,30 +223,25 @@ def prefix_lists(docs: DataFrame, text: str, order, fragments: int) -> DataFrame
     return parts.groupBy("fragment").applyInArrow(lists, "fragment int, h bigint, node bigint, n bigint, pos bigint, others bigint")
 
 
-def class_segments(docs: DataFrame, text: str) -> DataFrame:
-    """(node, n, segment, shingles): the sorted shingles of each class of the documents by segment of the order."""
+def class_segments(docs: DataFrame, text: str, order, cut: Cut) -> DataFrame:
+    """(node, n, segment, shingles): the shingles of each class of the documents by segment of the order, sorted in it."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, at in _blocks(batches, 0):
             owner, shingle = shingle_sets(data, at)
             n, node = set_keys(owner, shingle, len(at) - 1)
-            use = np.zeros(len(n), bool)
-            use[np.unique(node, return_index=True)[1]] = True
-            bounds = np.searchsorted(owner, np.arange(len(n) + 1))
-            step = np.uint64((1 << HASH_BITS) // SEGMENTS)
-            nodes, sizes, segments, blobs = [], [], [], []
-            for k in np.flatnonzero(use & (n > 0)):
-                mine = shingle[bounds[k] : bounds[k + 1]]
-                edges = np.searchsorted(mine, np.arange(SEGMENTS, dtype=np.uint64) * step)
-                for s, (lo, hi) in enumerate(zip(edges, np.append(edges[1:], len(mine)), strict=True)):
-                    if hi > lo:
-                        nodes.append(node[k])
-                        sizes.append(n[k])
-                        segments.append(s)
-                        blobs.append(mine[lo:hi].tobytes())
-            yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(segments, pa.int32()), pa.array(blobs, pa.binary())], names=["node", "n", "segment", "shingles"])
-
-    return docs.select(text).mapInArrow(cut, "node bigint, n bigint, segment int, shingles binary").dropDuplicates(["node", "segment"])
+            first = np.zeros(len(n), bool)
+            first[np.unique(node, return_index=True)[1]] = True
+            use = first[owner]
+            owner, key = owner[use], order.value.keys(shingle[use])
+            segment = cut.of(key)
+            ranked = np.lexsort((key, segment, owner))
+            owner, key, segment = owner[ranked], key[ranked], segment[ranked]
+            edges = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (segment[1:] != segment[:-1])))) if len(key) else np.zeros(0, np.int64)
+            blobs = [key[lo:hi].tobytes() for lo, hi in zip(edges, np.append(edges[1:], len(key)), strict=True)]
+            yield pa.record_batch([pa.array(node[owner[edges]]), pa.array(n[owner[edges]]), pa.array(segment[edges].astype(np.int32)), pa.array(blobs, pa.binary())], names=["node", "n", "segment", "shingles"])
+
+    return docs.select(text).mapInArrow(parts, "node bigint, n bigint, segment int, shingles binary").dropDuplicates(["node", "segment"])
 
 
 def linked(pairs: DataFrame, segments: DataFrame) -> DataFrame:
@@ -268,24 +298,31 @@ def best_partners(candidates: DataFrame, labels: DataFrame | None, tested: DataF
     return best.select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")).distinct()
 
 
-def cross_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
+def cross_pairs(lists: DataFrame, labels: DataFrame, weights: np.ndarray) -> DataFrame:
     """(u, v) of classes of different components whose sizes, positions and shared prefix shingles allow a link.
 
-    The lists that are left, those with several components, are dealt to fragments anew, ranges of the order of about PAIR_ROWS postings. A fragment
-    counts the shared shingles of its pairs, and passes on those that could still reach the bound with what both have in other fragments.
+    The lists that are left, those with several components, are dealt to fragments of the order anew, of about PAIR_ROWS postings, and in these by size: a
+    class is at home in its bin of sizes and visits the bin below, so that it meets all that are not too small for it. Lists that are long are dealt
+    apart, by pairs of bands. A task counts the shared shingles of its pairs, and passes on those that could still reach the bound with what both
+    have in other tasks.
     """
     known = lists.select("h", "node", "n", "pos").join(labels, "node", "left").select("h", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
-    mixed = known.groupBy("h").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("h")
-    rows = stage_table(known.join(mixed, "h", "left_semi"), "mixed")
-    fragments = max(1, math.ceil(rows.count() / PAIR_ROWS))
-    place = F.floor(F.col("h").bitwiseAND((1 << HASH_BITS) - 1) * (fragments / float(1 << HASH_BITS)))
+    mixed = known.groupBy("h").agg((F.min("label") != F.max("label")).alias("mixed"), F.count("*").alias("length")).where("mixed").select("h", "length")
+    rows = stage_table(known.join(mixed, "h"), "mixed")
+    cut = Cut(weights, max(1, math.ceil(rows.count() / PAIR_ROWS)))
     listed = rows.groupBy("node").agg(F.count("*").alias("listed"))
-    dealt = rows.join(listed, "node").withColumn("fragment", F.least(place, F.lit(fragments - 1)).cast("int"))
+    size_bin = F.floor(F.log(F.col("n").cast("double")) / math.log(SIZE_STEP)).cast("int")
+    bands = F.ceil(F.col("length") / LONG_LIST).cast("int")
+    dealt = rows.join(listed, "node").withColumn("bands", bands).withColumn("band", F.pmod("node", "bands").cast("int")).withColumn("place", F.when(F.col("bands") > 1, F.col("h")).otherwise(cut.column("h")))
+    dealt = dealt.select("*", F.explode(F.array(F.struct(size_bin.alias("bin"), F.lit(True).alias("home")), F.struct((size_bin - 1).alias("bin"), F.lit(False).alias("home")))).alias("s")).select("*", "s.bin", "s.home")
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("bands") - 1)).alias("other")).withColumn("low", F.least("band", "other")).withColumn("high", F.greatest("band", "other"))
 
     def pairs(table: pa.Table) -> pa.Table:
-        h, node, n, pos, label, total = (table[c].to_numpy() for c in ("h", "node", "n", "pos", "label", "listed"))
-        ranked = np.lexsort((n, h))
-        h, node, n, pos, label, total = (x[ranked] for x in (h, node, n, pos, label, total))
+        h, node, n, pos, label, total, band = (table[c].to_numpy() for c in ("h", "node", "n", "pos", "label", "listed", "band"))
+        home = table["home"].to_numpy(zero_copy_only=False)
+        one_band = table["low"][0].as_py() == table["high"][0].as_py()
+        ranked = np.lexsort((~home, n, h))
+        h, node, n, pos, label, total, band, home = (x[ranked] for x in (h, node, n, pos, label, total, band, home))
         keys, first, here, own_rows = np.unique(node, return_index=True, return_inverse=True, return_counts=True)
         elsewhere = (total[first] - own_rows)[here]
         head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
@@ -293,11 +330,13 @@ def cross_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
         counted = np.zeros((0, 6), np.int64)
         held = 0
         for lo, hi in zip(head, np.append(head[1:], len(h)), strict=True):
-            m, p, own, group, more = n[lo:hi], pos[lo:hi], node[lo:hi], label[lo:hi], elsewhere[lo:hi]
+            m, p, own, group, more, side, at_home = n[lo:hi], pos[lo:hi], node[lo:hi], label[lo:hi], elsewhere[lo:hi], band[lo:hi], home[lo:hi]
             for first_row in range(0, hi - lo - 1, SQUARE):  # a long list in bands of rows, each with all rows after it
                 band = np.arange(first_row, min(first_row + SQUARE, hi - lo - 1))
                 i, j = (x.ravel() for x in np.meshgrid(band, np.arange(first_row + 1, hi - lo), indexing="ij"))
-                fit = (j > i) & (PERCENT * m[j] <= 100 * m[i]) & (group[i] != group[j])
+                fit = (j > i) & at_home[i] & (PERCENT * m[j] <= 100 * m[i]) & (group[i] != group[j])
+                if not one_band:
+                    fit &= side[i] != side[j]
                 i, j = i[fit], j[fit]
                 most = np.minimum(p[i], p[j]) + np.minimum(m[i] - p[i], m[j] - p[j])
                 fit = (100 + PERCENT) * most >= PERCENT * (m[i] + m[j])
@@ -315,7 +354,7 @@ def cross_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
         counted = counted[counted[:, 5] + counted[:, 4] >= need]
         return pa.table([pa.array(counted[:, k]) for k in (0, 1, 2, 3, 5)], names=["u", "v", "n_u", "n_v", "k"])
 
-    each = dealt.groupBy("fragment").applyInArrow(pairs, "u bigint, v bigint, n_u bigint, n_v bigint, k bigint")
+    each = dealt.select("h", "node", "n", "pos", "label", "listed", "band", "home", "bands", "place", "bin", "low", "high").groupBy("bands", "place", "bin", "low", "high").applyInArrow(pairs, "u bigint, v bigint, n_u bigint, n_v bigint, k bigint")
     return each.groupBy("u", "v", "n_u", "n_v").agg(F.sum("k").alias("k")).where(can_link(F.col("n_u"), F.col("n_v"), F.col("k"))).select("u", "v")
 
 
@@ -330,34 +369,51 @@ def _tally(counted: np.ndarray, found: list[tuple[np.ndarray, ...]]) -> np.ndarr
     return np.column_stack((rows[head, :5], np.add.reduceat(rows[:, 5], head)))
 
 
-def segments_of(nodes: DataFrame, own: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def segments_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, order, cut: Cut) -> DataFrame:
     """The segments of the given classes: one document of each is read again. Their ids are broadcast if they are counted and few, else joined."""
-    ids = stage_table(own.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(doc_id).alias("id")).select("id").distinct(), "ids")
+    ids = stage_table(classes.join(nodes, "node", "left_semi").select(F.col("least").alias("id")).distinct(), "ids")
     n = ids.count()
     picked = docs.join(F.broadcast(ids) if n <= BROADCAST_NODES else ids, docs[doc_id].eqNullSafe(ids["id"]), "left_semi")
-    return stage_table(class_segments(picked, text), "segments")
+    return stage_table(class_segments(picked, text, order, cut), "segments")
 
 
 def nodes_of(pairs: DataFrame, u: str, v: str) -> DataFrame:
     return pairs.select(F.explode(F.array(u, v)).alias("node")).distinct()
 
 
+def with_components(own: DataFrame, known: DataFrame) -> DataFrame:
+    """own with the columns of known, which has one row for each class of several documents or with links. Documents aren't dealt by class: known is
+    sent to them if it is counted and small; else its hot classes are, and only the documents of the others are shuffled."""
+    if known.count() <= BROADCAST_NODES:
+        return own.join(F.broadcast(known), "node", "left")
+    hot = known.where(F.col("documents") >= HOT_CLASS).withColumn("hot", F.lit(True))
+    marked = own.join(F.broadcast(hot) if hot.count() <= BROADCAST_NODES else hot, "node", "left")
+    return marked.where("hot").drop("hot").unionByName(own.join(marked.where("hot IS NULL").select("row", "node"), ["row", "node"], "left_semi").join(known, "node", "left"))
+
+
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id that links reach) and node, the key of the document's set."""
+    """doc_id, n_shingles, component_id (the smallest id that links reach), node, the key of the document's set, label, that of its component (null for
+    empty sets), and row, the key of id and text."""
     spark = docs.sparkSession
     sets = stage_table(document_sets(docs, doc_id, text), "sets")
-    own = sets.where(F.col("node").isNotNull())
-    total = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    own = sets.where(F.col("node").isNotNull()).select(doc_id, "n", "node", "row")
+    classes = stage_table(own.where("n > 0").groupBy("node").agg(F.min(doc_id).alias("least"), F.count("*").alias("documents"), F.first("n").alias("n")), "classes")
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     counted = sets.where(F.col("seen").isNotNull()).groupBy("seen").agg(F.sum("times").alias("times"))
     # the least times that at most ORDER_ROWS shingles reach
     histogram = counted.groupBy("times").agg(F.count("*").alias("k")).orderBy(F.desc("times")).limit(ORDER_ROWS).toArrow()
     inside = histogram["times"].to_numpy()[np.cumsum(histogram["k"].to_numpy()) <= ORDER_ROWS]
     top = counted.where(F.col("times") >= int(inside.min())).toArrow() if len(inside) else counted.where("false").toArrow()
-    order = spark.sparkContext.broadcast(Order(top["seen"].to_numpy().view(np.uint64), top["times"].to_numpy()))
+    times = top["times"].to_numpy()
+    ranking = Order(top["seen"].to_numpy().view(np.uint64), times)
+    weights = np.bincount(np.minimum(1 + np.log2(np.maximum(times, 1)).astype(np.int64), 63), times, 64)
+    weights[0] = max(total - weights.sum(), 0)
+    order = spark.sparkContext.broadcast(ranking)
+    segment_cut = Cut(weights, SEGMENTS)
     fragments = max(8, math.ceil(total * (100 - PERCENT) / 100 / FRAGMENT_ROWS))
-    lists = stage_table(prefix_lists(docs, text, order, fragments), "lists")
+    lists = stage_table(prefix_lists(docs, text, order, Cut(weights, fragments)), "lists")
     candidates = stage_table(leader_pairs(lists), "candidates")
-    segments = segments_of(nodes_of(candidates, "node", "leader"), own, docs, doc_id, text)
+    segments = segments_of(nodes_of(candidates, "node", "leader"), classes, docs, doc_id, text, order, segment_cut)
     links = labels = tested = None
     for _ in range(ROUNDS):
         asked = stage_table(best_partners(candidates, labels, tested), "partners")
@@ -370,14 +426,18 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     drop_table(segments)
     if labels is None:
         labels, links = (spark.createDataFrame([], t) for t in ("node bigint, label bigint", "u bigint, v bigint"))
-    pairs = stage_table(cross_pairs(lists, labels), "pairs")
+    pairs = stage_table(cross_pairs(lists, labels, weights), "pairs")
     drop_table(lists)
-    segments = segments_of(nodes_of(pairs, "u", "v"), own, docs, doc_id, text)
+    segments = segments_of(nodes_of(pairs, "u", "v"), classes, docs, doc_id, text, order, segment_cut)
     links = links.unionByName(stage_table(linked(pairs, segments), "links"))
     drop_table(segments)
     labels = connected_components(links)
 
-    classes = own.where("n > 0").groupBy("node").agg(F.min(doc_id).alias("least")).join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
-    roots = classes.groupBy("label").agg(F.min("least").alias("component_id"))
-    known = stage_table(classes.join(roots, "label").select("node", "component_id"), "components")
-    return own.join(known, "node", "left").select(doc_id, F.col("n").alias("n_shingles"), F.coalesce("component_id", F.col(doc_id)).alias("component_id"), "node")
+    labelled = classes.join(labels, "node", "left").select("node", "documents", "least", F.col("label").isNotNull().alias("linked"), F.coalesce("label", "node").alias("label"))
+    roots = labelled.where("linked").groupBy("label").agg(F.min("least").alias("root"))
+    some = labelled.where("linked OR documents > 1").join(roots, "label", "left")
+    known = stage_table(some.select("node", "documents", "label", F.when(F.col("linked"), F.col("root")).otherwise(F.col("least")).alias("component_id")), "components")
+    alone = F.col("component_id").isNull() & F.col("documents").isNull()
+    return with_components(own, known).select(
+        doc_id, F.col("n").alias("n_shingles"), F.when(alone, F.col(doc_id)).otherwise(F.col("component_id")).alias("component_id"), "node", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"), "row"
+    )

@@ -50,7 +50,7 @@ def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_vertical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents")).drop("node")
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents")).drop("node", "label", "row")
 
 
 def op5_surrogate_generation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests), kept with the context."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session (tests) gets a temporary one, kept with the
+    context; on a cluster that is an error, as executors would write to their own disks."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = getattr(context, "_tilewright_shared", None)
         if not found:
             found = context._tilewright_shared = tempfile.mkdtemp(prefix="tilewright-stages-")
@@ -27,16 +30,32 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back, which cuts its lineage: a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stages/{name}-{uuid.uuid4().hex}"
+    tables(spark).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables(spark: SparkSession) -> list[str]:
+    """The folders of the stage tables of this context that weren't removed, in the order of their making."""
+    context = spark.sparkContext
+    if not hasattr(context, "_tilewright_tables"):
+        context._tilewright_tables = []
+    return context._tilewright_tables
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Remove stage tables that nothing reads any more."""
+    for path in paths:
+        tables(spark).remove(path)
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop_table(df: DataFrame) -> None:
-    """Remove the files of a stage table that nothing reads any more."""
+    """Remove the stage table that df is."""
     spark = df.sparkSession
     for name in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        drop_tables(spark, [t for t in tables(spark) if t.rsplit("/", 1)[-1] == name.rsplit("/", 2)[-2]])
 
 
 def crc_mod(doc_id: Column | str, mod: int) -> Column:
