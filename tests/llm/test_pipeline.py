@@ -20,7 +20,7 @@ def test_pipeline_against_plain_stages(spark):
     kept = [(k, t) for k, t in kept if first[k] == k]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     kept = [(k, t) for k, t in kept if not contamination(t, items)[4]]
-    new = {r.doc_id: r.text for r in surrogates.pseudonymize(spark.createDataFrame(kept, "doc_id long, text string")).collect()}
+    new = {r.doc_id: r.text for r in surrogates.pseudonymize(spark.createDataFrame(kept, "doc_id long, text string"), surrogates.TEST_KEY).collect()}
     pieces = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in pieces} == set(new)
     covered = collections.Counter()
@@ -31,6 +31,32 @@ def test_pipeline_against_plain_stages(spark):
     assert all(covered[k] == len(packing.token_ids(t)) for k, t in new.items())
 
 
+def test_no_text_is_lost(spark):
+    """Rows that share an id, or have none, are judged by their texts; unknown columns pass."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    rows = [(1, a, 1), (5, a, 2), (5, b, 3), (None, c, 4), (None, c, 5), (7, d, 6), (None, d, 7), (8, None, 8), (9, "", 9), (9, "", 9), (None, a + " z", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label long").repartition(3)
+    out = corpus_pipeline.near_duplicates(spark, docs, SF)
+    got = sorted((str(r.doc_id), str(r.text)) for r in out.collect())
+    assert out.columns == docs.columns and got == sorted([("1", a), ("5", b), ("None", c), ("7", d), ("8", "None"), ("9", "")])
+
+
+def test_unknown_columns_pass(spark):
+    text = " ".join("the cat and dog of that house went to see it with more friends".split() * 1) + " " + " ".join(f"word{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, text, 5, "x", 2), (2, "short", 6, "y", 3)], "doc_id long, text string, n_words int, kept string, row_key int")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and [tuple(r)[2:] for r in out.where("doc_id = 1").collect()] == [(5, "x", 2)]
+
+
+def test_stage_tables_go(spark):
+    from tilewright.llm import shared
+
+    before = list(shared.tables(spark))
+    corpus_pipeline.run(spark, SF)
+    assert len(shared.tables(spark)) == len(before) + 1
+
+
 def test_stages_keep_the_columns_and_bear_edges(spark, edge, empty):
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     for docs in (edge.select(columns), empty):
