@@ -1,23 +1,27 @@
 """Quality rules by distribution divergence.
 
-Each document gets two histograms: code points by character class and words by a list of common words per language. Both are compared with
-references, one per value of `lang`, by Jensen-Shannon distance (base 2, square root: 0 equal, 1 disjoint). The references are the summed
-histograms of every document of that language, so they follow the corpus. A document is judged against the reference nearest to it (the sum of
-both distances), whatever its own `lang` says, and rejected if the class distance or the sum is over its threshold. Texts below the minimum lengths are too short for a stable histogram, and the rule passes them.
-
-Cases: null text counts as empty (no words, fails the base rule); a null `lang` joins no reference but is judged against all; an empty table gives
-an empty result; repeated rows are judged one by one and equally; without any reference the divergence columns are null and the rule passes.
-Columns of the input that clash with a computed one are replaced by it.
+Each document gets two histograms: code points by character class, and words by the common words of all languages (one bin more for all other words).
+The common words of a language are the COMMON_WORDS most frequent of all its documents. Both histograms are compared with references, one for
+each value of `lang`, by Jensen-Shannon distance (base 2, square root: 0 equal, 1 disjoint). The references are the summed histograms of every
+document of that language, so they follow the corpus. A document is judged against the reference nearest to it (the sum of both distances), whatever its own
+`lang` says, and rejected if the class distance or the sum is over its threshold. Texts below the minimum lengths are too short for a stable
+histogram, and the rule passes them.
+
+The driver gets the common words and a reference of some hundred numbers for each language; words are counted in a shuffle.
+
+Cases: null text counts as empty (no words, fails the base rule); a null `lang` joins no reference but is judged against all; of equally near references
+the one that sorts first is taken; equally frequent words rank by their bytes; an empty table gives an empty result; repeated rows are judged one by one and
+equally; without any reference the divergence columns are null and the rule passes. Columns of the input that clash with a computed one are
+replaced by it. A text of many megabytes is read in one piece, some 20 bytes of memory a byte.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,15 +30,6 @@ from tilewright.llm import textbatch as tb
 
 CLASSES = ("lower", "upper", "digit", "space", "sentence", "symbol", "wide")
 SENTENCE = ".,;:!?'\"()-"
-#: Function words of each language, most frequent first.
-COMMON = {
-    "en": "the of and to in a is that it for was on as with be by at this are or from an have not but which they you",
-    "fr": "de la le et les des en un une du que est pour qui dans par sur au pas plus avec il ce ne se sont aux ou",
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an er hat aus bei",
-    "es": "de la que el en y a los se del las un por con una para es lo al no su como más o sus le ha me si",
-}
-WORDS = tuple(dict.fromkeys(w for text in COMMON.values() for w in text.split()))
-
 #: Production parameters.
 MIN_WORDS_BASE = 10
 MAX_REPEAT_PERCENT = 20
@@ -42,9 +37,11 @@ MIN_CHARS = 200
 MIN_WORDS = 40
 MAX_CLASS_DISTANCE = 0.24
 #: For the sum of both distances.
-MAX_TOTAL_DISTANCE = 0.47
-#: References kept: the languages with the most documents. It bounds what the driver gets to 64 rows of some hundred numbers.
-MAX_REFERENCES = 64
+MAX_TOTAL_DISTANCE = 0.55
+#: Of each language.
+COMMON_WORDS = 24
+#: Distinct words that a task holds before it passes their counts on.
+FLUSH = 1 << 17
 
 
 def _class_table() -> np.ndarray:
@@ -58,29 +55,37 @@ def _class_table() -> np.ndarray:
     return table
 
 
-CLASS_OF = _class_table()
+CLASS_OF = _class_table().astype(np.int8)
+
+
+class Lexicon:
+    """Bins of words: 1 and up in the order of the words, 0 for all others."""
 
+    def __init__(self, words: list[str]):
+        self.words = sorted(words, key=str.encode)
+        listed = tb.Words(*tb.raw(pa.array(self.words, pa.string())))
+        found = listed.hashes()
+        order = np.argsort(found)
+        self.hashes, self.bin = found[order], order + 1
 
-@functools.cache
-def _word_table() -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the common words, and the word of each."""
-    words = tb.Words(*tb.raw(pa.array(WORDS)))
-    found = words.hashes()
-    order = np.argsort(found)
-    return found[order], order
+    def bins(self, lowered: np.ndarray) -> np.ndarray:
+        if not self.words:
+            return np.zeros(len(lowered), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, lowered), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == lowered, self.bin[at], 0)
 
 
-def histograms(words: tb.Words, lowered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of each text by character class, and by common word (the last bin: all other words)."""
+def histograms(words: tb.Words, lowered: np.ndarray, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of each text by character class, and by the lexicon's bins."""
     n = words.n_texts
-    byte_text = np.repeat(np.arange(n), np.diff(words.at))
     wide = len(CLASSES) + 1
-    chars = np.bincount(byte_text * wide + CLASS_OF[words.data], minlength=n * wide).reshape(n, wide)[:, :-1]
-    table, which = _word_table()
-    at = np.minimum(np.searchsorted(table, lowered), len(table) - 1)
-    bins = np.where(table[at] == lowered, which[at], len(WORDS))
-    size = len(WORDS) + 1
-    return chars, np.bincount(words.text_of * size + bins, minlength=n * size).reshape(n, size)
+    chars = np.zeros(n * wide, np.int64)
+    for lo in range(0, len(words.data), tb.PIECE):
+        part = words.data[lo : lo + tb.PIECE]
+        byte_text = np.repeat(np.arange(n), np.diff(np.clip(words.at, lo, lo + len(part))))
+        chars += np.bincount(byte_text * wide + CLASS_OF[part], minlength=n * wide)
+    size = len(lexicon.words) + 1
+    return chars.reshape(n, wide)[:, :-1], np.bincount(words.text_of * size + lexicon.bins(lowered), minlength=n * size).reshape(n, size)
 
 
 def distances(counts: np.ndarray, references: np.ndarray) -> np.ndarray:
@@ -99,17 +104,64 @@ def distances(counts: np.ndarray, references: np.ndarray) -> np.ndarray:
     return out
 
 
-def language_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(language, class counts, word counts) over all documents, most documents first, at most MAX_REFERENCES."""
+def common_words(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[str]:
+    """The COMMON_WORDS most frequent lower-cased words of each language over all documents, as one list."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, dict[int, list]] = {}  # by language, then by hash: a word's bytes and its count
+        held = 0
+
+        def rows() -> pa.RecordBatch:
+            flat = [(name, word, n) for name, own in seen.items() for word, n in own.values()]
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*flat, strict=True) if flat else ((), (), ()), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "word", "n"])
+
+        for batch in batches:
+            names = batch.column(1)
+            for lo, hi, data, at in tb.chunks(batch.column(0)):
+                words = tb.Words(data, at)
+                low = tb.LOWER[data]
+                hashes = tb.span_hashes(low, words.starts, words.ends)
+                codes = names.slice(lo, hi - lo).dictionary_encode()
+                index = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False)[words.text_of]
+                for k, name in enumerate(codes.dictionary.to_pylist()):
+                    mine = np.flatnonzero(index == k)
+                    if name is None or not len(mine):
+                        continue
+                    own = seen.setdefault(name, {})
+                    found, first, times = np.unique(hashes[mine], return_index=True, return_counts=True)
+                    at_word = mine[first]
+                    for h, start, end, n in zip(found.tolist(), words.starts[at_word].tolist(), words.ends[at_word].tolist(), times.tolist(), strict=True):
+                        entry = own.get(h)
+                        if entry is None:
+                            own[h] = [low[start:end].tobytes().decode("utf-8", "replace"), n]
+                            held += 1
+                        else:
+                            entry[1] += n
+                if held > FLUSH:
+                    yield rows()
+                    seen, held = {}, 0
+        yield rows()
+
+    counted = docs.select(F.col(text), F.col(lang).cast("string")).where(F.col(lang).isNotNull()).mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    # a word that is among the most frequent is so within its share of the words
+    share = Window.partitionBy("lang", F.pmod(F.xxhash64("word"), F.lit(64))).orderBy(F.desc("n"), "word")
+    whole = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    best = counted.withColumn("r", F.row_number().over(share)).where(F.col("r") <= COMMON_WORDS).withColumn("r", F.row_number().over(whole)).where(F.col("r") <= COMMON_WORDS)
+    return [r.word for r in best.select("word").distinct().collect()]
+
+
+def language_references(docs: DataFrame, lexicon: Lexicon, text: str = "text", lang: str = "lang") -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """(language, class counts, word counts) over all documents, by language."""
+    size = len(CLASSES) + len(lexicon.words) + 1
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        size = 1 + len(CLASSES) + len(WORDS) + 1
         for batch in batches:
             names = batch.column(1)
             for lo, hi, data, at in tb.chunks(batch.column(0)):
                 words = tb.Words(data, at)
-                row = np.hstack((np.ones((hi - lo, 1), np.int64), *histograms(words, words.hashes(lower=True))))
+                row = np.hstack(histograms(words, words.hashes(lower=True), shared.value))
                 codes = names.slice(lo, hi - lo).dictionary_encode()
                 index = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False)
                 for k, name in enumerate(codes.dictionary.to_pylist()):
@@ -121,12 +173,12 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang")
             [pa.array(np.repeat(np.array(names, object), size) if names else [], pa.string()), pa.array(np.tile(np.arange(size, dtype=np.int32), len(names)), pa.int32()), pa.array(flat, pa.int64())], names=["ref", "bin", "n"]
         )
 
-    sums = docs.select(F.col(text), F.col(lang).cast("string")).mapInArrow(partial, "ref string, bin int, n bigint").groupBy("ref", "bin").agg(F.sum("n").alias("n"))
-    rows = sums.groupBy("ref").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("bins")).orderBy(F.expr("bins[0]").desc(), "ref").limit(MAX_REFERENCES).collect()
+    sums = docs.select(F.col(text), F.col(lang).cast("string")).where(F.col(lang).isNotNull()).mapInArrow(partial, "ref string, bin int, n bigint").groupBy("ref", "bin").agg(F.sum("n").alias("n"))
+    rows = sums.groupBy("ref").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("bins")).orderBy("ref").collect()
     out = []
     for row in rows:
         counts = np.array([row.bins[k] for k in range(len(row.bins))], np.int64)
-        out.append((row.ref, counts[1 : 1 + len(CLASSES)], counts[1 + len(CLASSES) :]))
+        out.append((row.ref, counts[: len(CLASSES)], counts[len(CLASSES) :]))
     return out
 
 
@@ -144,7 +196,9 @@ COLUMNS = T.StructType(
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """All columns of docs, then the counts, base_failed, kept, both distances and the nearest reference's language."""
-    references = language_references(docs, text, lang)
+    lexicon = Lexicon(common_words(docs, text, lang))
+    references = language_references(docs, lexicon, text, lang)
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     names = np.array([r[0] for r in references], object)
     by_class, by_word = (np.array([r[k] for r in references]) for k in (1, 2))
     own = {f.name.lower() for f in COLUMNS}
@@ -157,7 +211,7 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang") -> Da
             for lo, hi, data, at in tb.chunks(batch.column(at_text)):
                 words = tb.Words(data, at)
                 base = docstats.base_counts(words, words.hashes())
-                chars, common = histograms(words, words.hashes(lower=True))
+                chars, common = histograms(words, words.hashes(lower=True), shared.value)
                 failed = (base["n_words"] < MIN_WORDS_BASE) | (100 * base["n_repeat_words"] > MAX_REPEAT_PERCENT * base["n_words"])
                 long_enough = (chars.sum(1) >= MIN_CHARS, base["n_words"] >= MIN_WORDS)
                 if len(names):

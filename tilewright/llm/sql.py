@@ -23,7 +23,6 @@ def quality_rules() -> str:
     parts = {name: f"(length(text) - {count(pattern)})" for name, pattern in classes.items()}
     parts["symbol"] = f"(length(text) - {' - '.join(parts.values())})"
     class_rows = ", ".join(f"{{'bin': {k}, 'n': {parts[name]}::BIGINT}}" for k, name in enumerate(rules.CLASSES))
-    words = ", ".join(f"({k}, {quoted(w)})" for k, w in enumerate(rules.WORDS))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     distance = lambda table, ref: (
         f"""SELECT p.k, q.lang, sqrt(greatest(0, least(1, (sum(CASE WHEN p.p > 0 THEN p.p * log2(p.p / ((p.p + q.p) / 2)) ELSE 0 END)
@@ -43,21 +42,21 @@ counted AS (
     coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(repeated.n, 0)::BIGINT AS n_repeat_words
   FROM base LEFT JOIN lines USING (k) LEFT JOIN repeated USING (k)),
 chars AS (SELECT k, lang, unnest([{class_rows}], recursive := true) FROM docs),
-common(bin, word) AS (VALUES {words}),
-found AS (SELECT k, lang, coalesce(bin, {len(rules.WORDS)}) AS bin, count(*) AS n
-  FROM (SELECT k, lang, unnest(list_transform(w, lambda x: translate(x, '{upper}', '{lower}'))) AS word FROM base) LEFT JOIN common USING (word) GROUP BY ALL),
-bins AS (SELECT unnest(range(0, {len(rules.WORDS) + 1})) AS bin),
+words AS (SELECT k, lang, unnest(list_transform(w, lambda x: translate(x, '{upper}', '{lower}'))) AS word FROM base),
+common AS (SELECT row_number() OVER (ORDER BY word) AS bin, word FROM (SELECT DISTINCT word FROM (
+  SELECT word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS r FROM words WHERE lang IS NOT NULL GROUP BY lang, word) WHERE r <= {rules.COMMON_WORDS})),
+found AS (SELECT k, lang, coalesce(bin, 0) AS bin, count(*) AS n FROM words LEFT JOIN common USING (word) GROUP BY ALL),
+bins AS (SELECT 0 AS bin UNION ALL SELECT bin FROM common),
 texts AS (SELECT DISTINCT k, lang FROM found),
 seen AS (SELECT texts.k, texts.lang, bins.bin, coalesce(found.n, 0) AS n FROM texts CROSS JOIN bins LEFT JOIN found ON found.k = texts.k AND found.bin = bins.bin),
-ranked AS (SELECT lang, row_number() OVER (ORDER BY count(*) DESC, lang) AS r FROM docs WHERE lang IS NOT NULL GROUP BY lang),
-used AS (SELECT lang FROM ranked WHERE r <= {rules.MAX_REFERENCES}),
+used AS (SELECT DISTINCT lang FROM docs WHERE lang IS NOT NULL),
 char_ref AS (SELECT lang, bin, sum(n) / greatest(sum(sum(n)) OVER (PARTITION BY lang), 1) AS p FROM chars JOIN used USING (lang) GROUP BY lang, bin),
 word_ref AS (SELECT lang, bin, sum(n) / greatest(sum(sum(n)) OVER (PARTITION BY lang), 1) AS p FROM seen JOIN used USING (lang) GROUP BY lang, bin),
 char_p AS (SELECT k, bin, n / sum(n) OVER (PARTITION BY k) AS p, sum(n) OVER (PARTITION BY k) AS total FROM chars),
 word_p AS (SELECT k, bin, n / sum(n) OVER (PARTITION BY k) AS p FROM seen),
 char_d AS ({distance('char_p', 'char_ref')}),
 word_d AS ({distance('word_p', 'word_ref')}),
-scored AS (SELECT c.k, c.d AS c, coalesce(w.d, 1) AS w, row_number() OVER (PARTITION BY c.k ORDER BY c.d + coalesce(w.d, 1)) AS r
+scored AS (SELECT c.k, c.d AS c, coalesce(w.d, 1) AS w, row_number() OVER (PARTITION BY c.k ORDER BY c.d + coalesce(w.d, 1), c.lang) AS r
   FROM char_d c LEFT JOIN word_d w ON w.k = c.k AND w.lang = c.lang),
 judged AS (SELECT t.*, n_words < {rules.MIN_WORDS_BASE} OR 100 * n_repeat_words > {rules.MAX_REPEAT_PERCENT} * n_words AS base_failed,
   coalesce(length(text) >= {rules.MIN_CHARS} AND (c > {rules.MAX_CLASS_DISTANCE} OR n_words >= {rules.MIN_WORDS} AND c + w > {rules.MAX_TOTAL_DISTANCE}), false) AS far
@@ -77,7 +76,7 @@ grams AS (SELECT k, size, i, w[i:i + size - 1] AS win FROM (
   SELECT k, size, w, unnest(range(1, len(w) - size + 2)) AS i FROM docs, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size)),
 found AS (SELECT k, i, size, item FROM grams JOIN windows USING (size, win)),
 hits AS (SELECT k, count(DISTINCT i + j) AS n FROM (SELECT DISTINCT k, i, size FROM found) f, range(0, {clean.WINDOW}) r(j) WHERE j < f.size GROUP BY k),
-named AS (SELECT k, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT k, item FROM found) GROUP BY k)
+named AS (SELECT k, count(item) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT k, item FROM found) GROUP BY k)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hits.n, 0)::BIGINT AS n_hit, coalesce(named.n, 0)::BIGINT AS n_items, sha256(coalesce(named.items, '')) AS items_sha256,
   coalesce(hits.n, 0) > 0 AND {clean.HIT_SHARE} * coalesce(hits.n, 0) >= len(w) AS contaminated
 FROM docs LEFT JOIN hits USING (k) LEFT JOIN named USING (k)

@@ -22,6 +22,8 @@ LOWER[65:91] += 32
 LEAD = (np.arange(256) & 0xC0) != 0x80
 
 CHUNK_BYTES = (1 << 20) - 1
+#: Longer texts are worked through in pieces of this size, so that what is held for each byte is bounded; what is held for each word isn't.
+PIECE = 1 << 21
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -40,11 +42,13 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, a bijection of 64-bit values."""
     x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(30)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
+    for lo in range(0, len(x), PIECE):
+        part = x[lo : lo + PIECE]
+        part ^= part >> np.uint64(30)
+        part *= np.uint64(0xBF58476D1CE4E5B9)
+        part ^= part >> np.uint64(27)
+        part *= np.uint64(0x94D049BB133111EB)
+        part ^= part >> np.uint64(31)
     return x
 
 
@@ -116,13 +120,26 @@ class Words:
 
     def per_text(self, mask: np.ndarray) -> np.ndarray:
         """How many bytes of each text the mask marks."""
-        total = np.concatenate(([0], np.cumsum(mask, dtype=np.int64)))
-        return total[self.at[1:]] - total[self.at[:-1]]
+        out = np.zeros(self.n_texts, np.int64)
+        some = np.flatnonzero(np.diff(self.at))
+        if len(some):
+            out[some] = np.add.reduceat(mask.view(np.uint8), self.at[:-1][some], dtype=np.int64)
+        return out
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A mixed 64-bit hash of the bytes of each span; spans are in order and don't overlap."""
     if not len(starts):
         return np.zeros(0, np.uint64)
+    if len(data) > PIECE:
+        out = np.empty(len(starts), np.uint64)
+        lo = 0
+        while lo < len(starts):
+            hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + PIECE, side="right")))
+            first, last = starts[lo], ends[hi - 1]
+            out[lo:hi] = span_hashes(data[first:last], starts[lo:hi] - first, ends[lo:hi] - first) if last - first <= PIECE else _long_hash(data[first:last])
+            lo = hi
+        return out
     power, inverse = _power_tables(len(data) + 1)
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
@@ -130,6 +147,16 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def _long_hash(data: np.ndarray) -> np.ndarray:
+    """The hash of one long span."""
+    total = np.uint64(0)
+    with np.errstate(over="ignore"):
+        for lo in range(0, len(data), PIECE):
+            part = data[lo : lo + PIECE].astype(np.uint64) + np.uint64(1)
+            total += (part * _power_tables(len(part))[0][: len(part)]).sum(dtype=np.uint64) * np.uint64(pow(_BASE, lo, 1 << 64))
+        return mix(np.array([total + np.uint64(len(data)) * np.uint64(0xD6E8FEB86659FD93)], np.uint64))
+
+
 def windows(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, index of its first word) of each k-word window that lies in one text."""
     n = len(hashes) - k + 1
@@ -138,9 +165,11 @@ def windows(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray,
     total = np.zeros(n, np.uint64)
     for j in range(k):
         total += hashes[j : j + n] * np.uint64(pow(_BASE, j + 1, 1 << 64))
-    counts = np.diff(bounds)
-    end = np.repeat(bounds[1:], counts)
-    first = np.flatnonzero(np.arange(len(hashes)) + k <= end)
+    inside = np.ones(len(hashes), bool)
+    for j in range(1, k):  # the last k - 1 words of each text begin no window
+        at = bounds[1:] - j
+        inside[at[at >= bounds[:-1]]] = False
+    first = np.flatnonzero(inside)
     return mix(total[first]), first
 
 
