@@ -14,7 +14,7 @@ def paths(vocab, weights, word):
     if not word:
         return [((), 0.0)]
     out = []
-    for n in range(1, min(len(word), lattice.MAX_PIECE) + 1):
+    for n in range(1, min(len(word), vocab.longest) + 1):
         k = vocab.numbers.get(word[:n])
         if k is not None:
             out += [((k, *rest), weights[k] + w) for rest, w in paths(vocab, weights, word[n:])]
@@ -98,6 +98,54 @@ def test_held_out_scores_beat_the_base(spark):
     assert r.a > r.b
 
 
+def plain_scores(docs, weights, stop):
+    """score by the definition: docs (id, text, lang); the pieces' weights and the end's, by model, as fitted."""
+    vocab = lattice.vocabulary()
+    train = [(t or "", lang) for k, t, lang in docs if zlib.crc32(str(k).encode()) % 5 != 1]
+    langs = [lang for lang, _ in sorted(collections.Counter(lang for _, lang in train).items(), key=lambda x: (-x[1], x[0]))]
+    models = []
+    for k, lang in enumerate([*langs, None]):
+        own = [t for t, other in train if lang in (None, other)]
+        c = collections.Counter(w for t in own for w in t.lower().split())
+        once, twice = (sum(n == m for n in c.values()) for m in (1, 2))
+        d = min(max(once / max(once + 2 * twice, 1) if once else 0.5, 0.05), 0.95)
+        models.append((c, sum(c.values()) + len(own), len(c) + 1, len(own), d, weights[k], stop[k]))
+
+    def word(k, w):
+        c, n, v, _, d, weight, stop = models[k]
+        path = math.exp(lattice.one(vocab, weight, b" " + w.encode())[-1] + stop)
+        rest = d * v / n * path
+        if k < len(langs):
+            rest = d * v / n * 0.5 * (path + word(len(langs), w))
+        return max(c[w] - d, 0) / n + rest
+
+    shares = [0.9 * m[3] / len(train) for m in models[:-1]] + [0.1]
+    out = {}
+    for key, text, _ in docs:
+        each = [math.log10(s) + sum(math.log10(word(k, w)) for w in (text or "").lower().split()) + math.log10((models[k][3] - models[k][4]) / models[k][1]) for k, s in enumerate(shares)]
+        out[key] = max(each) + math.log10(sum(10 ** (e - max(each)) for e in each))
+    return out
+
+
+def made_docs(languages, each):
+    rng = np.random.default_rng(2)
+    return [(k * languages + j, " ".join(f"{chr(97 + j % 26)}{chr(97 + j // 26)}{'xyz'[rng.integers(0, 3)] * rng.integers(1, 4)}" for _ in range(rng.integers(0, 12))), f"l{j:02}") for k in range(each) for j in range(languages)]
+
+
+@pytest.mark.parametrize("languages,each", [(3, 9), (70, 4)])
+def test_scores_by_the_definition(spark, monkeypatch, languages, each):
+    """Every language has a model of its own, 70 as well as three."""
+    docs = made_docs(languages, each)
+    kept = []
+    fit = lm_scoring.fit_pieces
+    monkeypatch.setattr(lm_scoring, "fit_pieces", lambda *a, **b: kept.append(fit(*a, **b)) or kept[-1])
+    monkeypatch.setattr(lm_scoring, "HEAD_TERMS", 20 * languages)
+    got = {r.doc_id: r.score for r in lm_scoring.lm_scores(spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3)).collect()}
+    assert len(kept[0][0]) == languages + 1
+    want = plain_scores(docs, *kept[0])
+    assert all(got[k] == pytest.approx(v, abs=1e-6) for k, v in want.items())
+
+
 def test_no_training_rows_and_no_rows(spark, empty):
     assert lm_scoring.lm_scores(empty).count() == 0
     held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 5 == 1)

@@ -8,14 +8,62 @@ from tilewright.llm import language_id, queries, textbatch, toxicity
 
 
 def test_grams_are_those_of_plain_loops():
-    found = ["Abcab", "", "né", "xx"]
+    found = ["Abcab", "", "né", "xx", "Ünïcode ÉÀ\U0001f600\U0001f601 日本語です Ωμέγα ЖЩ", "plain text again"]
     data, at = textbatch.raw(pa.array(found))
-    text, _ = toxicity.grams(data, at)
+    text, bucket = toxicity.grams(data, at)
     for k, t in enumerate(found):
-        raw = t.lower().encode()
+        one = toxicity.grams(*textbatch.raw(pa.array([t.lower()])))[1]
+        assert bucket[text == k].tolist() == one.tolist()
+        raw = t.lower()
         assert (text == k).sum() == len({raw[i : i + n] for n in toxicity.SIZES for i in range(len(raw) - n + 1)})
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    """Whatever the size of pieces, n-grams, code lengths and letters are those of the whole text."""
+    text = "Ünïcode ÉÀ\U0001f600 日本語です some plain words follow, ΩΜΈΓΑ " * 40
+    data, at = textbatch.raw(pa.array([text]))
+    whole = toxicity.grams(data, at)[1].tolist()
+    counts = []
+    for order in range(language_id.ORDER + 1):
+        wide, where = language_id.folded(data[:300], np.array([0, 300]))
+        keys, n = np.unique(language_id.strings(wide, where, order + 1), return_counts=True)
+        counts.append((keys, np.zeros(len(keys), np.int64), n))
+    trees = language_id.build(["x"], counts)
+    bits = trees.lengths(data, at).tolist()
+    letters = language_id.has_letter(*textbatch.raw(pa.array(["€" * 500 + "日"]))).tolist()
+    for size in (7, 64, 1001):
+        monkeypatch.setattr(language_id, "PIECE", size)
+        assert trees.lengths(data, at).tolist() == bits and language_id.has_letter(*textbatch.raw(pa.array(["€" * 500 + "日"]))).tolist() == letters == [True]
+    for size in (40, 200, 1001):
+        monkeypatch.setattr(textbatch, "PIECE", size)
+        assert toxicity.grams(data, at)[1].tolist() == whole
+
+
+def test_hashes_do_not_depend_on_pieces(monkeypatch):
+    texts = ["a bb " + "c" * 500 + " dd\nee " * 30, "", "x" * 100]
+    words = textbatch.Words(*textbatch.raw(pa.array(texts)))
+    want = words.hashes().tolist()
+    for size in (16, 90, 450):
+        monkeypatch.setattr(textbatch, "PIECE", size)
+        assert words.hashes().tolist() == want
+
+
+def test_regression_reaches_the_optimum(monkeypatch):
+    """The gradient vanishes at the result, and blocks of rows don't change it."""
+    rng = np.random.default_rng(1)
+    rows = [np.flatnonzero(rng.random(30) < 0.3) for _ in range(200)]
+    index, bounds = np.concatenate(rows).astype(np.uint16), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+    scale, y = rng.normal(size=30), (rng.random(200) < 0.4).astype(float)
+    weight = np.where(y == 1, 1.3, 0.8)
+    w, b = toxicity.fit_logistic(bounds, index, scale, y, weight)
+    x = np.array([[scale[j] if j in r else 0 for j in range(30)] for r in map(set, rows)])
+    g = weight * (1 / (1 + np.exp(-(x @ w + b))) - y)
+    assert np.abs(x.T @ g + toxicity.PENALTY * w).max() < 1e-2 and abs(g.sum()) < 1e-2
+    monkeypatch.setattr(toxicity, "BLOCK", 40)
+    again = toxicity.fit_logistic(bounds, index, scale, y, weight)
+    assert np.allclose(again[0], w) and np.isclose(again[1], b)
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     out = queries.QUERIES["op4_char_ngram_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")

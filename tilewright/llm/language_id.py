@@ -5,12 +5,14 @@ symbols are the next bytes. Escape probabilities follow method C (distinct symbo
 bytes are equally likely. The statistics are frozen after training, so the code length of a byte is a function of its last ORDER + 1 bytes, and every
 length that training can tell apart is tabulated. A text's code length is the exact sum over all its bytes; the shortest wins.
 
-Trees are trained for every language that `lang` names, on a bounded sample: about PER_LANGUAGE documents of each, drawn by a hash of the id. Only the
-counts of distinct strings reach the driver. Languages are kept in shards of SHARD_LANGUAGES, as a shard's tables have a column of each of its languages
+Trees are trained for every language that `lang` names, on a bounded sample: about PER_LANGUAGE documents of each and LANGUAGE_BYTES of text, drawn by a
+hash of id and text. Only the counts of distinct strings reach the driver. Languages are kept in shards of SHARD_LANGUAGES, as a shard's tables have a column of each of its languages
 for each string; a language's lengths don't depend on the others of its shard. ASCII letters and those of Latin-1 are lower-cased.
 
 Cases: null text, and text without any letter, is `und` with score 0; a null `lang` is not learned from; with no learned language every text is
-`und`; ties go to the language that sorts first; repeated rows get equal results; an empty table gives an empty result.
+`und`; ties go to the language that sorts first; repeated rows get equal results, and are learned from together or not at all; documents with a null id are
+learned from; an empty table gives an empty result. Other columns are not read, whatever their names. Long texts are worked through in pieces, so
+memory doesn't grow with them beyond their own size.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ from tilewright.llm.shared import held_out
 SPLIT = 3
 ORDER = 4
 PER_LANGUAGE = 300
+LANGUAGE_BYTES = 4 << 20
+#: Bytes of a long text that are worked through at once.
+PIECE = 1 << 20
 SHARD_LANGUAGES = 8
 #: Code lengths are integers in units of 1/UNIT bit, so that sums don't depend on their order.
 UNIT = 1 << 16
@@ -37,6 +42,7 @@ SLOT_BITS = 21
 #: Of a counted string; the language is in the bits above.
 STRING_BITS = 8 * (ORDER + 1)
 
+LEAD = tb.LEAD
 ASCII_LETTER = np.zeros(256, bool)
 ASCII_LETTER[65:91] = ASCII_LETTER[97:123] = True
 
@@ -54,6 +60,17 @@ def folded(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, where
 
 
+def pieces(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes with their contexts, position of each byte, offsets of texts): the texts at once, or one long text piece by piece."""
+    if len(at) != 2 or len(data) <= PIECE:
+        yield *folded(data, at), at
+        return
+    for lo in range(0, len(data), PIECE):
+        before, part = min(lo, ORDER + 1), data[max(0, lo - ORDER - 1) : lo + PIECE]
+        wide, where = folded(part, np.array([0, len(part)]))
+        yield wide, where[before:], np.array([0, len(part) - before])
+
+
 def strings(data: np.ndarray, where: np.ndarray, size: int) -> np.ndarray:
     """The last `size` bytes at each position as a number."""
     key = np.zeros(len(where), np.uint64)
@@ -107,12 +124,14 @@ class Trees:
 
     def lengths(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Code lengths, texts by languages, in units of 1/UNIT bit."""
-        n = len(at) - 1
-        out = np.zeros((n, len(self.languages)), np.int64)
-        if not len(data):
-            return out
-        wide, where = folded(data, at)
-        key = strings(wide, where, ORDER + 1)
+        out = np.zeros((len(at) - 1, len(self.languages)), np.int64)
+        if len(data):
+            for wide, where, bounds in pieces(data, at):
+                self._add(strings(wide, where, ORDER + 1), bounds, out)
+        return out
+
+    def _add(self, key: np.ndarray, at: np.ndarray, out: np.ndarray) -> None:
+        """Adds the lengths of the texts' strings, which at bounds, to out."""
         h = self._hash(key)
         entry = self.slot[h]
         hit = entry >= 0
@@ -132,8 +151,7 @@ class Trees:
             each = cost[:, k][entry]
             if seldom is not None:
                 each[miss] = seldom[:, k]
-            out[some, k] = np.add.reduceat(each, starts, dtype=np.int64)
-        return out
+            out[some, k] += np.add.reduceat(each, starts, dtype=np.int64)
 
 
 @dataclass
@@ -178,12 +196,12 @@ def build(languages: list[str], counts: list[tuple[np.ndarray, np.ndarray, np.nd
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = PER_LANGUAGE) -> Forest | None:
     known = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.col(doc_id).alias("id")).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out("id", SPLIT))
-    seen = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    seen = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()
     if not seen:
         return None
     languages = sorted(r.lang for r in seen)
-    below = {r.lang: min(1.0, per_language / r.n) for r in seen}
-    draw = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    below = {r.lang: min(1.0, per_language / r.n, LANGUAGE_BYTES / max(r.bytes, 1)) if r.n > 1 else 1.0 for r in seen}
+    draw = F.pmod(F.xxhash64("id", "text", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*[F.lit(x) for pair in below.items() for x in pair])[F.col("lang")]
     sample = known.where(draw < share)
     number = {name: k for k, name in enumerate(languages)}
@@ -192,11 +210,11 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
         for batch in batches:
             codes = np.array([number[x] for x in batch.column(1).to_pylist()], np.int64)
             for lo, hi, data, at in tb.chunks(batch.column(0)):
-                wide, where = folded(data, at)
-                code = np.repeat(codes[lo:hi], np.diff(at)).astype(np.uint64) << np.uint64(STRING_BITS)
-                for order in range(ORDER + 1):
-                    keys, n = np.unique(strings(wide, where, order + 1) | code, return_counts=True)
-                    yield pa.record_batch([pa.array(np.full(len(keys), order, np.int32)), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], names=["k", "string", "n"])
+                for wide, where, bounds in pieces(data, at):
+                    code = np.repeat(codes[lo:hi], np.diff(bounds)).astype(np.uint64) << np.uint64(STRING_BITS)
+                    for order in range(ORDER + 1):
+                        keys, n = np.unique(strings(wide, where, order + 1) | code, return_counts=True)
+                        yield pa.record_batch([pa.array(np.full(len(keys), order, np.int32)), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], names=["k", "string", "n"])
 
     found = sample.select("text", "lang").mapInArrow(count, "k int, string bigint, n bigint").groupBy("k", "string").agg(F.sum("n").alias("n")).toArrow()
     order, string, n = (found[c].to_numpy() for c in ("k", "string", "n"))
@@ -213,10 +231,18 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
 
 
 def has_letter(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    total = lambda mask: np.diff(np.concatenate(([0], np.cumsum(mask)))[at])
-    out = total(ASCII_LETTER[data]) > 0
-    for k in np.flatnonzero(~out & (total(data >= 0x80) > 0)):
-        out[k] = any(c.isalpha() for c in data[at[k] : at[k + 1]].tobytes().decode("utf-8", "replace"))
+    some = np.flatnonzero(np.diff(at))
+
+    def has(mask: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(at) - 1, bool)
+        out[some] = np.logical_or.reduceat(mask, at[:-1][some]) if len(some) else out[some]
+        return out
+
+    out = has(ASCII_LETTER[data])
+    for k in np.flatnonzero(~out & has(data >= 0x80)):
+        own = data[at[k] : at[k + 1]]
+        cuts = np.flatnonzero(LEAD[own])[:: PIECE // 4]
+        out[k] = any(any(map(str.isalpha, own[a:b].tobytes().decode("utf-8", "replace"))) for a, b in zip(cuts, np.append(cuts[1:], len(own)), strict=True))
     return out
 
 

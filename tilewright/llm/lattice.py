@@ -15,7 +15,6 @@ from dataclasses import dataclass, field
 import numpy as np
 
 VOCABULARY = "piece_bpe_32k.model"
-MAX_PIECE = 16
 SLOT_BITS = 18
 FEW = 24
 GROUP = 1 << 14
@@ -30,9 +29,11 @@ class Vocabulary:
     surfaces: list[bytes]
     rank: np.ndarray
     numbers: dict[bytes, int] = field(default_factory=dict)
+    longest: int = 1
 
     def __post_init__(self):
         self.numbers = {s: k for k, s in enumerate(self.surfaces)}
+        self.longest = max(map(len, self.surfaces), default=1)
         self.key, self.slot = np.zeros(1 << SLOT_BITS, np.uint64), np.full(1 << SLOT_BITS, -1, np.int32)
         mask = (1 << SLOT_BITS) - 1
         for k, s in enumerate(self.surfaces):
@@ -69,7 +70,7 @@ def vocabulary(folder: str | None = None) -> Vocabulary:
             continue
         text, score = model.id_to_piece(k), -model.get_score(k)
         surface = bytes([int(text[3:5], 16)]) if model.is_byte(k) else text.replace("▁", " ").encode()
-        if len(surface) > MAX_PIECE or b" " in surface[1:] or any(65 <= b <= 90 for b in surface):
+        if b" " in surface[1:] or any(65 <= b <= 90 for b in surface):
             continue
         score = float(model.get_piece_size()) if model.is_byte(k) else score
         best[surface] = min(score, best.get(surface, math.inf))
@@ -83,11 +84,13 @@ def first_weights(vocab: Vocabulary) -> np.ndarray:
     return np.log(p / p.sum())
 
 
-def _groups(lengths: np.ndarray):
+def _groups(lengths: np.ndarray, models: int = 1):
+    """Rows of equal length, fewer at once for more models."""
+    most = max(FEW, GROUP * 8 // max(8, models))
     order = np.argsort(lengths, kind="stable")
     edges = np.flatnonzero(np.diff(lengths[order])) + 1
     for part in np.split(order, edges):
-        yield from (part[k : k + GROUP] for k in range(0, len(part), GROUP))
+        yield from (part[k : k + most] for k in range(0, len(part), most))
 
 
 def _pieces(vocab: Vocabulary, letters: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
@@ -96,7 +99,7 @@ def _pieces(vocab: Vocabulary, letters: np.ndarray) -> dict[tuple[int, int], np.
     out = {}
     for start in range(size):
         h = np.zeros(n, np.uint64)
-        for end in range(start + 1, min(size, start + MAX_PIECE) + 1):
+        for end in range(start + 1, min(size, start + vocab.longest) + 1):
             h = h * _BASE + letters[end - 1] + np.uint64(1)
             found = vocab.find(h)
             if (found >= 0).any():
@@ -122,7 +125,7 @@ def log_probabilities(vocab: Vocabulary, weights: np.ndarray, data: np.ndarray,
     """Natural log of each word's marginal probability under each row of weights: rows by words."""
     out = np.empty((len(weights), len(starts)))
     wide = np.hstack((weights, np.full((len(weights), 1), -np.inf)))  # of piece -1
-    for rows in _groups(ends - starts):
+    for rows in _groups(ends - starts, len(weights)):
         size = int(ends[rows[0]] - starts[rows[0]])
         if len(rows) < FEW:
             for k in rows:
@@ -132,7 +135,7 @@ def log_probabilities(vocab: Vocabulary, weights: np.ndarray, data: np.ndarray,
         pieces = _pieces(vocab, _letters(data, starts[rows], size))
         alpha = [np.zeros((len(weights), len(rows)))]
         for end in range(1, size + 2):
-            alpha.append(_log_sum([alpha[start] + wide[:, pieces[start, end]] for start in range(max(0, end - MAX_PIECE), end) if (start, end) in pieces]))
+            alpha.append(_log_sum([alpha[start] + wide[:, pieces[start, end]] for start in range(max(0, end - vocab.longest), end) if (start, end) in pieces]))
         out[:, rows] = alpha[-1]
     return out
 
@@ -141,7 +144,7 @@ def one(vocab: Vocabulary, weights: np.ndarray, word: bytes) -> list[float]:
     """The forward log sums of one word, mark included."""
     alpha = [0.0]
     for end in range(1, len(word) + 1):
-        parts = [alpha[start] + weights[k] for start in range(max(0, end - MAX_PIECE), end) if (k := vocab.numbers.get(word[start:end])) is not None]
+        parts = [alpha[start] + weights[k] for start in range(max(0, end - vocab.longest), end) if (k := vocab.numbers.get(word[start:end])) is not None]
         most = max(parts)
         alpha.append(most + math.log(sum(math.exp(p - most) for p in parts)))
     return alpha
@@ -160,10 +163,10 @@ def expected_counts(vocab: Vocabulary, weights: np.ndarray, data: np.ndarray, st
         pieces = _pieces(vocab, _letters(data, starts[rows], size - 1))
         alpha = [np.zeros(len(rows))]
         for end in range(1, size + 1):
-            alpha.append(_log_sum([alpha[start] + wide[pieces[start, end]] for start in range(max(0, end - MAX_PIECE), end) if (start, end) in pieces]))
+            alpha.append(_log_sum([alpha[start] + wide[pieces[start, end]] for start in range(max(0, end - vocab.longest), end) if (start, end) in pieces]))
         beta = [None] * size + [np.zeros(len(rows))]
         for start in range(size - 1, -1, -1):
-            beta[start] = _log_sum([beta[end] + wide[pieces[start, end]] for end in range(start + 1, min(size, start + MAX_PIECE) + 1) if (start, end) in pieces])
+            beta[start] = _log_sum([beta[end] + wide[pieces[start, end]] for end in range(start + 1, min(size, start + vocab.longest) + 1) if (start, end) in pieces])
         for (start, end), found in pieces.items():
             share = np.exp(alpha[start] + wide[found] + beta[end] - alpha[-1]) * times[rows]
             out += np.bincount(found + 0, share, len(out)) if (found >= 0).all() else np.bincount(np.where(found < 0, len(weights), found), share, len(out))
@@ -175,7 +178,7 @@ def _one_expected(vocab: Vocabulary, weights: np.ndarray, word: bytes, times: fl
     beta = [0.0] * (size + 1)
     for start in range(size - 1, -1, -1):
         parts = []
-        for end in range(start + 1, min(size, start + MAX_PIECE) + 1):
+        for end in range(start + 1, min(size, start + vocab.longest) + 1):
             k = vocab.numbers.get(word[start:end])
             if k is not None:
                 parts.append(beta[end] + weights[k])

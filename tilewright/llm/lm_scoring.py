@@ -4,16 +4,18 @@ Every word has a lattice over a public piece vocabulary (see lattice.py). The pi
 re-estimated by expectation maximisation over the distinct words of the training documents; the marginal over all segmentations is the probability of a
 word that was never seen. Unigram pieces alone score known words badly (2.4 decimal orders a token worse than word counts at sf0.1), so the lattice of a
 word has one arc more, for the whole word: (c - d) / N of its training count c, with the discount d = n1 / (n1 + 2 n2); the mass that the
-discounts leave, d V / N, goes to the paths of pieces. There is one such model for all training documents, and one for each of the most frequent
-languages, which gives half of that mass to the model of all; a document's probability is the sum over these models of their share times the product over its words and its end.
+discounts leave, d V / N, goes to the paths of pieces. There is one such model for all training documents, and one for each language that `lang`
+names, which gives half of that mass to the model of all; a document's probability is the sum over these models of their share times the product over its words and its end.
 `lattice_score` is its log10 probability by paths of pieces alone, under the model of all documents.
 
 Counts cover all training documents and stay distributed. The most frequent words, at most HEAD, are sent to the tasks; all other tokens meet
-their counts in a join by word, and only words without a count need a lattice then.
+their counts in a join by word, and only words without a count need a lattice then. What a task holds is divided by the number of models, so
+languages cost columns and time, but little memory: a row of piece weights each.
 
 Cases: null text counts as empty (only its end); documents with a null id are training documents, those with a null language belong to the model of
 all documents alone; without training documents N and V are 0 and scores come from the vocabulary's first weights; repeated rows count and are
-scored each; an empty table gives an empty result.
+scored each; counts that tie at the bound of the most frequent words are all in or all out; an empty table gives an empty result. Other columns are not
+read, whatever their names. A text of many megabytes is read in one piece, some 20 bytes of memory a byte.
 """
 
 from __future__ import annotations
@@ -38,7 +40,10 @@ ROUNDS = 3
 HEAD = 1 << 18
 FLUSH = 1 << 18
 CHUNK = (2 << 20) - 1
-MAX_LANGUAGES = 8
+#: Numbers of the frequent words that are sent to the tasks, at most.
+HEAD_TERMS = 1 << 21
+#: Numbers of a merged batch, at most.
+BATCH_TERMS = 1 << 20
 #: The share of the model of all documents.
 POOLED = 0.1
 #: Added to the expected count of every piece, so that none gets the probability 0.
@@ -58,11 +63,16 @@ def word_counts(texts: DataFrame, models: int) -> DataFrame:
 
         for batch in batches:
             for text, model in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if text:
-                    seen.setdefault(model, Counter()).update(text.lower().split())
-                if sum(map(len, seen.values())) > FLUSH:
-                    yield from rows()
-                    seen.clear()
+                lo, size = 0, len(text or b"")
+                while lo < size:  # long texts in pieces that end in white space
+                    hi = lo + CHUNK
+                    while hi < size and text[hi] not in b" \t\n\r\x0b\x0c":
+                        hi += 1
+                    seen.setdefault(model, Counter()).update(text[lo:hi].lower().split())
+                    lo = hi
+                    if sum(map(len, seen.values())) > FLUSH:
+                        yield from rows()
+                        seen.clear()
         yield from rows()
 
     parts = texts.select("text", "model").mapInArrow(count, "word binary, model int, n bigint")
@@ -70,8 +80,9 @@ def word_counts(texts: DataFrame, models: int) -> DataFrame:
     return parts.groupBy("word").agg(*each, F.sum("n").alias(f"c{models - 1}"))
 
 
-def _merged(batches: Iterator[pa.RecordBatch], rows: int = 1 << 17) -> Iterator[pa.RecordBatch]:
-    """The rows in batches of about `rows`: words of one length are computed together, and small batches have few of each."""
+def _merged(batches: Iterator[pa.RecordBatch], models: int) -> Iterator[pa.RecordBatch]:
+    """The rows in larger batches, fewer for more models: words of one length are computed together, and small batches have few of each."""
+    rows = min(1 << 17, BATCH_TERMS // models)
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
@@ -97,7 +108,7 @@ def fit_pieces(words: DataFrame, models: int, folder: str | None = None, rounds:
         def expect(batches: Iterator[pa.RecordBatch], weights: np.ndarray = weights) -> Iterator[pa.RecordBatch]:
             own = lattice.vocabulary(folder)
             total = np.zeros((models, size))
-            for batch in _merged(batches):
+            for batch in _merged(batches, models):
                 seen = _counts(batch, models) > 0
                 data, at = tb.raw(batch.column(0))
                 for k in range(models):
@@ -155,11 +166,9 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id), held_out(doc_id, SPLIT).alias("held_out"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     training = docs.where(~F.col("held_out"))
-    names = [r.lang for r in training.where(F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
+    names = [r.lang for r in training.where(F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
     models = len(names) + 1
-    number = F.expr("CAST(NULL AS INT)")
-    for k, name in enumerate(names):
-        number = F.when(F.col("lang") == name, k).otherwise(number)
+    number = F.create_map(*[F.lit(x) for pair in zip(names, range(len(names)), strict=True) for x in pair])[F.col("lang")] if names else F.expr("CAST(NULL AS INT)")
     training = training.withColumn("model", number)
     words = stage_table(word_counts(training, models), "words")
     every = range(models)
@@ -170,11 +179,12 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     n_all = int(tokens[-1] + ends[-1])
     mixture = Mixture(tokens + ends, kinds + (ends > 0), ends, once, twice, *fit_pieces(words, models, vocabulary_folder))
 
-    # the smallest count that at most HEAD words reach
+    # the smallest count that at most so many words reach
+    most = min(HEAD, HEAD_TERMS // (models + 2))
     whole = f"c{models - 1}"
-    histogram = words.where(F.col(whole) > 1).groupBy(whole).agg(F.count("*").alias("words")).orderBy(F.desc(whole)).limit(HEAD).toArrow()
+    histogram = words.where(F.col(whole) > 1).groupBy(whole).agg(F.count("*").alias("words")).orderBy(F.desc(whole)).limit(most).toArrow()
     held = np.cumsum(histogram["words"].to_numpy())
-    inside = histogram[whole].to_numpy()[held <= HEAD]
+    inside = histogram[whole].to_numpy()[held <= most]
     least = int(inside.min()) if len(inside) else (1 << 62)
     top = words.where(F.col(whole) >= least).toArrow().combine_chunks()
     data, at = tb.raw(top["word"])
@@ -222,14 +232,14 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value[2]
-        for batch in _merged(batches):
+        for batch in _merged(batches, models):
             data, at = tb.raw(batch.column(0))
             terms = own.terms(_counts(batch, models), own.paths(data, at[:-1], at[1:], vocabulary_folder))
             yield pa.record_batch([batch.column(0), *map(pa.array, terms)], names=["word", *term_columns])
 
     def unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value[2]
-        for batch in _merged(batches):
+        for batch in _merged(batches, models):
             data, at = tb.raw(batch.column(1))
             terms = own.terms(np.zeros((models, len(at) - 1)), own.paths(data, at[:-1], at[1:], vocabulary_folder))
             yield pa.record_batch([batch.column(0), *map(pa.array, terms)], names=["row", *term_columns])

@@ -1,12 +1,14 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-Features are the byte n-grams of the lower-cased text, of 4, 6 and 8 bytes (8 hold a space and the stem of a word), present or not, in 2^20 hash buckets. Counts of each class give the log-count
-ratio r of every bucket; the buckets that tell the classes apart best are kept, and a logistic regression over r * presence is fitted on the driver
-(accelerated gradient steps, L2 penalty). It is learned from a bounded sample of labelled rows: PER_CLASS ids of each class, of
-which the driver gets only the kept buckets. Scoring covers every whole text.
+Features are the n-grams of 4, 6 and 8 code points of the lower-cased text (8 hold a space and the stem of a word), present or not, in 2^20 hash
+buckets. Counts of each class give the log-count ratio r of every bucket; the buckets that tell the classes apart best are kept, and a logistic
+regression over r * presence is fitted on the driver (accelerated gradient steps, L2 penalty, rows in blocks). It is learned from a bounded sample of
+labelled rows: PER_CLASS ids of each class, of which the driver gets only the kept buckets, two bytes each. Scoring covers every whole text.
 
 Cases: null text counts as empty and gets the score of a text without features; null or other label values are not learned from; without any
-label of a class, or with no documents, every score is the share of toxic labels (0.5 without labels); repeated rows get equal scores.
+label of a class, or with no documents, every score is the share of toxic labels (0.5 without labels); of buckets that tell equally much the smaller
+numbers are kept; repeated rows get equal scores; an empty table gives an empty result. Other columns of both tables are not read, whatever their names.
+Long texts are worked through in pieces, so memory doesn't grow with them beyond their own size.
 """
 
 from __future__ import annotations
@@ -32,28 +34,58 @@ LEAST_DOCS = 4
 PENALTY = 1.0
 STEPS = 400
 THRESHOLD = 0.7
+#: Features of the rows that are worked through at once.
+BLOCK = 1 << 20
+
+
+#: Lower case of the code points of the basic plane, where it is one code point.
+LOWER = np.array([ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in map(chr, range(1 << 16))], np.uint32)
+
+
+def code_points(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lower-cased code points, offsets of the texts in them)."""
+    if not len(data) or data.max() < 0x80:
+        return LOWER[data], at
+    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
+    bounds = np.concatenate(([0], np.cumsum(tb.LEAD[data], dtype=np.int64)))[at]
+    return np.where(points < len(LOWER), LOWER[np.minimum(points, len(LOWER) - 1)], points), bounds
 
 
 def grams(data: np.ndarray, at: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(text, bucket) of each distinct n-gram of each text, sorted; with wanted, only of buckets that it marks."""
-    low = tb.LOWER[data].astype(np.uint64)
+    if len(data) > tb.PIECE:  # one long text
+        found, step = [], tb.PIECE // 4
+        for lo in range(0, len(data), step):
+            hi = min(len(data), lo + step + 4 * max(SIZES))
+            lead = np.flatnonzero(tb.LEAD[data[lo : lo + 4]])
+            lo += int(lead[0]) if len(lead) else 0
+            while hi < len(data) and not tb.LEAD[data[hi]]:
+                hi += 1
+            found.append(_grams(data[lo:hi], np.array([0, hi - lo]), wanted)[1])
+            found = [np.unique(np.concatenate(found))]
+        return np.zeros(len(found[0]), np.int64), found[0]
+    return _grams(data, at, wanted)
+
+
+def _grams(data: np.ndarray, at: np.ndarray, wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    low, at = code_points(data, at)
     n = len(low)
-    left = np.repeat(at[1:], np.diff(at)) - np.arange(n)  # bytes from here to the text's end
-    byte_text = np.repeat(np.arange(len(at) - 1, dtype=np.uint64), np.diff(at))
+    left = np.repeat(at[1:], np.diff(at)) - np.arange(n)  # code points from here to the text's end
+    own = np.repeat(np.arange(len(at) - 1, dtype=np.uint64), np.diff(at))
     found = []
-    key = low.copy()
+    key = low.astype(np.uint64)
     for size in range(2, max(SIZES) + 1):
         key = key[:-1] if len(key) else key
         if not len(key):
             break
-        key = (key << np.uint64(8)) | low[size - 1 :]
+        key = key * np.uint64(0xD6E8FEB86659FD93) + low[size - 1 :]
         if size in SIZES:
-            bucket = (((key + np.uint64(size << 56)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.uint64)
+            bucket = ((key ^ (key >> np.uint64(29))) + np.uint64(size)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)
             use = left[: len(key)] >= size
             if wanted is not None:
                 use &= wanted[bucket]
             use = np.flatnonzero(use)
-            found.append((byte_text[use] << np.uint64(BITS)) | bucket[use])
+            found.append((own[use] << np.uint64(BITS)) | bucket[use])
     both = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
     return (both >> np.uint64(BITS)).astype(np.int64), (both & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
@@ -86,27 +118,41 @@ def _class_counts(sample: DataFrame) -> DataFrame:
     return sample.select("text", "label").mapInArrow(count, "bucket bigint, n0 bigint, n1 bigint").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def fit_logistic(indptr: np.ndarray, index: np.ndarray, value: np.ndarray, y: np.ndarray, weight: np.ndarray, size: int) -> tuple[np.ndarray, float]:
-    """Coefficients and intercept of a weighted, L2-penalised logistic regression over sparse rows."""
-    rows = np.repeat(np.arange(len(y)), np.diff(indptr))
+def fit_logistic(bounds: np.ndarray, index: np.ndarray, scale: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """Coefficients and intercept of a weighted, L2-penalised logistic regression. Row k has the features index[bounds[k]:bounds[k + 1]], feature j with the
+    value scale[j]. Rows are worked through in blocks of BLOCK features, so only index itself is held whole."""
+    size, n = len(scale), len(y)
+    cuts = np.unique(np.append(np.searchsorted(bounds, np.arange(0, bounds[-1], BLOCK), side="right") - 1, n))
+    blocks = [(lo, hi) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def look(w: np.ndarray, b: float) -> tuple[float, np.ndarray, float]:
+        """Loss and gradient."""
+        loss, grad, of_b = PENALTY / 2 * float(w @ w), PENALTY * w, 0.0
+        scaled = w * scale
+        for lo, hi in blocks:
+            own = index[bounds[lo] : bounds[hi]]
+            rows = np.repeat(np.arange(hi - lo), np.diff(bounds[lo : hi + 1]))
+            z = np.bincount(rows, scaled[own], hi - lo) + b
+            loss += float((weight[lo:hi] * (np.logaddexp(0, z) - y[lo:hi] * z)).sum())
+            g = weight[lo:hi] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[lo:hi])
+            grad = grad + np.bincount(own, g[rows], size) * scale
+            of_b += float(g.sum())
+        return loss, grad, of_b
+
     # rows share few features, so a step well over the bound of the curvature mostly works; one that raises the loss is halved below
-    norm = np.bincount(rows, value * value, len(y)).max(initial=0) + 1
+    norm = max((np.add.reduceat(np.append(scale[index[bounds[lo] : bounds[hi]]] ** 2, 0), bounds[lo:hi] - bounds[lo]).max() for lo, hi in blocks), default=0) + 1
     step = 1 / (0.0125 * norm * weight.sum() + PENALTY)
     w, b = np.zeros(size), float(np.log((weight[y == 1].sum()) / (weight[y == 0].sum())))
     look_w, look_b, before = w, b, np.inf
     momentum = 1.0
     for _ in range(STEPS):
-        z = np.bincount(rows, value * look_w[index], len(y)) + look_b
-        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        loss = float((weight * (np.logaddexp(0, z) - y * z)).sum() + PENALTY / 2 * (look_w @ look_w))
+        loss, grad, of_b = look(look_w, look_b)
         if loss > before:
             step, momentum = step / 2, 1.0
             look_w, look_b, before = w, b, np.inf
             continue
         before = loss
-        g = weight * (p - y)
-        new_w = look_w - step * (np.bincount(index, value * g[rows], size) + PENALTY * look_w)
-        new_b = look_b - step * g.sum()
+        new_w, new_b = look_w - step * grad, look_b - step * of_b
         new = (1 + (1 + 4 * momentum**2) ** 0.5) / 2
         look_w, look_b = new_w + (momentum - 1) / new * (new_w - w), new_b + (momentum - 1) / new * (new_b - b)
         w, b, momentum = new_w, new_b, new
@@ -136,24 +182,25 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class: in
         return flat
     wanted = np.zeros(1 << BITS, bool)
     wanted[buckets] = True
-    position = np.zeros(1 << BITS, np.int32)
+    position = np.zeros(1 << BITS, np.uint16)  # FEATURES are fewer than 2^16
     position[buckets] = np.arange(len(buckets))
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, at in tb.chunks(batch.column(0)):
                 text, bucket = grams(data, at, wanted)
-                bounds = np.searchsorted(text, np.arange(hi - lo + 1)).astype(np.int32)
-                yield pa.record_batch([batch.column(1).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.ListArray.from_arrays(bounds, pa.array(position[bucket]))], names=["label", "doc_id", "has"])
-
-    rows = sample.select("text", "label", F.xxhash64("doc_id", "text").alias("doc_id")).mapInArrow(present, "label int, doc_id bigint, has array<int>").toArrow().sort_by("doc_id")
-    y = rows["label"].to_numpy().astype(float)
-    has = rows["has"].combine_chunks()
-    counts = np.diff(has.offsets.to_numpy())
-    index = has.flatten().to_numpy().astype(np.int64)
+                bounds = np.searchsorted(text, np.arange(hi - lo + 1))
+                has = position[bucket].astype("<u2")
+                yield pa.record_batch([batch.column(1).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([has[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())], names=["label", "doc_id", "has"])
+
+    rows = sample.select("text", "label", F.xxhash64("doc_id", "text").alias("doc_id")).mapInArrow(present, "label int, doc_id bigint, has binary").toArrow()
+    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
+    y = rows["label"].to_numpy().astype(float)[order]
+    has = rows["has"].combine_chunks().take(pa.array(order))
+    data, at = tb.raw(has)
     # both classes weigh alike: toxic texts are few, and a threshold of 0.7 would else miss those with few known words
     weight = np.where(y == 1, 0.5 / d1, 0.5 / d0) * (d0 + d1)
-    w, b = fit_logistic(np.concatenate(([0], np.cumsum(counts))), index, ratio[index], y, weight, len(buckets))
+    w, b = fit_logistic((at - at[0]) // 2, data[at[0] : at[-1]].view("<u2"), ratio, y, weight)
     weights = np.zeros(1 << BITS)
     weights[buckets] = w * ratio
     return Model(weights, wanted, b)
