@@ -51,7 +51,7 @@ ROUNDS = 2
 BLOCK_BYTES = (2 << 20) - 1
 SEGMENTS = 4
 #: Prefix postings for each fragment, about.
-FRAGMENT_ROWS = 1 << 18
+FRAGMENT_ROWS = 1 << 17
 #: Postings for each fragment of the lists in which pairs are counted, about.
 PAIR_ROWS = 1 << 19
 #: Rows of a list that are paired at once.
@@ -298,7 +298,7 @@ def best_partners(candidates: DataFrame, labels: DataFrame | None, tested: DataF
     return best.select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")).distinct()
 
 
-def cross_pairs(lists: DataFrame, labels: DataFrame, weights: np.ndarray) -> DataFrame:
+def cross_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """(u, v) of classes of different components whose sizes, positions and shared prefix shingles allow a link.
 
     The lists that are left, those with several components, are dealt to fragments of the order anew, of about PAIR_ROWS postings, and in these by size: a
@@ -309,7 +309,10 @@ def cross_pairs(lists: DataFrame, labels: DataFrame, weights: np.ndarray) -> Dat
     known = lists.select("h", "node", "n", "pos").join(labels, "node", "left").select("h", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
     mixed = known.groupBy("h").agg((F.min("label") != F.max("label")).alias("mixed"), F.count("*").alias("length")).where("mixed").select("h", "length")
     rows = stage_table(known.join(mixed, "h"), "mixed")
-    cut = Cut(weights, max(1, math.ceil(rows.count() / PAIR_ROWS)))
+    weights = np.zeros(64)
+    for r in rows.groupBy(F.shiftrightunsigned("h", HASH_BITS).cast("int").alias("rank")).count().collect():
+        weights[r["rank"]] = r["count"]
+    cut = Cut(weights, max(1, math.ceil(weights.sum() / PAIR_ROWS)))
     listed = rows.groupBy("node").agg(F.count("*").alias("listed"))
     size_bin = F.floor(F.log(F.col("n").cast("double")) / math.log(SIZE_STEP)).cast("int")
     bands = F.ceil(F.col("length") / LONG_LIST).cast("int")
@@ -410,8 +413,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     weights[0] = max(total - weights.sum(), 0)
     order = spark.sparkContext.broadcast(ranking)
     segment_cut = Cut(weights, SEGMENTS)
-    fragments = max(8, math.ceil(total * (100 - PERCENT) / 100 / FRAGMENT_ROWS))
-    lists = stage_table(prefix_lists(docs, text, order, Cut(weights, fragments)), "lists")
+    # what prefixes hold of each rarity class isn't known; at most the first class has all of it, and fragments are cut for that
+    postings = weights * (100 - PERCENT) / 100
+    postings[0] = total * (100 - PERCENT) / 100
+    lists = stage_table(prefix_lists(docs, text, order, Cut(postings, max(8, math.ceil(postings.sum() / FRAGMENT_ROWS)))), "lists")
     candidates = stage_table(leader_pairs(lists), "candidates")
     segments = segments_of(nodes_of(candidates, "node", "leader"), classes, docs, doc_id, text, order, segment_cut)
     links = labels = tested = None
@@ -426,7 +431,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     drop_table(segments)
     if labels is None:
         labels, links = (spark.createDataFrame([], t) for t in ("node bigint, label bigint", "u bigint, v bigint"))
-    pairs = stage_table(cross_pairs(lists, labels, weights), "pairs")
+    pairs = stage_table(cross_pairs(lists, labels), "pairs")
     drop_table(lists)
     segments = segments_of(nodes_of(pairs, "u", "v"), classes, docs, doc_id, text, order, segment_cut)
     links = links.unionByName(stage_table(linked(pairs, segments), "links"))
