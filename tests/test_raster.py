@@ -140,3 +140,83 @@ def test_closed_loop_error_is_bounded(spark):
     coded = families.encode_families(df, ["id"], 16, 3.0, 3.0)
     back = {r.id: r.l0 for r in families.reconstruct_families(coded, ["id"], 16).collect()}
     assert max(abs(a - b) for k, px in rows for a, b in zip(px, back[k], strict=True)) <= 2
+
+
+def test_real_tiles(spark):
+    """Planes of 256 pixels a side, by plain loops over some pixels; null planes stay null."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 256, (256, 256))
+    df = spark.createDataFrame([(1, x.reshape(-1).tolist()), (2, None)], "id int, px array<int>")
+    c = F.col("px")
+    operators = [raster.upsample_bilinear(c, 256, 256, 2), raster.upsample_bilinear(c, 256, 256, 4), raster.downsample_box(c, 256, 256), raster.unsharp(c, 256, 256, 0.25), raster.extract_tile(c, 256, 256, 1, 3, 70), raster.upsample_nearest(c, 256, 256, 4)]
+    one, none = df.select("id", *[o.alias(f"o{k}") for k, o in enumerate(operators)]).orderBy("id").collect()
+    assert all(none[k + 1] is None for k in range(len(operators)))
+    got = [np.array(one[k + 1]) for k in range(len(operators))]
+    for scale, plane_ in ((2, got[0].reshape(512, 512)), (4, got[1].reshape(1024, 1024))):
+        for _ in range(300):
+            ty, tx = rng.integers(0, 256 * scale, 2)
+            (y0, y1, fy), (x0, x1, fx) = raster._taps(256, scale)[ty], raster._taps(256, scale)[tx]
+            want = (x[y0, x0] * (256 - fx) * (256 - fy) + x[y0, x1] * fx * (256 - fy) + x[y1, x0] * (256 - fx) * fy + x[y1, x1] * fx * fy) >> 16
+            assert plane_[ty, tx] == want
+    assert got[2].reshape(128, 128)[5, 7] == (x[10:12, 14:16].sum() + 2) >> 2
+    blur = sum(x[9 + a, 29 + b] * k for a in range(3) for b, k in enumerate((1, 2, 1)) for k in [k * (1, 2, 1)[a]])
+    assert got[3].reshape(256, 256)[10, 30] == min(255, max(0, (x[10, 30] * 4096 + (x[10, 30] * 16 - blur) * 64 + 2048) >> 12))
+    want = np.zeros((70, 70), int)
+    want[:46] = x[210:256, 70:140]
+    assert (got[4].reshape(70, 70) == want).all() and (got[5].reshape(1024, 1024)[::4, ::4] == x).all()
+
+
+def test_sharpened_levels_see_across_tiles(spark):
+    """Every level equals the mask over the whole image, with a missing tile and an odd number of tiles."""
+    rng = np.random.default_rng(6)
+    cols, rows, side = 5, 3, 8
+    image = rng.integers(0, 256, (rows * side, cols * side))
+    image[side : 2 * side, 2 * side : 3 * side] = 0
+    own = [(x, y, image[y * side : (y + 1) * side, x * side : (x + 1) * side].reshape(-1).tolist()) for x in range(cols) for y in range(rows) if (x, y) != (2, 1)]
+    levels = families.sharpened_levels(spark.createDataFrame(own, "x int, y int, px array<int>"), 2, side, cols, rows)
+    for level in levels:
+        h, w = image.shape[0] // 2, image.shape[1] // 2
+        image = raster.sharpen(raster.box_half(image[None, : 2 * h, : 2 * w]), 0.25)[0]
+        for r in level.collect():
+            want = np.zeros((side, side), int)
+            part = image[r.y * side : (r.y + 1) * side, r.x * side : (r.x + 1) * side]
+            want[: part.shape[0], : part.shape[1]] = part
+            assert (np.array(r.px).reshape(side, side) == want).all(), (r.x, r.y)
+
+
+def test_chroma_steps():
+    """One step by hand: the forward step is bilinear, and the last state counts, not the best."""
+    small, target = np.array([[[100.0, 100], [100, 100]]]), np.full((1, 4, 4), 104.0)
+    assert (raster.optimised_chroma(small, target, steps=1) == 101).all()
+    assert (raster.optimised_chroma(small, target + 100, steps=50) == 108).all()
+    worse = raster.optimised_chroma(small, np.full((1, 4, 4), 101.0), most=100, steps=1, rate=50)
+    assert (worse == 150).all()
+
+
+def test_sparse_planes_have_a_bound():
+    assert codec.sparse_decode(codec.sparse_encode(np.full((256, 256), 9.0), 1.0)).min() > 0
+    with pytest.raises(ValueError):
+        codec.sparse_encode(np.zeros((257, 256)), 1.0)
+
+
+def test_visual_comparison(spark):
+    """A hundred pixels that differ by exactly the threshold are no significant difference; one more is."""
+    for step, percent, passed in ((10, 0.0, True), (11, 100.0, False)):
+        df = spark.createDataFrame([([100] * 100, [100 + step] * 100)], "a array<int>, b array<int>")
+        found = metrics.visual_comparison([F.col("a")] * 3, [F.col("b")] * 3)
+        r = df.select(*[c.alias(k) for k, c in found.items()]).first()
+        assert (r.mse, r.max_diff, r.pct_significant, r.passed) == (step * step, 3 * step, percent, passed)
+    energy = spark.createDataFrame([(100.0, 10.0), (100.0, 100.0), (100.0, 0.0), (1.0, 2.0)], "a double, b double")
+    assert [r[0] for r in energy.select(metrics.equivalent_db(F.col("a"), F.col("b"))).collect()] == [10.0, 0.0, 0.0, 0.0]
+
+
+def test_edge_guided_codec():
+    """Only pixels near the base's edge are coded, to half a step."""
+    base = np.zeros((8, 8))
+    base[:, 4:] = 200
+    rest = np.random.default_rng(1).integers(-100, 100, (16, 16)).astype(float)
+    mask = codec.edge_mask(base, rest.shape)
+    got = codec.edge_decode(codec.edge_encode(rest, base))
+    assert mask[:, 7:9].all() and not mask[:, :4].any() and not mask[:, 12:].any()
+    assert (got[~mask] == 0).all() and np.abs(got - rest)[mask].max() <= codec.EDGE_STEP / 2
+    assert (codec.edge_decode(codec.edge_encode(rest, np.zeros((8, 8)))) == 0).all()

@@ -12,6 +12,8 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 
+from tilewright.operators import raster
+
 PACK_HEAD = struct.Struct("<4sHHIIII")
 PACK_ENTRY = struct.Struct("<BBHIII")
 PACK_MAGIC = (b"ORIG", b"RRIP")
@@ -124,7 +126,9 @@ def delta_decode(data: bytes) -> np.ndarray:
 
 
 def sparse_encode(residual: np.ndarray, threshold: float, bits: int = 5) -> bytes:
-    """Only pixels over the threshold: place and value, in units of the greatest of them."""
+    """Only pixels over the threshold: place and value, in units of the greatest of them. Places are 16-bit numbers, so planes have at most 65,536 pixels."""
+    if residual.size > 1 << 16:
+        raise ValueError(f"{residual.size} pixels: a sparse plane has at most 65536")
     place = np.flatnonzero(np.abs(residual) > threshold)
     values = residual.reshape(-1)[place]
     most = max(np.abs(values).max(initial=0), 1)
@@ -143,6 +147,40 @@ def sparse_decode(data: bytes, bits: int = 5) -> np.ndarray:
     return out.reshape(h, w)
 
 
+EDGE_STEP = 2.0
+
+
+def edge_mask(base: np.ndarray, shape: tuple[int, int], threshold: float = 1.0) -> np.ndarray:
+    """Where the base plane, which the decoder has, is steep: Sobel magnitudes, resized, over the threshold times their mean."""
+    wide = np.pad(base.astype(float), 1, mode="symmetric")
+    smooth, slope = np.array([1, 2, 1]), np.array([-1, 0, 1])
+    both = []
+    for down, across in ((smooth, slope), (slope, smooth)):
+        rows = sum(k * wide[i : i + base.shape[0]] for i, k in enumerate(down))
+        both.append(sum(k * rows[:, i : i + base.shape[1]] for i, k in enumerate(across)))
+    steep = np.hypot(*both)
+    return raster.resample(steep[None], shape[1], shape[0], "triangle", None)[0] > steep.mean() * threshold
+
+
+def edge_encode(residual: np.ndarray, base: np.ndarray, threshold: float = 1.0) -> bytes:
+    """Only pixels where the base is steep, quantised by EDGE_STEP; the mask as bits, then the values at its places, deflated."""
+    mask = edge_mask(base, residual.shape, threshold)
+    bits = np.packbits(mask.ravel()).tobytes()
+    levels = np.round(residual / EDGE_STEP).astype(np.int64).astype(np.int8)[mask]
+    return zlib.compress(FIELD_HEAD.pack(*residual.shape, EDGE_STEP) + struct.pack("<I", len(bits)) + bits + levels.tobytes(), 9)
+
+
+def edge_decode(data: bytes) -> np.ndarray:
+    plain = zlib.decompress(data)
+    h, w, step = FIELD_HEAD.unpack_from(plain)
+    (size,) = struct.unpack_from("<I", plain, FIELD_HEAD.size)
+    start = FIELD_HEAD.size + 4
+    mask = np.unpackbits(np.frombuffer(plain, np.uint8, size, start))[: h * w].astype(bool)
+    out = np.zeros(h * w, np.float32)
+    out[mask] = np.frombuffer(plain, np.int8, offset=start + size).astype(np.float32) * np.float32(step)
+    return out.reshape(h, w)
+
+
 CODECS = {"deadzone": (deadzone_encode, deadzone_decode), "delta": (delta_encode, delta_decode)}
 ALIASES = {"zlib": "deadzone", "raw": "deadzone"}
 

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.operators import codec, raster
@@ -69,18 +69,73 @@ def reconstruct_families(coded: DataFrame, key: list[str], side: int) -> DataFra
     return coded.select(*key, "l2", "l1_residual", "l0_residual").mapInArrow(run, schema)
 
 
-def lower_levels(tiles: DataFrame, level: int, side: int, stop: int = 0, white: int = 255) -> list[DataFrame]:
-    """The levels under `level`, down to `stop`: each tile from its four children, missing ones white, halved by box means.
+def lanczos_half(planes: np.ndarray) -> np.ndarray:
+    n, h, w = planes.shape
+    return np.floor(raster.resample(planes.astype(float), w // 2, h // 2, "lanczos3") + 0.5).astype(np.int64)
+
+
+HALVES = {"lanczos3": lanczos_half, "box": raster.box_half}
+
+
+def lower_levels(tiles: DataFrame, level: int, side: int, stop: int = 0, white: int = 255, kind: str = "lanczos3") -> list[DataFrame]:
+    """The levels under `level`, down to `stop`: each tile from its four children, missing ones white, halved by Lanczos or by box means.
 
     One aggregate on the parents' keys for each level; a level has a quarter of the rows of the one above. (x, y, px) in and out.
     """
     out = []
     now = tiles
-    blank = F.array_repeat(F.lit(white), side * side)
     for _ in range(level - stop):
         idx = (F.col("y") % 2) * 2 + F.col("x") % 2
-        each = F.array(*[F.coalesce(F.max_by("px", F.when(idx == k, 1)), blank) for k in range(4)])
+        each = F.array(*[F.max_by("px", F.when(idx == k, 1)) for k in range(4)])
+        grouped = now.groupBy(F.shiftright("x", 1).alias("x"), F.shiftright("y", 1).alias("y")).agg(each.alias("four"))
+        now = grouped.select("x", "y", raster.on_mosaic(F.col("four"), side, 2, HALVES[kind], white).alias("px"))
+        out.append(now)
+    return out
+
+
+def sharpened_levels(tiles: DataFrame, level: int, side: int, cols: int, rows: int, strength: float = 0.25, stop: int = 0) -> list[DataFrame]:
+    """As lower_levels over one whole image of cols by rows tiles: box means, then an unsharp mask that sees across tiles.
+
+    Missing tiles are black. Each level's tiles get a rim of one pixel from their neighbours, by one more aggregate; the image's own edge repeats.
+    """
+    out = []
+    now = tiles
+    width, height = cols * side, rows * side
+    for _ in range(level - stop):
+        width, height = max(1, width // 2), max(1, height // 2)
+        idx = (F.col("y") % 2) * 2 + F.col("x") % 2
+        each = F.array(*[F.max_by("px", F.when(idx == k, 1)) for k in range(4)])
         grouped = now.groupBy(F.shiftright("x", 1).alias("x"), F.shiftright("y", 1).alias("y")).agg(each.alias("four"))
-        now = grouped.select("x", "y", raster.downsample_box(raster.mosaic(F.col("four"), side, 2), 2 * side, 2 * side).alias("px"))
+        half = grouped.select("x", "y", raster.on_mosaic(F.col("four"), side, 2, raster.box_half).alias("px"))
+        steps = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+        sent = half.select("px", F.explode(F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), F.lit(4 - 3 * dy - dx).alias("from")) for dx, dy in steps])).alias("to")).select("px", "to.x", "to.y", "to.from")
+        nine = F.array(*[F.max_by("px", F.when(F.col("from") == k, 1)) for k in range(9)])
+        met = sent.groupBy("x", "y").agg(nine.alias("nine"), F.max(F.col("from") == 4).alias("own")).where("own")
+        # pixels of this tile inside the image; beyond, the image's last ones repeat before the mask and nothing is drawn after it
+        inside = lambda at, size: F.least(F.lit(side), F.greatest(F.lit(0), F.lit(size) - F.col(at) * side))
+        now = met.select("x", "y", _rimmed(F.col("nine"), F.col("x"), F.col("y"), inside("x", width), inside("y", height), side, strength).alias("px"))
         out.append(now)
     return out
+
+
+def _rimmed(nine: Column, x: Column, y: Column, w: Column, h: Column, side: int, strength: float) -> Column:
+    def run(nine: pa.Array, x: pa.Array, y: pa.Array, w: pa.Array, h: pa.Array) -> pa.Array:
+        planes = raster.mosaics(nine, side, 3, 0)[:, side - 1 : 2 * side + 1, side - 1 : 2 * side + 1].copy()
+        out = np.zeros((len(planes), side, side), np.int64)
+        for k, (cx, cy, cw, ch) in enumerate(zip(x.to_pylist(), y.to_pylist(), w.to_pylist(), h.to_pylist(), strict=True)):
+            if not cw or not ch:
+                continue
+            p = planes[k]
+            if cx == 0:
+                p[:, 0] = p[:, 1]
+            if cy == 0:
+                p[0] = p[1]
+            if cw < side or not nine[k][5].is_valid:
+                p[:, cw + 1 :] = p[:, cw : cw + 1]
+            if ch < side or not nine[k][7].is_valid:
+                p[ch + 1 :] = p[ch : ch + 1]
+            out[k, :ch, :cw] = raster.sharpen(p[None], strength)[0, 1 : ch + 1, 1 : cw + 1]
+        return raster._lists(out, np.ones(len(out), bool), pa.int32())
+
+    run.__annotations__ = {k: pa.Array for k in ("nine", "x", "y", "w", "h", "return")}
+    return F.arrow_udf(run, "array<int>")(nine, x, y, w, h)

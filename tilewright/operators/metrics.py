@@ -35,6 +35,24 @@ def difference_statistics(a: Column, b: Column, threshold: int = 30) -> dict[str
     }
 
 
+def visual_comparison(a: list[Column], b: list[Column], threshold: int = 30, most_mse: float = 100.0, most_percent: float = 5.0) -> dict[str, Column]:
+    """Two images as planes of their channels: mean squared error, greatest summed difference of a pixel, the percentage of pixels over the threshold, and whether
+    the first and last are within their bounds."""
+    sums = None
+    for x, y in zip(a, b, strict=True):
+        diff = F.zip_with(x, y, lambda p, q: F.abs(p - q))
+        sums = diff if sums is None else F.zip_with(sums, diff, lambda p, q: p + q)
+    n = F.size(a[0])
+    error = sum((squared_error(x, y) for x, y in zip(a[1:], b[1:], strict=True)), squared_error(a[0], b[0])) / (n * len(a))
+    percent = 100.0 * F.size(F.filter(sums, lambda v: v > threshold)) / n
+    return {"mse": error, "max_diff": F.array_max(sums), "pct_significant": percent, "passed": (error <= most_mse) & (percent <= most_percent)}
+
+
+def equivalent_db(before: Column, after: Column) -> Column:
+    """The gain in dB of an energy that went down; 0 where it didn't, or where nothing is left."""
+    return F.when((after > 0) & (after < before), 10 * F.log10(before / after)).otherwise(0.0)
+
+
 def gaussian(size: int, sigma: float) -> np.ndarray:
     x = np.arange(size) - (size - 1) / 2
     g = np.exp(-(x**2) / (2 * sigma**2))

@@ -1,7 +1,7 @@
 """Raster operators on planes: row-major arrays of a size that the plan knows.
 
-Integer operators are array expressions: which source pixels and weights a target pixel takes is worked out once, for the plan, and becomes a literal
-table. Iterative and floating-point operators are numpy functions, applied to Arrow batches of planes (see on_planes).
+Operators that move pixels (resampling, cutting, joining, filters) are numpy functions over whole Arrow batches of planes, so a plan stays as small for a
+tile of 256 pixels a side as for one of 8. Integer ones are exact and give arrays of integers. Pixel-by-pixel operators are array expressions.
 """
 
 from __future__ import annotations
@@ -17,60 +17,114 @@ from pyspark.sql import types as T
 from tilewright.functions.scalar import clamp
 
 
-def _table(rows: list[tuple[int, ...]]) -> Column:
-    """A literal array of arrays."""
-    return F.array(*[F.array(*[F.lit(int(v)) for v in row]) for row in rows])
+def _lists(values: np.ndarray, valid: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Planes as flat lists, in turn for each valid row, null for the others."""
+    wide = int(np.prod(values.shape[1:]))
+    offsets = np.concatenate(([0], np.cumsum(np.where(valid, wide, 0)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.reshape(-1)).cast(kind), mask=pa.array(~valid))
 
 
-def _gather(plane: Column, table: list[tuple[int, ...]], pixel: Callable[[Callable[[Column], Column], Column], Column]) -> Column:
-    at = lambda i: F.get(plane, i)
-    return F.transform(_table(table), lambda row: pixel(at, row))
+def on_array(plane: Column, h: int, w: int, f: Callable[[np.ndarray], np.ndarray]) -> Column:
+    """f of planes (n, h, w) of integers, flat again; null planes stay null."""
+
+    def run(planes: pa.Array) -> pa.Array:
+        valid = planes.is_valid().to_numpy(zero_copy_only=False)
+        values = planes.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, h, w)
+        return _lists(f(values), valid, pa.int32())
+
+    run.__annotations__ = {"planes": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, T.ArrayType(T.IntegerType()))(plane)
 
 
 def _taps(size: int, scale: int) -> list[tuple[int, int, int]]:
     """(pixel, next pixel, weight of the next of 256) for each target position: centres aligned, 8-bit fixed point, clamped to the edge."""
-    out = []
-    for target in range(size * scale):
-        place = target * (256 // scale) - (128 - 128 // scale)
-        place = max(0, min(place, (size - 1) * 256))
-        out.append((place >> 8, min((place >> 8) + 1, size - 1), place & 255))
+    place = np.clip(np.arange(size * scale) * (256 // scale) - (128 - 128 // scale), 0, (size - 1) * 256)
+    return list(zip((place >> 8).tolist(), np.minimum((place >> 8) + 1, size - 1).tolist(), (place & 255).tolist(), strict=True))
+
+
+def bilinear(planes: np.ndarray, scale: int) -> np.ndarray:
+    """Bilinear by 2 or 4 in fixed point; the sum of weights is 2^16 and the result is truncated."""
+    (y0, y1, fy), (x0, x1, fx) = (np.array(_taps(n, scale)).T for n in planes.shape[1:])
+    fy, rows = fy[None, :, None], (planes[:, y0], planes[:, y1])
+    wide = (rows[0] * (256 - fy) + rows[1] * fy).astype(np.int64)
+    return (wide[:, :, x0] * (256 - fx) + wide[:, :, x1] * fx) >> 16
+
+
+def nearest(planes: np.ndarray, scale: int) -> np.ndarray:
+    return planes.repeat(scale, 1).repeat(scale, 2)
+
+
+def box_half(planes: np.ndarray) -> np.ndarray:
+    """2 by 2 means, (sum + 2) / 4 truncated; odd edges repeat their last pixel."""
+    even = np.pad(planes, ((0, 0), (0, planes.shape[1] % 2), (0, planes.shape[2] % 2)), mode="edge")
+    return (even[:, ::2, ::2] + even[:, ::2, 1::2] + even[:, 1::2, ::2] + even[:, 1::2, 1::2] + 2) >> 2
+
+
+def cut(planes: np.ndarray, x: int, y: int, size: int, fill: int) -> np.ndarray:
+    out = np.full((len(planes), size, size), fill, planes.dtype)
+    own = planes[:, y * size : (y + 1) * size, x * size : (x + 1) * size]
+    out[:, : own.shape[1], : own.shape[2]] = own
     return out
 
 
+def sharpen(planes: np.ndarray, strength: float) -> np.ndarray:
+    """src + strength (src - blur), blur by 1-2-1 both ways; 8-bit fixed point, rounded, and negative values shift downwards."""
+    factor = int(strength * 256 + 0.5)
+    wide = np.pad(planes, ((0, 0), (1, 1), (1, 1)), mode="edge")
+    rows = wide[:, :-2] + 2 * wide[:, 1:-1] + wide[:, 2:]
+    blur = rows[:, :, :-2] + 2 * rows[:, :, 1:-1] + rows[:, :, 2:]
+    own = planes * 16
+    return np.clip((own * 256 + (own - blur) * factor + 2048) >> 12, 0, 255)
+
+
 def upsample_bilinear(plane: Column, w: int, h: int, scale: int) -> Column:
-    """Bilinear by 2 or 4 in fixed point; the sum of weights is 2^16 and the result is truncated."""
-    table = []
-    for y0, y1, fy in _taps(h, scale):
-        for x0, x1, fx in _taps(w, scale):
-            table.append((y0 * w + x0, y0 * w + x1, y1 * w + x0, y1 * w + x1, (256 - fx) * (256 - fy), fx * (256 - fy), (256 - fx) * fy, fx * fy))
-    return _gather(plane, table, lambda at, r: F.shiftright(sum((at(r[k]) * r[k + 4] for k in range(1, 4)), at(r[0]) * r[4]).cast("int"), 16))
+    return on_array(plane, h, w, lambda p: bilinear(p, scale))
 
 
 def upsample_nearest(plane: Column, w: int, h: int, scale: int) -> Column:
-    return _gather(plane, [((y // scale) * w + x // scale,) for y in range(h * scale) for x in range(w * scale)], lambda at, r: at(r[0]))
+    return on_array(plane, h, w, lambda p: nearest(p, scale))
 
 
 def downsample_box(plane: Column, w: int, h: int) -> Column:
-    """2 by 2 means, (sum + 2) / 4 truncated; odd edges repeat their last pixel."""
-    table = []
-    for y in range((h + 1) // 2):
-        for x in range((w + 1) // 2):
-            xs, ys = (2 * x, min(2 * x + 1, w - 1)), (2 * y, min(2 * y + 1, h - 1))
-            table.append(tuple(b * w + a for b in ys for a in xs))
-    return _gather(plane, table, lambda at, r: F.shiftright((at(r[0]) + at(r[1]) + at(r[2]) + at(r[3]) + 2).cast("int"), 2))
+    return on_array(plane, h, w, box_half)
 
 
 def extract_tile(plane: Column, w: int, h: int, x: int, y: int, size: int, fill: int = 0) -> Column:
     """The tile (x, y) of a plane; what lies outside is fill."""
-    table = [(r * w + c if c < w and r < h else -1,) for r in range(y * size, (y + 1) * size) for c in range(x * size, (x + 1) * size)]
-    return F.transform(_table(table), lambda row: F.when(row[0] >= 0, F.get(plane, F.greatest(row[0], F.lit(0)))).otherwise(fill))
+    return on_array(plane, h, w, lambda p: cut(p, x, y, size, fill))
+
+
+def unsharp(plane: Column, w: int, h: int, strength: float) -> Column:
+    return on_array(plane, h, w, lambda p: sharpen(p, strength))
+
+
+def mosaics(tiles: pa.Array, size: int, wide: int, fill: int) -> np.ndarray:
+    """(n, size * wide, size * wide) planes from lists of tiles in row order; missing tiles are fill."""
+    n, each = len(tiles), tiles.value_lengths().fill_null(0).to_numpy()
+    flat = tiles.flatten()
+    row = np.repeat(np.arange(n), each)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(each) - each, each)
+    there = flat.is_valid().to_numpy(zero_copy_only=False) & (place < wide * wide)
+    values = flat.filter(pa.array(there)).flatten().to_numpy(zero_copy_only=False)
+    out = np.full((n, wide * wide, size, size), fill, np.int64)
+    out[row[there], place[there]] = values.reshape(-1, size, size)
+    return out.reshape(n, wide, wide, size, size).transpose(0, 1, 3, 2, 4).reshape(n, wide * size, wide * size)
+
+
+def on_mosaic(tiles: Column, size: int, wide: int, f: Callable[[np.ndarray], np.ndarray], fill: int = 0) -> Column:
+    """f of the planes that arrays of wide by wide tiles make."""
+
+    def run(column: pa.Array) -> pa.Array:
+        planes = mosaics(column, size, wide, fill)
+        return _lists(f(planes), np.ones(len(planes), bool), pa.int32())
+
+    run.__annotations__ = {"column": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, T.ArrayType(T.IntegerType()))(tiles)
 
 
 def mosaic(tiles: Column, size: int, wide: int) -> Column:
     """One plane of wide by wide tiles from an array of planes in row order; missing tiles leave zeros."""
-    n = size * wide
-    table = [((r // size) * wide + c // size, (r % size) * size + c % size) for r in range(n) for c in range(n)]
-    return F.transform(_table(table), lambda row: F.coalesce(F.get(F.get(tiles, row[0]), row[1]), F.lit(0)))
+    return on_mosaic(tiles, size, wide, lambda p: p)
 
 
 def residual_raw(truth: Column, predicted: Column) -> Column:
@@ -85,21 +139,6 @@ def apply_residual(predicted: Column, centred: Column) -> Column:
     return F.zip_with(predicted, centred, lambda p, r: clamp(p + (r - 128)))
 
 
-def unsharp(plane: Column, w: int, h: int, strength: float) -> Column:
-    """src + strength (src - blur), blur by 1-2-1 both ways; 8-bit fixed point, rounded, and negative values shift downwards."""
-    factor = int(strength * 256 + 0.5)
-    near = lambda v, n: (max(v - 1, 0), v, min(v + 1, n - 1))
-    table = [tuple(b * w + a for b in near(y, h) for a in near(x, w)) for y in range(h) for x in range(w)]
-    kernel = (1, 2, 1, 2, 4, 2, 1, 2, 1)
-
-    def pixel(at, r):
-        blur = sum((at(r[k]) * kernel[k] for k in range(1, 9)), at(r[0]))
-        own = at(r[4]) * 16
-        return clamp(F.shiftright((own * 256 + (own - blur) * factor + 2048).cast("int"), 12))
-
-    return _gather(plane, table, pixel)
-
-
 def dark_rows(plane: Column, w: int, h: int, level: int = 10, share: float = 0.8) -> Column:
     """How many rows have more than `share` of their pixels under `level`."""
     rows = F.transform(F.sequence(F.lit(0), F.lit(h - 1)), lambda y: F.size(F.filter(F.slice(plane, y * w + 1, w), lambda v: v < level)))
@@ -160,16 +199,13 @@ def optimised_base(base: np.ndarray, target: np.ndarray, most: float = 15.0, ste
 
 
 def optimised_chroma(small: np.ndarray, target: np.ndarray, most: float = 8.0, steps: int = 50, rate: float = 0.25) -> np.ndarray:
-    """As optimised_base, with the mean of each 2 by 2 block of the error in place of the gradient."""
-    now, best, least = small.copy(), small.copy(), np.full(len(small), np.inf)
+    """As optimised_base, with the mean of each 2 by 2 block of the error in place of the gradient, and the last state as the result."""
+    now = small.copy()
     for _ in range(steps):
-        rest = target - np.repeat(np.repeat(np.floor(np.clip(now, 0, 255) + 0.5), 2, 1), 2, 2)
-        error = (rest**2).sum((1, 2))
-        better = error < least
-        least[better], best[better] = error[better], now[better]
+        rest = target - np.floor(upsample_float(np.floor(np.clip(now, 0, 255) + 0.5)))
         n, h, w = rest.shape
         now = np.clip(np.clip(now + rate * rest.reshape(n, h // 2, 2, w // 2, 2).mean((2, 4)), small - most, small + most), 0, 255)
-    return np.floor(np.clip(best, 0, 255) + 0.5)
+    return np.floor(np.clip(now, 0, 255) + 0.5)
 
 
 def kernel_matrix(size: int, target: int, support: float, kernel: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
@@ -190,9 +226,11 @@ def triangle(x: np.ndarray) -> np.ndarray:
     return np.maximum(0, 1 - np.abs(x))
 
 
-def resample(planes: np.ndarray, w: int, h: int, kind: str) -> np.ndarray:
+def resample(planes: np.ndarray, w: int, h: int, kind: str, most: float | None = 255) -> np.ndarray:
+    """Planes at another size; within 0 and most, if there is one."""
     support, kernel = {"lanczos3": (3.0, lanczos3), "triangle": (1.0, triangle)}[kind]
-    return np.clip(kernel_matrix(planes.shape[1], h, support, kernel) @ planes @ kernel_matrix(planes.shape[2], w, support, kernel).T, 0, 255)
+    out = kernel_matrix(planes.shape[1], h, support, kernel) @ planes @ kernel_matrix(planes.shape[2], w, support, kernel).T
+    return out if most is None else np.clip(out, 0, most)
 
 
 def dct_matrix(n: int = 8) -> np.ndarray:

@@ -175,7 +175,12 @@ def family_counts(t: Tables) -> DataFrame:
     return own.groupBy("level").agg(F.count("*").alias("tiles"), F.count_distinct(F.shiftright("vec_id", 2)).alias("parents"), F.count_distinct(F.shiftright("vec_id", 4)).alias("families"))
 
 
-# --- numpy operators and containers: no SQL can say them, so tests hold them against plain loops ---
+def _numbers_sql(name: str, matrix: np.ndarray) -> str:
+    """A table (a, i, w) of a matrix's numbers."""
+    return f"{name}(a, i, w) AS (VALUES " + ", ".join(f"({a}, {i}, {float(matrix[a, i])!r}::DOUBLE)" for a in range(matrix.shape[0]) for i in range(matrix.shape[1])) + ")"
+
+
+# --- numpy operators and containers: where SQL can't say them, tests hold them against plain loops ---
 
 
 def _numbers(df: DataFrame, columns: list[str], f, out: str) -> DataFrame:
@@ -222,13 +227,27 @@ def optimised_bases(t: Tables) -> DataFrame:
     return _numbers(_pairs(t), ["px", "pred"], both, "before after chroma_gain")
 
 
-@query()
+def _spectra_sql() -> str:
+    d, l, g = raster.dct_matrix(N), raster.kernel_matrix(N, 4, 3.0, raster.lanczos3), raster.kernel_matrix(N, 16, 1.0, raster.triangle)
+    resized = lambda k, out, n: f"""{out}_r AS (SELECT vec_id, k.a AS y, p.i % 8 AS x, sum(p.v * k.w) AS v FROM p JOIN {k} k ON k.i = p.i // 8 GROUP BY vec_id, k.a, p.i % 8),
+    {out}_c AS (SELECT vec_id, y, k.a AS x, greatest(0, least(255, sum(v * k.w))) AS v FROM {out}_r JOIN {k} k ON k.i = {out}_r.x GROUP BY vec_id, y, k.a), {out} AS (SELECT vec_id, avg(v) AS v FROM {out}_c GROUP BY vec_id)"""
+    return f"""WITH {_PAIRS}, {_numbers_sql('d', d)}, {_numbers_sql('l', l)}, {_numbers_sql('g', g)}, p AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(px)::DOUBLE AS v FROM pairs),
+    u AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(px) - unnest(pred) AS r FROM pairs), rows AS (SELECT vec_id, d.a AS y, u.i % 8 AS x, sum(u.r * d.w) AS v FROM u JOIN d ON d.i = u.i // 8 GROUP BY vec_id, d.a, u.i % 8),
+    f AS (SELECT vec_id, y, d.a AS x, sum(v * d.w) AS v FROM rows JOIN d ON d.i = rows.x GROUP BY vec_id, y, d.a), o AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(v) DESC) AS k FROM f),
+    s AS (SELECT vec_id, sum(v * v) AS energy, sum(v * v) FILTER (k > 8) AS rest FROM o GROUP BY vec_id), {resized('l', 'shrunk', 4)}, {resized('g', 'grown', 16)}
+    SELECT vec_id, round(energy, 4) + 0.0 AS energy, round(rest, 4) + 0.0 AS "left", round(shrunk.v, 6) AS lanczos_mean, round(grown.v, 6) AS triangle_mean FROM s JOIN shrunk USING (vec_id) JOIN grown USING (vec_id)"""
+
+
+@query(_spectra_sql())
 def spectra(t: Tables) -> DataFrame:
+    """Energy of each residual's spectrum, what its eight largest coefficients leave, and the means of the plane resized by Lanczos and triangle kernels."""
+
     def both(px, pred):
         rest = px - pred
         return (raster.dct(rest) ** 2).sum((1, 2)), ((rest - raster.largest_coefficients(rest, 8)) ** 2).sum((1, 2)), raster.resample(px, 4, 4, "lanczos3").mean((1, 2)), raster.resample(px, 16, 16, "triangle").mean((1, 2))
 
-    return _numbers(_pairs(t), ["px", "pred"], both, "energy left lanczos_mean triangle_mean")
+    found = _numbers(_pairs(t), ["px", "pred"], both, "energy left lanczos_mean triangle_mean")
+    return found.select("vec_id", *[(F.round(c, 4) + 0.0).alias(c) for c in ("energy", "left")], *[F.round(c, 6).alias(c) for c in ("lanczos_mean", "triangle_mean")])
 
 
 @query()
@@ -314,6 +333,23 @@ v AS (SELECT p.x, p.y, i, sum(coalesce(g.px[((2 * (i // 8) + b) % 8) * 8 + (2 *
 LEFT JOIN g ON g.x = p.x * 2 + (2 * (i % 8) + a) // 8 AND g.y = p.y * 2 + (2 * (i // 8) + b) // 8 GROUP BY p.x, p.y, i)
 SELECT x, y, string_agg((s::BIGINT + 2) // 4, ',' ORDER BY i) AS px FROM v GROUP BY x, y""")
 def lower_level(t: Tables) -> DataFrame:
+    own = bind.planes(t).select((F.col("vec_id") % 16).cast("int").alias("x"), F.floor(F.col("vec_id") / 16).cast("int").alias("y"), "px")
+    return families.lower_levels(own, 1, N, kind="box")[0].select("x", "y", _text(F.col("px")).alias("px"))
+
+
+def _lanczos_sql() -> str:
+    """The weights of 16 pixels for 8, as a table."""
+    weights = raster.kernel_matrix(2 * N, N, 3.0, raster.lanczos3)
+    rows = ", ".join(f"({i}, {j}, {float(weights[i, j])!r}::DOUBLE)" for i in range(N) for j in range(2 * N) if weights[i, j])
+    return f"""WITH {PLANES_SQL}, k(i, j, w) AS (VALUES {rows}), g AS (SELECT (vec_id % 16)::INTEGER AS x, (vec_id // 16)::INTEGER AS y, px FROM planes), p AS (SELECT DISTINCT x >> 1 AS x, y >> 1 AS y FROM g),
+    m AS (SELECT p.x, p.y, c, r, coalesce(g.px[(r % 8) * 8 + c % 8 + 1], 255) AS v FROM p CROSS JOIN range(0, 16) rc(c) CROSS JOIN range(0, 16) rr(r) LEFT JOIN g ON g.x = p.x * 2 + c // 8 AND g.y = p.y * 2 + r // 8),
+    a AS (SELECT x, y, c, k.i AS r, sum(v * k.w) AS v FROM m JOIN k ON k.j = m.r GROUP BY x, y, c, k.i),
+    b AS (SELECT x, y, k.i AS c, r, sum(v * k.w) AS v FROM a JOIN k ON k.j = a.c GROUP BY x, y, k.i, r)
+    SELECT x, y, string_agg(floor(round(greatest(0, least(255, v)), 9) + 0.5)::INTEGER, ',' ORDER BY r, c) AS px FROM b GROUP BY x, y"""
+
+
+@query(_lanczos_sql())
+def lower_level_lanczos(t: Tables) -> DataFrame:
     own = bind.planes(t).select((F.col("vec_id") % 16).cast("int").alias("x"), F.floor(F.col("vec_id") / 16).cast("int").alias("y"), "px")
     return families.lower_levels(own, 1, N)[0].select("x", "y", _text(F.col("px")).alias("px"))
 
@@ -322,10 +358,9 @@ def lower_level(t: Tables) -> DataFrame:
 SELECT vec_id, sum((v - floor(m)) * (v - floor(m)))::BIGINT AS by_floor, sum((v - ceil(m)) * (v - ceil(m)))::BIGINT AS by_ceil, sum((v - floor(m + 0.5)) * (v - floor(m + 0.5)))::BIGINT AS by_round FROM s GROUP BY vec_id""")
 def rounding_energy(t: Tables) -> DataFrame:
     """Squared error of each plane from its 2 by 2 means, when these are rounded down, up and to the nearest."""
-    cell = [tuple(b * N + a for b in (y - y % 2, y - y % 2 + 1) for a in (x - x % 2, x - x % 2 + 1)) for y in range(N) for x in range(N)]
-    sums = F.transform(raster._table(cell), lambda r: F.get("px", r[0]) + F.get("px", r[1]) + F.get("px", r[2]) + F.get("px", r[3]))
+    sums = raster.on_array(F.col("px"), N, N, lambda p: raster.nearest(p[:, ::2, ::2] + p[:, ::2, 1::2] + p[:, 1::2, ::2] + p[:, 1::2, 1::2], 2))
     energy = lambda add: F.aggregate(F.zip_with("px", "sums", lambda v, s: (v - F.shiftright((s + add).cast("int"), 2)) * (v - F.shiftright((s + add).cast("int"), 2))), F.lit(0).cast("bigint"), lambda a, v: a + v)
-    return bind.planes(t).withColumn("sums", sums).select("vec_id", energy(0).alias("by_floor"), energy(3).alias("by_ceil"), energy(2).alias("by_round"))
+    return bind.planes(t).select("vec_id", "px", sums.alias("sums")).select("vec_id", energy(0).alias("by_floor"), energy(3).alias("by_ceil"), energy(2).alias("by_round"))
 
 
 @query(f"""WITH {PLANES_SQL} SELECT vec_id, list_max(px) = 0 AS is_zero, list_max(px) - list_min(px) < 90 AS is_flat FROM planes""")
@@ -333,14 +368,22 @@ def blank_tiles(t: Tables) -> DataFrame:
     return bind.planes(t).select("vec_id", (F.array_max("px") == 0).alias("is_zero"), (F.array_max("px") - F.array_min("px") < 90).alias("is_flat"))
 
 
-@query()
+def _surface() -> np.ndarray:
+    """An orthonormal basis of quadratic surfaces, pixels by six."""
+    y, x = np.mgrid[0:N, 0:N] / (N - 1)
+    return np.linalg.qr(np.stack([np.ones_like(x), x, y, x * x, x * y, y * y], -1).reshape(N * N, 6))[0]
+
+
+@query(f"""WITH {_PAIRS}, {_numbers_sql('basis', _surface().T)}, u AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(px) - unnest(pred) AS r FROM pairs), c AS (SELECT vec_id, a, sum(r * w) AS c FROM u JOIN basis USING (i) GROUP BY vec_id, a),
+e AS (SELECT vec_id, sum(r * r)::DOUBLE AS energy FROM u GROUP BY vec_id), s AS (SELECT vec_id, sum(c * c) AS fitted FROM c GROUP BY vec_id)
+SELECT vec_id, energy, round(energy - fitted, 4) + 0.0 AS "left" FROM e JOIN s USING (vec_id)""")
 def quadratic_fit(t: Tables) -> DataFrame:
     """What a quadratic surface fitted to each residual plane leaves of its energy."""
-    y, x = np.mgrid[0:N, 0:N] / (N - 1)
-    basis, _ = np.linalg.qr(np.stack([np.ones_like(x), x, y, x * x, x * y, y * y], -1).reshape(N * N, 6))
+    basis = _surface()
 
     def both(px, pred):
         rest = (px - pred).reshape(len(px), -1)
         return (rest**2).sum(1), ((rest - rest @ basis @ basis.T) ** 2).sum(1)
 
-    return _numbers(_pairs(t), ["px", "pred"], both, "energy left")
+    found = _numbers(_pairs(t), ["px", "pred"], both, "energy left")
+    return found.select("vec_id", "energy", (F.round("left", 4) + 0.0).alias("left"))
