@@ -36,21 +36,21 @@ def linear(percent: int) -> Column:
 
 
 def exclusive(percent: int) -> Column:
-    """Interpolated at (n + 1) p counted from 1, with integers, so that weights are exact; groups too small to have the position give the maximum."""
+    """Interpolated at (n + 1) p counted from 1, with integers, so that weights are exact; groups of at most 20 (over 95 percent: 100) give the maximum."""
     place = F.floor(percent * (F.col("total") + 1) / 100)
     weight = (percent * (F.col("total") + 1)) % 100
     inside = F.greatest(F.lit(1), F.least(place, F.col("total") - 1))
     low, high = at_rank(inside - 1), at_rank(inside)
-    small = F.max(F.col("total")) < F.lit(20 if percent <= 95 else 100)
+    small = F.max(F.col("total")) <= F.lit(20 if percent <= 95 else 100)
     return F.when(small, F.max("value")).otherwise(low + (high - low) * F.max(weight) / 100)
 
 
 def size_statistics(df: DataFrame, by: list[str], size: str) -> DataFrame:
-    """count, total, megabytes of 2^20, mean, least, nearest-rank percentiles and greatest of sizes."""
+    """count, total, megabytes of 2^20, whole mean (half to even), least, nearest-rank percentiles and greatest of sizes."""
     n = F.sum("n")
     total = F.sum(F.col("value") * F.col("n"))
     return value_counts(df, by, size).groupBy(*by).agg(
-        n.alias("count"), total.cast("bigint").alias("total_bytes"), F.round(total / 1048576, 2).alias("total_mb"), F.round(total / n, 2).alias("avg"), F.min("value").alias("min"),
+        n.alias("count"), total.cast("bigint").alias("total_bytes"), F.round(total / 1048576, 2).alias("total_mb"), F.bround(total / n, 0).cast("bigint").alias("avg"), F.min("value").alias("min"),
         *[nearest_rank(p).alias(name) for p, name in ((5, "p5"), (25, "p25"), (50, "median"), (75, "p75"), (95, "p95"), (99, "p99"))], F.max("value").alias("max"),
     )
 
@@ -62,6 +62,19 @@ def request_counters(requests: DataFrame, by: list[Column], kinds: list[str], ki
     return requests.groupBy(*by).agg(F.count("*").alias("tile_total"), *each, total.cast("bigint").alias("tile_ms_sum"), F.max(ms).cast("bigint").alias("tile_ms_max"), F.floor(total / F.count("*")).cast("bigint").alias("tile_ms_avg"))
 
 
+def family_counters(families: DataFrame, by: list[Column], ms: str = "ms") -> DataFrame:
+    """Families generated; sum, maximum and whole mean of their times."""
+    total = F.sum(ms)
+    return families.groupBy(*by).agg(F.count("*").alias("family_generated"), total.cast("bigint").alias("family_ms_sum"), F.max(ms).cast("bigint").alias("family_ms_max"), F.floor(total / F.count("*")).cast("bigint").alias("family_ms_avg"))
+
+
+def fractional_counters(requests: DataFrame, by: list[Column], kinds: list[str], kind: str = "kind", ms: str = "ms") -> DataFrame:
+    """As request_counters, with times kept in whole microseconds, and mean and maximum as fractions of milliseconds."""
+    us = F.floor(F.col(ms) * 1000)
+    each = [F.count_if(F.col(kind) == k).alias(f"tile_{k}") for k in kinds]
+    return requests.groupBy(*by).agg(F.count("*").alias("tile_total"), *each, (F.sum(us) / F.count("*") / 1000.0).alias("tile_avg_ms"), (F.max(us) / 1000.0).alias("tile_max_ms"))
+
+
 def with_totals(df: DataFrame, by: str, measures: dict[str, Column]) -> DataFrame:
     """Measures by group and, in the row 'all', over everything: one rollup instead of two passes."""
     out = df.rollup(by).agg(F.grouping(by).alias("g"), *[c.alias(name) for name, c in measures.items()])

@@ -31,19 +31,34 @@ def missing(rows: DataFrame, others: DataFrame, key: list[str]) -> DataFrame:
     return rows.join(others.select(*key), key, "left_anti")
 
 
+#: Ranges into which nearest matches cut the sizes.
+RANGES = 64
+
+
 def nearest_size(points: DataFrame, references: DataFrame, by: list[str], size: str, keep: list[str]) -> DataFrame:
     """Each point with the reference of its group nearest in size; of equally near ones the smaller, of equal sizes the first by `keep`.
 
-    References and points are merged in size order and each point looks to both sides, so nothing is crossed: one sort of the group instead of a product.
+    References and points are merged in size order and each point looks to both sides, so nothing is crossed. No group is one task: sizes are cut into
+    RANGES by approximate quantiles of the references, each range is sorted apart, and what lies beyond its ends is carried over from the other ranges' least
+    and greatest references.
     """
     names = [f"ref_{k}" for k in (size, *keep)]
     refs = references.groupBy(*by, size).agg(F.min(F.struct(*keep)).alias("k"))
     ref_rows = refs.select(*by, F.col(size).alias("at"), F.struct(F.col(size).alias(names[0]), *[F.col(f"k.{k}").alias(n) for k, n in zip(keep, names[1:], strict=True)]).alias("ref"))
-    both = points.withColumn("at", F.col(size)).unionByName(ref_rows, allowMissingColumns=True)
-    span = Window.partitionBy(*by).orderBy("at")
+    found = references.agg(F.percentile_approx(size, [k / RANGES for k in range(1, RANGES)], 1000)).first()[0]
+    cuts = sorted(set(found or []))
+    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("at"))) if cuts else F.lit(0)
+    both = points.withColumn("at", F.col(size)).unionByName(ref_rows, allowMissingColumns=True).withColumn("range", place)
+    ends = both.where(F.col("ref").isNotNull()).groupBy(*by, "range").agg(F.min("ref").alias("least"), F.max("ref").alias("most"))
+    ranges = F.explode(F.sequence(F.lit(0), F.lit(len(cuts)))).alias("range")
+    every = ends.select(*by).distinct().select(*by, ranges).join(ends, [*by, "range"], "left")
+    order = Window.partitionBy(*by).orderBy("range")  # RANGES rows a group
+    carried = every.select(*by, "range", F.last("most", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("below"), F.first("least", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("above"))
+    span = Window.partitionBy(*by, "range").orderBy("at")
     low = F.last("ref", ignorenulls=True).over(span.rangeBetween(Window.unboundedPreceding, 0))
     high = F.first("ref", ignorenulls=True).over(span.rangeBetween(0, Window.unboundedFollowing))
-    met = both.withColumns({"low": low, "high": high}).where(F.col("ref").isNull())
+    met = both.withColumns({"low": low, "high": high}).where(F.col("ref").isNull()).join(carried, [*by, "range"], "left")
+    met = met.withColumns({"low": F.coalesce("low", "below"), "high": F.coalesce("high", "above")})
     down, up = F.col("at") - F.col(f"low.{names[0]}"), F.col(f"high.{names[0]}") - F.col("at")
     best = F.when(F.col("high").isNull() | (down <= up), F.col("low")).otherwise(F.col("high"))
     return met.withColumn("best", best).select(*points.columns, *[F.col(f"best.{n}").alias(n) for n in names])
@@ -74,6 +89,12 @@ def compare_runs(tiles: DataFrame, run: str, a, b, key: list[str], value: str) -
     return out.where("value_a IS NOT NULL AND value_b IS NOT NULL").withColumn("diff", F.col("value_b") - F.col("value_a"))
 
 
+def compare_many(tiles: DataFrame, run: str, names: list, key: list[str], value: str) -> DataFrame:
+    """Tiles that all the given runs share, a column value_<k> for each; one pass and a conditional aggregate."""
+    each = [F.max(F.when(F.col(run) == name, F.col(value))).alias(f"value_{k}") for k, name in enumerate(names)]
+    return tiles.where(F.col(run).isin(*names)).groupBy(*key).agg(*each).where(" AND ".join(f"value_{k} IS NOT NULL" for k in range(len(names))))
+
+
 def aligned(left: Column, right: Column, f) -> Column:
     """Pixel by pixel over two planes."""
     return F.zip_with(left, right, f)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Parts of run names; the formats are fixed values, the names are built from them.
+#: The formats of run names, whatever words they hold, and the keys and modes of summaries. Parts that recur are named.
 ENCODER = "(?:(?<encoder>jpegli|mozjpeg|jpegxl|webp)_)?"
 SAMPLING = "(?<sampling>444|420opt|420)"
 TAGGED = "(?:_s(?<sampling>420opt|420|444))?"
@@ -51,16 +51,22 @@ def _group(pattern: str, field: str) -> int | None:
     return n
 
 
-def parse_run_name(name: Column) -> dict[str, Column]:
-    """kind and fields of a run's directory name; null where the name is none, or has no such field. Sharpening is in tenths in names."""
-    out = {"run_kind": F.coalesce(*[F.when(name.rlike(f"^(?:{p})$"), k) for k, p in NAMES])}
+def with_run_fields(df: DataFrame, name: str) -> DataFrame:
+    """df with run_kind and the fields of a run's directory name. The kind is found once, and each field by the pattern of that kind alone."""
+    kind = df.withColumn("run_kind", F.coalesce(*[F.when(F.col(name).rlike(f"^(?:{p})$"), k) for k, p in NAMES]))
+    return kind.withColumns(run_fields(F.col(name), F.col("run_kind")))
+
+
+def run_fields(name: Column, run_kind: Column) -> dict[str, Column]:
+    """The fields of a name of a known kind; null where it has no such field. Sharpening is in tenths in names."""
+    out = {"run_kind": run_kind}
     for field in FIELDS:
-        found = []
-        for _, pattern in NAMES:
+        found = F.lit(None).cast("string")
+        for kind, pattern in reversed(NAMES):
             n = _group(pattern, field)
-            value = F.lit(None).cast("string") if n is None else F.nullif(F.regexp_extract(name, f"^(?:{pattern})$", n), F.lit(""))
-            found.append(F.when(name.rlike(f"^(?:{pattern})$"), F.coalesce(value, F.lit(""))))
-        text = F.nullif(F.coalesce(*found), F.lit(""))
+            if n is not None:
+                found = F.when(run_kind == kind, F.regexp_extract(name, f"^(?:{pattern})$", n)).otherwise(found)
+        text = F.nullif(found, F.lit(""))
         out[field] = text if field in ("encoder", "sampling") else text.isNotNull() & out["run_kind"].isNotNull() if field == "optl2" else text.cast("double") if field == "strength" else text.cast("int")
     out["sharp"] = out["sharp"] / 10.0
     out["encoder"] = F.when(out["run_kind"].isNotNull() & (out["run_kind"] != "jp2_baseline"), F.coalesce(out["encoder"], F.lit(DEFAULT_ENCODER))).otherwise(out["encoder"])
@@ -74,14 +80,44 @@ def grid_tokens(name: Column) -> tuple[Column, Column]:
     return F.when(both, q), F.when(both, j)
 
 
-def label(summary: dict[str, Column], directory: Column) -> Column:
-    """A slide's label: a plain quality, then base and residual qualities, then one residual quality, then the directory's name."""
-    return F.coalesce(
-        F.when(summary["quality"].isNotNull() & summary["l1q"].isNull(), F.format_string("JPEG Q%d", summary["quality"])),
-        F.when(summary["baseq"].isNotNull() & summary["l1q"].isNotNull() & summary["l0q"].isNotNull(), F.format_string("Base %d / L1 %d / L0 %d", summary["baseq"], summary["l1q"], summary["l0q"])),
-        F.when(summary["l1q"].isNotNull(), F.format_string("Residual Q%d", summary["l1q"])),
-        directory,
-    )
+PLAIN_MODE = "ingest-jpeg-only"
+LEGACY_QUALITY = "residual_jpeg_q_L"
+
+
+def label(summary: Column, directory: Column, family: str = "Residual") -> Column:
+    """A slide's label from its summary's JSON: a plain quality in the plain mode, then base and residual qualities, then the legacy quality, then the
+    directory's name (also where the JSON is none). family: the word before residual qualities."""
+    number = lambda key: F.coalesce(F.get_json_object(summary, f"$.{key}").try_cast("long"), F.lit(0))
+    has = lambda key: F.get_json_object(summary, f"$.{key}").isNotNull()
+    return (
+        F.when(F.get_json_object(summary, "$.mode") == PLAIN_MODE, F.format_string("JPEG Q%d", number("baseq")))
+        .when(has("baseq"), F.format_string(f"{family} %d/%d/%d", number("baseq"), number("l1q"), number("l0q")))
+        .when(has(LEGACY_QUALITY), F.format_string(f"{family} Q%d", number(LEGACY_QUALITY))).otherwise(directory)
+    )
+
+
+def disk_megabytes(summary: Column) -> Column:
+    """Megabytes of 2^20 that a summary tells: all of them in the plain mode, base and residuals, or the legacy total; 0 where it tells none."""
+    number = lambda key: F.coalesce(F.get_json_object(summary, f"$.{key}").try_cast("long"), F.lit(0))
+    has = lambda key: F.get_json_object(summary, f"$.{key}").isNotNull()
+    total = F.when(F.get_json_object(summary, "$.mode") == PLAIN_MODE, number("total_bytes")).when(has("l2_bytes"), number("l2_bytes") + number("residual_bytes")).when(has("proposed_bytes"), number("proposed_bytes")).otherwise(0)
+    return total / 1048576.0
+
+
+#: Folders that make a directory of no known name a run.
+CONTENT = ("images", "compress", "decompress")
+
+
+def scan_runs(entries: DataFrame) -> DataFrame:
+    """Runs among the entries (path) of a folder, each path relative to it: (run, run_kind, fields, has_images, has_compress, has_decompress).
+
+    Directories are known by what lies in them. Those whose name is of no known kind count as runs of kind 'unknown' if they have one of the content folders.
+    """
+    part = F.split("path", "/")
+    held = entries.where(F.size(part) > 1).select(part[0].alias("run"), part[1].alias("own"))
+    found = held.groupBy("run").agg(*[F.max(F.col("own") == c).alias(f"has_{c}") for c in CONTENT])
+    named = with_run_fields(found, "run").withColumn("run_kind", F.coalesce("run_kind", F.when(F.col("has_images") | F.col("has_compress") | F.col("has_decompress"), "unknown")))
+    return named.where("run_kind IS NOT NULL").select("run", "run_kind", *FIELDS, *[f"has_{c}" for c in CONTENT])
 
 
 MANIFEST = "run string, level string, tx int, ty int, bytes bigint, psnr double"

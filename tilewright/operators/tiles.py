@@ -61,6 +61,14 @@ def one_per_family(tiles: DataFrame, seed: int, key: list[str]) -> DataFrame:
     return tiles.groupBy("x2", "y2").agg(F.min(rank).alias("r")).select("x2", "y2", *[F.col(f"r.{k}").alias(k) for k in key])
 
 
+def preferred_sample(tiles: DataFrame, key: list[str], share: float, n: int, seed: int = 7) -> DataFrame:
+    """(level, x, y) of n tiles drawn by a hash of their keys: a share of them as they are (L0), the others as their parents (L1). The same rows on every run."""
+    draw = lambda s: F.md5(F.concat_ws(":", F.lit(str(s)), *key))
+    large = F.substring(draw(seed), 1, 2) < f"{int(share * 256):02x}"
+    pick = lambda c: F.when(large, F.col(c)).otherwise(parent(F.col(c))).alias(c)
+    return tiles.orderBy(draw(seed + 1), *key).limit(n).select(F.when(large, "L0").otherwise("L1").alias("level"), pick("x"), pick("y"))
+
+
 def family_coverage(tiles: DataFrame, full: int, empty: Column) -> DataFrame:
     """Tiles present and empty of each family; whether all are empty, and whether some are missing."""
     out = tiles.groupBy("x2", "y2").agg(F.count("*").alias("tiles"), F.count_if(empty).alias("empty_tiles"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilewright.operators.aggregates import value_counts
+
 
 def pareto_frontier(points: DataFrame, by: list[str], size: str, gain: str, floor: float = -999.0) -> DataFrame:
     """Points whose gain beats all smaller ones'. Of one size only the best can be on the frontier, so sizes are aggregated before the window."""
@@ -33,6 +35,12 @@ def normalised(value: str, by: list[str], flat: float = 0.0) -> Column:
     return F.when(high == low, flat).otherwise((F.col(value) - low) / (high - low))
 
 
+def balance_scores(points: DataFrame, by: list[str], gain: str, size: str, ratio: str) -> DataFrame:
+    """points with `balance`, 0.6 gain and 0.4 smallness, and `even`, half gain and half compression ratio, each normalised over the group; a range of 0 scores 0."""
+    better = normalised(gain, by)
+    return points.withColumns({"balance": 0.6 * better + 0.4 * (1 - normalised(size, by, 1.0)), "even": 0.5 * better + 0.5 * normalised(ratio, by)})
+
+
 def trapezoid_area(points: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     seq = Window.partitionBy(*by).orderBy(x)
     part = (F.col(y) + F.lead(y).over(seq)) / 2 * (F.lead(x).over(seq) - F.col(x))
@@ -40,8 +48,10 @@ def trapezoid_area(points: DataFrame, by: list[str], x: str, y: str) -> DataFram
 
 
 def representatives(rows: DataFrame, by: list[str], size: str, key: str, percents: list[int]) -> DataFrame:
-    """For each percentile the row at its nearest rank by (size, key)."""
-    group = Window.partitionBy(*by)
-    ranked = rows.withColumns({"rank": F.row_number().over(group.orderBy(size, key)) - 1, "total": F.count("*").over(group)})
+    """For each percentile the row at its nearest rank by (size, key). The size at the rank is read off counts; only rows of that size are ranked by key."""
     wanted = F.explode(F.array(*[F.lit(p) for p in percents]))
-    return ranked.withColumn("percentile", wanted).where(F.col("rank") == F.least(F.floor(F.col("total") * F.col("percentile") / 100), F.col("total") - 1)).select(*by, "percentile", key, size)
+    rank = F.least(F.floor(F.col("total") * F.col("percentile") / 100), F.col("total") - 1)
+    found = value_counts(rows, by, size).withColumn("percentile", wanted).where((rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n")))
+    places = found.select(*by, F.col("value").alias(size), "percentile", (rank - F.col("upto") + F.col("n")).alias("place"))
+    ranked = rows.select(*by, size, key).join(places, [*by, size]).withColumn("k", F.row_number().over(Window.partitionBy(*by, size, "percentile").orderBy(key)) - 1)
+    return ranked.where("k = place").select(*by, "percentile", key, size)

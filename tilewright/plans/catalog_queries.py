@@ -14,7 +14,7 @@ from tilewright.plans.registry import Tables, query
 
 
 @query(f"""WITH {BLOBS_SQL}, r AS (SELECT level, bytes, row_number() OVER (PARTITION BY level ORDER BY bytes) - 1 AS k, count(*) OVER (PARTITION BY level) AS n FROM blobs WHERE bytes IS NOT NULL)
-SELECT level, count(*) AS count, sum(bytes)::BIGINT AS total_bytes, round(sum(bytes) / 1048576, 2) AS total_mb, round(sum(bytes) / count(*), 2) AS avg, min(bytes) AS min,
+SELECT level, count(*) AS count, sum(bytes)::BIGINT AS total_bytes, round(sum(bytes) / 1048576, 2) AS total_mb, round_even(sum(bytes) / count(*), 0)::BIGINT AS avg, min(bytes) AS min,
 {", ".join(f"max(CASE WHEN k = least((n * {p}) // 100, n - 1) THEN bytes END) AS {a}" for p, a in ((5, "p5"), (25, "p25"), (50, "median"), (75, "p75"), (95, "p95"), (99, "p99")))}, max(bytes) AS max
 FROM r GROUP BY level""")
 def blob_size_stats(t: Tables) -> DataFrame:
@@ -133,11 +133,14 @@ def trapezoid_auc(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {CURVE_SQL}, n AS (SELECT series, quality, CASE WHEN max(gain) OVER w = min(gain) OVER w THEN 0 ELSE (gain - min(gain) OVER w) / (max(gain) OVER w - min(gain) OVER w) END AS g,
-CASE WHEN max(size) OVER w = min(size) OVER w THEN 0 ELSE (size - min(size) OVER w) / (max(size) OVER w - min(size) OVER w) END AS s FROM curve WINDOW w AS (PARTITION BY series))
-SELECT series, quality, round(0.6 * g + 0.4 * (1 - s), 9) AS balance, round(0.5 * g + 0.5 * (1 - s), 9) AS even FROM n""")
+CASE WHEN max(size) OVER w = min(size) OVER w THEN 0 ELSE 1 - (size - min(size) OVER w) / (max(size) OVER w - min(size) OVER w) END AS s,
+CASE WHEN max(1e6 / size) OVER w = min(1e6 / size) OVER w THEN 0 ELSE (1e6 / size - min(1e6 / size) OVER w) / (max(1e6 / size) OVER w - min(1e6 / size) OVER w) END AS r FROM (SELECT series, quality, gain, size::DOUBLE AS size FROM curve) WINDOW w AS (PARTITION BY series))
+SELECT series, quality, round(0.6 * g + 0.4 * s, 9) AS balance, round(0.5 * g + 0.5 * r, 9) AS even FROM n""")
 def balance_score(t: Tables) -> DataFrame:
-    g, s = windows.normalised("gain", ["series"]), windows.normalised("size", ["series"])
-    return _curve(t).select("series", "quality", g.alias("g"), s.alias("s")).select("series", "quality", F.round(0.6 * F.col("g") + 0.4 * (1 - F.col("s")), 9).alias("balance"), F.round(0.5 * F.col("g") + 0.5 * (1 - F.col("s")), 9).alias("even"))
+    """Quality against size, and against the compression ratio (to a megabyte). A range of 0 scores 0 on either."""
+    curve = _curve(t).select("series", "quality", "gain", "size", (1e6 / F.col("size").cast("double")).alias("ratio"))
+    scored = windows.balance_scores(curve, ["series"], "gain", "size", "ratio")
+    return scored.select("series", "quality", F.round("balance", 9).alias("balance"), F.round("even", 9).alias("even"))
 
 
 @query(f"""WITH {CURVE_SQL}, r AS (SELECT series, quality, size, gain, row_number() OVER (PARTITION BY series ORDER BY gain DESC, quality) AS k FROM curve) SELECT series, quality, size, gain FROM r WHERE k = 1""")
@@ -154,7 +157,7 @@ def peak_throughput(t: Tables) -> DataFrame:
 r AS (SELECT d.series, d.quality, d.size, j.size AS ref_size, j.quality AS ref_quality, row_number() OVER (PARTITION BY d.series, d.quality ORDER BY abs(d.size - j.size), j.size, j.quality) AS k FROM d, j)
 SELECT series, quality, size, ref_size, ref_quality FROM r WHERE k = 1""")
 def closest_size_match(t: Tables) -> DataFrame:
-    curve = _curve(t).select("series", "quality", "size").withColumn("one", F.lit(1))
+    curve = _curve(t).select("series", "quality", "size").withColumn("one", F.lit(1))  # one group; ranges of sizes are its tasks
     points, refs = curve.where("series LIKE '%F'"), curve.where("series LIKE '%O'")
     return joins.nearest_size(points, refs, ["one"], "size", ["quality"]).drop("one")
 
@@ -247,8 +250,7 @@ def run_name_parse(t: Tables) -> DataFrame:
         .when(k == 3, F.concat(F.lit("debug_j"), size, F.lit("_s420_pac"))).when(k == 4, F.concat(F.lit("gpu_420_b"), size, F.lit("_optl2_s0.5_l1q70_l0q60"))).otherwise(F.concat(F.lit("other_"), size))
     )
     named = t.part.select("p_partkey", name.alias("name"))
-    fields = runs.parse_run_name(F.col("name"))
-    return named.select("p_partkey", *[c.alias(n) for n, c in fields.items()])
+    return runs.with_run_fields(named, "name").select("p_partkey", "run_kind", *runs.FIELDS)
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN p_size END AS q, CASE WHEN p_partkey % 3 > 0 THEN 60 + (p_partkey % 7)::INTEGER END AS j, CASE WHEN p_partkey % 2 = 0 THEN (p_partkey % 64)::INTEGER END AS x, CASE WHEN p_partkey % 2 = 0 THEN (p_partkey // 64)::INTEGER END AS y FROM part""")
@@ -261,11 +263,52 @@ def token_and_tile_names(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", q.alias("q"), j.alias("j"), x.alias("x"), y.alias("y"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'JPEG Q' || p_size WHEN p_partkey % 4 = 1 THEN 'Base 95 / L1 ' || p_size || ' / L0 40' WHEN p_partkey % 4 = 2 THEN 'Residual Q' || p_size ELSE p_name END AS label FROM part""")
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'JPEG Q' || p_size WHEN 1 THEN 'Residual 95/' || p_size || '/40' WHEN 2 THEN 'Residual ' || p_size || '/0/0' WHEN 3 THEN 'Residual Q' || p_size ELSE p_name END AS label,
+CASE p_partkey % 6 WHEN 0 THEN p_size * 1024 WHEN 1 THEN p_size * 4096 + 77 WHEN 3 THEN p_size * 10 ELSE 0 END / 1048576 AS megabytes FROM part""")
 def slide_labels(t: Tables) -> DataFrame:
-    k, size, none = F.col("p_partkey") % 4, F.col("p_size"), F.lit(None).cast("int")
-    summary = {"quality": F.when(k == 0, size), "baseq": F.when(k == 1, 95), "l1q": F.when(k.isin(1, 2), size), "l0q": F.when(k == 1, 40).otherwise(none)}
-    return t.part.select("p_partkey", runs.label(summary, F.col("p_name")).alias("label"))
+    k, size = F.col("p_partkey") % 6, F.col("p_size").cast("string")
+    made = lambda text: F.replace(F.lit(text), F.lit("N"), size)
+    summary = (
+        F.when(k == 0, F.concat(F.lit('{"mode": "ingest-jpeg-only", "l1q": 7, "baseq": '), size, F.lit(', "total_bytes": '), (F.col("p_size") * 1024).cast("string"), F.lit("}")))
+        .when(k == 1, F.concat(F.lit('{"baseq": 95, "l0q": 40, "residual_bytes": 77, "l1q": '), size, F.lit(', "l2_bytes": '), (F.col("p_size") * 4096).cast("string"), F.lit("}")))
+        .when(k == 2, made('{"baseq": N}')).when(k == 3, F.concat(made('{"residual_jpeg_q_L": N, "proposed_bytes": '), (F.col("p_size") * 10).cast("string"), F.lit("}"))).when(k == 4, "{}").otherwise("no json")
+    )
+    return t.part.select("p_partkey", runs.label(summary, F.col("p_name")).alias("label"), runs.disk_megabytes(summary).alias("megabytes"))
+
+
+@query(f"""WITH {CURVE_SQL}, c AS (SELECT l_linestatus AS method, l_linenumber AS level, l_quantity::INTEGER AS quality, round(l_extendedprice * 100)::BIGINT AS size, l_discount FROM lineitem)
+SELECT method, level, quality, count(*) AS tiles, round(avg(size), 4) AS mean_size, round(avg(round(l_discount * 100)::BIGINT), 6) AS mean_gain FROM c GROUP BY ALL""")
+def method_level_quality_means(t: Tables) -> DataFrame:
+    """Means by method, level and quality, each method's qualities in descending order."""
+    own = t.lineitem.select(F.col("l_linestatus").alias("method"), F.col("l_linenumber").alias("level"), F.col("l_quantity").cast("int").alias("quality"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("size"), F.round(F.col("l_discount") * 100).cast("bigint").alias("gain"))
+    out = own.groupBy("method", "level", "quality").agg(F.count("*").alias("tiles"), F.round(F.avg("size"), 4).alias("mean_size"), F.round(F.avg("gain"), 6).alias("mean_gain"))
+    return out.orderBy("method", "level", F.desc("quality"))
+
+
+@query("""SELECT p_name AS label, p_partkey, p_size FROM part ORDER BY label, p_partkey LIMIT 30""")
+def slides_by_label(t: Tables) -> DataFrame:
+    return t.part.select(F.col("p_name").alias("label"), "p_partkey", "p_size").orderBy("label", "p_partkey").limit(30)
+
+
+@query(f"""WITH {TILES_SQL}, d AS (SELECT *, substr(md5('7:' || key), 1, 2) AS draw FROM tiles), l AS (SELECT key, x, y, CASE WHEN draw < 'b3' THEN 'L0' ELSE 'L1' END AS level, md5('8:' || key) AS o FROM d)
+SELECT level, CASE level WHEN 'L0' THEN x ELSE x >> 1 END AS x, CASE level WHEN 'L0' THEN y ELSE y >> 1 END AS y FROM l ORDER BY o, key LIMIT 40""")
+def level_preference_sample(t: Tables) -> DataFrame:
+    return tiles.preferred_sample(bind.tiles(t), ["key"], 0.7, 40)
+
+
+@query(f"""WITH {CURVE_SQL}, f AS (SELECT quality, {", ".join(f"max(CASE WHEN series = '{s}' THEN gain END) AS value_{k}" for k, s in enumerate(("AF", "NF", "NO", "RF")))} FROM curve GROUP BY quality) SELECT * FROM f WHERE value_0 IS NOT NULL AND value_1 IS NOT NULL AND value_2 IS NOT NULL AND value_3 IS NOT NULL""")
+def run_compare_four(t: Tables) -> DataFrame:
+    return joins.compare_many(_curve(t), "series", ["AF", "NF", "NO", "RF"], ["quality"], "gain")
+
+
+@query("""WITH e AS (SELECT 'rs_444_j' || (page_id % 40) || '/images/' || page_id AS path FROM pages UNION ALL SELECT 'folder' || (page_id % 10) || CASE page_id % 3 WHEN 0 THEN '/compress/a' WHEN 1 THEN '/images' ELSE '/other' END FROM pages),
+d AS (SELECT split_part(path, '/', 1) AS run, split_part(path, '/', 2) AS own FROM e), g AS (SELECT run, bool_or(own = 'images') AS has_images, bool_or(own = 'compress') AS has_compress, bool_or(own = 'decompress') AS has_decompress FROM d GROUP BY run)
+SELECT run, CASE WHEN run LIKE 'rs%' THEN 'grid_uniform' ELSE 'unknown' END AS run_kind, CASE WHEN run LIKE 'rs%' THEN replace(run, 'rs_444_j', '')::INTEGER END AS quality, has_images, has_compress, has_decompress FROM g WHERE run LIKE 'rs%' OR has_images OR has_compress OR has_decompress""")
+def run_directory_scan(t: Tables) -> DataFrame:
+    k = F.col("page_id")
+    one = t.pages.select(F.concat(F.lit("rs_444_j"), k % 40, F.lit("/images/"), k).alias("path"))
+    two = t.pages.select(F.concat(F.lit("folder"), k % 10, F.when(k % 3 == 0, "/compress/a").when(k % 3 == 1, "/images").otherwise("/other")).alias("path"))
+    return runs.scan_runs(one.unionByName(two)).select("run", "run_kind", "quality", "has_images", "has_compress", "has_decompress")
 
 
 @query("""SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, coalesce(json_extract_string(props, '$.label'), event_type) AS label FROM events""")

@@ -24,7 +24,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
 
 def ship(spark: SparkSession) -> SparkSession:
     """Send the package to the executors, once for each context, so that Python workers can import it; and keep Arrow batches small."""
-    if spark.conf.get(BATCH_ROWS[0], "10000") == "10000":
+    if BATCH_ROWS[0] not in spark.conf.getAll:  # only what was set on purpose is there
         spark.conf.set(*BATCH_ROWS)
     context = spark.sparkContext
     if getattr(context, "_tilewright_shipped", False):

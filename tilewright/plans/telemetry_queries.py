@@ -21,6 +21,18 @@ def request_kind_counters(t: Tables) -> DataFrame:
     return agg.request_counters(bind.requests(t), [F.to_date("ts").alias("day")], _KINDS)
 
 
+@query(f"""WITH {REQUESTS_SQL} SELECT user_id % 10 AS run, count(*) AS family_generated, sum(ms)::BIGINT AS family_ms_sum, max(ms)::BIGINT AS family_ms_max, floor(sum(ms) / count(*))::BIGINT AS family_ms_avg FROM requests WHERE kind = 'generated' GROUP BY 1""")
+def family_kind_counters(t: Tables) -> DataFrame:
+    return agg.family_counters(bind.requests(t).where("kind = 'generated'"), [(F.col("user_id") % 10).alias("run")])
+
+
+@query(f"""WITH r AS (SELECT requests.*, value FROM (WITH {REQUESTS_SQL} SELECT * FROM requests) requests JOIN events USING (event_id)) SELECT user_id % 10 AS run, count(*) AS tile_total, {_EACH}, round(sum(floor(value * 1000))::BIGINT / count(*) / 1000.0::DOUBLE, 9) AS tile_avg_ms, max(floor(value * 1000))::BIGINT / 1000.0::DOUBLE AS tile_max_ms FROM r GROUP BY 1""")
+def fractional_kind_counters(t: Tables) -> DataFrame:
+    own = bind.requests(t).join(t.events.select("event_id", "value"), "event_id")
+    out = agg.fractional_counters(own, [(F.col("user_id") % 10).alias("run")], _KINDS, ms="value")
+    return out.withColumn("tile_avg_ms", F.round("tile_avg_ms", 9))
+
+
 @query(f"WITH {REQUESTS_SQL} SELECT epoch(time_bucket(INTERVAL 30 MINUTE, ts))::BIGINT AS start, {_COUNTERS} FROM requests GROUP BY 1")
 def metrics_tumbling_30m(t: Tables) -> DataFrame:
     return telemetry.snapshots(bind.requests(t), "30 minutes", _KINDS).withColumn("start", F.unix_timestamp("start"))
@@ -48,7 +60,7 @@ def latency_quantile_linear(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {REQUESTS_SQL}, r AS (SELECT kind, ms, row_number() OVER (PARTITION BY kind ORDER BY ms) AS k, count(*) OVER (PARTITION BY kind) AS n FROM requests)
-SELECT kind, {", ".join(f"round(CASE WHEN max(n) < {20 if p <= 95 else 100} THEN max(ms) ELSE max(CASE WHEN k = greatest(1, least({p} * (n + 1) // 100, n - 1)) THEN ms END) + (max(CASE WHEN k = greatest(1, least({p} * (n + 1) // 100, n - 1)) + 1 THEN ms END) - max(CASE WHEN k = greatest(1, least({p} * (n + 1) // 100, n - 1)) THEN ms END)) * max(({p} * (n + 1)) % 100) / 100 END, 9)::DOUBLE AS p{p}" for p in (95, 99))} FROM r GROUP BY kind""")
+SELECT kind, {", ".join(f"round(CASE WHEN max(n) <= {20 if p <= 95 else 100} THEN max(ms) ELSE max(CASE WHEN k = greatest(1, least({p} * (n + 1) // 100, n - 1)) THEN ms END) + (max(CASE WHEN k = greatest(1, least({p} * (n + 1) // 100, n - 1)) + 1 THEN ms END) - max(CASE WHEN k = greatest(1, least({p} * (n + 1) // 100, n - 1)) THEN ms END)) * max(({p} * (n + 1)) % 100) / 100 END, 9)::DOUBLE AS p{p}" for p in (95, 99))} FROM r GROUP BY kind""")
 def latency_quantile_exclusive(t: Tables) -> DataFrame:
     counts = agg.value_counts(bind.requests(t), ["kind"], "ms")
     return counts.groupBy("kind").agg(*[F.round(agg.exclusive(p).cast("double"), 9).alias(f"p{p}") for p in (95, 99)])

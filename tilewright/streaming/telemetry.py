@@ -31,11 +31,22 @@ def residency(requests: DataFrame, key: str, idle: str) -> DataFrame:
     return out.select(key, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "requests", (F.col("requests") - 1).alias("hits"))
 
 
+#: Units of time (seconds, if instants are such) that one bucket of a running sum spans.
+BUCKET = 3600
+
+
 def in_flight(spans: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
-    """Work in progress after each instant: starts and ends are netted per instant before the running sum."""
+    """Work in progress after each instant: starts and ends are netted per instant before the running sum.
+
+    No group is one task: instants are cut into buckets of BUCKET units, whose sums are run first; within a bucket the sum goes on from there.
+    """
     steps = spans.select(*by, F.col(start).alias("at"), F.lit(1).alias("d")).unionAll(spans.select(*by, F.col(end).alias("at"), F.lit(-1).alias("d")))
     net = steps.groupBy(*by, "at").agg(F.sum("d").alias("d"))
-    return net.withColumn("running", F.sum("d").over(Window.partitionBy(*by).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+    net = net.withColumn("bucket", F.floor(F.col("at").cast("double") / BUCKET))
+    sums = net.groupBy(*by, "bucket").agg(F.sum("d").alias("total"))
+    before = sums.withColumn("before", F.coalesce(F.sum("total").over(Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("total")
+    own = F.sum("d").over(Window.partitionBy(*by, "bucket").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    return net.withColumn("own", own).join(before, [*by, "bucket"]).select(*by, "at", "d", (F.col("before") + F.col("own")).alias("running"))
 
 
 CACHE_OUT = "slot bigint, key string, ts timestamp, hit boolean, held bigint"
@@ -55,7 +66,8 @@ def bounded_cache(requests: DataFrame, capacity: int, idle_seconds: float, slots
         out = []
         for key, ts in zip(rows["key"], rows["ts"], strict=True):
             now = ts.timestamp()
-            held = {k: t for k, t in held.items() if now - t < idle_seconds}
+            while held and now - held[oldest := next(iter(held))] >= idle_seconds:  # in the order of their last requests
+                del held[oldest]
             hit = key in held
             held.pop(key, None)
             held[key] = now
