@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilewright.functions import scalar
-from tilewright.operators import codec, families, metrics, raster
+from tilewright.operators import codec, colour, families, metrics, raster, tiles
 
 
 def plane(spark, values):
@@ -220,3 +220,80 @@ def test_edge_guided_codec():
     assert mask[:, 7:9].all() and not mask[:, :4].any() and not mask[:, 12:].any()
     assert (got[~mask] == 0).all() and np.abs(got - rest)[mask].max() <= codec.EDGE_STEP / 2
     assert (codec.edge_decode(codec.edge_encode(rest, np.zeros((8, 8)))) == 0).all()
+
+
+def test_colour_planes():
+    """A 17-step grid comes back to two units; luma is truncated."""
+    grid = np.stack(np.meshgrid(*[np.arange(0, 256, 17)] * 3), -1).reshape(1, -1, 1, 3)
+    y, cb, cr = colour.split(grid)
+    assert np.abs(colour.merge(y, cb, cr) - grid).max() <= 2
+    assert colour.grey(np.array([[[255, 0, 1]]]))[0, 0] == 76
+
+
+def test_colour_regions():
+    y, c = np.full((4, 4), 100), np.full((4, 4), 128)
+    out = colour.region(y, c, c, 2, 2, 4, np.full((4, 4), 138))
+    assert (out[:2, :2] == 110).all() and (out[2:] == 0).all() and (out[:, 2:] == 0).all()
+
+
+def test_colour_families(spark):
+    """Closed loop: luma comes back to the rounding of colours; tiles without a residual are their baselines, and such with neither an error."""
+    rng = np.random.default_rng(4)
+    side = 4
+    y, x = np.mgrid[0:16, 0:16]
+    full = np.stack([np.clip(120 + 3 * x + rng.integers(-9, 9, (16, 16)), 0, 255), np.clip(90 + 4 * y, 0, 255), np.clip(100 + 2 * x + y, 0, 255)], -1)
+    l2, one, two = colour.encode_family(full)
+    flat = lambda tiles: [None if t is None else t.reshape(-1).tolist() for t in tiles]
+    base = [np.full((side, side, 3), k) for k in range(16)]
+    schema = "x2 int, y2 int, l2 array<int>, residual_1 array<array<int>>, residual_0 array<array<int>>, base_1 array<array<int>>, base_0 array<array<int>>"
+    some = [None if k == 5 else r for k, r in enumerate(two)]
+    df = spark.createDataFrame([(3, 2, l2.reshape(-1).tolist(), flat(one), flat(some), None, flat(base))], schema)
+    rows = colour.rebuild_families(df, side).collect()
+    assert sorted((r.level, r.x, r.y) for r in rows) == sorted([(1, 6 + k % 2, 4 + k // 2) for k in range(4)] + [(0, 12 + k % 4, 8 + k // 4) for k in range(16)])
+    truth = colour.split(full[None])[0][0]
+    for r in rows:
+        tile = np.array(r.px).reshape(side, side, 3)
+        if r.level == 0:
+            k = (r.y - 8) * 4 + r.x - 12
+            assert r.used_residual == (k != 5)
+            if k == 5:
+                assert (tile == 5).all()
+            else:
+                own = truth[k // 4 * side : (k // 4 + 1) * side, k % 4 * side : (k % 4 + 1) * side]
+                assert np.abs(colour.split(tile[None])[0][0] - own).max() <= 3
+    with pytest.raises(ValueError):
+        colour.rebuild(l2, [one, some], [[None] * 4, [None] * 16])
+    grey = colour.rebuild_families(df, side, sharpen=0.25, in_grey=True).collect()
+    assert all(len(r.px) == side * side for r in grey)
+
+
+def test_halved_chroma():
+    plane = np.random.default_rng(7).integers(0, 256, (3, 8, 8))
+    error = lambda s: ((np.floor(raster.upsample_float(s.astype(float))) - plane) ** 2).sum()
+    assert error(colour.halved_chroma(plane, True)) <= error(colour.halved_chroma(plane))
+
+
+def test_precompensation():
+    rest = np.random.default_rng(8).integers(-60, 60, (8, 8)).astype(float)
+    plain, size = codec.precompensated(rest, 4.0)
+    assert np.abs(plain - rest).max() <= 2 and size == len(codec.deadzone_encode(rest, 4.0))
+    scaled, _ = codec.precompensated(rest, 4.0, scale=1.5)
+    assert np.abs(scaled - rest).max() <= 2.5 / 1.5 + 1e-5  # half a step, and the rounding before it
+    assert np.isfinite(codec.precompensated(rest, 4.0, rounds=3)[0]).all()
+
+
+def test_retile(spark):
+    """Larger and smaller tiles, with a missing one and an image that ends inside a tile."""
+    rng = np.random.default_rng(9)
+    image = np.zeros((24, 32), int)
+    image[:21, :30] = rng.integers(1, 256, (21, 30))
+    image[8:16, 8:16] = 0
+    own = [(x, y, image[y * 8 : y * 8 + 8, x * 8 : x * 8 + 8].reshape(-1).tolist()) for x in range(4) for y in range(3) if (x, y) != (1, 1)]
+    for side in (3, 8, 20):
+        out = tiles.retile(spark.createDataFrame(own, "x int, y int, px array<int>"), 8, side, 30, 21).collect()
+        wide = np.zeros((60, 60), int)
+        wide[:21, :30] = image[:21, :30]
+        for r in out:
+            want = wide[r.y * side : (r.y + 1) * side, r.x * side : (r.x + 1) * side]
+            assert (np.array(r.px).reshape(side, side) == want).all() and r.blank == (want.max() == 0)
+        assert {(r.x, r.y) for r in out} >= {(x // side, y // side) for y in range(21) for x in range(30) if image[y, x]}

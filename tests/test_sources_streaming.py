@@ -80,3 +80,38 @@ def test_bounded_cache(spark, tmp_path):
     run.awaitTermination(120)
     got = [(r.key, r.hit) for r in spark.table("cache").orderBy("ts").collect()]
     assert got == [("a", False), ("b", False), ("a", True), ("c", False), ("b", False), ("a", False), ("a", False)]
+
+
+def test_arrays_captures_and_images(spark, tmp_path):
+    import struct
+    import zlib
+
+    import numpy as np
+
+    from tilewright.sources import manifests
+
+    run = tmp_path / "runs" / "j40"
+    run.mkdir(parents=True)
+    (run / "manifest.json").write_text('{"encoder": "x", "quality": 40}')
+    field = np.arange(6, dtype=np.float32).reshape(2, 3)
+    np.save(run / "residual.npy", field)
+    np.save(run / "mask.npy", np.array([True, False]))
+    row = manifests.read_captures(spark, str(tmp_path / "runs")).first()
+    assert row.run == "j40" and row.quality == 40 and [(a.name, a.shape, a["values"]) for a in row.arrays] == [("mask", [2], [1.0, 0.0]), ("residual", [2, 3], [0, 1, 2, 3, 4, 5])]
+    px = np.array([[[255, 0, 1], [2, 3, 4]]], np.uint8)
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 2, 1, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0" + px.tobytes())) + chunk(b"IEND", b"")
+    (tmp_path / "one.png").write_bytes(png)
+    got = manifests.read_images(spark, str(tmp_path / "one.png")).first()
+    assert (got.w, got.h, got.px) == (2, 1, [255, 0, 1, 2, 3, 4])
+
+
+def test_size_summaries(spark):
+    import json
+
+    from tilewright.operators import aggregates
+    from tilewright.sources import manifests
+
+    sizes = aggregates.size_statistics(spark.createDataFrame([("l2", v) for v in range(1, 101)], "kind string, v int"), ["kind"], "v")
+    found = json.loads(manifests.size_summary(sizes, "kind").first().stats)
+    assert found == {"count": 100, "total_bytes": 5050, "total_mb": "0.00", "avg": "50", "min": 1, "p5": 6, "p25": 26, "median": 51, "p75": 76, "p95": 96, "p99": 100, "max": 100}

@@ -147,6 +147,16 @@ def sparse_decode(data: bytes, bits: int = 5) -> np.ndarray:
     return out.reshape(h, w)
 
 
+def precompensated(residual: np.ndarray, step: float, scale: float = 1.0, rounds: int = 0) -> tuple[np.ndarray, int]:
+    """(what a decoder makes of a residual, bytes) when it is coded scaled, and scaled back; or after rounds of adding what coding lost."""
+    code = lambda r: deadzone_encode(np.clip(np.round(r + 128), 0, 255) - 128, step)
+    now = residual * scale
+    for _ in range(rounds):
+        now = residual + (residual - deadzone_decode(code(now)))
+    data = code(now)
+    return deadzone_decode(data) / scale, len(data)
+
+
 EDGE_STEP = 2.0
 
 

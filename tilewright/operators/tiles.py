@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +71,33 @@ def preferred_sample(tiles: DataFrame, key: list[str], share: float, n: int, see
     return tiles.orderBy(draw(seed + 1), *key).limit(n).select(F.when(large, "L0").otherwise("L1").alias("level"), pick("x"), pick("y"))
 
 
+def retile(tiles: DataFrame, side: int, new_side: int, width: int, height: int) -> DataFrame:
+    """(x, y, px, blank) of an image of width by height pixels cut anew: from tiles (x, y, px) of `side` pixels to tiles of new_side.
+
+    Each tile goes to the new tiles that it meets, at most (side / new_side + 2) squared, and those are aggregated; a new tile holds at most (new_side / side + 2)
+    squared pieces. Missing tiles and what lies beyond the image are zeros; a tile of zeros is blank.
+    """
+    at = lambda c, size: F.explode(F.sequence(F.floor(F.col(c) * side / new_side).cast("int"), F.floor(F.least((F.col(c) + 1) * side - 1, F.lit(size - 1)) / new_side).cast("int")))
+    inside = tiles.where((F.col("x") * side < width) & (F.col("y") * side < height))
+    sent = inside.withColumn("nx", at("x", width)).withColumn("ny", at("y", height))
+    held = sent.groupBy("nx", "ny").agg(F.collect_list(F.struct("x", "y", "px")).alias("pieces"))
+
+    def run(nx: pa.Array, ny: pa.Array, pieces: pa.Array) -> pa.Array:
+        out = np.zeros((len(nx), new_side, new_side), np.int64)
+        for k, (cx, cy, own) in enumerate(zip(nx.to_pylist(), ny.to_pylist(), pieces, strict=True)):
+            left, top = cx * new_side, cy * new_side
+            for piece in own.values:
+                x, y = piece["x"].as_py() * side, piece["y"].as_py() * side
+                plane = piece["px"].values.to_numpy(zero_copy_only=False).reshape(side, side)
+                x0, x1, y0, y1 = max(x, left), min(x + side, left + new_side, width), max(y, top), min(y + side, top + new_side, height)
+                out[k, y0 - top : y1 - top, x0 - left : x1 - left] = plane[y0 - y : y1 - y, x0 - x : x1 - x]
+        return pa.array(list(out.reshape(len(out), -1)), pa.list_(pa.int32()))
+
+    run.__annotations__ = {"nx": pa.Array, "ny": pa.Array, "pieces": pa.Array, "return": pa.Array}
+    cut = held.select(F.col("nx").alias("x"), F.col("ny").alias("y"), F.arrow_udf(run, "array<int>")("nx", "ny", "pieces").alias("px"))
+    return cut.withColumn("blank", F.array_max("px") == 0)
+
+
 def family_coverage(tiles: DataFrame, full: int, empty: Column) -> DataFrame:
     """Tiles present and empty of each family; whether all are empty, and whether some are missing."""
     out = tiles.groupBy("x2", "y2").agg(F.count("*").alias("tiles"), F.count_if(empty).alias("empty_tiles"))

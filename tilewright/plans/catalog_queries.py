@@ -285,6 +285,14 @@ def method_level_quality_means(t: Tables) -> DataFrame:
     return out.orderBy("method", "level", F.desc("quality"))
 
 
+@query(f"""WITH {CURVE_SQL} SELECT series, count(*) AS points, string_agg(quality, ',' ORDER BY quality) AS qualities, string_agg(size, ',' ORDER BY quality) AS sizes, string_agg(gain, ',' ORDER BY quality) AS gains FROM curve GROUP BY series""")
+def series_frames(t: Tables) -> DataFrame:
+    """What a chart of each series needs: its qualities, sizes and gains in order."""
+    points = F.array_sort(F.collect_list(F.struct("quality", "size", "gain")))
+    held = _curve(t).groupBy("series").agg(F.count("*").alias("points"), points.alias("p"))
+    return held.select("series", "points", *[F.array_join(F.col(f"p.{c}"), ",").alias(n) for c, n in (("quality", "qualities"), ("size", "sizes"), ("gain", "gains"))])
+
+
 @query("""SELECT p_name AS label, p_partkey, p_size FROM part ORDER BY label, p_partkey LIMIT 30""")
 def slides_by_label(t: Tables) -> DataFrame:
     return t.part.select(F.col("p_name").alias("label"), "p_partkey", "p_size").orderBy("label", "p_partkey").limit(30)

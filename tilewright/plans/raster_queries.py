@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import scalar
 from tilewright.operators import aggregates as agg
-from tilewright.operators import codec, families, fits, metrics, raster
+from tilewright.operators import codec, colour, families, fits, joins, metrics, raster, tiles
 from tilewright.plans import bind
 from tilewright.plans.bind import PLANES_SQL, SIDE
 from tilewright.plans.registry import Tables, query
@@ -250,6 +250,95 @@ def spectra(t: Tables) -> DataFrame:
     return found.select("vec_id", *[(F.round(c, 4) + 0.0).alias(c) for c in ("energy", "left")], *[F.round(c, 6).alias(c) for c in ("lanczos_mean", "triangle_mean")])
 
 
+_RETILED = 12
+
+
+@query(f"""WITH {PLANES_SQL}, g AS (SELECT (vec_id % 16) * 8 + i % 8 AS gx, (vec_id // 16) * 8 + i // 8 AS gy, px[i + 1] AS v FROM planes, range(0, 64) r(i)), n AS (SELECT (gx // {_RETILED})::INTEGER AS x, (gy // {_RETILED})::INTEGER AS y, gx % {_RETILED} AS c, gy % {_RETILED} AS r, v FROM g),
+t AS (SELECT DISTINCT x, y FROM n) SELECT t.x, t.y, string_agg(coalesce(n.v, 0), ',' ORDER BY i) AS px, max(coalesce(n.v, 0)) = 0 AS blank FROM t CROSS JOIN range(0, {_RETILED * _RETILED}) p(i) LEFT JOIN n ON n.x = t.x AND n.y = t.y AND n.c = i % {_RETILED} AND n.r = i // {_RETILED} GROUP BY t.x, t.y""")
+def retiled_planes(t: Tables) -> DataFrame:
+    own = bind.planes(t).select((F.col("vec_id") % 16).cast("int").alias("x"), F.floor(F.col("vec_id") / 16).cast("int").alias("y"), "px")
+    return tiles.retile(own, N, _RETILED, 16 * N, 1 << 20).select("x", "y", _text(F.col("px")).alias("px"), "blank")
+
+
+@query()
+def precompensation(t: Tables) -> DataFrame:
+    """Bytes and mean squared error of residuals coded scaled, or after rounds of correction, summed over all planes."""
+    ways = [("baseline", 1.0, 0), *[(f"scale_{s}", s, 0) for s in (1.1, 1.2, 1.3, 1.5)], *[(f"iterative_{k}", 1.0, k) for k in (1, 2, 3)]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            px, pred = (batch.column(k).flatten().to_numpy().astype(float).reshape(-1, N, N) for k in (0, 1))
+            rows = []
+            for name, scale, rounds in ways:
+                for rest in px - pred:
+                    got, size = codec.precompensated(rest, 4.0, scale, rounds)
+                    rows.append((name, size, float(((got - rest) ** 2).sum())))
+            if rows:
+                yield pa.record_batch([pa.array(c) for c in zip(*rows, strict=True)], names=["strategy", "bytes", "error"])
+
+    each = _pairs(t).select("px", "pred").mapInArrow(run, "strategy string, bytes bigint, error double")
+    return each.groupBy("strategy").agg(F.sum("bytes").alias("bytes"), F.round(F.sum("error") / (N * N * F.count("*")), 6).alias("mse"))
+
+
+SWEEP = (1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 6.0, 8.0, 10.0, 12.0, 16.0)
+
+
+def codec_sweep(t: Tables) -> DataFrame:
+    """(codec, step, bytes, psnr): all planes as families of 2, 4 and 8 pixels a side, closed loop, by codec and step; the lower of both levels' PSNR."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            full = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, N, N)
+            rows = []
+            for name in codec.CODECS:
+                for step in SWEEP:
+                    bytes_, one, two = families.swept(full, name, step)
+                    rows.append((name, step, bytes_, one, two, len(full)))
+            if len(full):
+                yield pa.record_batch([pa.array(c) for c in zip(*rows, strict=True)], names=["codec", "step", "bytes", "e1", "e0", "n"])
+
+    sums = bind.planes(t).select("px").mapInArrow(run, "codec string, step double, bytes bigint, e1 double, e0 double, n bigint").groupBy("codec", "step").agg(*[F.sum(c).alias(c) for c in ("bytes", "e1", "e0", "n")])
+    psnr = lambda e, pixels: scalar.psnr(F.col(e) / (F.col("n") * pixels), 100)
+    return sums.select("codec", "step", "bytes", F.least(psnr("e1", N * N // 4), psnr("e0", N * N)).alias("psnr"))
+
+
+@query()
+def iso_size_comparison(t: Tables) -> DataFrame:
+    """Each step of the dead-zone codec against the step of the delta codec that is nearest in bytes: what it gains in PSNR."""
+    sweep = codec_sweep(t).withColumn("one", F.lit(1))
+    own, others = sweep.where("codec = 'deadzone'").drop("codec"), sweep.where("codec = 'delta'").select("one", "bytes", "step", "psnr")
+    met = joins.nearest_size(own, others, ["one"], "bytes", ["step", "psnr"])
+    return met.select("step", "bytes", F.round("psnr", 6).alias("psnr"), "ref_step", "ref_bytes", F.round("ref_psnr", 6).alias("ref_psnr"), F.round(F.col("psnr") - F.col("ref_psnr"), 6).alias("gain"))
+
+
+@query()
+def colour_families(t: Tables) -> DataFrame:
+    """Tiles of 2 by 2 colours rebuilt from families of 8 by 8 (three planes are the channels): how far they are from the truth, by level and whether a residual made them."""
+    side = N // 4
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x2, y2 = [], []
+            columns = [[], [], [], [], []]
+            for key, px in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                plane = np.array(px).reshape(N, N)
+                full = np.stack((plane, plane.T, 255 - plane), -1)
+                l2, one, two = colour.encode_family(full)
+                keep = [None if (key + k) % 5 == 0 else r.reshape(-1).tolist() for k, r in enumerate(two)]
+                bases = [full[k // 4 * side : (k // 4 + 1) * side, k % 4 * side : (k % 4 + 1) * side].reshape(-1).tolist() for k in range(16)]
+                for column, value in zip(columns, (l2.reshape(-1).tolist(), [r.reshape(-1).tolist() for r in one], keep, None, bases), strict=True):
+                    column.append(value)
+                x2.append(key)
+                y2.append(0)
+            planes = pa.list_(pa.list_(pa.int32()))
+            yield pa.record_batch([pa.array(x2, pa.int32()), pa.array(y2, pa.int32()), pa.array(columns[0], pa.list_(pa.int32())), *[pa.array(c, planes) for c in columns[1:]]], names=["x2", "y2", "l2", "residual_1", "residual_0", "base_1", "base_0"])
+
+    coded = bind.planes(t).select("vec_id", "px").mapInArrow(code, "x2 int, y2 int, l2 array<int>, residual_1 array<array<int>>, residual_0 array<array<int>>, base_1 array<array<int>>, base_0 array<array<int>>")
+    rebuilt = colour.rebuild_families(coded, side)
+    total = F.aggregate("px", F.lit(0).cast("bigint"), lambda a, v: a + v)
+    return rebuilt.groupBy("level", "used_residual").agg(F.count("*").alias("tiles"), F.sum(total).alias("px_sum"))
+
+
 @query()
 def residual_codecs(t: Tables) -> DataFrame:
     """Bytes and squared error of each plane's residual by codec."""

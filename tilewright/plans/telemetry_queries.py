@@ -72,6 +72,17 @@ def load_summary(t: Tables) -> DataFrame:
     return bind.requests(t).groupBy((F.col("user_id") % 10).alias("run")).agg(F.count_if(good).alias("ok"), F.count_if(~good).alias("failed"), F.round(F.avg(F.when(good, F.col("ms"))), 6).alias("mean_ms"), F.round(F.count_if(good) / 2592000.0, 9).alias("per_second"))
 
 
+@query(f"""WITH {REQUESTS_SQL} SELECT coalesce(kind, 'all') AS stage, count(*) AS samples, round(avg(ms), 6) AS mean, max(ms)::BIGINT AS peak FROM requests GROUP BY ROLLUP (kind)""")
+def gauge_summary(t: Tables) -> DataFrame:
+    """Samples of a gauge by stage, and over all."""
+    return agg.with_totals(bind.requests(t).withColumnRenamed("kind", "stage"), "stage", {"samples": F.count("*"), "mean": F.round(F.avg("ms"), 6), "peak": F.max("ms")})
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp, strftime(ts, '%Y%m%d_%H%M%S') AS folder FROM events""")
+def timestamp_labels(t: Tables) -> DataFrame:
+    return t.events.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("stamp"), F.date_format("ts", "yyyyMMdd_HHmmss").alias("folder"))
+
+
 @query("""SELECT conv_id, turn, role, strlen(text)::INTEGER AS bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ordinal FROM conversations""")
 def capture_event_log(t: Tables) -> DataFrame:
     from pyspark.sql import Window
