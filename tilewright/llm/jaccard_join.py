@@ -53,7 +53,7 @@ SEGMENTS = 4
 #: Prefix postings for each fragment, about.
 FRAGMENT_ROWS = 1 << 17
 #: Postings for each fragment of the lists in which pairs are counted, about.
-PAIR_ROWS = 1 << 19
+PAIR_ROWS = 1 << 17
 #: Rows of a list that are paired at once.
 SQUARE = 64
 #: Classes of a list in one band.
@@ -334,10 +334,14 @@ def cross_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
         held = 0
         for lo, hi in zip(head, np.append(head[1:], len(h)), strict=True):
             m, p, own, group, more, side, at_home = n[lo:hi], pos[lo:hi], node[lo:hi], label[lo:hi], elsewhere[lo:hi], band[lo:hi], home[lo:hi]
-            for first_row in range(0, hi - lo - 1, SQUARE):  # a long list in bands of rows, each with all rows after it
-                band = np.arange(first_row, min(first_row + SQUARE, hi - lo - 1))
-                i, j = (x.ravel() for x in np.meshgrid(band, np.arange(first_row + 1, hi - lo), indexing="ij"))
-                fit = (j > i) & at_home[i] & (PERCENT * m[j] <= 100 * m[i]) & (group[i] != group[j])
+            _, of, sizes = np.unique(group, return_inverse=True, return_counts=True)
+            main = of == sizes.argmax()  # rows of the largest component need no comparison with each other
+            rest = np.flatnonzero(~main)
+            for first_row in range(0, len(rest), SQUARE):  # the others in bands of rows, each with all rows
+                one, two = (x.ravel() for x in np.meshgrid(rest[first_row : first_row + SQUARE], np.arange(hi - lo), indexing="ij"))
+                fit = (main[two] | (two > one)) & (of[one] != of[two])
+                i, j = np.minimum(one, two)[fit], np.maximum(one, two)[fit]
+                fit = at_home[i] & (PERCENT * m[j] <= 100 * m[i])
                 if not one_band:
                     fit &= side[i] != side[j]
                 i, j = i[fit], j[fit]
@@ -358,7 +362,9 @@ def cross_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
         return pa.table([pa.array(counted[:, k]) for k in (0, 1, 2, 3, 5)], names=["u", "v", "n_u", "n_v", "k"])
 
     each = dealt.select("h", "node", "n", "pos", "label", "listed", "band", "home", "bands", "place", "bin", "low", "high").groupBy("bands", "place", "bin", "low", "high").applyInArrow(pairs, "u bigint, v bigint, n_u bigint, n_v bigint, k bigint")
-    return each.groupBy("u", "v", "n_u", "n_v").agg(F.sum("k").alias("k")).where(can_link(F.col("n_u"), F.col("n_v"), F.col("k"))).select("u", "v")
+    found = stage_table(each.groupBy("u", "v", "n_u", "n_v").agg(F.sum("k").alias("k")).where(can_link(F.col("n_u"), F.col("n_v"), F.col("k"))).select("u", "v"), "pairs")
+    drop_table(rows)
+    return found
 
 
 def _tally(counted: np.ndarray, found: list[tuple[np.ndarray, ...]]) -> np.ndarray:
@@ -431,7 +437,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     drop_table(segments)
     if labels is None:
         labels, links = (spark.createDataFrame([], t) for t in ("node bigint, label bigint", "u bigint, v bigint"))
-    pairs = stage_table(cross_pairs(lists, labels), "pairs")
+    drop_table(candidates)
+    pairs = cross_pairs(lists, labels)
     drop_table(lists)
     segments = segments_of(nodes_of(pairs, "u", "v"), classes, docs, doc_id, text, order, segment_cut)
     links = links.unionByName(stage_table(linked(pairs, segments), "links"))
