@@ -113,6 +113,17 @@ def test_sharded_host_equals_one_array(spark, monkeypatch):
         assert {r.page_id: r.text for r in h.extract_text(df).collect()} == want
 
 
+def test_copies_of_a_row_crowd_no_task(spark, monkeypatch):
+    """Equal rows, also such with null keys, are dealt over parts of a shard, and get the texts of one array."""
+    monkeypatch.setattr(h, "SHARD_PAGES", 10)
+    pages = made_host(60, 3)
+    menu = " ".join(f"menu{k}" for k in range(12))
+    rows = [(k, "http://h.example/x", p) for k, p in enumerate(pages)] + [(None, None, f"<p>{menu}<p>x")] * 90 + [(7, "http://h.example/x", pages[7])] * 100 + [(200 + k, None, f"<p>{menu}<p>y{k}") for k in range(4)]
+    out = h.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)).collect()
+    want = dict(enumerate(plain_texts(pages))) | {None: "x"} | {200 + k: f"y{k}" for k in range(4)}
+    assert len(out) == len(rows) and all(r.text == want[r.page_id] for r in out)
+
+
 def test_whole_table(spark):
     """The query's rows, host by host, by plain counting."""
     rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()

@@ -15,10 +15,10 @@ Covered tokens go, unique runs stay, whether a page declares an article or not.
 without, what is left of all blocks that aren't declared chrome (a block that is covered but for a few words goes with them, one that a run only
 reaches into stays whole). Neither number grows with the host.
 
-A host of more than SHARD_PAGES pages or SHARD_BYTES is dealt into shards. For such hosts runs are counted by key over the whole host, and each
-shard gets those that are frequent, so its answer is that of one array over the host. Windows in articles are many; so their anchors are counted first (the
-least key of 8 tokens among those of each window, which all pages that have the window choose alike), and windows only around frequent anchors.
-For that the pages of such hosts are read two times more.
+A host of more than SHARD_PAGES pages or SHARD_BYTES is dealt into shards by a hash of the page; a shard that copies of a row crowd is dealt once more, by
+where they stand. For such hosts runs are counted by key over the whole host, and each shard gets the frequent ones that it has, so its answer is that of
+one array over the host. Windows in articles are many; so their anchors are counted first (the least key of 8 tokens among those of each window, which
+all pages that have the window choose alike), and windows only around frequent anchors. For that the pages of such hosts are parsed two times more.
 
 Cases: null html is empty, with empty text; a null url is a host of its own name, the empty one; broken and cut-off markup is read as far as it goes;
 repeated rows get equal results, and are dealt over shards like other rows; an empty table gives an empty result. Other columns are not read, whatever
@@ -43,8 +43,8 @@ from tilewright.llm.shared import stage_table
 MIN_RUN = 8
 ARTICLE_RUN = 50
 MIN_PAGES = 4
-SHARD_PAGES = 400
-SHARD_BYTES = 32 << 20
+SHARD_PAGES = 1000
+SHARD_BYTES = 8 << 20
 BROADCAST_HOSTS = 100_000
 #: Frequent anchors that are sent to the tasks; beyond that number all windows are counted.
 BROADCAST_ANCHORS = 1 << 20
@@ -333,38 +333,44 @@ def host_of(url: str):
     return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def _host_runs(pages: DataFrame, only: str, near: np.ndarray | None = None) -> DataFrame:
-    """(host, run) of runs that MIN_PAGES pages of a host have, of pages (host, html). only: "outside", "anchors", or "windows" (in articles; near: anchors)."""
-    schema = "host string, run bigint, owner bigint"
+def _host_runs(pages: DataFrame, lengths: tuple[int, ...], near: np.ndarray | None = None) -> DataFrame:
+    """(host, length, run, shards) of runs that MIN_PAGES pages of a host have, with the shards that have them, of pages (host, shard, html).
+
+    lengths: MIN_RUN, runs outside articles; 0, anchors of windows in articles; ARTICLE_RUN, windows in articles, only such around the anchors `near` if given.
+    """
+
+    def of(streams: Streams, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(stream, key) of runs."""
+        if not length:
+            pairs = streams.anchors()
+            return pairs[:, 0].astype(np.int64), pairs[:, 1]
+        key, first = streams.windows(length, length == ARTICLE_RUN)
+        if length == ARTICLE_RUN and near is not None:
+            short, at = streams.windows(MIN_RUN, True)
+            start = np.zeros(len(streams.tokens) + 1, np.int64)
+            start[at[np.isin(short.view(np.int64), near)]] = 1
+            held = np.concatenate(([0], np.cumsum(start)))
+            use = held[np.minimum(first + ARTICLE_RUN - MIN_RUN + 1, len(held) - 1)] > held[first]
+            key, first = key[use], first[use]
+        return streams.stream_of[first], key
 
     def runs(batches):
         for batch in batches:
-            found = [page_parts(x) for x in batch.column(1).to_pylist()]
-            streams, n = Streams(found), len(found)
-            if only == "outside":
-                key, first = streams.windows(MIN_RUN, False)
-                whole = np.array([hash_blocks(b, k) for b, k in found], np.int64)
-            else:
-                whole = streams.signatures(n)
-            if only == "anchors":
-                pairs = streams.anchors()
-                page, key = streams.page[pairs[:, 0].astype(np.int64)], pairs[:, 1]
-            else:
-                if only == "windows":
-                    key, first = streams.windows(ARTICLE_RUN, True)
-                    if near is not None:
-                        short, at = streams.windows(MIN_RUN, True)
-                        start = np.zeros(len(streams.tokens) + 1, np.int64)
-                        start[at[np.isin(short.view(np.int64), near)]] = 1
-                        held = np.concatenate(([0], np.cumsum(start)))
-                        use = held[np.minimum(first + ARTICLE_RUN - MIN_RUN + 1, len(held) - 1)] > held[first]
-                        key, first = key[use], first[use]
-                page = streams.page[streams.stream_of[first]]
-            rows = np.unique(np.column_stack((page, key.view(np.int64))), axis=0)
-            yield pa.record_batch([batch.column(0).take(pa.array(rows[:, 0])), pa.array(rows[:, 1]), pa.array(whole[rows[:, 0]])], names=["host", "run", "owner"])
-
-    found = pages.mapInArrow(runs, schema)
-    return found.groupBy("host", "run").agg(F.count_distinct("owner").alias("n")).where(F.col("n") >= MIN_PAGES).select("host", "run")
+            found = [page_parts(x) for x in batch.column(2).to_pylist()]
+            streams = Streams(found)
+            for length in lengths:
+                # pages by their blocks, articles by their signatures, in 32 bits
+                owner = np.array([hash_blocks(b, k) for b, k in found], np.int64) if length == MIN_RUN else streams.signatures(len(found))
+                stream, key = of(streams, length)
+                rows = np.unique(np.column_stack((streams.page[stream], key.view(np.int64))), axis=0)
+                place = pa.array(rows[:, 0])
+                yield pa.record_batch([batch.column(0).take(place), batch.column(1).take(place), pa.array(np.full(len(rows), length, np.int32)), pa.array(rows[:, 1]), pa.array((owner[rows[:, 0]] & 0x7FFFFFFF).astype(np.int32))], names=["host", "shard", "length", "run", "owner"])
+
+    found = pages.mapInArrow(runs, "host string, shard bigint, length int, run bigint, owner int")
+    # of each shard the first MIN_PAGES owners are enough to know that a run is frequent, and all of a shard with fewer
+    kept = found.groupBy("host", "shard", "length", "run").agg(F.collect_set("owner").alias("owners")).withColumn("owners", F.slice("owners", 1, MIN_PAGES))
+    whole = kept.groupBy("host", "length", "run").agg(F.collect_set("shard").alias("shards"), F.size(F.array_distinct(F.flatten(F.collect_list("owners")))).alias("n"))
+    return whole.where(F.col("n") >= MIN_PAGES).drop("n")
 
 
 def hash_blocks(blocks: list[str], kinds: list[int]) -> int:
@@ -381,41 +387,45 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", s
     hot = stage_table(sizes.select("host", shards.alias("shards")).where("shards > 1"), "hosts")
     count = hot.count()
     near_hot = F.broadcast(hot) if count <= BROADCAST_HOSTS else hot
-    schema = T.StructType([pages.schema[page_id], pages.schema[url], T.StructField("host", T.StringType()), T.StructField("hash", T.LongType()), T.StructField("blocks", T.ArrayType(T.StringType())), T.StructField("kinds", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([pages.schema[page_id], pages.schema[url], T.StructField("host", T.StringType()), T.StructField("hash", T.LongType()), T.StructField("blocks", T.ArrayType(T.StringType())), T.StructField("kinds", T.StringType())])
 
     def parse(batches):
         for batch in batches:
             found = [page_parts(x) for x in batch.column(4).to_pylist()]
-            columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.list_(pa.string()), pa.list_(pa.int32())))]
-            yield pa.record_batch([*batch.columns[:4], *columns], names=schema.names)
+            kinds = pa.array(["".join(map(str, k)) for _, k in found], pa.string())  # a digit for each block
+            yield pa.record_batch([*batch.columns[:4], pa.array([b for b, _ in found], pa.list_(pa.string())), kinds], names=schema.names)
 
-    # equal rows are dealt by where they stand
-    dealing = F.xxhash64(page_id, url, source) + F.monotonically_increasing_id()
-    parsed = pages.select(page_id, url, host_of(url).alias("host"), dealing.alias("hash"), source).mapInArrow(parse, schema)
+    parsed = pages.select(page_id, url, host_of(url).alias("host"), F.xxhash64(page_id, url, source).alias("hash"), source).mapInArrow(parse, schema)
     dealt = parsed.join(near_hot, "host", "left").withColumn("shard", F.pmod("hash", F.coalesce("shards", F.lit(1)))).drop("hash", "shards")
     result = T.StructType([pages.schema[page_id], pages.schema[url], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def texts(table: pa.Table, frequent: dict[int, np.ndarray] | None = None) -> pa.Table:
-        found = shard_texts(list(zip(table["blocks"].to_pylist(), table["kinds"].to_pylist(), strict=True)), frequent)
+        found = shard_texts([(b, list(map(int, k))) for b, k in zip(table["blocks"].to_pylist(), table["kinds"].to_pylist(), strict=True)], frequent)
         return pa.table([table[page_id], table[url], pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], names=result.names)
 
     alone = lambda table: texts(table)  # noqa: E731  Spark looks at the number of parameters
     if not count:
         return dealt.groupBy("host", "shard").applyInArrow(alone, result)
-    large = pages.select(host_of(url).alias("host"), F.col(source).alias("html")).join(near_hot, "host", "left_semi").select("host", "html")
-    anchors = stage_table(_host_runs(large, "anchors").select("run").distinct(), "anchors")
-    few = anchors.count() <= BROADCAST_ANCHORS
-    near = anchors.toArrow()["run"].to_numpy() if few else None
-    often = _host_runs(large, "outside").withColumn("length", F.lit(MIN_RUN))
-    if not few or len(near):
-        often = often.unionByName(_host_runs(large, "windows", near).withColumn("length", F.lit(ARTICLE_RUN)))
-    often = often.join(near_hot, "host").select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"), "length", "run")
+    large = pages.select(host_of(url).alias("host"), F.xxhash64(page_id, url, source).alias("hash"), F.col(source).alias("html")).join(near_hot, "host").select("host", F.pmod("hash", "shards").alias("shard"), "html")
+    crowded = stage_table(large.groupBy("host", "shard").count().where(F.col("count") > 3 * SHARD_PAGES).select("host", "shard", F.ceil(F.col("count") / SHARD_PAGES).alias("parts")), "crowded")
+    parts = F.broadcast(crowded) if crowded.count() <= BROADCAST_HOSTS else crowded
+    first = stage_table(_host_runs(large, (MIN_RUN, 0)), "runs")
+    anchors = first.where("length = 0").select("run").distinct()
+    count = anchors.count()
+    near = anchors.toArrow()["run"].to_numpy() if count <= BROADCAST_ANCHORS else None
+    often = first.where(F.col("length") == MIN_RUN)
+    if count:
+        often = often.unionByName(_host_runs(large, (ARTICLE_RUN,), near))
+    often = often.select("host", "length", "run", F.explode("shards").alias("shard")).join(parts, ["host", "shard"], "left")
+    often = often.select("host", "shard", "length", "run", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    # which part a row goes to makes no difference to its text
+    dealt = dealt.join(parts, ["host", "shard"], "left").withColumn("part", F.pmod(F.monotonically_increasing_id(), F.coalesce("parts", F.lit(1)))).drop("parts")
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         length, run = right["length"].to_numpy(), right["run"].to_numpy()
         return texts(left, {k: run[length == k] for k in (MIN_RUN, ARTICLE_RUN)}) if len(left) else result_of_none(result)
 
-    return dealt.groupBy("host", "shard").cogroup(often.groupBy("host", "shard")).applyInArrow(both, result)
+    return dealt.groupBy("host", "shard", "part").cogroup(often.groupBy("host", "shard", "part")).applyInArrow(both, result)
 
 
 def result_of_none(schema: T.StructType) -> pa.Table:
