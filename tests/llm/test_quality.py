@@ -91,3 +91,39 @@ def test_classifier_edges(spark, edge, empty):
     none = quality_classifier.quality(edge, labels.where("false")).collect()
     assert {r.score for r in none} == {0.5}
     assert quality_classifier.quality(empty, labels).count() == 0
+
+
+def test_every_language_has_a_reference(spark):
+    """Seventy languages with words of their own: each text is nearest to its language, and a text of foreign words is far from all."""
+    rng = np.random.default_rng(6)
+    word = lambda k: f"{chr(97 + k % 26)}{chr(97 + k // 26)}{'xyzuvw'[rng.integers(0, 6)]}"
+    rows = [(70 * i + k, " ".join(word(k) for _ in range(80)), f"l{k:02}") for k in range(70) for i in range(3)] + [(999, " ".join(f"{j}##{j}" for j in range(80)), None)]
+    out = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)).collect()}
+    assert all(out[k].nearest == lang and out[k].kept != out[k].base_failed for k, _, lang in rows[:-1]) and not out[999].kept
+
+
+def test_common_words_by_plain_counting(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "COMMON_WORDS", 3)
+    monkeypatch.setattr(quality_rules, "FLUSH", 4)
+    rng = np.random.default_rng(7)
+    rows = [(k, " ".join(rng.choice(["The", "the", "a", "B", "né", "zz", "ÉÉ"], 9)), ["en", "fr", None][k % 3]) for k in range(60)]
+    want = set()
+    for lang in ("en", "fr"):
+        n = collections.Counter(w for _, t, own in rows if own == lang for w in re.sub("[A-Z]", lambda m: m[0].lower(), t).split())
+        want |= {w for w, _ in sorted(n.items(), key=lambda x: (-x[1], x[0].encode()))[:3]}
+    got = quality_rules.common_words(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_counts_do_not_depend_on_pieces(monkeypatch):
+    found = ["a b c d e\n" * 30 + "é" * 50, "", "# x\n" * 20]
+    lexicon = quality_rules.Lexicon(["a", "x"])
+
+    def both():
+        words = textbatch.Words(*textbatch.raw(pa.array(found)))
+        return counts(found), [x.tolist() for x in quality_rules.histograms(words, words.hashes(lower=True), lexicon)]
+
+    want = both()
+    for size in (16, 100):
+        monkeypatch.setattr(textbatch, "PIECE", size)
+        assert both() == want
