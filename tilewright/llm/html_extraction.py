@@ -18,7 +18,8 @@ reaches into stays whole). Neither number grows with the host.
 A host of more than SHARD_PAGES pages or SHARD_BYTES is dealt into shards by a hash of the page; a shard that copies of a row crowd is dealt once more, by
 where they stand. For such hosts runs are counted by key over the whole host, and each shard gets the frequent ones that it has, so its answer is that of
 one array over the host. Windows in articles are many; so their anchors are counted first (the least key of 8 tokens among those of each window, which
-all pages that have the window choose alike), and windows only around frequent anchors. For that the pages of such hosts are parsed two times more.
+all pages that have the window choose alike), and windows only around frequent anchors; runs outside articles only for hosts that have a page without
+articles, as others don't need them. For that the pages of such hosts are parsed two times more.
 
 Cases: null html is empty, with empty text; a null url is a host of its own name, the empty one; broken and cut-off markup is read as far as it goes;
 repeated rows get equal results, and are dealt over shards like other rows; an empty table gives an empty result. Other columns are not read, whatever
@@ -50,6 +51,7 @@ BROADCAST_HOSTS = 100_000
 BROADCAST_ANCHORS = 1 << 20
 #: Kinds of blocks.
 OUTSIDE, CHROME_BLOCK, ARTICLE = 0, 1, 2
+BARE = -1
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -334,13 +336,17 @@ def host_of(url: str):
 
 
 def _host_runs(pages: DataFrame, lengths: tuple[int, ...], near: np.ndarray | None = None) -> DataFrame:
-    """(host, length, run, shards) of runs that MIN_PAGES pages of a host have, with the shards that have them, of pages (host, shard, html).
+    """(host, length, run, shards) of runs that MIN_PAGES pages of a host have, with the shards that have them, of pages (host, shard, html, bare).
 
-    lengths: MIN_RUN, runs outside articles; 0, anchors of windows in articles; ARTICLE_RUN, windows in articles, only such around the anchors `near` if given.
+    lengths: MIN_RUN, runs outside articles of bare hosts, those with a page without articles (no other page needs them); 0, anchors of windows in
+    articles; ARTICLE_RUN, windows in articles, only such around the anchors `near` if given; BARE, a row for each host that has a page without articles.
     """
 
     def of(streams: Streams, length: int) -> tuple[np.ndarray, np.ndarray]:
         """(stream, key) of runs."""
+        if length == BARE:
+            one = np.flatnonzero(~streams.inside & (np.bincount(streams.page[streams.inside], minlength=streams.page[-1] + 1) == 0)[streams.page])
+            return one, np.zeros(len(one), np.uint64)
         if not length:
             pairs = streams.anchors()
             return pairs[:, 0].astype(np.int64), pairs[:, 1]
@@ -357,11 +363,19 @@ def _host_runs(pages: DataFrame, lengths: tuple[int, ...], near: np.ndarray | No
     def runs(batches):
         for batch in batches:
             found = [page_parts(x) for x in batch.column(2).to_pylist()]
+            if not found:
+                continue
             streams = Streams(found)
+            bare = batch.column(3).to_numpy(zero_copy_only=False)
             for length in lengths:
+                if length == MIN_RUN and not bare.any():
+                    continue
                 # pages by their blocks, articles by their signatures, in 32 bits
                 owner = np.array([hash_blocks(b, k) for b, k in found], np.int64) if length == MIN_RUN else streams.signatures(len(found))
                 stream, key = of(streams, length)
+                if length == MIN_RUN:
+                    use = bare[streams.page[stream]]
+                    stream, key = stream[use], key[use]
                 rows = np.unique(np.column_stack((streams.page[stream], key.view(np.int64))), axis=0)
                 place = pa.array(rows[:, 0])
                 yield pa.record_batch([batch.column(0).take(place), batch.column(1).take(place), pa.array(np.full(len(rows), length, np.int32)), pa.array(rows[:, 1]), pa.array((owner[rows[:, 0]] & 0x7FFFFFFF).astype(np.int32))], names=["host", "shard", "length", "run", "owner"])
@@ -370,7 +384,7 @@ def _host_runs(pages: DataFrame, lengths: tuple[int, ...], near: np.ndarray | No
     # of each shard the first MIN_PAGES owners are enough to know that a run is frequent, and all of a shard with fewer
     kept = found.groupBy("host", "shard", "length", "run").agg(F.collect_set("owner").alias("owners")).withColumn("owners", F.slice("owners", 1, MIN_PAGES))
     whole = kept.groupBy("host", "length", "run").agg(F.collect_set("shard").alias("shards"), F.size(F.array_distinct(F.flatten(F.collect_list("owners")))).alias("n"))
-    return whole.where(F.col("n") >= MIN_PAGES).drop("n")
+    return whole.where((F.col("n") >= MIN_PAGES) | (F.col("length") == BARE)).drop("n")
 
 
 def hash_blocks(blocks: list[str], kinds: list[int]) -> int:
@@ -409,17 +423,21 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", s
     large = pages.select(host_of(url).alias("host"), F.xxhash64(page_id, url, source).alias("hash"), F.col(source).alias("html")).join(near_hot, "host").select("host", F.pmod("hash", "shards").alias("shard"), "html")
     crowded = stage_table(large.groupBy("host", "shard").count().where(F.col("count") > 3 * SHARD_PAGES).select("host", "shard", F.ceil(F.col("count") / SHARD_PAGES).alias("parts")), "crowded")
     parts = F.broadcast(crowded) if crowded.count() <= BROADCAST_HOSTS else crowded
-    first = stage_table(_host_runs(large, (MIN_RUN, 0)), "runs")
+    first = stage_table(_host_runs(large.withColumn("bare", F.lit(False)), (BARE, 0)), "runs")
     anchors = first.where("length = 0").select("run").distinct()
     count = anchors.count()
     near = anchors.toArrow()["run"].to_numpy() if count <= BROADCAST_ANCHORS else None
-    often = first.where(F.col("length") == MIN_RUN)
-    if count:
-        often = often.unionByName(_host_runs(large, (ARTICLE_RUN,), near))
-    often = often.select("host", "length", "run", F.explode("shards").alias("shard")).join(parts, ["host", "shard"], "left")
-    often = often.select("host", "shard", "length", "run", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    bare = first.where(F.col("length") == BARE).select("host", F.lit(True).alias("bare"))
+    lengths = (MIN_RUN,) * (not bare.isEmpty()) + (ARTICLE_RUN,) * (count > 0)
     # which part a row goes to makes no difference to its text
     dealt = dealt.join(parts, ["host", "shard"], "left").withColumn("part", F.pmod(F.monotonically_increasing_id(), F.coalesce("parts", F.lit(1)))).drop("parts")
+    if not lengths:
+        return dealt.groupBy("host", "shard", "part").applyInArrow(alone, result)
+    told = F.broadcast(bare) if bare.count() <= BROADCAST_HOSTS else bare
+    asked = large.join(told, "host", "left").select("host", "shard", "html", F.coalesce("bare", F.lit(False)).alias("bare"))
+    often = _host_runs(asked, lengths, near)
+    often = often.select("host", "length", "run", F.explode("shards").alias("shard")).join(parts, ["host", "shard"], "left")
+    often = often.select("host", "shard", "length", "run", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         length, run = right["length"].to_numpy(), right["run"].to_numpy()
