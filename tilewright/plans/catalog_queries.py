@@ -79,13 +79,16 @@ def family_entries(t: Tables) -> DataFrame:
     return own.groupBy("x2", "y2").agg(F.count("*").alias("n"), F.array_join(F.transform(listed, lambda e: F.concat_ws(":", e["idx"], e["bytes"])), ",").alias("entries"))
 
 
-@query(f"""WITH {TILES_SQL}, pack AS (SELECT key, bytes AS v FROM tiles WHERE key % 3 = 0), loose AS (SELECT key, bytes + 100 AS v FROM tiles WHERE key % 5 = 0), base AS (SELECT key, bytes + 200 AS v FROM tiles WHERE key % 2 = 0)
+_SOLD = "SELECT l_partkey AS key, max(l_quantity)::INTEGER AS v FROM lineitem WHERE l_returnflag = '{}' AND l_linenumber = 1 GROUP BY l_partkey"
+
+
+@query(f"""WITH {TILES_SQL}, pack AS ({_SOLD.format("R")}), loose AS ({_SOLD.format("A")}), base AS ({_SOLD.format("N")})
 SELECT key, coalesce(pack.v, loose.v, base.v) AS value, CASE WHEN pack.v IS NOT NULL THEN 'pack' WHEN loose.v IS NOT NULL THEN 'loose' WHEN base.v IS NOT NULL THEN 'baseline' ELSE 'missing' END AS found_in
 FROM tiles LEFT JOIN pack USING (key) LEFT JOIN loose USING (key) LEFT JOIN base USING (key)""")
 def residual_lookup_fallback(t: Tables) -> DataFrame:
-    own = bind.tiles(t).select("key", F.col("bytes").alias("v"))
-    sources = [("pack", own.where("key % 3 = 0"), "v"), ("loose", own.where("key % 5 = 0").withColumn("v", F.col("v") + 100), "v"), ("baseline", own.where("key % 2 = 0").withColumn("v", F.col("v") + 200), "v")]
-    return joins.first_available(own.select("key"), ["key"], sources)
+    """Each tile's residual from the first source that has one; first lines of orders, by their return flag, stand for the sources."""
+    sold = lambda flag: t.lineitem.where((F.col("l_returnflag") == flag) & (F.col("l_linenumber") == 1)).groupBy(F.col("l_partkey").alias("key")).agg(F.max("l_quantity").cast("int").alias("v"))
+    return joins.first_available(bind.tiles(t).select("key"), ["key"], [("pack", sold("R"), "v"), ("loose", sold("A"), "v"), ("baseline", sold("N"), "v")])
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
@@ -104,6 +107,10 @@ def tile_parent_join(t: Tables) -> DataFrame:
     return joins.to_parents(own, own.groupBy("x2", "y2").agg(F.sum("bytes").alias("parent_bytes")), ["x2", "y2"]).select("key", "x2", "y2", "bytes", "parent_bytes")
 
 
+#: All qualities of the curves.
+QUALITIES = list(range(1, 51))
+
+
 def _curve(t: Tables) -> DataFrame:
     """(series, quality, size, gain): sizes in whole cents, so that sums are exact."""
     price = F.round(F.col("l_extendedprice") * 100).cast("bigint")
@@ -178,10 +185,10 @@ def run_compare(t: Tables) -> DataFrame:
     return joins.compare_runs(_curve(t), "series", "AF", "NO", ["quality"], "gain")
 
 
-@query(f"""WITH {CURVE_SQL} SELECT series, {", ".join(f"max(CASE WHEN quality = {q} THEN gain END) AS q{q}" for q in (10, 20, 30, 40, 50))} FROM curve GROUP BY series""")
+@query(f"""WITH {CURVE_SQL} SELECT series, {", ".join(f"max(CASE WHEN quality = {q} THEN gain END) AS q{q}" for q in QUALITIES)} FROM curve GROUP BY series""")
 def metric_pivot(t: Tables) -> DataFrame:
-    out = agg.pivot_metric(_curve(t), "series", "quality", [10, 20, 30, 40, 50], F.max("gain"))
-    return out.withColumnsRenamed({str(q): f"q{q}" for q in (10, 20, 30, 40, 50)})
+    out = agg.pivot_metric(_curve(t), "series", "quality", QUALITIES, F.max("gain"))
+    return out.withColumnsRenamed({str(q): f"q{q}" for q in QUALITIES})
 
 
 @query(f"""WITH {CURVE_SQL} SELECT coalesce(series, 'all') AS series, count(*) AS points, sum(n)::BIGINT AS n, round(avg(gain), 6) AS mean_gain FROM curve GROUP BY ROLLUP (series)""")
@@ -358,10 +365,9 @@ def metric_filters(t: Tables) -> DataFrame:
     return found.withColumn("l1q", F.col("l_quantity").cast("int") + 45).where("l1q <= 90").select("l_orderkey", "l_linenumber", "l1q", F.col("l_discount").alias("metric"))
 
 
-@query(f"""WITH {TILES_SQL}, grid AS (SELECT x::INTEGER AS x, y::INTEGER AS y FROM range(0, 8) a(x), range(0, 8) b(y)) SELECT grid.x, grid.y, key, key IS NOT NULL AS found FROM grid LEFT JOIN (SELECT * FROM tiles WHERE key % 3 = 0) t ON t.x = grid.x AND t.y = grid.y""")
+@query(f"""WITH {TILES_SQL}, grid AS (SELECT x::INTEGER AS x, y::INTEGER AS y FROM range(0, 72) a(x), range(0, 8) b(y)) SELECT grid.x, grid.y, key, key IS NOT NULL AS found FROM grid LEFT JOIN tiles t ON t.x = grid.x AND t.y = grid.y""")
 def tile_grid_flags(t: Tables) -> DataFrame:
-    own = bind.tiles(t).where("key % 3 = 0")
-    return joins.grid_probe(own, {"x": list(range(8)), "y": list(range(8))}, "key").withColumn("found", F.col("key").isNotNull())
+    return joins.grid_probe(bind.tiles(t), {"x": list(range(72)), "y": list(range(8))}, "key").withColumn("found", F.col("key").isNotNull())
 
 
 @query(f"""WITH {TILES_SQL}, l AS (SELECT y2, x2, count(*) AS n, sum(bytes)::BIGINT AS bytes FROM tiles GROUP BY y2, x2) SELECT y2, count(*) AS levels, sum(bytes)::BIGINT AS bytes, string_agg(x2 || ':' || n || ':' || bytes, ',' ORDER BY x2) AS breakdown FROM l GROUP BY y2""")

@@ -113,13 +113,13 @@ def plane_unsharp(t: Tables) -> DataFrame:
     return bind.planes(t).select("vec_id", _text(raster.unsharp(F.col("px"), N, N, 0.5)).alias("px"))
 
 
-@query(f"""WITH {PLANES_SQL}, c AS (SELECT vec_id, i, px[i]::DOUBLE AS r, px[i + 1]::DOUBLE AS g, px[i + 2]::DOUBLE AS b FROM planes, range(1, 61) t(i)),
+@query(f"""WITH {PLANES_SQL}, c AS (SELECT vec_id, i, px[i]::DOUBLE AS r, px[i + 1]::DOUBLE AS g, px[i + 2]::DOUBLE AS b FROM planes, range(1, 63) t(i)),
 y AS (SELECT *, greatest(0, least(255, floor(0.299 * r + 0.587 * g + 0.114 * b + 0.5)))::INTEGER AS y, greatest(0, least(255, floor(-0.168736 * r - 0.331264 * g + 0.5 * b + 128.0 + 0.5)))::INTEGER AS cb, greatest(0, least(255, floor(0.5 * r - 0.418688 * g - 0.081312 * b + 128.0 + 0.5)))::INTEGER AS cr FROM c),
 f AS (SELECT *, greatest(0, least(255, y + (((cr - 128) * 1436) >> 10)))::INTEGER AS r2, greatest(0, least(255, y - (((cb - 128) * 352 + (cr - 128) * 731) >> 10)))::INTEGER AS g2, greatest(0, least(255, y + (((cb - 128) * 1815) >> 10)))::INTEGER AS b2 FROM y)
 SELECT vec_id, i::INTEGER AS i, y, cb, cr, r2, g2, b2 FROM f""")
 def ycbcr_roundtrip(t: Tables) -> DataFrame:
     at = lambda k: F.element_at("px", F.col("i") + k).cast("double")
-    rows = bind.planes(t).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(60))))
+    rows = bind.planes(t).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(62))))
     y, cb, cr = scalar.rgb_to_ycbcr(at(0), at(1), at(2))
     coded = rows.select("vec_id", "i", y.alias("y"), cb.alias("cb"), cr.alias("cr"))
     r, g, b = scalar.ycbcr_to_rgb_fixed(F.col("y"), F.col("cb"), F.col("cr"))
