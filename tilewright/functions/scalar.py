@@ -35,6 +35,9 @@ def truncate(value: Column) -> Column:
     return F.when(value < 0, F.ceil(value)).otherwise(F.floor(value))
 
 
+# The weights of BT.601, and their fixed-point forms.
+
+
 def rgb_to_ycbcr(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     """BT.601 full range, rounded half away from zero and clamped."""
     fit = lambda v: clamp(round_half_away(v)).cast("int")
@@ -90,6 +93,9 @@ def jpeg_qtable(quality: Column) -> Column:
     return F.transform(F.array(*[F.lit(v) for v in JPEG_LUMINANCE]), lambda v: clamp(F.floor((v * scale + 50) / 100), 1, 255).cast("int"))
 
 
+# The numbers of both rate maps.
+
+
 def jp2_rate_rounded(quality: Column) -> Column:
     """Compression ratio by 105 exp(-0.032 q), to one decimal, at least 1; 1 from quality 100, 100 to quality 1."""
     return F.when(quality >= 100, 1.0).when(quality <= 1, 100.0).otherwise(F.greatest(F.lit(1.0), F.round(105.0 * F.exp(-0.032 * quality), 1)))

@@ -119,6 +119,9 @@ def visual_information_fidelity(a: np.ndarray, b: np.ndarray, deviation: float =
     return np.divide(got, all_, out=np.zeros(len(a)), where=all_ != 0)
 
 
+# The sRGB curve, the matrix to XYZ, the D65 white and the thresholds of L*a*b*; the constants of CIEDE2000.
+
+
 def rgb_to_lab(rgb: np.ndarray) -> np.ndarray:
     """sRGB of 0..1 to CIE L*a*b*, D65."""
     linear = np.where(rgb > 0.04045, ((rgb + 0.055) / 1.055) ** 2.4, rgb / 12.92)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tilewright.operators.tiles import LENIENT_NAME
 
+#: Names of files and the text of descriptors are those of the Deep Zoom format.
 TILE_PATH = r"/([^/]+)_files/(\d+)/(\d+)_(\d+)\.(jpg|jpeg|webp|jxl|png)$"
 #: Which file stands for a tile that has several, first choice first.
 PREFERRED = ("jpg", "jpeg", "webp", "jxl", "png")
