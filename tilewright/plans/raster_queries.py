@@ -358,6 +358,18 @@ def residual_codecs(t: Tables) -> DataFrame:
     return _pairs(t).select("vec_id", "px", "pred").mapInArrow(run, "vec_id bigint, codec string, bytes bigint, error double")
 
 
+@query(f"""WITH {_PAIRS}, u AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(px) - unnest(pred) AS r FROM pairs), g AS (SELECT vec_id, i % 8 AS c, i // 8 AS y, r, CASE WHEN i % 8 = 0 OR i < 8 THEN 0 ELSE lag(r, 8) OVER (PARTITION BY vec_id ORDER BY i) END AS above FROM u),
+q AS (SELECT *, round_even(r / 4.0, 0) * 4 AS plain, round_even((r - above) / 4.0, 0) * 4 AS step FROM g), d AS (SELECT *, CASE WHEN c = 0 THEN step ELSE sum(step) OVER (PARTITION BY vec_id, c ORDER BY y) END AS summed FROM q)
+SELECT vec_id, sum((plain - r) * (plain - r))::DOUBLE AS deadzone_error, sum((summed - r) * (summed - r))::DOUBLE AS delta_error FROM d GROUP BY vec_id""")
+def residual_codec_errors(t: Tables) -> DataFrame:
+    """Squared error of each plane's residual after the dead-zone and the delta codec, bytes and back."""
+
+    def both(px, pred):
+        return [[float(((decode(encode(r, 4.0)) - r) ** 2).sum()) for r in px - pred] for encode, decode in (codec.CODECS["deadzone"], codec.CODECS["delta"])]
+
+    return _numbers(_pairs(t), ["px", "pred"], both, "deadzone_error delta_error")
+
+
 def family_packs(t: Tables) -> DataFrame:
     """(family, n, pack): the 16 planes of a family, deflated and packed together. One group is one family, so groups are small."""
     own = _pairs(t).select(F.shiftright("vec_id", 4).alias("family"), (F.col("vec_id") % 16).cast("int").alias("idx"), raster.residual_raw(F.col("px"), F.col("pred")).alias("r"))
