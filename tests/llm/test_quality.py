@@ -127,3 +127,50 @@ def test_counts_do_not_depend_on_pieces(monkeypatch):
     for size in (16, 100):
         monkeypatch.setattr(textbatch, "PIECE", size)
         assert both() == want
+
+
+def plain_statistics(text):
+    """FEATURES of one text by plain Python."""
+    words = WORD.findall(text)
+    n, repeats = max(len(words), 1), brute(text)
+    lower = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words]
+    lines = [x for x in text.split("\n") if x]
+    rows = max(len(lines), 1)
+    classes = collections.Counter()
+    for c in text:
+        name = "wide" if ord(c) >= 128 else "lower" if "a" <= c <= "z" else "upper" if "A" <= c <= "Z" else "digit" if "0" <= c <= "9" else "space" if c in " \t\n\r\x0b\x0c" else "sentence" if c in quality_rules.SENTENCE else "symbol"
+        classes[name] += 1
+    shares = [classes[c] / max(len(text), 1) for c in quality_rules.CLASSES]
+    common = [w for w in lower if w in quality_classifier.LEXICON.words]
+    log = lambda x: float(np.log1p(x))
+    return [
+        log(len(words)), log(len(text)), repeats[1] / n, log(max((len(w.encode()) for w in words), default=0)), repeats[2] / max(len(text), 1), repeats[4] / n, repeats[3] / rows, log(rows), log(len(words) / rows), len(set(words)) / n,
+        len(common) / n, len(set(common)) / min(n, len(quality_classifier.LEXICON.words)), *shares, sum("A" <= w[0] <= "Z" for w in words) / n, sum(x[-1] in ".!?:\"'" for x in lines) / rows,
+        sum(len(w.encode()) == 1 for w in words) / n, -sum(s * np.log2(s) for s in shares if s), sum(w[-1] == "!" for w in words) / n,
+    ]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab Theof cé\n\t#|!.\"9Z"), max_size=60), min_size=1, max_size=5))
+def test_statistics_by_plain_python(found):
+    got = quality_classifier.statistics(*textbatch.raw(pa.array(found, pa.string())))
+    assert got.shape == (len(found), len(quality_classifier.FEATURES))
+    assert np.allclose(got, [plain_statistics(t) for t in found])
+
+
+def test_first_split_is_the_best(monkeypatch):
+    """A tree's root by trying every feature and cut."""
+    monkeypatch.setattr(quality_classifier, "TREES", 1)
+    monkeypatch.setattr(quality_classifier, "DEPTH", 1)
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 20, (150, 4)).astype(float)
+    y = (x[:, 2] + rng.normal(0, 4, 150) > 11).astype(float)
+    forest = quality_classifier.grow(x, y, np.ones(150))
+    p = y.mean()
+    g, h = p - y, np.full(150, p * (1 - p))
+    score = lambda m: g[m].sum() ** 2 / (h[m].sum() + quality_classifier.PENALTY)
+    gains = {(j, c): score(x[:, j] <= c) + score(x[:, j] > c) for j in range(4) for c in np.unique(x[:, j]) if min((x[:, j] <= c).sum(), (x[:, j] > c).sum()) >= quality_classifier.LEAST_ROWS}
+    root = forest.roots[0]
+    assert gains[forest.feature[root], np.floor(forest.threshold[root])] >= max(gains.values()) - 1e-9
+    for side, mask in ((forest.left[root], x[:, forest.feature[root]] <= forest.threshold[root]), (forest.right[root], x[:, forest.feature[root]] > forest.threshold[root])):
+        assert np.isclose(forest.value[side], -quality_classifier.RATE * g[mask].sum() / (h[mask].sum() + quality_classifier.PENALTY))
