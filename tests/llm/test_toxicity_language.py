@@ -1,4 +1,5 @@
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -156,3 +157,27 @@ def test_case_folding_covers_latin_one():
     wide, where = language_id.folded(data, at)
     assert wide[where].tobytes().decode() == "éaß×ü"
     assert np.all(np.diff(where) == 1)
+
+
+def test_model_by_plain_counting(spark):
+    """Ratios from counts of documents, and coefficients at which the penalised loss is least."""
+    rng = np.random.default_rng(2)
+    good, bad = ["apple", "berry", "cherry", "daisy"], ["grumble", "scowl", "berry"]
+    rows = [(k, " ".join(rng.choice(bad if k % 3 == 0 else good, 6)), int(k % 3 == 0)) for k in range(150)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3), spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    train = [(t, y) for k, t, y in rows if zlib.crc32(str(k).encode()) % 3 != 1]
+    has = [set(toxicity.grams(*textbatch.raw(pa.array([t])))[1].tolist()) for t, _ in train]
+    y = np.array([y for _, y in train])
+    d0, d1 = (y == 0).sum(), (y == 1).sum()
+    kept = np.flatnonzero(model.wanted)
+    x = np.array([[b in h for b in kept] for h in has], float)
+    n0, n1 = x[y == 0].sum(0), x[y == 1].sum(0)
+    assert set(kept) == {b for h in has for b in h if sum(b in g for g in has) >= toxicity.LEAST_DOCS}
+    ratio = np.log((n1 + 1) / (d1 + 2) / ((n0 + 1) / (d0 + 2)))
+    w = np.divide(model.weights[kept], ratio, out=np.zeros(len(kept)), where=np.abs(ratio) > 1e-9)
+    weight = np.where(y == 1, 0.5 / d1, 0.5 / d0) * len(y)
+    g = weight * (1 / (1 + np.exp(-(x @ model.weights[kept] + model.intercept))) - y)
+    assert np.abs((x * ratio).T @ g + toxicity.PENALTY * w).max() < 0.05 and abs(g.sum()) < 0.05
+    scores = model.scores(*textbatch.raw(pa.array([t for t, _ in train])))
+    assert ((scores >= 0.5) == (y == 1)).all()
