@@ -44,12 +44,14 @@ TITLES = {
 _ANY_TITLE = "|".join(t for group in TITLES.values() for t in group)
 #: A word of a name, as in O'Brien, Doe-Roe; what follows an apostrophe in lower case isn't part of it.
 _WORD = r"\p{Lu}(?:\p{L}|(?<=\p{Lu})['’](?=\p{Lu}))+(?:-\p{L}+)*"
-_TITLED = rf"(?:(?:{_ANY_TITLE})\.? )+"
+#: A cheap look at the first letter fails nearly everywhere, before the alternatives are tried.
+_TITLE = f"(?=[{''.join(sorted({t[0] for group in TITLES.values() for t in group}))}])(?:{_ANY_TITLE})"
+_TITLED = rf"(?:{_TITLE}\.? )+"
 _ASSIGNED = r"(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?"
 #: What a mention looks like, by type, in the order in which types are tried. Secrets and names include what introduces them, which stays.
 PATTERNS = {
-    "secret": rf"(?i:{_ASSIGNED})(?=[^\s\"']*\d)[A-Za-z0-9+/_.~!$^-]{{8,}}",
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "secret": rf"(?=[PpSsTtAa])(?i:{_ASSIGNED})(?=[^\s\"']*\d)[A-Za-z0-9+/_.~!$^-]{{8,}}",
+    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)",
     "cloud_key": r"(?:AKIA|ASIA)[A-Z0-9]{16}",
     "service_key": r"(?:sk-|ghp_|gho_|xox[bp]-)[A-Za-z0-9-]{16,}",
@@ -63,12 +65,12 @@ PATTERNS = {
 #: No mention begins or ends inside a longer word or number.
 _AROUND = {
     **{t: (r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])") for t in ("cloud_key", "service_key", "hex", "iban")},
-    "secret": ("", ""), "email": ("", ""), "ip": (r"(?<![\d.])", r"(?!\.?\d)"), "phone": (r"(?<![\d+])", r"(?!\d)"), "ssn": (r"(?<![\d-])", r"(?![\d-])"), "card": (r"(?<!\d)", r"(?!\d)"),
+    "secret": ("", ""), "email": (r"(?<![A-Za-z0-9._%+-])", ""), "ip": (r"(?<![\d.])", r"(?!\.?\d)"), "phone": (r"(?<![\d+])", r"(?!\d)"), "ssn": (r"(?<![\d-])", r"(?![\d-])"), "card": (r"(?<!\d)", r"(?!\d)"),
     "name": (r"(?<!\p{L})", r"(?![\p{L}\p{N}])"),
 }
 PATTERN = "|".join(f"{_AROUND[t][0]}(?:{p}){_AROUND[t][1]}" for t, p in PATTERNS.items())
 #: What every match has in it; a cheap test that most texts fail.
-HINT = rf"[0-9@]|(?:AKIA|ASIA)[A-Z]|(?:sk-|ghp_|gho_|xox[bp]-)[A-Za-z]|(?<![A-Za-z0-9])[a-f]{{32}}|(?:{_ANY_TITLE})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|(?:AKIA|ASIA)[A-Z]|(?:sk-|ghp_|gho_|xox[bp]-)[A-Za-z]|(?<![A-Za-z0-9])[a-f]{{32}}|{_TITLE}\.? \p{{Lu}}"
 NAME = f"{_AROUND['name'][0]}(?:{PATTERNS['name']}){_AROUND['name'][1]}"
 FILLED = ("phone", "ssn", "card", "iban")
 NAME_TYPES = ("given_m", "given_f", "given_n", "family")
@@ -94,7 +96,7 @@ def _kept(kind: Column, mention: Column) -> Column:
 def _names(text: Column) -> Column:
     """(gender, words) of the names after titles in a text; empty for most texts, after a cheap test."""
     one = lambda m: F.struct(_gender(m).alias("gender"), F.split(F.regexp_replace(m, rf"^{_TITLED}", ""), " ").alias("words"))
-    return F.when(text.rlike(rf"(?:{_ANY_TITLE})\.? \p{{Lu}}"), F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(NAME), F.lit(0)), one)))
+    return F.when(text.rlike(rf"{_TITLE}\.? \p{{Lu}}"), F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(NAME), F.lit(0)), one)))
 
 
 def _gender(mention: Column) -> Column:
@@ -272,8 +274,9 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", count: str | Non
     words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "made"))), lambda x: x["made"]), "")
     whole = met.select("row", "pos", "k", made.alias("made")).groupBy("row", "pos").agg(words.alias("made"))
     per_row = whole.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "made"))).alias(reps))
-    joined = some.join(per_row.withColumnRenamed("row", row), row, "left")
-    gaps = F.split(F.col(text), _pattern(_names(F.col(text))), -1)
+    names = free_name([*columns, row, reps], "names")
+    joined = some.join(per_row.withColumnRenamed("row", row), row, "left").withColumn(names, _names(F.col(text)))
+    gaps = F.split(F.col(text), _pattern(F.col(names)), -1)
     woven = F.array_join(F.zip_with(gaps, F.col(reps), lambda g, r: F.concat(g, F.coalesce(r["made"], F.lit("")))), "")
     new = F.when(F.col(reps).isNull(), F.col(text)).otherwise(woven)
     extra = [] if count is None else [F.coalesce(F.size(reps), F.lit(0)).alias(count)]
