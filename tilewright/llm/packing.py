@@ -108,14 +108,17 @@ class Shard:
     def __init__(self, ids: list[np.ndarray], corpus: Corpus):
         n = self.n = len(ids)
         self.lengths = np.array([len(x) for x in ids], np.int64)
-        keys = np.concatenate(ids).astype(np.int64) + np.repeat(np.arange(n, dtype=np.int64), self.lengths) * (1 << 32)
+        wide = np.uint32 if n <= 1 << 16 else np.uint64  # a document's number over an id of 16 bits
+        keys = np.repeat(np.arange(n, dtype=wide) << wide(16), self.lengths)
+        keys |= np.concatenate(ids).astype(STORED)
+        useful = (corpus.idf > 0) & (corpus.df > 1)
+        keys = keys[useful[keys & wide(0xFFFF)]]
         keys.sort()
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        tf = np.diff(np.append(first, len(keys)))
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+        tf = np.diff(np.append(first, len(keys))).astype(np.int32)
         keys = keys[first]
-        doc, term = (keys >> 32).astype(np.int32), (keys & 0xFFFFFFFF).astype(np.int32)
-        use = (corpus.idf[term] > 0) & (corpus.df[term] > 1)
-        doc, term, tf = doc[use], term[use], tf[use]
+        doc, term = (keys >> wide(16)).astype(np.int32), (keys & wide(0xFFFF)).astype(np.int32)
+        del keys, first
         norm = K1 * (1 - B + B * self.lengths / corpus.mean)
         weight = (corpus.idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
         self.doc_bounds, self.doc_terms = np.searchsorted(doc, np.arange(n + 1)), term
@@ -353,11 +356,12 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 if block and (shard != now or size + len(ids) > 2 * SHARD_TOKENS):
                     packer.take(row - len(block), block, out := [])
                     yield rows(out)
+                    tb.release_memory()
                     keep = {r for r, *_ in packer.open}
                     keys = {r: v for r, v in keys.items() if r in keep}
                     block, size = [], 0
                 keys[row], now = (key, len(ids)), shard
-                block.append(ids.astype(np.uint32))
+                block.append(ids.copy())
                 row, size = row + 1, size + len(ids)
         if row:
             out = []

@@ -41,7 +41,7 @@ MAX_TOTAL_DISTANCE = 0.55
 #: Of each language.
 COMMON_WORDS = 24
 #: Distinct words that a task holds before it passes their counts on.
-FLUSH = 1 << 17
+FLUSH = 1 << 15
 
 
 def _class_table() -> np.ndarray:
@@ -141,6 +141,7 @@ def common_words(docs: DataFrame, text: str = "text", lang: str = "lang") -> lis
                     yield rows()
                     seen, held = {}, 0
         yield rows()
+        tb.release_memory()
 
     counted = docs.select(F.col(text), F.col(lang).cast("string")).where(F.col(lang).isNotNull()).mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     # a word that is among the most frequent is so within its share of the words
