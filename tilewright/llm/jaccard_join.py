@@ -54,10 +54,12 @@ SEGMENTS = 4
 FRAGMENT_ROWS = 1 << 17
 #: Postings for each fragment of the lists in which pairs are counted, about.
 PAIR_ROWS = 1 << 17
-#: Rows of a list that are paired at once.
-SQUARE = 64
-#: Classes of a list in one band.
-LONG_LIST = 4096
+#: Pairs of rows that are made at once, about.
+PAIRS = 1 << 19
+#: Classes of a list in one band, at most.
+LONG_LIST = 1024
+#: Bits of a sketch, at most.
+SKETCH_BITS = 1 << 20
 #: Sizes of classes that may link lie in the same bin or the next.
 SIZE_STEP = 100 / PERCENT * 1.005
 #: Documents of a class from which it is hot; there are at most 1 / HOT_CLASS as many of such classes as documents.
@@ -111,6 +113,17 @@ def _blocks(batches: Iterator[pa.RecordBatch], column: int):
             yield batch.slice(lo, hi - lo), data, at
 
 
+def _blobs(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """A binary column: the bytes of each run of values between edges."""
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _values(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(values, edges) of all rows of such a column."""
+    data, at = tb.raw(column)
+    return data[at[0] : at[-1]].view(kind), (at - at[0]) // np.dtype(kind).itemsize
+
+
 def prefix_size(n: np.ndarray) -> np.ndarray:
     return np.minimum(n, n - (PERCENT * n + 99) // 100 + LEAST)
 
@@ -191,22 +204,23 @@ def prefix_lists(docs: DataFrame, text: str, order, cut: Cut) -> DataFrame:
             use = pos < prefix_size(n)[owner]
             owner, key, pos = owner[use], key[use], pos[use]
             fragment = cut.of(key)
-            ranked = np.argsort(fragment, kind="stable")
-            edges = np.searchsorted(fragment[ranked], np.arange(cut.pieces + 1))
-            out = []
-            for f in np.flatnonzero(np.diff(edges)):
-                mine = ranked[edges[f] : edges[f + 1]]
-                nodes, local = np.unique(owner[mine], return_inverse=True)
-                out.append((int(f), *(x.tobytes() for x in (key[mine], local.astype(np.uint32), np.minimum(pos[mine], 0xFFFF).astype(np.uint16), node[nodes], n[nodes].astype(np.int32)))))
-            if out:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), *[pa.binary()] * 5], strict=True)], names=["fragment", "key", "local", "pos", "nodes", "sizes"])
+            ranked = np.argsort(fragment, kind="stable")  # owners stay in order within a fragment
+            owner, key, pos, fragment = owner[ranked], key[ranked], pos[ranked], fragment[ranked]
+            if len(key):
+                edges = np.flatnonzero(np.concatenate(([True], fragment[1:] != fragment[:-1])))
+                new = np.ones(len(key), bool)
+                new[1:] = (owner[1:] != owner[:-1]) | (fragment[1:] != fragment[:-1])
+                local = np.cumsum(new) - 1
+                nodes = np.append(local[edges], local[-1] + 1)
+                local -= np.repeat(local[edges], np.diff(np.append(edges, len(key))))
+                edges, own = np.append(edges, len(key)), owner[new]
+                columns = [_blobs(x, edges) for x in (key, local.astype(np.uint32), np.minimum(pos, 0xFFFF).astype(np.uint16))] + [_blobs(x, nodes) for x in (node[own], n[own].astype(np.int32))]
+                yield pa.record_batch([pa.array(fragment[edges[:-1]].astype(np.int32)), *columns], names=["fragment", "key", "local", "pos", "nodes", "sizes"])
 
     def lists(table: pa.Table) -> pa.Table:
-        parts = []
-        for row in table.to_pylist():
-            local = np.frombuffer(row["local"], np.uint32)
-            parts.append((np.frombuffer(row["key"], np.uint64), np.frombuffer(row["nodes"], np.int64)[local], np.frombuffer(row["sizes"], np.int32)[local], np.frombuffer(row["pos"], np.uint16)))
-        key, node, n, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+        (key, at), (nodes, nodes_at) = _values(table["key"], np.uint64), _values(table["nodes"], np.int64)
+        own = _values(table["local"], np.uint32)[0] + np.repeat(nodes_at[:-1], np.diff(at))
+        node, n, pos = nodes[own], _values(table["sizes"], np.int32)[0][own], _values(table["pos"], np.uint16)[0]
         ranked = np.lexsort((node, key))
         key, node, n, pos = key[ranked], node[ranked], n[ranked], pos[ranked]
         new = np.ones(len(key), bool)
@@ -223,8 +237,18 @@ def prefix_lists(docs: DataFrame, text: str, order, cut: Cut) -> DataFrame:
     return parts.groupBy("fragment").applyInArrow(lists, "fragment int, h bigint, node bigint, n bigint, pos bigint, others bigint")
 
 
+def sketches(owner: np.ndarray, shingle: np.ndarray, n: np.ndarray, some: np.ndarray) -> pa.Array:
+    """The sketch of each of some sets: a power of two of bits, 4 to 8 a shingle (at least 64, at most SKETCH_BITS), each the parity of the shingles that fall on it. Two
+    sets differ in as many shingles as their sketches do in bits, or more."""
+    bits = np.zeros(len(n), np.int64)
+    bits[some] = np.clip(1 << (np.ceil(np.log2(n[some])).astype(np.int64) + 2), 64, SKETCH_BITS)
+    at = np.concatenate(([0], np.cumsum(bits)))
+    odd = np.bincount(at[owner] + (shingle.astype(np.int64) & (bits[owner] - 1)), minlength=at[-1]).astype(np.uint8) & 1
+    return _blobs(np.packbits(odd, bitorder="little"), np.append(at[some], at[-1]) // 8)
+
+
 def class_segments(docs: DataFrame, text: str, order, cut: Cut) -> DataFrame:
-    """(node, n, segment, shingles): the shingles of each class of the documents by segment of the order, sorted in it."""
+    """(node, n, segment, shingles): the shingles of each class of the documents by segment of the order, sorted in it; as segment SEGMENTS its sketch."""
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, at in _blocks(batches, 0):
@@ -233,7 +257,10 @@ def class_segments(docs: DataFrame, text: str, order, cut: Cut) -> DataFrame:
             first = np.zeros(len(n), bool)
             first[np.unique(node, return_index=True)[1]] = True
             use = first[owner]
-            owner, key = owner[use], order.value.keys(shingle[use])
+            owner, shingle = owner[use], shingle[use]
+            some = np.flatnonzero(first & (n > 0))
+            yield pa.record_batch([pa.array(node[some]), pa.array(n[some]), pa.array(np.full(len(some), SEGMENTS, np.int32)), sketches(owner, shingle, n, some)], names=["node", "n", "segment", "shingles"])
+            key = order.value.keys(shingle)
             segment = cut.of(key)
             ranked = np.lexsort((key, segment, owner))
             owner, key, segment = owner[ranked], key[ranked], segment[ranked]
@@ -244,8 +271,30 @@ def class_segments(docs: DataFrame, text: str, order, cut: Cut) -> DataFrame:
     return docs.select(text).mapInArrow(parts, "node bigint, n bigint, segment int, shingles binary").dropDuplicates(["node", "segment"])
 
 
+def may_link(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """Those pairs of classes (u, v) that by their sketches may link; they take an eighth of what counting reads at most. All that link are among them."""
+    found = segments.where(F.col("segment") == SEGMENTS)
+    left = pairs.join(found.select(F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("shingles").alias("a")), "u")
+    both = left.join(found.select(F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("shingles").alias("b")), "v")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            most = n - 2 * -(-PERCENT * n // (100 + PERCENT))
+            keep = np.empty(len(n), bool)
+            for k, (a, b) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+                one, two = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
+                size = min(len(one), len(two))
+                one, two = (x if len(x) == size else np.bitwise_xor.reduce(x.reshape(-1, size)) for x in (one, two))
+                keep[k] = np.bitwise_count(one ^ two).sum(dtype=np.int64) <= most[k]
+            yield pa.record_batch([x.filter(pa.array(keep)) for x in batch.columns[:2]], names=["u", "v"])
+
+    return both.select("u", "v", "n_u", "n_v", "a", "b").mapInArrow(near, "u bigint, v bigint")
+
+
 def linked(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """(u, v) of those pairs of classes (u, v) that link: overlaps are counted by segment, then summed by pair."""
+    segments = segments.where(F.col("segment") < SEGMENTS)
     left = pairs.join(segments.select(F.col("node").alias("u"), "segment", F.col("n").alias("n_u"), F.col("shingles").alias("a")), "u")
     both = left.join(segments.select(F.col("node").alias("v"), "segment", F.col("n").alias("n_v"), F.col("shingles").alias("b")), ["v", "segment"])
 
@@ -301,81 +350,97 @@ def best_partners(candidates: DataFrame, labels: DataFrame | None, tested: DataF
 def cross_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """(u, v) of classes of different components whose sizes, positions and shared prefix shingles allow a link.
 
-    The lists that are left, those with several components, are dealt to fragments of the order anew, of about PAIR_ROWS postings, and in these by size: a
-    class is at home in its bin of sizes and visits the bin below, so that it meets all that are not too small for it. Lists that are long are dealt
-    apart, by pairs of bands. A task counts the shared shingles of its pairs, and passes on those that could still reach the bound with what both
-    have in other tasks.
+    The lists that are left are those with several components, without the classes that have too few places in them to link at all. They are dealt to
+    fragments of the order anew, of about PAIR_ROWS postings, and in these by size: a class is at home in its bin of sizes and visits the bin below, so
+    that it meets all that are not too small for it. Lists that are long are dealt by pairs of bands as well, and as many fragments go together as there
+    are bands, so that a pair of classes is counted in few tasks and not list by list.
     """
     known = lists.select("h", "node", "n", "pos").join(labels, "node", "left").select("h", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
     mixed = known.groupBy("h").agg((F.min("label") != F.max("label")).alias("mixed"), F.count("*").alias("length")).where("mixed").select("h", "length")
     rows = stage_table(known.join(mixed, "h"), "mixed")
+    listed = rows.groupBy("node", "n").agg(F.count("*").alias("listed")).where(F.col("listed") >= F.least(F.lit(LEAST), F.ceil(PERCENT * F.col("n") / 100))).select("node", "listed")
     weights = np.zeros(64)
     for r in rows.groupBy(F.shiftrightunsigned("h", HASH_BITS).cast("int").alias("rank")).count().collect():
         weights[r["rank"]] = r["count"]
-    cut = Cut(weights, max(1, math.ceil(weights.sum() / PAIR_ROWS)))
-    listed = rows.groupBy("node").agg(F.count("*").alias("listed"))
+    found = stage_table(counted_pairs(rows.join(listed, "node"), Cut(weights, max(1, math.ceil(weights.sum() / PAIR_ROWS)))).groupBy("u", "v", "n_u", "n_v").agg(F.sum("k").alias("k")).where(can_link(F.col("n_u"), F.col("n_v"), F.col("k"))).select("u", "v"), "pairs")
+    drop_table(rows)
+    return found
+
+
+def counted_pairs(rows: DataFrame, cut: Cut) -> DataFrame:
+    """(u, v, n_u, n_v, k): pairs of classes and the lists that they share in a task, from rows (h, node, n, pos, label, length, listed)."""
     size_bin = F.floor(F.log(F.col("n").cast("double")) / math.log(SIZE_STEP)).cast("int")
-    bands = F.ceil(F.col("length") / LONG_LIST).cast("int")
-    dealt = rows.join(listed, "node").withColumn("bands", bands).withColumn("band", F.pmod("node", "bands").cast("int")).withColumn("place", F.when(F.col("bands") > 1, F.col("h")).otherwise(cut.column("h")))
+    bands = F.when(F.col("length") > LONG_LIST, F.pow(2.0, F.ceil(F.log2(F.col("length") / LONG_LIST)))).otherwise(1.0).cast("int")
+    dealt = rows.withColumn("bands", bands).withColumn("band", F.pmod("node", "bands").cast("int")).withColumn("place", F.floor(cut.column("h") / F.col("bands")))
     dealt = dealt.select("*", F.explode(F.array(F.struct(size_bin.alias("bin"), F.lit(True).alias("home")), F.struct((size_bin - 1).alias("bin"), F.lit(False).alias("home")))).alias("s")).select("*", "s.bin", "s.home")
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("bands") - 1)).alias("other")).withColumn("low", F.least("band", "other")).withColumn("high", F.greatest("band", "other"))
 
     def pairs(table: pa.Table) -> pa.Table:
-        h, node, n, pos, label, total, band = (table[c].to_numpy() for c in ("h", "node", "n", "pos", "label", "listed", "band"))
-        home = table["home"].to_numpy(zero_copy_only=False)
-        one_band = table["low"][0].as_py() == table["high"][0].as_py()
-        ranked = np.lexsort((~home, n, h))
-        h, node, n, pos, label, total, band, home = (x[ranked] for x in (h, node, n, pos, label, total, band, home))
-        keys, first, here, own_rows = np.unique(node, return_index=True, return_inverse=True, return_counts=True)
-        elsewhere = (total[first] - own_rows)[here]
-        head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        found: list[tuple[np.ndarray, ...]] = []
-        counted = np.zeros((0, 6), np.int64)
-        held = 0
-        for lo, hi in zip(head, np.append(head[1:], len(h)), strict=True):
-            m, p, own, group, more, side, at_home = n[lo:hi], pos[lo:hi], node[lo:hi], label[lo:hi], elsewhere[lo:hi], band[lo:hi], home[lo:hi]
-            _, of, sizes = np.unique(group, return_inverse=True, return_counts=True)
-            main = of == sizes.argmax()  # rows of the largest component need no comparison with each other
-            rest = np.flatnonzero(~main)
-            for first_row in range(0, len(rest), SQUARE):  # the others in bands of rows, each with all rows
-                one, two = (x.ravel() for x in np.meshgrid(rest[first_row : first_row + SQUARE], np.arange(hi - lo), indexing="ij"))
-                fit = (main[two] | (two > one)) & (of[one] != of[two])
-                i, j = np.minimum(one, two)[fit], np.maximum(one, two)[fit]
-                fit = at_home[i] & (PERCENT * m[j] <= 100 * m[i])
-                if not one_band:
-                    fit &= side[i] != side[j]
-                i, j = i[fit], j[fit]
-                most = np.minimum(p[i], p[j]) + np.minimum(m[i] - p[i], m[j] - p[j])
-                fit = (100 + PERCENT) * most >= PERCENT * (m[i] + m[j])
-                i, j = i[fit], j[fit]
-                if len(i):
-                    swap = own[j] < own[i]
-                    i, j = np.where(swap, j, i), np.where(swap, i, j)
-                    found.append((own[i], own[j], m[i], m[j], np.minimum(more[i], more[j])))
-                    held += len(i)
-                    if held > 1 << 18 or len(found) > 1 << 12:
-                        counted, found, held = _tally(counted, found), [], 0
-        counted = _tally(counted, found)
-        u, v = counted[:, 2], counted[:, 3]
-        need = -(-PERCENT * (u + v) // (100 + PERCENT)) - np.maximum(np.maximum(-(-PERCENT * u // 100), -(-PERCENT * v // 100)) - LEAST, 0)
-        counted = counted[counted[:, 5] + counted[:, 4] >= need]
-        return pa.table([pa.array(counted[:, k]) for k in (0, 1, 2, 3, 5)], names=["u", "v", "n_u", "n_v", "k"])
-
-    each = dealt.select("h", "node", "n", "pos", "label", "listed", "band", "home", "bands", "place", "bin", "low", "high").groupBy("bands", "place", "bin", "low", "high").applyInArrow(pairs, "u bigint, v bigint, n_u bigint, n_v bigint, k bigint")
-    found = stage_table(each.groupBy("u", "v", "n_u", "n_v").agg(F.sum("k").alias("k")).where(can_link(F.col("n_u"), F.col("n_v"), F.col("k"))).select("u", "v"), "pairs")
-    drop_table(rows)
-    return found
+        found = [np.zeros((0, 5), np.int64), *list_pairs(*(table[c].to_numpy(zero_copy_only=False) if c == "home" else table[c].to_numpy() for c in ("h", "node", "n", "pos", "label", "listed", "band", "home")), table["low"][0].as_py() == table["high"][0].as_py())]
+        return pa.table([pa.array(c) for c in np.concatenate(found).T], names=["u", "v", "n_u", "n_v", "k"])
+
+    return dealt.select("h", "node", "n", "pos", "label", "listed", "band", "home", "bands", "place", "bin", "low", "high").groupBy("bands", "place", "bin", "low", "high").applyInArrow(pairs, "u bigint, v bigint, n_u bigint, n_v bigint, k bigint")
 
 
-def _tally(counted: np.ndarray, found: list[tuple[np.ndarray, ...]]) -> np.ndarray:
-    """Rows (u, v, n_u, n_v, rest, k): the pairs found added to those counted."""
-    if not found:
-        return counted
-    new = np.stack([np.concatenate(c) for c in zip(*found, strict=True)], 1)
-    rows = np.concatenate((counted, np.column_stack((new, np.ones(len(new), np.int64)))))
-    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-    head = np.flatnonzero(np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(1))))
-    return np.column_stack((rows[head, :5], np.add.reduceat(rows[:, 5], head)))
+def list_pairs(h, node, n, pos, label, listed, band, home, one_band: bool) -> Iterator[np.ndarray]:
+    """Rows (u, v, n_u, n_v, k) of the pairs that could still reach the bound with what both have in other tasks.
+
+    All lists go at once: with a list's rows by component, the larger first, a row's partners are the rows before its component. Pairs are taken by the
+    class of the later row, about PAIRS at once, so all of a pair come together.
+    """
+    _, of, sizes = np.unique(label, return_inverse=True, return_counts=True)
+    rank = np.empty(len(sizes), np.int64)
+    rank[np.argsort(-sizes, kind="stable")] = np.arange(len(sizes))
+    rank = rank[of]
+    ranked = np.lexsort((rank, h))
+    h, node, n, pos, listed, band, home, rank = (x[ranked] for x in (h, node, n, pos, listed, band, home, rank))
+    keys, own, own_rows = np.unique(node, return_inverse=True, return_counts=True)
+    more = listed - own_rows[own]
+    place = np.arange(len(h))
+    new_list = np.concatenate(([True], h[1:] != h[:-1]))
+    start = np.maximum.accumulate(np.where(new_list, place, 0))
+    stop = np.maximum.accumulate(np.where(new_list | np.concatenate(([True], rank[1:] != rank[:-1])), place, 0))
+    partners = stop - start
+    by_class = np.argsort(own, kind="stable")
+    by_class = by_class[partners[by_class] > 0]
+    if not len(by_class):
+        return
+    work = np.cumsum(np.bincount(own, partners, len(keys)).astype(np.int64))
+    step = (work // PAIRS)[own[by_class]]
+    edges = np.flatnonzero(np.concatenate(([True], step[1:] != step[:-1], [True])))
+    left_out = np.maximum(-(-PERCENT * n // 100) - LEAST, 0)
+    size = np.zeros(len(keys), np.int64)
+    size[own] = n
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        keys_found, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        cuts = np.cumsum(partners[by_class[lo:hi]]) // PAIRS
+        for part in np.split(by_class[lo:hi], np.flatnonzero(np.diff(cuts)) + 1):  # several parts only for a class of more than PAIRS
+            count = partners[part]
+            i = np.repeat(part, count)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(count) - count - start[part], count)
+            small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            fit = np.where(n[i] <= n[j], home[i], home[j]) & (PERCENT * large <= 100 * small)
+            if not one_band:
+                fit &= band[i] != band[j]
+            i, j = i[fit], j[fit]
+            both = n[i] + n[j]
+            overlap = -(-PERCENT * both // (100 + PERCENT))
+            fit = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j]) >= overlap
+            fit &= np.minimum(listed[i], listed[j]) >= overlap - np.maximum(left_out[i], left_out[j])
+            new, k = np.unique(own[i[fit]] * len(keys) + own[j[fit]], return_counts=True)
+            if len(keys_found):
+                new, at = np.unique(np.concatenate((keys_found, new)), return_inverse=True)
+                k = np.bincount(at, np.concatenate((times, k)), len(new)).astype(np.int64)
+            keys_found, times = new, k
+        u, v = np.divmod(keys_found, len(keys))
+        n_u, n_v = size[u], size[v]
+        need = -(-PERCENT * (n_u + n_v) // (100 + PERCENT)) - np.maximum(np.maximum(-(-PERCENT * n_u // 100), -(-PERCENT * n_v // 100)) - LEAST, 0)
+        rest = np.zeros(len(keys), np.int64)
+        rest[own] = more
+        fit = times + np.minimum(rest[u], rest[v]) >= need
+        u, v, n_u, n_v, times = u[fit], v[fit], n_u[fit], n_v[fit], times[fit]
+        swap = keys[v] < keys[u]
+        yield np.column_stack((np.where(swap, keys[v], keys[u]), np.where(swap, keys[u], keys[v]), np.where(swap, n_v, n_u), np.where(swap, n_u, n_v), times))
 
 
 def segments_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, order, cut: Cut) -> DataFrame:
@@ -441,7 +506,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     pairs = cross_pairs(lists, labels)
     drop_table(lists)
     segments = segments_of(nodes_of(pairs, "u", "v"), classes, docs, doc_id, text, order, segment_cut)
-    links = links.unionByName(stage_table(linked(pairs, segments), "links"))
+    links = links.unionByName(stage_table(linked(may_link(pairs, segments), segments), "links"))
     drop_table(segments)
     labels = connected_components(links)
 
