@@ -68,6 +68,8 @@ HOT_CLASS = 1000
 ORDER_ROWS = 1 << 19
 #: Ids that are broadcast to pick out documents; beyond that the join shuffles.
 BROADCAST_NODES = 1 << 20
+#: Spark's setting that removes the shuffle files of a query when it ends; else they stay until the driver collects garbage.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 HASH_BITS = 58
 _LOW = np.uint64((1 << HASH_BITS) - 1)
 
@@ -468,6 +470,16 @@ def with_components(own: DataFrame, known: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id that links reach), node, the key of the document's set, label, that of its component (null for
     empty sets), and row, the key of id and text."""
+    spark = docs.sparkSession
+    before = spark.conf.get(TIDY, "false")
+    spark.conf.set(TIDY, "true")  # each table is written once, and what was shuffled for it isn't read again
+    try:
+        return _components(docs, doc_id, text)
+    finally:
+        spark.conf.set(TIDY, before)
+
+
+def _components(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     spark = docs.sparkSession
     sets = stage_table(document_sets(docs, doc_id, text), "sets")
     own = sets.where(F.col("node").isNotNull()).select(doc_id, "n", "node", "row")
@@ -506,7 +518,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     pairs = cross_pairs(lists, labels)
     drop_table(lists)
     segments = segments_of(nodes_of(pairs, "u", "v"), classes, docs, doc_id, text, order, segment_cut)
-    links = links.unionByName(stage_table(linked(may_link(pairs, segments), segments), "links"))
+    near = stage_table(may_link(pairs, segments), "near")  # few, and counted before the join with segments is planned
+    links = links.unionByName(stage_table(linked(near, segments), "links"))
     drop_table(segments)
     labels = connected_components(links)
 
